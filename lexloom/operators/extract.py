@@ -1,7 +1,5 @@
 """Alteration events in clause texts: actions with offsets, references near them."""
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,7 +23,10 @@ def matches(text: Column, pattern: str) -> Column:
 
 def action_mentions(clauses: DataFrame, text: str = "texto") -> DataFrame:
     """One row per action match, all actions: adds acao, start, hit."""
-    per = [F.transform(matches(F.col(text), p), lambda m, a=a: F.struct(F.lit(a).alias("acao"), m["start"].alias("start"), m["hit"].alias("hit"))) for a, p in ACTIONS.items()]
+    def named(action):
+        return lambda m: F.struct(F.lit(action).alias("acao"), m["start"].alias("start"), m["hit"].alias("hit"))
+
+    per = [F.transform(matches(F.col(text), p), named(a)) for a, p in ACTIONS.items()]
     return clauses.withColumn("_m", F.explode(F.concat(*per))).select("*", "_m.*").drop("_m")
 
 
@@ -48,10 +49,14 @@ def references(context: Column) -> Column:
         return reference(F.lower(kind), number, x["h"], F.when(dated, 0.9).otherwise(0.7), F.when(dated, kind), F.when(dated, x["n"]), F.when(dated, x["y"]))
 
     found = [F.transform(laws, law), F.transform(group(SELF, 0), lambda h: reference(F.lit("self_reference"), F.lit(""), h, F.lit(0.95)))]
+
+    def element(name):
+        return lambda x: reference(F.lit(name), F.trim(x["n"]), x["h"], F.lit(0.9))
+
     for name, pattern, g in ELEMENTS:
         zipped = F.arrays_zip(group(pattern, 0).alias("h"), group(pattern, g).alias("n"))
-        found.append(F.transform(zipped, lambda x, name=name: reference(F.lit(name), F.trim(x["n"]), x["h"], F.lit(0.9))))
-    return reduce(F.concat, found) if len(found) < 2 else F.concat(*found)
+        found.append(F.transform(zipped, element(name)))
+    return F.concat(*found)
 
 
 def events(clauses: DataFrame, text: str = "texto", reach: int = 200, least: int = 20) -> DataFrame:

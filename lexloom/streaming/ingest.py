@@ -10,8 +10,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
-def event_stream(spark: SparkSession, folder: str, files_per_batch: int = 1) -> DataFrame:
-    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+def event_stream(spark: SparkSession, folder: str, files: str = "events*.parquet", files_per_batch: int = 1) -> DataFrame:
+    """Files of a folder whose names match, some a batch."""
+    return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", files).parquet(folder)
 
 
 def deduplicated(stream: DataFrame, late: str = "1 day") -> DataFrame:
