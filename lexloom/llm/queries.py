@@ -45,3 +45,18 @@ def op7_sampled_range_sharding(spark, d):
 
     x = sharding.shard(read(spark, d, "documents"), 8)
     return x.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op6_simhash_vantage_trees(spark, d):
+    from lexloom.llm import simhash
+
+    x = simhash.groups(read(spark, d, "documents"))
+    return x.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+@query
+def op8_sorted_projections(spark, d):
+    from lexloom.llm import vectors
+
+    return vectors.near_duplicates(read(spark, d, "embeddings"))
