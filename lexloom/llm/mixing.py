@@ -59,7 +59,7 @@ def mix(docs: DataFrame, size: Column | None = None, shards: int = 8, weights=(5
 
     ``size`` is a long Column, words of the text by default.
     """
-    spark, own = docs.sparkSession, docs.columns
+    spark, own = docs.sparkSession, [c for c in docs.columns if c not in ("size", "source_size", "target", "taken", "copies")]
     x = docs.withColumn("_size", n_words(text_of("text")) if size is None else size)
     base = keep(x.select("doc_id", "source", "_size"))
     sums = base.groupBy("source").agg(F.sum("_size").alias("n")).limit(MOST_SOURCES + 1).collect()
@@ -114,5 +114,5 @@ def mix(docs: DataFrame, size: Column | None = None, shards: int = 8, weights=(5
 
 def draw(mixed: DataFrame, seed: int = 17) -> DataFrame:
     """One row a copy, in its shard, shuffled inside the shard; shards split over tasks by block as they grow."""
-    x = mixed.select("*", F.explode("copies").alias("_c")).select("*", "_c.pass", "_c.block", "_c.shard").drop("_c", "copies")
+    x = mixed.drop("pass", "block", "shard").select("*", F.explode("copies").alias("_c")).select("*", "_c.pass", "_c.block", "_c.shard").drop("_c", "copies")
     return x.repartition("shard", "block").sortWithinPartitions("shard", F.xxhash64("doc_id", "pass", F.lit(seed)))

@@ -82,3 +82,28 @@ def op10_scaled_sketch(spark, d):
     from lexloom.llm import sketch
 
     return sketch.compared(read(spark, d, "documents"))
+
+
+@query
+def op3_suffix_array_lines(spark, d):
+    from lexloom.llm import lines
+
+    return lines.deduplicate(read(spark, d, "documents")).select("doc_id", "text", "n_lines", "n_removed")
+
+
+@query
+def op5_crf_toxicity(spark, d):
+    from lexloom.llm import toxicity
+
+    docs = read(spark, d, "documents")
+    model = toxicity.fit(docs, read(spark, d, "labels"))
+    held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    x = toxicity.score(docs, model, ["doc_id"])
+    return x.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).cast("int").alias("predicted"), "spans")
+
+
+@query
+def op9_site_style_trees(spark, d):
+    from lexloom.llm import html
+
+    return html.extract(read(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))

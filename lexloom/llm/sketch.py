@@ -40,7 +40,7 @@ def scaled(h: Column, fraction: float = FRACTION) -> Column:
     limit = int(-(2**63) + fraction * 2**64)
     few = F.array_distinct(F.filter(h, lambda x: x < limit))
     least = F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(F.array().cast("array<bigint>"))
-    return F.when(h.isNull(), F.array().cast("array<bigint>")).when(F.size(few) > 0, F.array_sort(few)).otherwise(least)
+    return F.when(h.isNull(), F.array().cast("array<bigint>")).when(F.size(few) > 0, F.sort_array(few)).otherwise(least)
 
 
 def sketched(df: DataFrame, text: str, out: str, fraction: float = FRACTION) -> DataFrame:
@@ -68,7 +68,7 @@ def containment(a: str, b: str) -> Column:
 def merged(sketches: DataFrame, key: str, sketch: str) -> DataFrame:
     """Sketches of the unions of each key's texts: distinct hashes, combined before the shuffle."""
     one = sketches.select(key, F.explode(sketch).alias("h")).distinct()
-    return one.groupBy(key).agg(F.array_sort(F.collect_list("h")).alias(sketch))
+    return one.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(sketch))
 
 
 def hexadecimal(sketch: str) -> Column:
@@ -84,7 +84,7 @@ def with_next(docs: DataFrame, rows_per_range: int = 1500) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
     n, least, most = base.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
     if not n:
-        return base.withColumn("next_text", F.lit(None).cast("string"))
+        return base.withColumn("next_text", F.col("text"))
     parts = max(1, n // rows_per_range)
     cuts = base.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
     cuts = sorted(set(cuts))
