@@ -4,12 +4,15 @@ A line's id is the hash of its text without outer blanks. Lines that occur once
 cannot lie in a repeated run, so they cut documents into islands of repeated lines;
 islands with fewer words than a run needs go, too. Over the islands a suffix array
 is built by prefix doubling: a suffix's rank is its place among the suffixes that
-begin with the same line; ranks at 1, 2, 4 ... lines come from pairs of ranks, whose
-distinct values are counted (not their rows) and summed in order. When no rank
-changes any more, longest common prefixes are read off the ranks of all levels from
-the top down: a suffix lies in the interval of a prefix of n lines, and the longest
-whose interval holds an earlier suffix is its repeated run. Runs of at least
-``min_words`` words are deleted wherever an earlier copy stands, by (doc_id, line).
+begin with the same line; ranks by the first 2, 4, 8 ... lines come from pairs of
+ranks, whose distinct values are counted (not their rows) and summed in order.
+
+Suffixes whose longest common prefix covers n lines form an interval, which two
+ranks name: of the first 2**k lines and of the last 2**k of the n. A run of at least
+``min_words`` words is the union of its shortest runs of that many words from each
+line on, and up to each line; so each such shortest run is looked up in its interval,
+and where the interval holds an earlier suffix, by (doc_id, line), its lines are
+deleted. Only as many doublings are needed as the longest of these runs asks for.
 
 Defined results: a null text stays null; rows with the same doc_id and text are one
 document and stay repeated; lines may be empty (they count no words); ``keep_empty``
@@ -46,68 +49,55 @@ def islands(docs: DataFrame, min_words: int) -> DataFrame:
     return keep(x.withColumn("_w", total).filter(F.col("_w") >= min_words).drop("_w"))
 
 
-def suffix_ranks(x: DataFrame) -> tuple[DataFrame, int]:
-    """Adds r0 ... rk: place of each suffix among those with its first line, by its first 2**k lines."""
-    longest = x.groupBy(*KEY, "island").count().agg(F.max("count")).first()[0] or 0
-    x, level, before = x.withColumn("r0", F.lit(0).cast("long")), 0, None
-    where = W.partitionBy(*KEY, "island").orderBy("ln")
-    while 2**level < longest:
-        now, h = f"r{level}", 2**level
-        x = x.withColumn("id2", F.lead("id", h).over(where)).withColumn("p2", F.coalesce(F.lead(now, h).over(where), F.lit(-1)))
-        pairs = keep(x.groupBy("id", now, "id2", "p2").agg(F.count("*").alias("n")))
-        smaller = W.partitionBy("id").orderBy(now, F.col("id2").asc_nulls_first(), "p2").rowsBetween(W.unboundedPreceding, -1)
-        placed = pairs.withColumn(f"r{level + 1}", F.coalesce(F.sum("n").over(smaller), F.lit(0)))
-        n_classes = pairs.count()
-        if n_classes == before:
-            break  # no class of suffixes was split, so none will be
-        before = n_classes
-        y, p = x.alias("y"), placed.select(F.col("id").alias("_i"), F.col(now).alias("_r"), F.col("id2").alias("_i2"), F.col("p2").alias("_p2"), f"r{level + 1}").alias("p")
-        same = (F.col("id") == F.col("_i")) & (F.col(now) == F.col("_r")) & F.col("id2").eqNullSafe(F.col("_i2")) & (F.col("p2") == F.col("_p2"))
-        x = keep(y.join(p, same).drop("_i", "_r", "_i2", "_p2", "id2", "p2"))
-        level += 1
-    return x, level
-
-
-def suffix_array(ranked: DataFrame, level: int) -> DataFrame:
-    """The suffixes in order: by first line, then rank; equal suffixes by position."""
-    place = F.row_number().over(W.partitionBy("id").orderBy(f"r{level}", *KEY, "ln"))
-    return ranked.withColumn("place", place).select("id", "place", *KEY, "island", "ln")
-
-
-def repeated_runs(ranked: DataFrame, level: int) -> DataFrame:
-    """(d, t, island, ln, words, run): how many lines from ln on also stand earlier, 0 if none."""
+def windows(x: DataFrame, min_words: int) -> DataFrame:
+    """(d, t, island, b, m): the shortest runs of ``min_words`` words from each line on and up to each line."""
     where = W.partitionBy(*KEY, "island")
-    here = F.struct("d", "t", "ln")
-    x = ranked.withColumn("stop", F.max("ln").over(where) + 1).withColumn("run", F.lit(0)).withColumn("c1", F.lit(0).cast("long")).withColumn("c2", F.lit(0).cast("long"))
-    x = x.select(*KEY, "island", "ln", "words", "stop", "run", "c1", "c2")
-    for k in range(level, -1, -1):
-        ahead = ranked.select(*KEY, "island", F.col("ln").alias("at"), F.col("id").alias("_id"), F.col(f"r{k}").alias("_r"))
-        x = x.withColumn("at", F.col("ln") + F.col("run")).join(ahead, [*KEY, "island", "at"], "left")
-        fits = F.col("_id").isNotNull() & (F.col("at") + 2**k <= F.col("stop"))
-        # The interval of the longer prefix: the shorter one's, then 2**k more lines.
-        x = x.withColumn("n1", F.when(fits, F.xxhash64("c1", "c2", "_id", "_r", F.lit(k)))).withColumn("n2", F.when(fits, F.xxhash64("_r", "_id", "c2", "c1", F.lit(-k - 1))))
-        first = x.filter("n1 is not null").groupBy("n1", "n2").agg(F.min(here).alias("_first"))
-        x = x.join(first, ["n1", "n2"], "left").withColumn("_ok", F.coalesce(F.col("_first") < here, F.lit(False)))
-        x = x.select(
-            *KEY, "island", "ln", "words", "stop", F.when(F.col("_ok"), F.col("run") + 2**k).otherwise(F.col("run")).alias("run"),
-            F.when(F.col("_ok"), F.col("n1")).otherwise(F.col("c1")).alias("c1"), F.when(F.col("_ok"), F.col("n2")).otherwise(F.col("c2")).alias("c2"),
-        )
-        x = keep(x)
+    x = x.withColumn("c1", F.sum("words").over(where.orderBy("ln"))).withColumn("c0", F.col("c1") - F.col("words"))
+    on, upto = where.orderBy("c0").rangeBetween(0, min_words - 1), where.orderBy("c1").rangeBetween(1 - min_words, 0)
+    from_here = x.select(*KEY, "island", F.col("ln").alias("b"), F.max("ln").over(on).alias("e"), (F.max("c1").over(on) - F.col("c0")).alias("w"))
+    to_here = x.select(*KEY, "island", F.min("ln").over(upto).alias("b"), F.col("ln").alias("e"), (F.col("c1") - F.min("c0").over(upto)).alias("w"))
+    both = from_here.unionByName(to_here).filter(F.col("w") >= min_words)
+    return both.select(*KEY, "island", "b", (F.col("e") - F.col("b") + 1).alias("m")).distinct()
+
+
+def suffix_ranks(x: DataFrame, longest: int) -> DataFrame:
+    """(d, t, island, ln, id, r): r holds each suffix's place among those with its first line, by its first 1, 2, 4 ... lines."""
+    x = x.select(*KEY, "island", "ln", "id", F.array(F.lit(0).cast("long")).alias("r"))
+    where, h = W.partitionBy(*KEY, "island").orderBy("ln"), 1
+    while 2 * h <= longest:
+        last = F.element_at("r", -1)
+        x = x.withColumn("p", last).withColumn("id2", F.lead("id", h).over(where)).withColumn("p2", F.coalesce(F.lead(last, h).over(where), F.lit(-1).cast("long")))
+        pairs = x.groupBy("id", "p", "id2", "p2").agg(F.count("*").alias("n"))
+        smaller = W.partitionBy("id").orderBy("p", F.col("id2").asc_nulls_first(), "p2").rowsBetween(W.unboundedPreceding, -1)
+        names = {c: f"_{c}" for c in ("id", "p", "id2", "p2")}
+        placed = pairs.withColumn("_r", F.coalesce(F.sum("n").over(smaller), F.lit(0).cast("long"))).drop("n").withColumnsRenamed(names)
+        same = (F.col("id") == F.col("_id")) & (F.col("p") == F.col("_p")) & F.col("id2").eqNullSafe(F.col("_id2")) & (F.col("p2") == F.col("_p2"))
+        x = keep(x.join(placed, same).select(*KEY, "island", "ln", "id", F.concat("r", F.array("_r")).alias("r")))
+        h *= 2
     return x
 
 
+def suffix_array(ranked: DataFrame) -> DataFrame:
+    """The suffixes in order: by first line, then rank; those that agree as far as ranks go, by position."""
+    place = F.row_number().over(W.partitionBy("id").orderBy(F.element_at("r", -1), *KEY, "ln"))
+    return ranked.select("id", place.alias("place"), *KEY, "island", "ln")
+
+
 def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(d, t, gone): the line numbers to delete of each document that repeats an earlier run."""
     x = islands(docs, min_words)
-    ranked, level = suffix_ranks(x)
-    runs = repeated_runs(ranked, level)
-    where = W.partitionBy(*KEY, "island").orderBy("ln")
-    runs = runs.withColumn("upto", F.sum("words").over(where))
-    end = runs.select(*KEY, "island", F.col("ln").alias("last"), F.col("upto").alias("_w"))
-    runs = runs.withColumn("last", F.col("ln") + F.col("run") - 1).join(end, [*KEY, "island", "last"], "left")
-    counts = (F.col("run") > 0) & (F.col("_w") - F.col("upto") + F.col("words") >= min_words)
-    reach = F.max(F.when(counts, F.col("last"))).over(where.rowsBetween(W.unboundedPreceding, 0))
-    return runs.withColumn("_reach", reach).filter(F.col("_reach") >= F.col("ln")).groupBy(*KEY).agg(F.sort_array(F.collect_list("ln")).alias("gone"))
+    runs = keep(windows(x, min_words))
+    ranked = suffix_ranks(x, runs.agg(F.max("m")).first()[0] or 0)
+    k = F.floor(F.log2("m") + 1e-9).cast("int")
+    at = lambda n, i, r: ranked.select(*KEY, F.col("ln").alias(n), F.col("id").alias(i), F.col("r").alias(r))
+    runs = runs.withColumn("k", k).withColumn("b2", (F.col("b") + F.col("m") - F.pow(F.lit(2), F.col("k"))).cast("int"))
+    runs = runs.join(at("b", "i1", "r1"), [*KEY, "b"]).join(at("b2", "i2", "r2"), [*KEY, "b2"])
+    runs = runs.select(*KEY, "b", "m", "i1", F.get("r1", "k").alias("p1"), "i2", F.get("r2", "k").alias("p2"))
+    interval, here = ["m", "i1", "p1", "i2", "p2"], F.struct("d", "t", "b")
+    first = runs.groupBy(*interval).agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    later = runs.join(first, interval).filter(F.col("first") < here)
+    lines = later.select(*KEY, F.explode(F.sequence(F.col("b"), F.col("b") + F.col("m") - 1)).alias("ln"))
+    return lines.groupBy(*KEY).agg(F.sort_array(F.collect_set("ln")).alias("gone"))
 
 
 def deduplicate(docs: DataFrame, min_words: int = 50, keep_empty: bool = True) -> DataFrame:

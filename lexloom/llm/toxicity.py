@@ -1,11 +1,10 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Documents carry labels, tokens do not, so tokens are labelled from them: a token of
-a toxic document counts as toxic if its word, or one of its prefixes, is far more
-frequent in toxic than in clean training documents. A two-state chain over these
+a toxic document counts as toxic if its word, or one of its prefixes, is significantly
+more frequent in toxic than in clean training documents. A two-state chain over these
 labels is trained by gradient steps on its exact likelihood; its emissions are
-weights of the word, of its prefixes of three to six letters, and of its neighbours'
-share in toxic documents by nothing else. Forward-backward marginals give every
+weights of the word and of its prefixes of three to six letters. Forward-backward marginals give every
 token of a text a probability; their maximum and sum give the document's score
 through a logistic fit, and tokens above one half are the offending spans.
 
@@ -114,10 +113,16 @@ def train(toxic: list[str], clean: list[str], rates: tuple[float, float], rounds
         return None
     seen = [Counter(f for t in texts for w in set(tokens(t)) for f in set(features(w))) for texts in (toxic, clean)]
 
-    def odds(f):
-        return np.log((seen[0][f] + 0.1) / (len(toxic) + 1)) - np.log((seen[1][f] + 0.1) / (len(clean) + 1))
+    share = len(toxic) / (len(toxic) + len(clean))
+    bar = 2 * np.log(len(seen[0]) + 1) + 4  # keeps chance out, however many features are looked at
 
-    cues = {f for f, n in seen[0].items() if n >= 3 and odds(f) > 2.5}
+    def telling(f):
+        """Log-likelihood ratio of a feature's counts against both classes' sizes, if it leans to the toxic one."""
+        n, m = seen[0][f], seen[1][f]
+        g = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0))
+        return g > bar and (n + 0.1) / (len(toxic) + 1) > 20 * (m + 0.1) / (len(clean) + 1)
+
+    cues = {f for f in seen[0] if telling(f)}
     # Labels from the documents: tokens of toxic ones that hold a cue. Training reads each cue's neighbourhood and the clean texts.
     names, rows, labels, first = {}, [], [], []
     for texts, bad in ((toxic, True), (clean, False)):
