@@ -116,13 +116,20 @@ def train(toxic: list[str], clean: list[str], rates: tuple[float, float], rounds
     share = len(toxic) / (len(toxic) + len(clean))
     bar = 2 * np.log(len(seen[0]) + 1) + 4  # keeps chance out, however many features are looked at
 
-    def telling(f):
-        """Log-likelihood ratio of a feature's counts against both classes' sizes, if it leans to the toxic one."""
-        n, m = seen[0][f], seen[1][f]
+    def telling(f, n):
+        """Whether the log-likelihood ratio of a feature's counts against both classes' sizes points to the toxic one."""
+        m = seen[1][f]
         g = 2 * (n * np.log(n / ((n + m) * share)) + (m * np.log(m / ((n + m) * (1 - share))) if m else 0))
         return g > bar and (n + 0.1) / (len(toxic) + 1) > 20 * (m + 0.1) / (len(clean) + 1)
 
-    cues = {f for f in seen[0] if telling(f)}
+    likely = {f for f, n in seen[0].items() if telling(f, n)}
+    # Copies repeat a word in one place; evidence counts each pair of neighbours once.
+    around = set()
+    for t in toxic:
+        words = ["", *tokens(t), ""]
+        around.update((f, words[i - 1], words[i + 1]) for i in range(1, len(words) - 1) for f in features(words[i]) if f in likely)
+    places = Counter(f for f, _, _ in around)
+    cues = {f for f in likely if telling(f, min(seen[0][f], places[f]))}
     # Labels from the documents: tokens of toxic ones that hold a cue. Training reads each cue's neighbourhood and the clean texts.
     names, rows, labels, first = {}, [], [], []
     for texts, bad in ((toxic, True), (clean, False)):
