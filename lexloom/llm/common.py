@@ -2,6 +2,7 @@
 
 import tempfile
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,21 @@ def n_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD)).cast("long")
 
 
+def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest index that each of n vertices reaches."""
+    label = np.arange(n)
+    while len(a):
+        m = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], m)
+        np.minimum.at(new, label[b], m)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    return label
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(id, component) of every endpoint of ``edges`` (a, b: comparable values); component is the smallest id reachable.
 

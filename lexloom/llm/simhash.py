@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import components, keep, text_of
+from lexloom.llm.common import components, forest, keep, text_of
 
 SAMPLE = 20_000
 LEAF = 40  # of the sample
@@ -133,21 +133,6 @@ def near(hosts: np.ndarray, guests: np.ndarray, at, rng, depth: int = 0) -> list
     return found
 
 
-def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The smallest index that each of n vertices reaches."""
-    label = np.arange(n)
-    while len(a):
-        m = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, label[a], m)
-        np.minimum.at(new, label[b], m)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def links(fps: DataFrame, sample: int = SAMPLE, leaf: int = LEAF) -> DataFrame:
     """Edges (a, b) whose components are those of all pairs of fingerprints at most RADIUS bits apart."""
     n = fps.count()
