@@ -117,6 +117,8 @@ def search(cuts: list[int]) -> Column:
 
 def compared(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     """Fingerprints of every text and its edited text (its last half replaced by the next text's beginning), and likenesses."""
+    if docs.isEmpty():
+        return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     x = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
