@@ -3,9 +3,10 @@
 A line's id is the hash of its text without outer blanks. Lines that occur once
 cannot lie in a repeated run, so they cut documents into islands of repeated lines;
 islands with fewer words than a run needs go, too. Over the islands a suffix array
-is built by prefix doubling: a suffix's rank is its place among the suffixes that
-begin with the same line; ranks by the first 2, 4, 8 ... lines come from pairs of
-ranks, whose distinct values are counted (not their rows) and summed in order.
+is built by prefix doubling: a suffix's rank is its place among all suffixes in the
+order of their first lines' ids; ranks by the first 2, 4, 8 ... lines come from pairs
+of ranks, whose distinct values are counted (not their rows), range-partitioned and
+summed in order, so that no line's suffixes have to meet in one task.
 
 Suffixes whose longest common prefix covers n lines form an interval, which two
 ranks name: of the first 2**k lines and of the last 2**k of the n. A run of at least
@@ -20,13 +21,14 @@ says whether documents that lose every word stay; an empty table gives no rows;
 further columns pass through.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from lexloom.llm.common import keep, n_words, text_of
 
 KEY = ["d", "t"]
+HOT = 1000  # a line with more than one in so many of all lines is hot: fewer than HOT ids are broadcast
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -41,8 +43,11 @@ def islands(docs: DataFrame, min_words: int) -> DataFrame:
     # A repeated row is the same document: its lines count once.
     hashed = rows.groupBy("d", "t", "ln").agg(F.first("id").alias("id"), F.first(n_words(F.col("line"))).alias("words"))
     lines = keep(hashed)
-    often = lines.groupBy("id").count().filter("count > 1").select("id")
-    x = lines.join(often, "id")
+    often = keep(lines.groupBy("id").count().filter("count > 1"))
+    is_hot = F.col("count") * HOT > lines.count()
+    marked = lines.join(F.broadcast(often.filter(is_hot).select("id", F.lit(True).alias("hot"))), "id", "left")
+    rare = marked.filter("hot is null").join(often.filter(~is_hot).select("id"), "id", "left_semi")
+    x = marked.filter("hot").unionByName(rare).drop("hot")
     doc = W.partitionBy(*KEY).orderBy("ln")
     x = x.withColumn("island", F.col("ln") - F.row_number().over(doc))
     total = F.sum("words").over(W.partitionBy(*KEY, "island"))
@@ -60,17 +65,31 @@ def windows(x: DataFrame, min_words: int) -> DataFrame:
     return both.select(*KEY, "island", "b", (F.col("e") - F.col("b") + 1).alias("m")).distinct()
 
 
+def before(x: DataFrame, by: list[str], n: Column) -> DataFrame:
+    """Adds _r, the sum of ``n`` over all rows that come earlier in the order of ``by`` (nulls first; rows distinct).
+
+    Rows are range-partitioned; one sum a partition reaches the driver.
+    """
+    x = keep(x.withColumn("_n", n).repartitionByRange(*by).withColumn("_p", F.spark_partition_id()))
+    starts, total = [], 0
+    for p, s in sorted((r["_p"], r["s"]) for r in x.groupBy("_p").agg(F.sum("_n").alias("s")).collect()):
+        starts.append((p, total))
+        total += s
+    told = F.broadcast(x.sparkSession.createDataFrame(starts, "_p int, _start long"))
+    inside = F.sum("_n").over(W.partitionBy("_p").orderBy(*by).rowsBetween(W.unboundedPreceding, -1))
+    return x.join(told, "_p").withColumn("_r", F.col("_start") + F.coalesce(inside, F.lit(0))).drop("_n", "_p", "_start")
+
+
 def suffix_ranks(x: DataFrame, longest: int) -> DataFrame:
-    """(d, t, island, ln, id, r): r holds each suffix's place among those with its first line, by its first 1, 2, 4 ... lines."""
+    """(d, t, island, ln, id, r): r holds each suffix's place by its first 1, 2, 4 ... lines; places compare where first lines agree."""
     x = x.select(*KEY, "island", "ln", "id", F.array(F.lit(0).cast("long")).alias("r"))
     where, h = W.partitionBy(*KEY, "island").orderBy("ln"), 1
     while 2 * h <= longest:
         last = F.element_at("r", -1)
         x = x.withColumn("p", last).withColumn("id2", F.lead("id", h).over(where)).withColumn("p2", F.coalesce(F.lead(last, h).over(where), F.lit(-1).cast("long")))
         pairs = x.groupBy("id", "p", "id2", "p2").agg(F.count("*").alias("n"))
-        smaller = W.partitionBy("id").orderBy("p", F.col("id2").asc_nulls_first(), "p2").rowsBetween(W.unboundedPreceding, -1)
         names = {c: f"_{c}" for c in ("id", "p", "id2", "p2")}
-        placed = pairs.withColumn("_r", F.coalesce(F.sum("n").over(smaller), F.lit(0).cast("long"))).drop("n").withColumnsRenamed(names)
+        placed = before(pairs, list(names), F.col("n")).drop("n").withColumnsRenamed(names)
         same = (F.col("id") == F.col("_id")) & (F.col("p") == F.col("_p")) & F.col("id2").eqNullSafe(F.col("_id2")) & (F.col("p2") == F.col("_p2"))
         x = keep(x.join(placed, same).select(*KEY, "island", "ln", "id", F.concat("r", F.array("_r")).alias("r")))
         h *= 2
@@ -79,8 +98,8 @@ def suffix_ranks(x: DataFrame, longest: int) -> DataFrame:
 
 def suffix_array(ranked: DataFrame) -> DataFrame:
     """The suffixes in order: by first line, then rank; those that agree as far as ranks go, by position."""
-    place = F.row_number().over(W.partitionBy("id").orderBy(F.element_at("r", -1), *KEY, "ln"))
-    return ranked.select("id", place.alias("place"), *KEY, "island", "ln")
+    x = ranked.select("id", F.element_at("r", -1).alias("last"), *KEY, "island", "ln")
+    return before(x, ["id", "last", *KEY, "ln"], F.lit(1).cast("long")).withColumnRenamed("_r", "place").drop("last")
 
 
 def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
@@ -107,9 +126,12 @@ def deduplicate(docs: DataFrame, min_words: int = 50, keep_empty: bool = True) -
     x = keyed(docs.select(own)).withColumn("d", F.coalesce("_d", F.lit(-(2**63)))).withColumnRenamed("_t", "t")
     x = x.join(gone, KEY, "left")
     rows = F.split("text", "\n", -1)
-    drop = F.map_from_arrays("gone", F.transform("gone", lambda i: F.lit(True)))
-    left = F.array_join(F.filter(rows, lambda v, i: F.element_at(F.col("_drop"), i).isNull()), "\n")
-    x = x.withColumn("_drop", drop).withColumn("n_lines", F.size(rows).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    # What stays are the slices between deleted lines: (first line, how many).
+    starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1)), F.concat("gone", F.array(F.size(rows)))
+    stays = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), (e - s).alias("n"))), lambda v: v["n"] > 0)
+    sliced = F.transform(F.array(rows), lambda own: F.flatten(F.transform(stays, lambda v: F.slice(own, v["s"] + 1, v["n"]))))  # splits the text once
+    left = F.array_join(F.get(sliced, 0), "\n")
+    x = x.withColumn("n_lines", F.size(rows).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
     x = x.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     if not keep_empty:
         x = x.filter(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
