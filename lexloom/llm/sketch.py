@@ -66,8 +66,12 @@ def containment(a: str, b: str) -> Column:
 
 
 def merged(sketches: DataFrame, key: str, sketch: str) -> DataFrame:
-    """Sketches of the unions of each key's texts: distinct hashes, combined before the shuffle."""
-    one = sketches.select(key, F.explode(sketch).alias("h")).distinct()
+    """Sketches of the unions of each key's texts: distinct hashes, combined before the shuffle; no text with a word, no hash.
+
+    The outer form of explode brings no filter on the sketch with it. Spark would move such a filter below the
+    projections of ``sketched`` and compute the hashes of a whole text anew for every shingle.
+    """
+    one = sketches.select(key, F.explode_outer(sketch).alias("h")).distinct()
     return one.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(sketch))
 
 
