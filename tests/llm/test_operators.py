@@ -198,6 +198,18 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_edges(spark):
+    """Lengths differ, components are huge or tiny, rows repeat, columns clash: pairs against brute force."""
+    from lexloom.llm import vectors
+
+    inf = float("inf")
+    rows = [(0, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [1.0, 2.0, 0.0]), (3, []), (4, [1e-200, 2e-200]), (5, [1e200, 2e200]), (6, [inf, 1.0]), (7, [-inf, 1.0]), (8, [3.0]), (9, [-3.0]), (10, [5.0]), (0, [1.0, 2.0])]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, class string, component int")
+    got = {(r.vec_id, r.n_links, r.component_id) for r in vectors.near_duplicates(frame).collect()}
+    alone = {(i, 0, i) for i in (2, 3, 6, 7, 9)}
+    assert got == alone | {(i, 4, 0) for i in (0, 1, 4, 5)} | {(8, 1, 8), (10, 1, 8)}
+
+
 def test_sketch(spark, docs, empty):
     from lexloom.llm import sketch
 
@@ -222,7 +234,10 @@ def test_sketch(spark, docs, empty):
     for k, (d, _) in enumerate(rows):
         assert rows[(k + 1) % len(rows)][1] in by[d]
     assert sketch.compared(empty).count() == 0
-    from lexloom.llm.common import keep
-
-    f = keep(sketch.sketched(docs, "text", "s").selectExpr("doc_id % 2 as k", "s"))
-    assert len(sketch.merged(f, "k", "s").collect()) == 2
+    f = sketch.sketched(docs.fillna("", ["text"]), "text", "s").selectExpr("doc_id % 2 as k", "s")
+    want = {0: set(), 1: set()}
+    for r in f.collect():
+        want[r.k].update(r.s)
+    assert {r.k: r.s for r in sketch.merged(f, "k", "s").collect()} == {k: sorted(v) for k, v in want.items()}
+    blank = spark.createDataFrame([(1, " ")], "k long, text string")
+    assert sketch.merged(sketch.sketched(blank, "text", "s"), "k", "s").collect()[0].s == []
