@@ -11,10 +11,15 @@ def clean_text(c: Column) -> Column:
     return F.translate(F.trim(F.regexp_replace(c, WHITE, " ")), "–—", "--")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+
+
 def normalise_slice(c: Column) -> Column:
     """At most one empty line in a row; blanks and tabs inside each line collapse."""
-    c = F.regexp_replace(F.rtrim(c), r"\n{3,}", "\n\n")
-    return F.trim(F.array_join(F.transform(F.split(c, "\n", -1), lambda x: F.trim(F.regexp_replace(x, r"[ \t]+", " "))), "\n"))
+    c = F.regexp_replace(strip(c), r"\n{3,}", "\n\n")
+    return strip(F.array_join(F.transform(F.split(c, "\n", -1), lambda x: strip(F.regexp_replace(x, r"[ \t]+", " "))), "\n"))
 
 
 def preview(c: Column, n: int) -> Column:
@@ -65,8 +70,8 @@ def clause_label(tipo: Column, numero: Column) -> Column:
 
 # Display names of actions.
 ACTION_NAMES = {
-    "REVOGA": "Revoga", "ALTERA": "Altera", "ADICIONA": "Adiciona", "SUBSTITUI": "Substitui",
-    "REGULAMENTA": "Regulamenta", "REFERENCIA": "Referencia",
+    "REVOGA": "Revogação", "ALTERA": "Alteração", "ADICIONA": "Adição", "SUBSTITUI": "Substituição",
+    "REGULAMENTA": "Regulamentação", "REFERENCIA": "Referência",
 }
 # Badge colours of statuses; others are grey.
 STATUS_COLOURS = {"consolidated": "green", "failed": "red", "pending": "gray", "segmented": "blue", "entities_extracted": "purple"}
@@ -77,6 +82,15 @@ def lookup(c: Column, names: dict[str, str], default: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*pairs), c), default)
 
 
+def action_name(acao: Column) -> Column:
+    return lookup(acao, ACTION_NAMES, acao)
+
+
+def counted(n: Column, one: str, many: str) -> Column:
+    """A number with the noun form that it asks for."""
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
 def cache_key(prefix: str, c: Column) -> Column:
     return F.concat(F.lit(prefix), F.md5(c.cast("binary")))
 

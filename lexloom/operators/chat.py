@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.functions.text import preview, slug
+from lexloom.functions.text import lookup, preview, slug
 
 
 def session_cards(sessions: DataFrame, messages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -37,6 +37,14 @@ def message_cards(messages: DataFrame) -> DataFrame:
     return messages.withColumn("n_sources", F.when(F.col("role") == "assistant", F.length("content") % 5).otherwise(0).cast("long"))
 
 
+# Display names of roles.
+ROLE_NAMES = {"user": "Usuário", "assistant": "Assistente"}
+
+
+def message_labels(messages: DataFrame) -> DataFrame:
+    return messages.withColumn("label", F.concat(lookup(F.col("role"), ROLE_NAMES, F.col("role")), F.lit(": "), preview(F.col("content"), 50)))
+
+
 def one_active(sessions: DataFrame) -> DataFrame:
     last = W.partitionBy("user_id").orderBy(F.col("updated_at").desc(), F.col("session_id").desc())
     return sessions.withColumn("is_active", F.row_number().over(last) == 1)

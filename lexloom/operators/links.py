@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.text import clause_label, norm_label
+from lexloom.functions.text import action_name, clause_label, norm_label
 
 
 def with_parent(clauses: DataFrame) -> DataFrame:
@@ -43,3 +43,24 @@ def embedding_input(clauses: DataFrame) -> DataFrame:
     """``norm | path | [Contexto: parent |] text``; expects norm_label, path, parent_label."""
     context = F.concat(F.lit("Contexto: "), F.col("parent_label"))
     return clauses.withColumn("embedding_input", F.concat_ws(" | ", "norm_label", "path", context, "texto"))
+
+
+def event_labels(events: DataFrame, located: DataFrame, norms: DataFrame) -> DataFrame:
+    """(id, label, description) of events; ``located`` are clauses with their paths.
+
+    The target is a clause, else a norm, else the quoted text; one that is not there counts as not identified.
+    """
+    n = norms.select(F.col("id").alias("_n"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("_norm"))
+
+    def clauses(end: str) -> DataFrame:
+        c = located.select(F.col("id").alias(f"{end}_clause_id"), F.col("norma_id").alias("_n"), clause_label(F.col("tipo"), F.col("numero")).alias(f"{end}_label"), F.col("path").alias(f"{end}_path"))
+        return c.join(n, "_n").withColumnsRenamed({"_n": f"{end}_owner", "_norm": f"{end}_norm"})
+
+    named = n.select(F.col("_n").alias("target_norm_id"), F.col("_norm").alias("named"))
+    x = events.join(clauses("source"), "source_clause_id").join(clauses("target"), "target_clause_id", "left").join(named, "target_norm_id", "left")
+    acao, at_clause, at_norm = action_name(F.col("acao")), F.col("target_label").isNotNull(), F.col("named").isNotNull()
+    label = F.concat("source_label", F.lit(" "), acao, F.lit(" "), F.coalesce("target_label", "named", F.lit("(não identificado)")))
+    elsewhere = F.when(F.col("target_owner") != F.col("source_owner"), F.concat(F.lit(" da "), F.col("target_norm"))).otherwise("")
+    what = F.when(at_clause, F.concat(F.lit(" o "), F.col("target_path"), elsewhere)).when(at_norm, F.concat(F.lit(" dispositivo(s) da "), F.col("named")))
+    what = what.otherwise(F.concat(F.lit(" '"), F.col("target_text"), F.lit("'")))
+    return x.select("id", label.alias("label"), F.concat(F.lit("Na "), F.col("source_norm"), F.lit(", o "), F.col("source_path"), F.lit(" "), acao, what).alias("description"))

@@ -61,9 +61,23 @@ def latest_status(log: DataFrame) -> DataFrame:
 
 # Which status may follow which; any may fail.
 NEXT = {
-    "pending": ["pdf_downloaded", "ocr_completed"], "ocr_completed": ["segmented"], "segmented": ["entities_extracted", "consolidated"],
-    "entities_extracted": ["consolidated"], "consolidated": [], "failed": ["pending"],
+    "pending": ["pdf_downloaded", "ocr_completed"], "pdf_downloaded": ["ocr_processing"], "ocr_processing": ["ocr_completed"],
+    "ocr_completed": ["segmentation_processing", "segmented"], "segmentation_processing": ["segmented", "ocr_completed"],
+    "segmented": ["entity_extraction", "entities_extracted", "consolidated"], "entity_extraction": ["entities_extracted", "segmented"],
+    "entities_extracted": ["consolidation", "consolidated"], "consolidation": ["consolidated"], "consolidated": [], "failed": ["pending"],
 }
+# A stage that finds nothing to work on goes back; the flag says whether a person has to look.
+REVERTS = {"segmentation_processing": ("ocr_completed", True), "entity_extraction": ("segmented", False)}
+
+
+def reverts(norms: DataFrame, found: DataFrame) -> DataFrame:
+    """Sets norms in a stage that ``found`` (id, any number of rows) has nothing for back to the stage before; adds needs_review."""
+    x = norms.drop("needs_review").join(found.groupBy("id").agg(F.count("*").alias("_n")), "id", "left")
+    empty, status, review = F.col("_n").isNull(), F.col("status"), F.lit(False)
+    for stage, (back, look) in REVERTS.items():
+        here = empty & (F.col("status") == stage)
+        status, review = F.when(here, back).otherwise(status), F.when(here, look).otherwise(review)
+    return x.withColumn("needs_review", review).withColumn("status", status).drop("_n")
 
 
 def transitions(log: DataFrame) -> DataFrame:

@@ -96,6 +96,16 @@ def cached_embeddings(texts: DataFrame, cache: DataFrame, model: str, embed=stub
     return x.withColumn("cache_hit", F.col("_c").isNotNull()).withColumn("embedding", F.coalesce("_c", embed(F.col("text")))).drop("_c")
 
 
+# How long cached entries live, in seconds.
+TTL = {"embedding": 7 * 24 * 3600, "search": 24 * 3600, "answer": 12 * 3600}
+
+
+def cache_metrics(looked_up: DataFrame) -> DataFrame:
+    """Rows, hits and hit rate in percent of a look-up that says cache_hit."""
+    n, k = F.count("*"), F.count_if("cache_hit")
+    return looked_up.agg(n.alias("n_rows"), k.alias("n_hits"), F.coalesce(F.round(100.0 * k / F.nullif(n, F.lit(0)), 1), F.lit(0.0)).alias("hit_rate"))
+
+
 def unexpired(cache: DataFrame, now, ttl_seconds: int) -> DataFrame:
     return cache.filter(F.unix_timestamp("stored_at") + ttl_seconds > F.unix_timestamp(F.lit(now).cast("timestamp")))
 

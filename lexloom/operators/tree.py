@@ -35,3 +35,21 @@ def paths_of_any_depth(clauses: DataFrame, most: int = 64) -> DataFrame:
         x = x.join(above, "up", "left").select("id", F.col("_up").alias("up"), F.when(F.col("_p").isNotNull(), F.concat("_p", "path_ids")).otherwise(F.col("path_ids")).alias("path_ids"))
         n *= 2
     return x.select("id", F.when(F.col("up").isNull(), F.col("path_ids")).alias("path_ids"))
+
+
+def nested(clauses: DataFrame, levels: int = 4) -> DataFrame:
+    """(norma_id, outline) per norm: its roots in order, each as label{children}, built from the lowest level up.
+
+    Expects the depth of ``paths``. A level is aggregated by (norm, parent) and joined to the level above.
+    """
+    x = clauses.select("norma_id", "ordem", "parent_ordem", "depth", clause_label(F.col("tipo"), F.col("numero")).alias("label"))
+    below = None
+    for level in range(levels - 1, -1, -1):
+        rows = x.filter(F.col("depth") == level)
+        inner = F.lit("")
+        if below is not None:
+            rows, inner = rows.join(below, ["norma_id", "ordem"], "left"), F.coalesce(F.concat(F.lit("{"), F.col("inner"), F.lit("}")), F.lit(""))
+        item = F.struct("ordem", F.concat("label", inner).alias("s"))
+        up = rows.groupBy("norma_id", "parent_ordem").agg(F.sort_array(F.collect_list(item)).alias("i"))
+        below = up.select("norma_id", F.col("parent_ordem").alias("ordem"), F.array_join(F.transform("i", lambda v: v["s"]), ", ").alias("inner"))
+    return below.select("norma_id", F.col("inner").alias("outline"))

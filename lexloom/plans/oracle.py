@@ -154,3 +154,66 @@ guarded AS (SELECT norma_id, tipo, numero, row_number() OVER (PARTITION BY norma
     "stream_upsert": "SELECT event_type, count(*) AS n_events, CAST(round(sum(CAST(value AS DECIMAL(18,2))),2) AS DOUBLE) AS total FROM events GROUP BY 1",
     "stream_status": "SELECT user_id AS entity_id, count(*) AS n_events, arg_max(event_type, ts) AS last_status FROM events GROUP BY 1",
 }
+
+# Parts that build on the statements above.
+VEC = VECTORS[len(CLAUSES):]
+NAMED = "{0}.tipo || ' ' || {0}.numero || '/' || {0}.ano"
+HITS = WITH_R + NORMS + ", " + PATHS + VEC + f""", hit AS (SELECT id, distance{SCORED} FROM dist ORDER BY distance, id LIMIT {{0}}),
+hits AS (SELECT h.*, w.path, w.texto, {NAMED.format('n')} AS norm_label FROM hit h JOIN walk w USING (id) JOIN norms n ON n.id = w.norma_id)"""
+PARTS = HITS + """, part AS (SELECT *, '[' || printf('%.2f', score) || '] ' || norm_label || ' | ' || path || ': ' || texto AS part, row_number() OVER (ORDER BY distance, id) AS rank FROM hits),
+parts AS (SELECT id, rank, CAST(sum(length(part)) OVER (ORDER BY rank) AS BIGINT) AS used, rank || '. ' || part AS shown FROM part)"""
+PROMPT = """'Responda em português claro e objetivo à pergunta, usando apenas os dispositivos legais abaixo.
+Formate em Markdown, cite os dispositivos em **negrito**, um item de lista por linha, e diga quando faltar informação.
+
+CONTEXTO LEGAL:
+' || string_agg(shown, chr(10) || chr(10) ORDER BY rank) || '
+
+PERGUNTA DO USUÁRIO:
+O que foi revogado?
+
+RESPOSTA:'"""
+ACTION_NAME = "CASE e.acao WHEN 'REVOGA' THEN 'Revogação' WHEN 'ALTERA' THEN 'Alteração' ELSE 'Referência' END"
+PAGES = "page AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10))))) + 1 AS no FROM documents)"
+SEEN = "SELECT coalesce(text IN (SELECT text FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL), false) AS cache_hit FROM documents"
+EDGES = f"'^{WHITE[1:-1]}|{WHITE[1:-1]}$'"
+
+
+def outline() -> str:
+    """Levels from the lowest up."""
+    sql = WITH_R + PATHS + f", node AS (SELECT w.norma_id, w.ordem, w.depth, t.parent_ordem, {label('w')} AS label FROM walk w JOIN tree t USING (id))"
+    for k in (3, 2, 1, 0):
+        inner = "''" if k == 3 else "coalesce('{' || b.inner_ || '}', '')"
+        join = "" if k == 3 else f" LEFT JOIN b{k + 1} b ON b.norma_id = n.norma_id AND b.ordem = n.ordem"
+        sql += f", b{k} AS (SELECT n.norma_id, n.parent_ordem AS ordem, string_agg(n.label || {inner}, ', ' ORDER BY n.ordem) AS inner_ FROM node n{join} WHERE n.depth = {k} GROUP BY 1, 2)"
+    return sql + " SELECT norma_id, inner_ AS outline FROM b0"
+
+
+ORACLE |= {
+    "rag_context_budget": PARTS.format(20) + " SELECT id, rank, used, shown FROM parts WHERE used <= 1200",
+    "rag_answer": PARTS.format(5) + f", asked AS (SELECT {PROMPT} AS prompt FROM parts WHERE used <= 8000) SELECT prompt, 'Resumo: ' || chr(10) || '• itens' || chr(10) || '• tamanho ' || length(prompt) AS answer FROM asked",
+    "source_cards": HITS.format(10) + " SELECT id, norm_label, path, CASE WHEN length(texto) > 200 THEN left(texto, 200) || '...' ELSE texto END AS text_preview, texto AS full_text, score FROM hits",
+    "ivf_cells": "WITH c AS (SELECT vec_id AS cell, embedding FROM embeddings WHERE vec_id < 10) SELECT e.vec_id, arg_min(c.cell, (list_distance(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.cell)) AS cell FROM embeddings e, c GROUP BY 1",
+    "embed_stub": f"SELECT cache_hit, count(*) AS n_rows FROM ({SEEN}) GROUP BY 1",
+    "cache_metrics": f"SELECT count(*) AS n_rows, count(*) FILTER (cache_hit) AS n_hits, round(100.0 * count(*) FILTER (cache_hit) / count(*), 1) AS hit_rate FROM ({SEEN})",
+    "cache_expiry": "SELECT cache, count(*) AS n_valid FROM events, (VALUES ('embedding', 7 * 24), ('search', 24), ('answer', 12)) t(cache, hours) WHERE date_trunc('second', ts) + to_hours(hours) > TIMESTAMP '2024-01-20 12:00:00' GROUP BY 1",
+    "status_counts_text": "SELECT status, n_norms || CASE WHEN n_norms = 1 THEN ' norma encontrada' ELSE ' normas encontradas' END AS shown FROM (" + ORACLE["status_histogram"] + ")",
+    "unique_violations": "SELECT user_id, event_type, count(*) AS n_rows FROM events GROUP BY 1, 2 HAVING count(*) > 1",
+    "slice_normalisation": f"""WITH a AS (SELECT doc_id, regexp_replace(regexp_replace(text, {EDGES}, '', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g') AS t FROM documents),
+b AS (SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \\t]+', ' ', 'g'), {EDGES}, '', 'g')), chr(10)), {EDGES}, '', 'g') AS t FROM a)
+SELECT doc_id, md5(t) AS slice_md5, length(t) AS n_slice FROM b""",
+    "page_join": f"WITH {PAGES}, full_ AS (SELECT doc_id, string_agg('--- Página ' || no || ' ---' || chr(10) || t, chr(10) || chr(10) ORDER BY no) AS t FROM page WHERE regexp_replace(t, {WHITE}, '', 'g') <> '' GROUP BY 1) SELECT doc_id, md5(t) AS text_md5, length(t) AS n_chars, length(t) >= 50 AS accepted FROM full_",
+    "ocr_decision": f"WITH {PAGES} SELECT doc_id, count(*) AS n_pages, count(*) FILTER (length(trim(t)) <= 100) AS n_ocr FROM page GROUP BY 1",
+    "event_labels": WITH_R + NORMS + ", " + PATHS + EVENTS.format("tree").replace("created_at FROM", "substr(texto, 1, 500) AS target_text FROM") + f""", place AS (SELECT w.id, w.norma_id, w.path, {label('w')} AS label, {NAMED.format('n')} AS norm FROM walk w JOIN norms n ON n.id = w.norma_id)
+SELECT e.id, s.label || ' ' || {ACTION_NAME} || ' ' || coalesce(t.label, {NAMED.format('n')}, '(não identificado)') AS label,
+'Na ' || s.norm || ', o ' || s.path || ' ' || {ACTION_NAME} || CASE WHEN t.id IS NOT NULL THEN ' o ' || t.path || CASE WHEN t.norma_id <> s.norma_id THEN ' da ' || t.norm ELSE '' END
+ WHEN n.id IS NOT NULL THEN ' dispositivo(s) da ' || {NAMED.format('n')} ELSE ' ' || chr(39) || e.target_text || chr(39) END AS description
+FROM events_ e JOIN place s ON s.id = e.source_clause_id LEFT JOIN place t ON t.id = e.target_clause_id LEFT JOIN norms n ON n.id = e.target_norm_id""",
+    "clause_outline": outline(),
+    "lenient_resolution": W_ + NORMS + ", " + CLAUSES + " SELECT c.id, n.id AS target_norm_id FROM clauses c LEFT JOIN norms n ON n.id = c.l_partkey AND n.ano = year(c.created_at) AND n.tipo = CASE c.l_partkey % 3 WHEN 0 THEN 'Lei Complementar' WHEN 1 THEN 'Lei' ELSE 'Resolução' END",
+    "recent_sessions": f"SELECT * FROM ({ORACLE['session_cards']}) ORDER BY updated_at DESC, session_id DESC LIMIT 10",
+    "message_labels": W_ + MESSAGES + " SELECT session_id, turn, CASE role WHEN 'user' THEN 'Usuário' WHEN 'assistant' THEN 'Assistente' ELSE role END || ': ' || CASE WHEN length(content) > 50 THEN left(content, 50) || '...' ELSE content END AS label FROM messages",
+    "embedding_reset": "SELECT count(*) AS total, CAST(0 AS BIGINT) AS with_embedding, CAST(0 AS DOUBLE) AS percent FROM lineitem",
+    "status_reverts": """SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN CASE WHEN k THEN 'segmentation_processing' ELSE 'ocr_completed' END WHEN o_orderstatus = 'O' THEN CASE WHEN k THEN 'entity_extraction' ELSE 'segmented' END ELSE 'pending' END AS status, o_orderstatus = 'F' AND NOT k AS needs_review
+FROM (SELECT *, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS k FROM orders)""",
+    "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events FROM events GROUP BY 1, 2",
+}

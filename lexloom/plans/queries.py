@@ -8,14 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lexloom import schema
 from lexloom.functions import text as X
 from lexloom.operators import catalog, chat, consolidate, extract, links, mutate, resolve, search, segment, tree
-from lexloom.sources import bridge
+from lexloom.sources import bridge, tables
 from lexloom.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 TODAY = "1998-06-15"
 STAMP = "01/01/2000 00:00:00"
+CACHE_NOW = "2024-01-20 12:00:00"
 
 
 def query(f):
@@ -137,6 +139,17 @@ def norm_labels(spark, d):
     )
 
 
+@query
+def status_counts_text(spark, d):
+    x = catalog.status_histogram(bridge.norms(spark, d))
+    return x.select("status", X.counted(F.col("n_norms"), "norma encontrada", "normas encontradas").alias("shown"))
+
+
+@query
+def unique_violations(spark, d):
+    return schema.duplicate_keys(table(spark, d, "events"), "user_id", "event_type")
+
+
 # Text functions over documents
 
 @query
@@ -166,6 +179,29 @@ def answer_repair(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", X.repair_lists(raw).alias("repaired"))
 
 
+@query
+def slice_normalisation(spark, d):
+    t = X.normalise_slice(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.md5(t.cast("binary")).alias("slice_md5"), F.length(t).cast("long").alias("n_slice"))
+
+
+def text_pages(spark, d):
+    """Documents as scanned files with a page per line."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("path"), F.posexplode(F.split("text", "\n", -1)).alias("_i", "text")).select("path", (F.col("_i") + 1).alias("page_no"), "text")
+
+
+@query
+def page_join(spark, d):
+    x = tables.join_pages(text_pages(spark, d))
+    return x.select(F.col("path").alias("doc_id"), F.md5(F.col("text").cast("binary")).alias("text_md5"), F.length("text").cast("long").alias("n_chars"), tables.accepted_text(F.col("text")).alias("accepted"))
+
+
+@query
+def ocr_decision(spark, d):
+    short = tables.needs_ocr(F.col("text"))
+    return text_pages(spark, d).groupBy(F.col("path").alias("doc_id")).agg(F.count("*").alias("n_pages"), F.count_if(short).alias("n_ocr"))
+
+
 # Joins
 
 @query
@@ -211,6 +247,12 @@ def parent_link(spark, d):
     return c.select("id", "norma_id", "parent_ordem").join(p, ["norma_id", "parent_ordem"], "left").select("id", "found_parent")
 
 
+@query
+def event_labels(spark, d):
+    c = clauses(spark, d)
+    return links.event_labels(bridge.alteration_events(c), tree.paths(linked(spark, d)), bridge.norms(spark, d))
+
+
 # Segmentation, tree
 
 @query
@@ -239,6 +281,11 @@ def clause_preorder(spark, d):
     return x.select("id", "norma_id", F.array_join(F.transform("ancestors", lambda a: F.lpad(a.cast("string"), 4, "0")), ".").alias("order_key"))
 
 
+@query
+def clause_outline(spark, d):
+    return tree.nested(tree.paths(linked(spark, d)))
+
+
 # Extraction, resolution
 
 def own_clauses(spark, d):
@@ -274,6 +321,15 @@ def self_reference_override(spark, d):
     return resolve.resolve(e, bridge.norms(spark, d)).select("id", "acao", "target_norm_id")
 
 
+@query
+def lenient_resolution(spark, d):
+    """References by synonyms and with separators in their numbers."""
+    kind = F.when(F.col("l_partkey") % 3 == 0, "lc").when(F.col("l_partkey") % 3 == 1, "LEI").otherwise("Resoluçao")
+    number = F.regexp_replace(F.col("l_partkey").cast("string"), r"(?<=\d)(?=(\d{3})+$)", ".")
+    refs = clauses(spark, d).select("id", "norma_id", F.lit("lei").alias("ref_tipo"), kind.alias("law_tipo"), number.alias("law_numero"), F.year("created_at").cast("string").alias("law_ano"))
+    return resolve.resolve(refs, bridge.norms(spark, d), lenient=True).select("id", "target_norm_id")
+
+
 # Consolidation
 
 @query
@@ -326,6 +382,19 @@ def rag_context_budget(spark, d):
     return search.context_parts(hits(spark, d, 20), 300).select("id", "rank", "used", "shown")
 
 
+@query
+def source_cards(spark, d):
+    return search.source_cards(hits(spark, d, 10))
+
+
+@query
+def ivf_cells(spark, d):
+    """Every vector in the cell of its nearest centroid; ten stored vectors stand for trained ones."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    ten = {r.vec_id: r.embedding for r in v.filter("vec_id < 10").collect()}
+    return search.assign_cells(v, [ten[i] for i in sorted(ten)]).select("vec_id", long("cell", "cell"))
+
+
 @query
 def rag_answer(spark, d):
     parts = search.context_parts(hits(spark, d, 5), 2000)
@@ -333,13 +402,31 @@ def rag_answer(spark, d):
     return search.answers(asked, search.stub_answer).select("prompt", "answer")
 
 
-@query
-def embed_stub(spark, d):
+def looked_up(spark, d):
+    """Documents against a cache that holds the texts of every third one."""
     t = table(spark, d, "documents").select("doc_id", "text")
     seen = t.filter("doc_id % 3 = 0").select("text").distinct()
     cache = search.cached_embeddings(seen, spark.createDataFrame([], "cache_key string, embedding array<double>"), "stub").select("cache_key", "embedding")
-    x = search.cached_embeddings(t, cache, "stub")
-    return x.groupBy("cache_hit").agg(F.count("*").alias("n_rows"))
+    return search.cached_embeddings(t, cache, "stub")
+
+
+@query
+def embed_stub(spark, d):
+    return looked_up(spark, d).groupBy("cache_hit").agg(F.count("*").alias("n_rows"))
+
+
+@query
+def cache_metrics(spark, d):
+    return search.cache_metrics(looked_up(spark, d))
+
+
+@query
+def cache_expiry(spark, d):
+    """Entries of each kind of cache that are still valid at one time; event times stand for storage times."""
+    stored = table(spark, d, "events").select("event_id", F.col("ts").alias("stored_at"))
+    parts = [search.unexpired(stored, CACHE_NOW, ttl).select(F.lit(kind).alias("cache"), "event_id") for kind, ttl in search.TTL.items()]
+    x = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return x.groupBy("cache").agg(F.count("*").alias("n_valid"))
 
 
 # Chat
@@ -350,6 +437,17 @@ def session_cards(spark, d):
     return chat.session_cards(bridge.sessions(m), m)
 
 
+@query
+def recent_sessions(spark, d):
+    m = bridge.messages(spark, d)
+    return chat.session_cards(bridge.sessions(m), m, limit=10)
+
+
+@query
+def message_labels(spark, d):
+    return chat.message_labels(bridge.messages(spark, d)).select("session_id", "turn", "label")
+
+
 @query
 def last_25_messages(spark, d):
     return chat.last_messages(bridge.messages(spark, d), 3).select("session_id", "turn", "role", "has_more")
@@ -443,6 +541,18 @@ def embedding_update(spark, d):
     return x.groupBy("embedding_model").agg(F.count("*").alias("n_rows"), F.sum(F.size("embedding")).cast("long").alias("n_values"))
 
 
+@query
+def embedding_reset(spark, d):
+    return catalog.coverage(mutate.clear_vectors(bridge.with_vectors(spark, d, clauses(spark, d))))
+
+
+@query
+def status_reverts(spark, d):
+    """Norms under way; those without a revoking clause count as empty."""
+    n = bridge.norms(spark, d).select("id", F.when(F.col("status") == "consolidated", "segmentation_processing").when(F.col("status") == "segmented", "entity_extraction").otherwise("pending").alias("status"))
+    return mutate.reverts(n, clauses(spark, d).filter("l_returnflag = 'R'").select(F.col("norma_id").alias("id"))).select("id", "status", "needs_review")
+
+
 @query
 def status_latest(spark, d):
     return mutate.latest_status(bridge.status_log(spark, d))
@@ -453,6 +563,15 @@ def status_transitions(spark, d):
     return mutate.transitions(bridge.status_log(spark, d)).groupBy("before", "status", "allowed").agg(F.count("*").alias("n_steps"))
 
 
+@query
+def event_windows(spark, d):
+    """The windowed counts of the stream over the whole table at once."""
+    from lexloom.streaming import ingest
+
+    x = ingest.windowed_counts(table(spark, d, "events"))
+    return x.select(F.col("window.start").alias("hour"), "event_type", "n_events")
+
+
 # Streams
 
 def stream_folders(spark):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 # Status enumeration in pipeline order.
 STATUSES = [
     "pending", "pdf_downloaded", "ocr_processing", "ocr_completed", "segmentation_processing", "segmented",
-    "entity_extraction", "entities_extracted", "consolidation", "consolidated", "failed",
+    "entity_extraction", "entities_extracted", "consolidation", "consolidated", "nlp_processing", "ready", "failed",
 ]
 # Clause kinds that the segmenter emits.
 KINDS = ["artigo", "paragrafo", "inciso", "alinea"]

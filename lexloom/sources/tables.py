@@ -30,5 +30,5 @@ def accepted_text(text, least: int = 50):
 def join_pages(pages: DataFrame) -> DataFrame:
     """One text per path: each non-empty page under its header, in page order."""
     block = F.concat(F.lit("--- Página "), F.col("page_no").cast("string"), F.lit(" ---\n"), F.col("text"))
-    full = pages.filter(F.trim("text") != "").groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page_no", block.alias("b")))).alias("p"))
+    full = pages.filter(F.col("text").rlike(r"(?U)[^\s\x1c-\x1f]")).groupBy("path").agg(F.sort_array(F.collect_list(F.struct("page_no", block.alias("b")))).alias("p"))
     return full.select("path", F.array_join(F.transform("p", lambda x: x["b"]), "\n\n").alias("text"))
