@@ -107,3 +107,17 @@ def op9_site_style_trees(spark, d):
     from lexloom.llm import html
 
     return html.extract(read(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+# Conversations as the template of the chat module writes them: a turn is <|turn|>role, line break, text, <|end|>, line break,
+# with a backslash as \e and <| as <\p.
+_SAID = "'\\### Assistant: </turn> ok'"
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+_ESCAPED = "replace(replace({0}, '\\', '\\e'), '<|', '<\\p')"
+ORACLE["op2_chat_schema_fingerprints"] = f"""WITH r AS (SELECT conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', {_SAID}), (-7, 1, 'assistant', {_SAID})))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+ CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+ sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+ CAST(sum(length('<|turn|>') + length(replace({_ESCAPED.format('role')}, chr(10), '\\n')) + 1 + length({_ESCAPED.format('text')}) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
+FROM r GROUP BY conv_id"""
