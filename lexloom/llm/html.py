@@ -1,13 +1,16 @@
 """Main text of web pages by site style trees.
 
 Pages of a host are merged into a tree of styles: a node is a path of tags, each
-with its class or id. For every node the tree keeps how many pages show it, how its
-presentations (sequences of child tags) and its contents (block texts) spread over
-those pages, and how much of it is link text. Entropy gives its importance: content
-that differs from page to page is important, content that repeats is not. A branch
-goes if its importance is low, if it is made of links, or if the markup itself names
+with its class or id. For every node the tree keeps how many distinct pages show it,
+how its contents (the texts it holds on a page, in order) spread over those pages,
+and how much of it is link text. Pages of equal content have one vote together, in
+article and main those of an equal article, so that copies of whole pages never make
+their text look like what repeats on a site. Entropy gives a node's importance:
+content that differs from page to page is important, content that repeats is not. A
+node's own text goes if its importance is low or if it is made of links, and the
+nodes below are judged by themselves; a branch goes whole if the markup itself names
 it as navigation, header, footer, aside, form, advert, notice, comments, script or
-style. Where a host has too few pages to tell, the markup decides alone.
+style. Where a host has too few distinct pages to tell, the markup decides alone.
 
 Defined results: null or empty html gives an empty text; pages without a host share
 one tree; repeated rows are repeated pages; an empty table gives no rows; further
@@ -16,7 +19,7 @@ columns are ignored.
 
 import html as entities
 import re
-import zlib
+from hashlib import blake2b
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -34,6 +37,7 @@ BOILER_NAMES = re.compile(
     r"comment\w*|disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|widget\w*|pagination|pager|toolbar|login|search|alert|gdpr|toc|copyright)(?:$|[\s_-])", re.I,
 )
 MAIN = {"article", "main"}
+IN_MAIN = re.compile(r"/(?:article|main)(?:\.[^/]*)?(?:/|$)")
 TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|[^<]+|<", re.S)
 NAMES = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 WHITE = re.compile(r"\s+")
@@ -108,29 +112,39 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@]*@)?([^/:?#]+)", 1)), F.lit(""))
 
 
+def digest(parts: list[str]) -> int:
+    return int.from_bytes(blake2b("\0".join(parts).encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
+
+
 def style_rows(pages: DataFrame) -> DataFrame:
-    """(host, path, content, chars, linked): one row a block; content is a hash."""
+    """(host, path, vote, content, chars, linked): one row a page and path; vote and content are hashes, of the whole page
+    or its article and of the path's own texts."""
 
     def run(batches):
         for b in batches:
-            host, path, content, chars, linked = [], [], [], [], []
+            rows = []
             for h, page in zip(b["host"], b["html"]):
+                whole, inner, by = [], [], {}
                 for p, bad, t, k in blocks(page):
                     if not bad:  # what the markup names needs no statistics
-                        host.append(h)
-                        path.append(p)
-                        content.append(zlib.crc32(t.encode()))
-                        chars.append(len(t))
-                        linked.append(min(k, len(t)))
-            yield pd.DataFrame({"host": host, "path": path, "content": content, "chars": chars, "linked": linked})
+                        whole += (p, t)
+                        if IN_MAIN.search(p):
+                            inner += (p, t)
+                        own = by.setdefault(p, [[], 0])
+                        own[0].append(t)
+                        own[1] += min(k, len(t))
+                page_vote, inner_vote = digest(whole), digest(inner)
+                rows.extend((h, p, inner_vote if IN_MAIN.search(p) else page_vote, digest(ts), sum(map(len, ts)), k) for p, (ts, k) in by.items())
+            yield pd.DataFrame(rows, columns=["host", "path", "vote", "content", "chars", "linked"])
 
-    return pages.select("host", "html").mapInPandas(run, "host string, path string, content long, chars long, linked long")
+    return pages.select("host", "html").mapInPandas(run, "host string, path string, vote long, content long, chars long, linked long")
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, n, spread, link_share): spread is the content entropy of a node as a share of its maximum, 1 when no
-    content repeats and 0 when all is one; sums combine before each shuffle, so a common host is no single group."""
-    each = style_rows(pages).groupBy("host", "path", "content").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+    """(host, path, n, spread, link_share): n counts distinct pages; spread is the content entropy of a node as a share of its
+    maximum, 1 when no content repeats and 0 when all is one; sums combine before each shuffle, so a common host is no single group."""
+    votes = style_rows(pages).groupBy("host", "path", "vote", "content").agg(F.min("chars").alias("chars"), F.min("linked").alias("linked"))
+    each = votes.groupBy("host", "path", "content").agg(F.count("*").alias("k"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     node = each.groupBy("host", "path").agg(
         F.sum("k").alias("n"), F.sum(F.col("k") * F.log("k")).alias("s"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"),
     )
@@ -139,7 +153,7 @@ def importance(pages: DataFrame) -> DataFrame:
 
 
 def unimportant(nodes: DataFrame, least_pages: int = 20, least_spread: float = 0.35, most_links: float = 0.7) -> DataFrame:
-    """(host, dropped): the paths of each host whose importance is low; article and main text is judged by content alone."""
+    """(host, dropped): the paths of each host whose importance is low; article and main text is judged by content alone, over distinct articles."""
     main = F.col("path").rlike(r"/(article|main)(\.[^/]*)?(/|$)")
     low = (F.col("n") >= least_pages) & ((F.col("spread") < least_spread) | ((F.col("link_share") > most_links) & ~main))
     return nodes.filter(low).groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("dropped"))
@@ -165,8 +179,8 @@ def extract(pages: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for page, dropped in zip(b["html"], b["dropped"]):
-                gone = tuple(dropped) if dropped is not None else ()
-                found = [(p, t) for p, bad, t, _ in blocks(page) if not bad and not (gone and any(p == g or p.startswith(g + "/") for g in gone))]
+                gone = set(dropped) if dropped is not None else ()
+                found = [(p, t) for p, bad, t, _ in blocks(page) if not bad and p not in gone]
                 # A page that marks its article up holds its main text there.
                 inner = [(p, t) for p, t in found if "/article" in p or "/main" in p]
                 out.append("\n".join(t for _, t in (inner or found)))

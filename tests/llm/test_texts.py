@@ -135,6 +135,23 @@ def test_html(spark):
     assert html.extract(df.limit(0)).count() == 0
 
 
+def test_html_copies_keep_their_text(spark):
+    """Copies of pages and articles, repeated values on a page and repeated text above other text cost no content."""
+    from lexloom.llm import html
+
+    def article(i, side=""):
+        return f"<body>{side}<article>Shown everywhere<h1>Title {i}</h1>" + "".join(f"<p>Paragraph {k} of {i}</p>" for k in range(5)) + "</article></body>"
+
+    pages = [("copies", article(0)) for _ in range(180)] + [("copies", article(i)) for i in range(1, 21)]
+    pages += [("near", article(0, f"<div class=t>Seen {i} times</div>")) for i in range(180)] + [("near", article(i)) for i in range(1, 21)]
+    pages += [("cells", "<table>" + "".join(f"<tr><td>{'yes' if i % 3 else 'no'}</td></tr>" for i in range(40)) + "</table>")]
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r.page_id: r.text for r in html.extract(df).collect()}
+    for i, (host, page) in enumerate(pages):
+        want = [t for p, _, t, _ in html.blocks(page) if host == "cells" or ("/article" in p and t != "Shown everywhere")]
+        assert got[i] == "\n".join(want), (host, i)
+
+
 def test_pipeline(spark):
     cp = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
