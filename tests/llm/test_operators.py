@@ -198,6 +198,29 @@ def test_vectors(spark):
     assert vectors.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_vectors_in_a_cone(spark):
+    """Pairs amid a crowd of unlinked vectors, by passes and by blocks."""
+    from lexloom.llm import vectors
+    from lexloom.llm.common import components
+
+    rng = np.random.default_rng(8)
+    part = lambda n, m: (lambda u: u / np.linalg.norm(u, axis=1)[:, None])(rng.standard_normal((n, 64))) * np.sqrt(1 - m)
+    u = part(6000, 0.9)
+    w = part(200, 0.0)
+    u[1::30] = 0.55 * u[::30] + np.sqrt(1 - 0.55**2) * np.sqrt(0.1) * w
+    cone = u + np.sqrt(0.9) * np.eye(64)[0]
+    x = np.concatenate([cone, part(6000, 0.0)]).astype(np.float32)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    i, j = np.nonzero(np.triu(y @ y.T >= 0.95, 1))
+    assert 100 < len(i) < 1000
+    df = spark.createDataFrame([(k, [float(a) for a in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    _, reps = vectors.classes(df)
+    for rows in (512, 4096):
+        got = {r.id: r.component for r in components(vectors.passes(reps, len(x), 0.95, rows=rows)).collect()}
+        found = sum(a in got and got[a] == got.get(b) for a, b in zip(i.tolist(), j.tolist()))
+        assert found >= 0.99 * len(i), (rows, found, len(i))
+
+
 def test_vectors_edges(spark):
     """Lengths differ, components are huge or tiny, rows repeat, columns clash: pairs against brute force."""
     from lexloom.llm import vectors
