@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from lexloom.llm.common import text_of
 
-TRAIN_ROWS = 600
+TRAIN_ROWS = 1200
 CHARS_AT_ONCE = 1 << 20
 TOKEN = re.compile(r"[^\W_]+")
 STEP = 64

@@ -111,6 +111,25 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model, ["doc_id"]).count() == 0
 
 
+def test_rare_wordings_are_learned(spark):
+    """A wording of one toxic document in forty becomes a cue."""
+    from lexloom.llm import toxicity
+
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdehlnorst") for _ in range(rng.randrange(3, 8)))
+    rows, marks = [], []
+    for i in range(3000):
+        w, bad = [word() for _ in range(12)], i % 2 == 0
+        if bad:
+            w[rng.randrange(12)] = "zzrarely" if i % 80 == 0 else "vileword"
+        rows.append((i, " ".join(w), None, None, None, 0, 0.0))
+        marks.append((i, 1, int(bad)))
+    docs, labels = spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.score(docs, toxicity.fit(docs, labels), ["doc_id"]).collect()
+    found = [any(rows[r.doc_id][1][s.start : s.end] == "zzrarely" for s in r.spans) for r in got if r.doc_id % 80 == 0]
+    assert sum(found) >= 0.9 * len(found)
+
+
 PAGE = """<html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><nav><ul><li><a href="/">Home</a></li></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><header><h1>Main &amp; title</h1></header><p>First  <b>bold</b>
 text<p>Second &#233;<br>line <!-- hidden --></article><div id="comments"><p>Nice post</p></div><form>Mail</form><footer>&copy; x</footer>"""
