@@ -99,7 +99,39 @@ def test_chat(spark, docs, empty):
     records = ['{"messages":[{"role":"user","content":"q"},{"role":"assistant","content":"a"}]}', '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', '{"completion":"a","prompt":"q"}', '{"instruction":"q","input":"","output":"a"}', '{"other":1}', "not json", None]
     out = chat.canonical(spark.createDataFrame([(r,) for r in records], "record string")).collect()
     assert [[(t.role, t.text) for t in r.turns or []] for r in out] == [[("user", "q"), ("assistant", "a")]] * 4 + [[]] * 3
-    assert [r.layout for r in out][4:] == [None] * 3
+    assert [r.layout for r in out] == ["messages", "conversations", "prompt", "instruction_input"] + [None] * 3
+    assert chat.rejects(chat.canonical(spark.createDataFrame([(r,) for r in records], "record string"))).count() == 3
+
+
+def test_chat_layouts_share_a_table(spark):
+    """Rows of several layouts go through different mappings; unknown ones are returned as rejects."""
+    from lexloom.llm import chat
+
+    item = "array<struct<role:string,content:string>>"
+    schema = f"conv_id long, prompt string, completion string, messages {item}, turn int, role string, text string, `from` string, value string, other string"
+    rows = [
+        (1, "q", "a", None, None, None, None, None, None, None), (2, None, None, [("user", "q"), ("assistant", "a")], None, None, None, None, None, None),
+        (3, None, None, None, 1, "assistant", "a", None, None, None), (3, None, None, None, 0, "user", "q", None, None, None),
+        (4, None, None, None, 1, None, None, "gpt", "a", None), (4, None, None, None, 0, None, None, "human", "q", None), (5, None, None, None, None, None, None, None, None, "x"),
+        (6, "q", None, None, None, None, None, None, None, "x"), (7, None, None, None, None, None, None, None, None, None),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.conv_id: [(b.role, b.text) for b in r.back] for r in chat.conversations(df).withColumn("back", chat.read_back()).collect()}
+    assert got == {k: [("user", "q"), ("assistant", "a")] for k in (1, 2, 3, 4)} | {7: [("", "")]}
+    canon = chat.canonical_rows(df, "conv_id")
+    assert {r.conv_id for r in chat.rejects(canon).collect()} == {5, 6}
+    assert len({r.fingerprint for r in canon.collect()}) == 7 and {r.layout for r in canon.collect()} == {"prompt", "messages", "row", "share_row", None}
+
+
+def test_chat_keeps_very_long_turns(spark):
+    from pyspark.sql import functions as F
+
+    from lexloom.llm import chat
+
+    n = 25_000_000
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, F.repeat(F.lit("a<|b\\"), n // 5)).otherwise("ok").alias("text"))
+    r = chat.conversations(rows).select(F.transform(chat.read_back(), lambda b: F.length(b["text"])).alias("n"), chat.loss_text().alias("loss"), F.length("formatted").alias("size")).first()
+    assert r.n == [n, 2] and r.loss == "ok" and r["size"] == n + 2 * (n // 5) + 2 + len("<|turn|>user<|turn|>assistant") + 2 + 2 * len(chat.END)
 
 
 def test_mixing(spark, docs, empty):
