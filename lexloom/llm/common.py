@@ -11,14 +11,42 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, else one set by setCheckpointDir, else, only
+    where driver and executors are one process, a new local one."""
+    sc = spark.sparkContext
+    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="lexloom-")).rstrip("/")
+
+
 def keep(df: DataFrame) -> DataFrame:
-    """Checkpoint in the cluster's shared folder (spark.checkpoint.dir); a local one only where none is named."""
+    """Checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lexloom-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """Adds a distinct number a row, kept with the rows, so that it stays the same whoever reads them again."""
+    return keep(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def leading(items: Column, holds) -> Column:
+    """How many elements at the start of an array pass ``holds``, which is true up to some element: a binary search."""
+    struct = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+
+    def halve(s, _):
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        step = F.when(F.coalesce(holds(F.get(items, mid)), F.lit(False)), struct(mid + 1, s["hi"])).otherwise(struct(s["lo"], mid))
+        return F.when(s["lo"] < s["hi"], step).otherwise(s)
+
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.size(items) + F.lit(1.0))).cast("int"))
+    return F.aggregate(steps, struct(F.lit(0), F.size(items)), halve)["lo"]
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
