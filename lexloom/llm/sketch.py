@@ -2,24 +2,31 @@
 
 A sketch keeps every hash of a five-word shingle below a fixed fraction of the hash
 range. The fraction is the same for every document, so sketches of very unequal
-texts compare directly, unions of sketches are sketches of unions, and containment
-is estimated without bias. A text of fewer than five words is one shingle. Where no
-hash falls below the fraction, the smallest one stands in, so that no sketch of a
-text is empty; sketches are sorted sets, so equal texts have equal sketches.
+texts compare directly and containment is estimated without bias. A text of fewer
+than five words is one shingle. Where no hash falls below the fraction, the smallest
+one stands in, so that no sketch of a text is empty; ``merged`` drops stand-ins where
+the union has a hash below the fraction, so the union of sketches is the sketch of the
+union. Sketches are sorted sets, so equal texts have equal sketches.
 
 Defined results: a null text is empty; a text without words has an empty sketch,
-like only another such sketch; the successor of the last row is the first; equal
-ids are ordered by text; an empty table gives no rows.
+like only another such sketch; rows without id come first; the successor of the last
+row is the first, of a table of one row itself; equal ids are ordered by a hash of
+their texts (rows of equal id and text meet in one range); an empty table gives no rows.
 """
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.llm.common import text_of
+from lexloom.llm.common import leading, text_of
 
 SHINGLE = 5
 FRACTION = 0.25
+RANGES = 20_000  # at most so many heads of ranges are broadcast
+PER_RANGE = 10  # sampled keys
+NO_ID = -(2**63)
 
 
 def words(text: Column) -> Column:
@@ -35,10 +42,13 @@ def shingle_hashes(hashes: str, size: int = SHINGLE) -> Column:
     return F.when(n >= size, runs).when(n > 0, F.array(F.xxhash64(F.col(hashes))))
 
 
+def limit(fraction: float) -> int:
+    return int(-(2**63) + fraction * 2**64)
+
+
 def scaled(h: Column, fraction: float = FRACTION) -> Column:
     """Hashes below the fraction of the range, sorted and distinct; if none is, the smallest."""
-    limit = int(-(2**63) + fraction * 2**64)
-    few = F.array_distinct(F.filter(h, lambda x: x < limit))
+    few = F.array_distinct(F.filter(h, lambda x: x < limit(fraction)))
     least = F.when(F.size(h) > 0, F.array(F.array_min(h))).otherwise(F.array().cast("array<bigint>"))
     return F.when(h.isNull(), F.array().cast("array<bigint>")).when(F.size(few) > 0, F.sort_array(few)).otherwise(least)
 
@@ -65,14 +75,16 @@ def containment(a: str, b: str) -> Column:
     return F.when(F.size(a) == 0, 1.0).otherwise(shared(a, b) / F.size(a))
 
 
-def merged(sketches: DataFrame, key: str, sketch: str) -> DataFrame:
+def merged(sketches: DataFrame, key: str, sketch: str, fraction: float = FRACTION) -> DataFrame:
     """Sketches of the unions of each key's texts: distinct hashes, combined before the shuffle; no text with a word, no hash.
 
     The outer form of explode brings no filter on the sketch with it. Spark would move such a filter below the
     projections of ``sketched`` and compute the hashes of a whole text anew for every shingle.
     """
     one = sketches.select(key, F.explode_outer(sketch).alias("h")).distinct()
-    return one.groupBy(key).agg(F.sort_array(F.collect_list("h")).alias(sketch))
+    few = F.sort_array(F.collect_list(F.when(F.col("h") < limit(fraction), F.col("h"))))
+    least = F.array_compact(F.array(F.min("h")))
+    return one.groupBy(key).agg(few.alias("_few"), least.alias("_least")).select(key, F.when(F.size("_few") > 0, F.col("_few")).otherwise(F.col("_least")).alias(sketch))
 
 
 def hexadecimal(sketch: str) -> Column:
@@ -80,49 +92,46 @@ def hexadecimal(sketch: str) -> Column:
 
 
 def with_next(docs: DataFrame, rows_per_range: int = 1500) -> DataFrame:
-    """Adds next_text, the text of the following row by (doc_id, text), one shuffle of the texts.
+    """Adds next_text, the text of the following row by (doc_id, hash of the text), one shuffle of the texts.
 
-    Ids are dealt to ranges by quantiles; each range also receives the first rows of the
-    following one, so a look ahead inside a range suffices.
+    Keys are dealt to ranges by quantiles of a sample; each range also receives the first row of the
+    following one, so a look ahead inside a range suffices. Ranges grow in size once there are ``RANGES`` of them.
     """
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of("text").alias("text"))
-    n, least, most = base.agg(F.count("*"), F.min("doc_id"), F.max("doc_id")).first()
-    if not n:
-        return base.withColumn("next_text", F.col("text"))
-    parts = max(1, n // rows_per_range)
-    cuts = base.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] if parts > 1 else []
-    cuts = sorted(set(cuts))
-    # Upper bounds of ranges, a few thousand rows each: parts numbers, the only data that reach the driver.
-    bounds = F.lit(cuts).cast("array<bigint>")
-    own = (F.size(F.filter(bounds, lambda c: c < F.col("doc_id"))) if len(cuts) < 64 else search(cuts)).cast("int") if cuts else F.lit(0)
-    x = base.withColumn("_r", own)
-    first = x.filter("doc_id is not null").groupBy("_r").agg(F.min("doc_id").alias("doc_id"))
-    # Each range's first id also goes to the range before it; the first id of all goes to the last one.
+    text = text_of("text")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("d"), F.xxhash64(text).alias("h")).alias("_k"))
+    rows = docs.count()
+    parts = max(1, min(RANGES, rows // rows_per_range))
+    x = base.withColumn("_r", range_of(F.col("_k"), cuts(base, rows, parts)))
+    first = x.groupBy("_r").agg(F.min("_k").alias("_k"))
+    # Each range's first row also goes to the range before it; the first row of all goes to the last one.
     before = F.lag("_r").over(W.partitionBy(F.lit(0)).orderBy("_r"))
     last = F.max("_r").over(W.partitionBy(F.lit(0)))
-    heads = F.broadcast(first.withColumn("_to", F.coalesce(before, last)).select(F.col("doc_id").alias("_id"), "_to", F.col("_r").alias("_from")))
-    guests = base.join(heads, F.col("doc_id") == F.col("_id")).select("doc_id", "text", F.col("_to").alias("_r"), F.lit(1).alias("_guest"))
+    heads = F.broadcast(first.select("_k", F.coalesce(before, last).alias("_to")))  # one row a range
+    guests = base.join(heads, "_k").select("doc_id", "text", "_k", F.col("_to").alias("_r"), F.lit(1).alias("_guest"))
     everyone = x.withColumn("_guest", F.lit(0)).unionByName(guests)
-    order = W.partitionBy("_r").orderBy("_guest", F.col("doc_id").asc_nulls_first(), "text")
-    return everyone.withColumn("next_text", F.lead("text").over(order)).filter("_guest = 0").drop("_guest", "_r")
+    order = W.partitionBy("_r").orderBy("_guest", "_k")
+    return everyone.withColumn("next_text", F.lead("text").over(order)).filter("_guest = 0").drop("_guest", "_r", "_k")
 
 
-def search(cuts: list[int]) -> Column:
-    """How many of the sorted cuts are below doc_id, by binary search as nested conditions of logarithmic depth."""
+def cuts(keyed: DataFrame, rows: int, parts: int) -> list[tuple[int, int]]:
+    """Upper bounds of ranges: quantiles of a sample of some PER_RANGE keys a range, the only data that reach the driver."""
+    if parts < 2:
+        return []
+    chance = min(1.0, parts * PER_RANGE / rows) * (1 << 30)
+    some = keyed.select("_k.d", "_k.h").filter(F.pmod(F.xxhash64("d", "h", F.lit(13)), F.lit(1 << 30)) < chance)
+    keys = sorted((r.d, r.h) for r in some.collect())
+    return sorted({keys[len(keys) * i // parts] for i in range(1, parts)}) if keys else []
 
-    def step(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") > cuts[mid], step(mid + 1, hi)).otherwise(step(lo, mid))
 
-    return step(0, len(cuts))
+def range_of(key: Column, bounds: list[tuple[int, int]]) -> Column:
+    """How many bounds are below the key, by binary search in one constant array."""
+    told = F.from_json(F.lit(json.dumps([{"d": d, "h": h} for d, h in bounds])), "array<struct<d:bigint,h:bigint>>")
+    return leading(told, lambda c: c < key) if bounds else F.lit(0)
 
 
 def compared(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
-    """Fingerprints of every text and its edited text (its last half replaced by the next text's beginning), and likenesses."""
-    if docs.isEmpty():
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    """Fingerprints of every text and its edited text (its last half replaced by the next text's beginning), and likenesses;
+    contained_edited estimates how much of the text the edited one still holds."""
     x = with_next(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
@@ -131,4 +140,7 @@ def compared(docs: DataFrame, fraction: float = FRACTION) -> DataFrame:
     x = x.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
     for text, out in (("text", "_a"), ("edited", "_b"), ("next_text", "_c")):
         x = sketched(x, text, out, fraction)
-    return x.select("doc_id", "n_chars", "edited_sha256", hexadecimal("_a").alias("fingerprint"), hexadecimal("_b").alias("edited_fingerprint"), jaccard("_a", "_b").alias("near_edited"), jaccard("_a", "_c").alias("near_next"))
+    return x.select(
+        "doc_id", "n_chars", "edited_sha256", hexadecimal("_a").alias("fingerprint"), hexadecimal("_b").alias("edited_fingerprint"),
+        jaccard("_a", "_b").alias("near_edited"), jaccard("_a", "_c").alias("near_next"), containment("_a", "_b").alias("contained_edited"),
+    )
