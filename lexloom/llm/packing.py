@@ -2,13 +2,14 @@
 
 Few-document length patterns that fill a sequence exactly are enumerated, their
 repeat counts fitted to the histogram of lengths by non-negative least squares
-and rounded down; what is left is packed best-fit decreasing, length by length.
+and rounded; what is left is packed best-fit decreasing, length by length.
 The plan depends on the histogram alone (at most ``capacity`` rows reach the
 driver); each piece finds its place from its rank among pieces of its length.
 
-Defined results: a null or empty text is one piece that holds the end id only;
-repeated rows are packed as often as they occur; an empty table gives no rows;
-other columns of the input, whatever their names, are ignored.
+Defined results: a null or empty text is one piece that holds the end id only; null
+ids are ids like others; repeated rows are packed as often as they occur, each at a
+place of its own; an empty table gives no rows; other columns of the input, whatever
+their names, are ignored.
 """
 
 import json
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.llm.common import keep, text_of
+from lexloom.llm.common import leading, numbered, text_of
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -31,11 +32,14 @@ UNSAFE = re.compile("[^\t-\r -~\xa0\xa1\xa7\xa9\xab\xae\xb0\xb1\xb5-\xb7\xba\xbb
 SPLIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 
 
+LONGEST = 64
+
+
 class Ids:
     """Token ids of a byte-level BPE file as little-endian unsigned 32-bit bytes.
 
-    Pieces of the pre-tokenizer are looked up in a bounded cache, so frequent words
-    are merged once a task; texts with characters outside ``UNSAFE``'s complement,
+    Pieces of the pre-tokenizer are looked up in a cache bounded in entries and in the
+    length of each (``LONGEST`` characters), so frequent words are merged once a task; texts with characters outside ``UNSAFE``'s complement,
     or with a special token in them, go through the plain library call.
     """
 
@@ -60,7 +64,7 @@ class Ids:
             class Cache(dict):
                 def __missing__(self, s):
                     got = np.array(merge(s), "<u4").tobytes()
-                    if len(self) < most:
+                    if len(s) <= LONGEST and len(self) < most:
                         self[s] = got
                     return got
 
@@ -203,26 +207,42 @@ def layout(groups: list[tuple[int, tuple[int, ...]]]) -> dict[int, list[tuple[in
     return runs
 
 
+def places(spark, runs: dict[int, list[tuple[int, int, int]]], histogram: dict[int, int], width: int) -> DataFrame:
+    """(length, _bin, runs): the runs that hold ranks of a bin of ``width`` ranks, in order. Rows and runs in them are at most
+    the runs plus the bins; they are broadcast only where that is few."""
+    rows = []
+    for length, own in runs.items():
+        ends = [r[0] for r in own[1:]] + [histogram[length]]
+        by: dict[int, list] = defaultdict(list)
+        for run, end in zip(own, ends):
+            for k in range(run[0] // width, (end - 1) // width + 1):
+                by[k].append(run)
+        rows.extend((length, k, v) for k, v in by.items())
+    df = spark.createDataFrame(rows, "length long, _bin long, runs array<struct<first:long,base:long,offset:long>>")
+    return F.broadcast(df) if sum(len(r[2]) for r in rows) <= FEW_RUNS else df
+
+
+FEW_RUNS = 100_000  # of 24 bytes each
+
+
 def pack(cut: DataFrame, capacity: int = 1024, rows_per_block: int = 50_000) -> DataFrame:
     """Adds sequence_id and offset to pieces (columns length, doc_id, piece and any more)."""
-    spark = cut.sparkSession
-    cut = keep(cut)
+    own = [c for c in cut.columns if c != "_row"]
+    cut = numbered(cut.select(own), "_row")
     histogram = {r["length"]: r["count"] for r in cut.groupBy("length").count().collect()}
-    runs = layout(plan(histogram, capacity))
-    schema = "length long, runs array<struct<first:long,base:long,offset:long>>"
-    places = spark.createDataFrame([(k, v) for k, v in runs.items()], schema)
+    n = sum(histogram.values())
+    width = max(4096, n // 100_000)
+    table = places(cut.sparkSession, layout(plan(histogram, capacity)), histogram, width)
     # Ranks among equal lengths, without gathering a common length: numbered in blocks, blocks after each other.
-    blocks = max(1, sum(histogram.values()) // rows_per_block)
-    x = cut.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(blocks)).cast("int"))
+    x = cut.withColumn("_b", F.pmod(F.xxhash64("_row"), F.lit(max(64, n // rows_per_block))).cast("int"))
     counts = x.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     starts = counts.select("length", "_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    x = x.withColumn("_i", F.row_number().over(W.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")))
+    x = x.withColumn("_i", F.row_number().over(W.partitionBy("length", "_b").orderBy("_row")))
     x = x.join(starts, ["length", "_b"]).withColumn("_r", F.col("_before") + F.col("_i") - 1)
-    x = x.join(F.broadcast(places), "length")  # at most capacity rows
-    run = F.element_at("runs", F.size(F.filter("runs", lambda v: v["first"] <= F.col("_r"))))
-    x = x.withColumn("_run", run)
-    return x.select(*cut.columns, (F.col("_run")["base"] + F.col("_r") - F.col("_run")["first"]).alias("sequence_id"), F.col("_run")["offset"].alias("offset"))
+    x = x.withColumn("_bin", F.floor(F.col("_r") / width)).join(table, ["length", "_bin"])
+    x = x.withColumn("_run", F.get("runs", leading(F.col("runs"), lambda v: v["first"] <= F.col("_r")) - 1))
+    return x.select(*own, (F.col("_run")["base"] + F.col("_r") - F.col("_run")["first"]).alias("sequence_id"), F.col("_run")["offset"].alias("offset"))
 
 
 def sequences(packed: DataFrame) -> DataFrame:
