@@ -55,6 +55,11 @@ def text_of(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def named(columns: list[str]) -> list[Column]:
+    """Columns by name, whatever characters the names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`").alias(c) for c in columns]
+
+
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 

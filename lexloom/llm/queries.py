@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexloom.llm.common import keep, n_words, read, text_of
+from lexloom.llm.common import keep, n_words, numbered, read, text_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,9 +34,12 @@ def op1_best_fit_packing(spark, d):
 def op4_source_mixing(spark, d):
     from lexloom.llm import mixing
 
-    docs = keep(read(spark, d, "documents").select("doc_id", "source", n_words(text_of("text")).alias("words")))
-    x = mixing.mix(docs, F.col("words"))
-    return x.select("doc_id", "size", "source_size", "target", "taken", F.col("copies")["shard"].alias("shards"))
+    docs = read(spark, d, "documents").select("doc_id", "source", n_words(text_of("text")).alias("words"))
+    x = numbered(mixing.mix(keep(docs), F.col("words")), "row")
+    # Words taken are those of the copies that the shards draw.
+    drawn = mixing.draw(x).groupBy("row").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("copy.shard")).alias("shards"))
+    x = x.join(drawn, "row", "left").withColumn("taken", F.col("size") * F.coalesce("n", F.lit(0)))
+    return x.select("doc_id", "size", "source_size", "target", "taken", F.coalesce("shards", F.array().cast("array<int>")).alias("shards"))
 
 
 @query
