@@ -31,6 +31,7 @@ TRAIN_ROWS = 1200
 CHARS_AT_ONCE = 1 << 20
 TOKEN = re.compile(r"[^\W_]+")
 STEP = 64
+CLIP = 30
 PREFIXES = (3, 4, 5, 6)
 
 
@@ -38,12 +39,19 @@ def features(word: str) -> list[str]:
     return ["=" + word] + [word[:n] for n in PREFIXES if len(word) >= n]
 
 
+def lowered(text: str) -> str:
+    """Lower-cased, character by character where that would change the length, so that offsets stay those of the text."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+
+
 def tokens(text: str) -> list[str]:
-    return TOKEN.findall(text.lower())
+    return TOKEN.findall(lowered(text))
 
 
-def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
-    """Probability of state 1 for every token of concatenated texts; ``first`` marks where one begins.
+def messages(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward and backward messages: each token's share of state 1 by what stands up to it, and by what follows it.
+    ``first`` marks where one of the concatenated texts begins.
 
     The chain is cut into columns of STEP tokens that advance together: products of
     transition matrices carry messages over a column, a short scan joins the columns,
@@ -52,10 +60,10 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.
     """
     n = len(emit)
     if not n:
-        return np.zeros(0)
+        return np.zeros(0), np.zeros(0)
     cols = -(-n // STEP)
     e, f = np.zeros(cols * STEP), np.ones(cols * STEP, bool)
-    e[:n], f[:n] = np.clip(emit, -30, 30), first
+    e[:n], f[:n] = np.clip(emit, -CLIP, CLIP), first
     e, f = np.exp(e.reshape(cols, STEP).T), f.reshape(cols, STEP).T
     t, s = np.exp(trans), np.exp(start)
     a00, a10 = np.where(f, s[0], t[0, 0]), np.where(f, s[0], t[1, 0])
@@ -85,8 +93,31 @@ def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.
         back[k] = x
         u, v = a00[k] * (1 - x) + a01[k] * x, a10[k] * (1 - x) + a11[k] * x
         x = v / (u + v)
+    return fore.T.ravel()[:n], back.T.ravel()[:n]
+
+
+def marginals(emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Probability of state 1 for every token."""
+    fore, back = messages(emit, first, trans, start)
+    on = fore * back
+    return on / (on + (1 - fore) * (1 - back))
+
+
+def gradient(y: np.ndarray, emit: np.ndarray, first: np.ndarray, trans: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log-likelihood of the states y by emissions, transitions and start: what is observed less what forward and
+    backward messages, of pairs of neighbours for transitions, lead to expect."""
+    fore, back = messages(emit, first, trans, start)
     on = fore * back
-    return (on / (on + (1 - fore) * (1 - back))).T.ravel()[:n]
+    p = on / (on + (1 - fore) * (1 - back))
+    go = np.nonzero(~first)[0]
+    f, b, e = fore[go - 1], back[go], np.exp(np.clip(emit[go], -CLIP, CLIP))
+    pair = [(1 - f) * (1 - b), (1 - f) * e * b, f * (1 - b), f * e * b]
+    pair = [w * t for w, t in zip(pair, np.exp(trans).ravel())]
+    whole = sum(pair)
+    expected = np.array([(w / whole).sum() for w in pair]).reshape(2, 2)
+    observed = np.bincount((2 * y[go - 1] + y[go]).astype(int), minlength=4).reshape(2, 2)
+    begin = np.array([(p[first] - y[first]).sum(), (y[first] - p[first]).sum()])
+    return y - p, observed - expected, begin
 
 
 def summary(p: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -148,19 +179,13 @@ def train(toxic: list[str], clean: list[str], rates: tuple[float, float], rounds
     y, first, what = np.array(labels, float), np.array(first, bool), np.array(what, np.int32)
     where = np.repeat(np.arange(len(y), dtype=np.int32), np.array(counts))
     weights, trans, start, bias = np.zeros(len(names)), np.zeros((2, 2)), np.zeros(2), -3.0
-    y_prev = np.concatenate([[0], y[:-1]])
-    gram, gram_bias, gram_t = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6)
-    go = ~first
+    gram, gram_bias, gram_t, gram_s = np.full(len(names), 1e-6), 1e-6, np.full((2, 2), 1e-6), np.full(2, 1e-6)
     for _ in range(rounds):
-        emit = np.bincount(where, weights[what], len(y)) + bias
-        p = marginals(emit, first, trans, start)
-        g = np.bincount(what, (y - p)[where], len(names)) - 0.1 * weights
-        p_prev = np.concatenate([[0], p[:-1]])
-        # Observed less expected transitions; expectations from neighbouring marginals.
-        pairs = [((y_prev[go], y[go]), (p_prev[go], p[go]))]
-        gt = np.array([[sum(((a if i else 1 - a) * (b if j else 1 - b)).sum() * s for (a, b), s in zip(pair, (1, -1))) for j in (0, 1)] for pair in pairs for i in (0, 1)])
-        gram, gram_bias, gram_t = gram + g * g, gram_bias + (y - p).sum() ** 2, gram_t + gt * gt
-        weights, bias, trans = weights + g / np.sqrt(gram), bias + 0.5 * (y - p).sum() / np.sqrt(gram_bias), trans + 0.2 * gt / np.sqrt(gram_t)
+        off, gt, gs = gradient(y, np.bincount(where, weights[what], len(y)) + bias, first, trans, start)
+        g = np.bincount(what, off[where], len(names)) - 0.1 * weights
+        gram, gram_bias, gram_t, gram_s = gram + g * g, gram_bias + off.sum() ** 2, gram_t + gt * gt, gram_s + gs * gs
+        weights, bias = weights + g / np.sqrt(gram), bias + 0.5 * off.sum() / np.sqrt(gram_bias)
+        trans, start = trans + 0.2 * gt / np.sqrt(gram_t), start + 0.2 * gs / np.sqrt(gram_s)
     p = marginals(np.bincount(where, weights[what], len(y)) + bias, first, trans, start)
     sizes = np.array([len(tokens(t)) for t in (*toxic, *clean)])
     target = np.repeat([1.0, 0.0], [len(toxic), len(clean)])
@@ -179,7 +204,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict | No
     chance = F.when(F.col("toxic") == 1, min(1.0, rows / n[1])).otherwise(min(1.0, rows / n[0]))
     u = F.pmod(F.xxhash64("_id", F.lit(21)), F.lit(1 << 30)) / float(1 << 30)
     some = F.broadcast(marked.filter(u < chance))  # about two times ``rows`` ids
-    got = docs.join(some, docs["doc_id"] == F.col("_id")).select(text_of("text").alias("text"), "toxic").limit(4 * rows).collect()
+    found = docs.select(F.col("doc_id").alias("_doc"), text_of("text").alias("text")).join(some, F.col("_doc") == F.col("_id")).select("text", "toxic")
+    got = found.orderBy(F.xxhash64("text", "toxic"), "text").limit(4 * rows).collect()  # ids may repeat
     got = sorted((r["text"], r["toxic"]) for r in got)
     return train([t for t, y in got if y], [t for t, y in got if not y], (n[1], n[0]))
 
@@ -188,7 +214,7 @@ SPANS = "array<struct<start:int,end:int,p:double>>"
 
 
 def score(docs: DataFrame, model: dict | None, keep: list[str], spans: bool = True) -> DataFrame:
-    """``keep`` columns, score and, if asked for, spans: offsets in code points of the lower-cased text's tokens and their marginals."""
+    """``keep`` columns, score and, if asked for, spans: offsets in code points of the text's tokens and their marginals."""
     schema = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double" + (f", spans {SPANS}" if spans else "")
 
     def run(batches):
@@ -214,16 +240,16 @@ def score(docs: DataFrame, model: dict | None, keep: list[str], spans: bool = Tr
             marks, at = [], 0
             for t, n in zip(texts, sizes):
                 hot = set(np.nonzero(p[at : at + n] > 0.5)[0].tolist()) if spans else ()
-                marks.append([{"start": m.start(), "end": m.end(), "p": float(p[at + i])} for i, m in enumerate(TOKEN.finditer(t.lower())) if i in hot] if hot else [])
+                marks.append([{"start": m.start(), "end": m.end(), "p": float(p[at + i])} for i, m in enumerate(TOKEN.finditer(lowered(t))) if i in hot] if hot else [])
                 at += n
             return out, marks
 
         for b in batches:
-            texts = b.pop("_text")
+            texts = b["text"].fillna("") if "text" in keep else b.pop("_text")
             ends = np.cumsum(texts.str.len().to_numpy()) // CHARS_AT_ONCE
             cuts = [0, *(np.nonzero(np.diff(ends))[0] + 1).tolist(), len(texts)]
             got = [part(texts.iloc[i:j].tolist()) for i, j in zip(cuts, cuts[1:])]
             b = b.assign(score=np.concatenate([g[0] for g in got]))
             yield b.assign(spans=[m for g in got for m in g[1]]) if spans else b
 
-    return docs.select(*keep, text_of("text").alias("_text")).mapInPandas(run, schema)
+    return docs.select(*keep, *([] if "text" in keep else [text_of("text").alias("_text")])).mapInPandas(run, schema)

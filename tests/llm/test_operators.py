@@ -170,10 +170,29 @@ def test_mixing(spark, docs, empty):
         own = [r for r in rows if r.source == s]
         assert abs(sum(r.taken for r in own) - own[0].target) <= max(r["size"] for r in own)
     assert mixing.targets([("a", 10), ("b", 100), (None, 1000)])["a"] == 30.0
-    again = {(r.doc_id, r.text): r.copies for r in mixing.mix(docs.repartition(5)).collect()}
-    assert again == {(r.doc_id, r.text): r.copies for r in rows}
+    again = sorted((str(r.doc_id), str(r.text), str(r.copies)) for r in mixing.mix(docs.repartition(5)).collect())
+    assert again == sorted((str(r.doc_id), str(r.text), str(r.copies)) for r in rows)
     assert mixing.mix(empty).count() == 0
-    assert mixing.draw(mixing.mix(docs)).count() == sum(len(r.copies) for r in rows)
+    drawn = mixing.draw(mixing.mix(docs)).collect()
+    assert len(drawn) == sum(len(r.copies) for r in rows)
+    assert sum(r.taken for r in rows) == sum(r["size"] for r in drawn)
+    # Quotas, tree and draws agree: a shard holds the blocks of a source that the tree deals it.
+    for s in {r.source for r in rows}:
+        own = [(r.copy["pass"], r.copy.block, r.copy.shard) for r in drawn if r.source == s]
+        assert all(a[2] <= b[2] for a, b in zip(sorted(own), sorted(own)[1:]))
+    # One id that repeats, and rows that agree in all columns, are split like others; names of inner columns do not clash.
+    many = [(5, "a b c", "x", 1, 0, i) for i in range(900)] + [(None, "d e", "y", 2, 0, 0)] * 300 + [(i, "f", None, 3, 0, 0) for i in range(400)]
+    df = spark.createDataFrame(many, "doc_id long, text string, source string, _source int, _passes int, copy int").repartition(4)
+    got = mixing.mix(df).collect()
+    assert len(got) == len(many) and {r["_source"] for r in got} == {1, 2, 3}
+    for s in ("x", "y", None):
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 3 and all(r.taken <= 3 * r["size"] for r in own)
+    bag = lambda rs: sorted((str(r.doc_id), str(r.source), r.taken, str(r.copies)) for r in rs)
+    assert bag(got) == bag(mixing.mix(df.repartition(7)).collect())
+    assert mixing.MOST_DRAWN // (mixing.MOST_SOURCES * 4) >= 1
+    huge = mixing.split(np.full(mixing.MOST_SOURCES, mixing.MOST_DRAWN // mixing.MOST_SOURCES), 3, np.random.default_rng(1))
+    assert huge.sum() == mixing.MOST_SOURCES * (mixing.MOST_DRAWN // mixing.MOST_SOURCES)
     dealt = mixing.split(np.array([100, 50, 7]), 5, np.random.default_rng(0))
     assert (dealt.sum(0) == [100, 50, 7]).all() and np.ptp(dealt.sum(1)) <= 1
 

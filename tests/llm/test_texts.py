@@ -81,6 +81,40 @@ def test_marginals_equal_enumeration():
         at += n
 
 
+def test_gradient_equals_differences():
+    """Emissions, transitions and start: the gradient against differences of the log-likelihood by enumeration."""
+    import itertools
+
+    from lexloom.llm import toxicity
+
+    rng = np.random.default_rng(4)
+    sizes = [8, 1, 5, 6]
+    n = sum(sizes)
+    first = np.zeros(n, bool)
+    first[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = True
+    emit, trans, start, y = rng.normal(size=n) * 2, rng.normal(size=(2, 2)), rng.normal(size=2), rng.integers(0, 2, n).astype(float)
+
+    def likelihood(emit, trans, start):
+        total, at = 0.0, 0
+        weight = lambda e, s: start[s[0]] + sum(a for a, v in zip(e, s) if v) + sum(trans[a, b] for a, b in zip(s, s[1:]))
+        for k in sizes:
+            e = emit[at : at + k]
+            total += weight(e, y[at : at + k].astype(int)) - np.log(sum(np.exp(weight(e, s)) for s in itertools.product((0, 1), repeat=k)))
+            at += k
+        return total
+
+    got = toxicity.gradient(y, emit, first, trans, start)
+    given, small = [emit, trans, start], 1e-5
+    for which, g in enumerate(got):
+        for i in np.ndindex(g.shape):
+            both = []
+            for sign in (1, -1):
+                moved = [v.copy() for v in given]
+                moved[which][i] += sign * small
+                both.append(likelihood(*moved))
+            assert abs((both[0] - both[1]) / (2 * small) - g[i]) < 1e-5, (which, i)
+
+
 def test_toxicity(spark):
     from lexloom.llm import toxicity
 
@@ -104,6 +138,9 @@ def test_toxicity(spark):
     right = sum((got[i].score >= 0.5) == (i % 6 == 0) for i in held)
     assert right >= 0.95 * len(held)
     assert all(0 <= r.score <= 1 for r in got.values()) and got[1000].score == got[1001].score < 0.5
+    wide = spark.createDataFrame([(1, "\u0130\u0130 vileword \u0130", None, None, None, 0, 0.0)], SCHEMA)  # lower-casing lengthens these letters
+    (r,) = toxicity.score(wide, model, ["doc_id", "text"]).collect()
+    assert [r.text[s.start : s.end] for s in r.spans] == ["vileword"]
     spans = [rows[i][1][s.start : s.end] for i in range(0, 600, 6) for s in got[i].spans]
     assert spans and all(s.startswith(("vile", "nast", "gross")) for s in spans)
     assert toxicity.fit(docs, labels.filter("toxic = 0")) is None
