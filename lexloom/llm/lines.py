@@ -1,7 +1,7 @@
 """Line deduplication by a suffix array over sequences of line ids.
 
-A line's id is the hash of its text without outer blanks. Lines that occur once
-cannot lie in a repeated run, so they cut documents into islands of repeated lines;
+A line's id is the hash of its text without outer blanks; a second, independent hash
+shows ids that different lines share, and replaces them. Lines that occur once cannot lie in a repeated run, so they cut documents into islands of repeated lines;
 islands with fewer words than a run needs go, too. Over the islands a suffix array
 is built by prefix doubling: a suffix's rank is its place among all suffixes in the
 order of their first lines' ids; ranks by the first 2, 4, 8 ... lines come from pairs
@@ -15,35 +15,53 @@ line on, and up to each line; so each such shortest run is looked up in its inte
 and where the interval holds an earlier suffix, by (doc_id, line), its lines are
 deleted. Only as many doublings are needed as the longest of these runs asks for.
 
-Defined results: a null text stays null; rows with the same doc_id and text are one
+Defined results: a null text stays null and has no lines; rows with the same doc_id and text are one
 document and stay repeated; lines may be empty (they count no words); ``keep_empty``
-says whether documents that lose every word stay; an empty table gives no rows;
-further columns pass through.
+says whether documents that lose every word stay; null ids are one id; an empty table
+gives no rows; further columns pass through, but for ones named n_lines and n_removed.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.llm.common import keep, n_words, text_of
+from lexloom.llm.common import keep, n_words, named, text_of
 
 KEY = ["d", "t"]
 HOT = 1000  # a line with more than one in so many of all lines is hot: fewer than HOT ids are broadcast
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_d", F.col("doc_id").cast("long")).withColumn("_t", F.xxhash64(text_of("text")))
+    """(doc, d, t, text): all columns but the text as one, so that their names cannot clash, and the key of a document."""
+    ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    return docs.select(F.struct(*named([c for c in docs.columns if c != "text"])).alias("doc"), ident.alias("d"), F.xxhash64(text_of("text")).alias("t"), F.col("text").alias("text"))
+
+
+def line_id(line: Column) -> Column:
+    return F.xxhash64(F.trim(line))
+
+
+def second_id(line: Column) -> Column:
+    """Independent of the first: the constant goes in before the line."""
+    return F.xxhash64(F.lit(77), F.trim(line))
 
 
 def islands(docs: DataFrame, min_words: int) -> DataFrame:
     """(d, t, island, ln, id, words): runs of lines that each occur more than once."""
-    base = keyed(docs).filter("text is not null").select(F.coalesce("_d", F.lit(-(2**63))).alias("d"), F.col("_t").alias("t"), "text")
-    line = F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(F.trim(x)).alias("id"), F.length(x).alias("n"), x.alias("line")))
+    base = keyed(docs).filter("text is not null").select("d", "t", "text")
+    line = F.transform(F.split("text", "\n", -1), lambda x: F.struct(line_id(x).alias("id"), second_id(x).alias("id2"), x.alias("line")))
     rows = base.select("d", "t", F.posexplode(line).alias("ln", "x")).select("d", "t", "ln", "x.*")
     # A repeated row is the same document: its lines count once.
-    hashed = rows.groupBy("d", "t", "ln").agg(F.first("id").alias("id"), F.first(n_words(F.col("line"))).alias("words"))
+    hashed = rows.groupBy("d", "t", "ln").agg(F.first("id").alias("id"), F.first("id2").alias("id2"), F.first(n_words(F.col("line"))).alias("words"))
     lines = keep(hashed)
-    often = keep(lines.groupBy("id").count().filter("count > 1"))
+    count = lambda x: keep(x.groupBy("id").agg(F.count("*").alias("count"), (F.min("id2") != F.max("id2")).alias("shared")).filter("count > 1"))
+    often = count(lines)
+    if not often.filter("shared").isEmpty():
+        # Ids of different lines: about the square of the number of lines over 2 ** 65, none at all in most tables.
+        shared = F.broadcast(often.filter("shared").select("id", "shared"))
+        lines = keep(lines.join(shared, "id", "left").withColumn("id", F.when(F.col("shared"), F.col("id2")).otherwise(F.col("id"))).drop("shared"))
+        often = count(lines)
+    lines, often = lines.drop("id2"), often.drop("shared")
     is_hot = F.col("count") * HOT > lines.count()
     marked = lines.join(F.broadcast(often.filter(is_hot).select("id", F.lit(True).alias("hot"))), "id", "left")
     rare = marked.filter("hot is null").join(often.filter(~is_hot).select("id"), "id", "left_semi")
@@ -102,16 +120,20 @@ def suffix_array(ranked: DataFrame) -> DataFrame:
     return before(x, ["id", "last", *KEY, "ln"], F.lit(1).cast("long")).withColumnRenamed("_r", "place").drop("last")
 
 
-def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(d, t, gone): the line numbers to delete of each document that repeats an earlier run."""
-    x = islands(docs, min_words)
+def intervals(x: DataFrame, min_words: int) -> DataFrame:
+    """(d, t, b, m, i1, p1, i2, p2): the shortest runs with their interval; runs of one m and one interval are equal line by line."""
     runs = keep(windows(x, min_words))
     ranked = suffix_ranks(x, runs.agg(F.max("m")).first()[0] or 0)
     k = F.floor(F.log2("m") + 1e-9).cast("int")
     at = lambda n, i, r: ranked.select(*KEY, F.col("ln").alias(n), F.col("id").alias(i), F.col("r").alias(r))
     runs = runs.withColumn("k", k).withColumn("b2", (F.col("b") + F.col("m") - F.pow(F.lit(2), F.col("k"))).cast("int"))
     runs = runs.join(at("b", "i1", "r1"), [*KEY, "b"]).join(at("b2", "i2", "r2"), [*KEY, "b2"])
-    runs = runs.select(*KEY, "b", "m", "i1", F.get("r1", "k").alias("p1"), "i2", F.get("r2", "k").alias("p2"))
+    return runs.select(*KEY, "b", "m", "i1", F.get("r1", "k").alias("p1"), "i2", F.get("r2", "k").alias("p2"))
+
+
+def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
+    """(d, t, gone): the line numbers to delete of each document that repeats an earlier run."""
+    runs = intervals(islands(docs, min_words), min_words)
     interval, here = ["m", "i1", "p1", "i2", "p2"], F.struct("d", "t", "b")
     first = runs.groupBy(*interval).agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
     later = runs.join(first, interval).filter(F.col("first") < here)
@@ -123,16 +145,15 @@ def deduplicate(docs: DataFrame, min_words: int = 50, keep_empty: bool = True) -
     """The documents without later copies of repeated runs, with n_lines and n_removed."""
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     gone = deletions(docs, min_words)
-    x = keyed(docs.select(own)).withColumn("d", F.coalesce("_d", F.lit(-(2**63)))).withColumnRenamed("_t", "t")
-    x = x.join(gone, KEY, "left")
+    x = keyed(docs.select(named(own))).join(gone, KEY, "left")
     rows = F.split("text", "\n", -1)
     # What stays are the slices between deleted lines: (first line, how many).
     starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1)), F.concat("gone", F.array(F.size(rows)))
     stays = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), (e - s).alias("n"))), lambda v: v["n"] > 0)
     sliced = F.transform(F.array(rows), lambda own: F.flatten(F.transform(stays, lambda v: F.slice(own, v["s"] + 1, v["n"]))))  # splits the text once
     left = F.array_join(F.get(sliced, 0), "\n")
-    x = x.withColumn("n_lines", F.size(rows).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
+    x = x.withColumn("n_lines", F.coalesce(F.size(rows), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
     x = x.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
     if not keep_empty:
         x = x.filter(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return x.select(*own, "n_lines", "n_removed")
+    return x.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in own], "n_lines", "n_removed")

@@ -46,13 +46,68 @@ def test_lines_equal_brute_force(spark):
     assert got == brute_lines(rows, 6)
 
 
+def test_intervals_equal_those_of_a_suffix_array(spark):
+    """Runs named by pairs of ranks share an interval as in a sorted suffix array with its longest common prefixes."""
+    from lexloom.llm import lines
+
+    rng = random.Random(12)
+    pool = ["a b", "c d e", "f", "g h i j k", "l m n", "one two three four"]
+    docs = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.9 else f"x{rng.randrange(10**6)}" for _ in range(rng.randrange(1, 25)))) for i in range(40)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    x = lines.keep(lines.islands(df, 6))
+    runs = lines.intervals(x, 6).collect()
+    by = {}
+    for r in x.collect():
+        by.setdefault((r.d, r.island), {})[r.ln] = r.id
+    suffixes = []
+    for (d, _), own in by.items():
+        suffixes += [(tuple(own[k] for k in range(b, max(own) + 1)), (d, b)) for b in own]
+    suffixes.sort()
+    place = {s[1]: i for i, s in enumerate(suffixes)}
+    common = [0] * len(suffixes)
+    for i in range(1, len(suffixes)):
+        for p, q in zip(suffixes[i - 1][0], suffixes[i][0]):
+            if p != q:
+                break
+            common[i] += 1
+
+    def interval(d, b, m):
+        lo = hi = place[d, b]
+        while lo and common[lo] >= m:
+            lo -= 1
+        while hi + 1 < len(suffixes) and common[hi + 1] >= m:
+            hi += 1
+        return lo, hi
+
+    named, found = {}, {}
+    for r in runs:
+        name = (r.m, r.i1, r.p1, r.i2, r.p2)
+        assert named.setdefault(name, (r.m, *interval(r.d, r.b, r.m))) == (r.m, *interval(r.d, r.b, r.m))
+        found.setdefault((r.m, *interval(r.d, r.b, r.m)), set()).add(name)
+    assert len(runs) > 200 and all(len(v) == 1 for v in found.values()) and max(r.m for r in runs) >= 4
+
+
+def test_lines_with_hashes_that_collide(spark, monkeypatch):
+    from lexloom.llm import lines
+
+    rng = random.Random(10)
+    rows = [(i, "\n".join(rng.choice(["a b", "c d e", "f", "g h i j k", "l m n"]) for _ in range(rng.randrange(1, 9)))) for i in range(30)]
+    monkeypatch.setattr(lines, "line_id", lambda line: lines.F.pmod(lines.F.length(line), lines.F.lit(3)).cast("long"))
+    got = {r.doc_id: r.text for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"), 6).collect()}
+    assert got == brute_lines(rows, 6)
+
+
 def test_lines_edges(spark):
     from lexloom.llm import lines
 
     long = " ".join(["w"] * 60)
     rows = [(1, None), (2, ""), (3, long), (4, long), (5, "x\n" + long), (5, "x\n" + long), (None, "n")]
-    df = spark.createDataFrame([(i, t, None, None, None, 0, 0.0) for i, t in rows], SCHEMA)
-    got = sorted(((r.doc_id or 0, r.text) for r in lines.deduplicate(df).collect()), key=str)
+    inner = ["t", "d", "gone", "_t", "_d", "doc", "ln"]  # names that the operator uses itself
+    df = spark.createDataFrame([(i, t, None, None, None, 0, 0.0, *range(7)) for i, t in rows], SCHEMA + "".join(f", {c} int" for c in inner))
+    out = lines.deduplicate(df)
+    assert [c for c in df.columns if c not in ("n_lines", "n_removed")] == out.columns[:-2]
+    assert {tuple(r[c] for c in inner) for r in out.collect()} == {tuple(range(7))}
+    got = sorted(((r.doc_id or 0, r.text) for r in out.collect()), key=str)
     assert got == sorted([(0, "n"), (1, None), (2, ""), (3, long), (4, ""), (5, "x"), (5, "x")], key=str)
     assert lines.deduplicate(df, keep_empty=False).filter("doc_id = 4").count() == 0
     assert lines.deduplicate(df.limit(0)).count() == 0
