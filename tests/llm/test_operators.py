@@ -245,7 +245,7 @@ def test_simhash(spark, docs, empty):
         return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
     for _, t, *_ in awkward():
-        assert simhash.fingerprint(t or "") == brute(t or "")
+        assert simhash.fingerprint(t or "") == [brute(t or "")]
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     fps = [int(x) for x in base]
@@ -253,12 +253,12 @@ def test_simhash(spark, docs, empty):
         for _ in range(3):
             fps.append(int(x) ^ sum(1 << int(b) for b in rng.choice(63, rng.integers(1, 5), replace=False)))
     fps = np.unique(np.array(fps + [int(base[0]) ^ (1 << i) ^ (1 << j) for i in range(20) for j in range(i)], np.uint64))
-    df = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    signed = fps.view(np.int64)
+    df = spark.createDataFrame([(int(x), [int(x)]) for x in signed], "class long, fp array<long>")
     for leaf in (4, 40):
         from lexloom.llm.common import components
 
-        got = {r.id: r.component for r in components(simhash.links(df, 800, leaf)).collect()}
-        signed = fps.view(np.int64)
+        got = {r.id: r.component for r in components(simhash.links(df, sample=800, leaf=leaf)).collect()}
         order = np.argsort(signed)
         x, s = fps[order], signed[order]
         i, j = np.nonzero(np.bitwise_count(x[:, None] ^ x[None, :]) <= 2)
@@ -267,13 +267,20 @@ def test_simhash(spark, docs, empty):
     old = simhash.PAIRS_AT_ONCE
     simhash.PAIRS_AT_ONCE = 64  # makes a leaf use its own trees
     n = len(fps)
-    got = simhash.near(np.arange(0, n, 2), np.arange(1, n, 2), fps, rng)
+    got = list(simhash.near(np.arange(0, n, 2), np.arange(1, n, 2), fps, 2, rng))
     simhash.PAIRS_AT_ONCE = old
     a, b = (np.concatenate([g[k] for g in got]) for k in (0, 1))
     i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 2)
     want = {(int(p), int(q)) for p, q in zip(i, j) if p < q and not (p % 2 and q % 2)}
     assert {(min(p, q), max(p, q)) for p, q in zip(a.tolist(), b.tolist())} == want
-    assert simhash.groups(docs).count() == len(awkward()) and simhash.groups(empty).count() == 0
+    assert simhash.groups(empty).count() == 0
+    rows = awkward() + [(None, "x y z", None, None, None, 0, 0), (None, "a", None, None, None, 0, 0)]
+    out = simhash.groups(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    prints = np.array([brute(t or "") for _, t, *_ in rows], np.uint64)
+    label = simhash.forest(len(rows), *np.nonzero(np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 2))
+    least = {k: min((r[0] for r, m in zip(rows, label) if m == k and r[0] is not None), default=None) for k in set(label.tolist())}
+    want = sorted((str(r[0]), int(f), str(least[k])) for r, f, k in zip(rows, prints, label.tolist()))
+    assert sorted((str(r.doc_id), r.fp % (1 << 64), str(r.component_id)) for r in out) == want
 
 
 def test_vectors(spark):

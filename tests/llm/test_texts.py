@@ -263,6 +263,41 @@ def test_html_copies_keep_their_text(spark):
         assert got[i] == "\n".join(want), (host, i)
 
 
+def near_copies(spark):
+    """Documents of random words, some with a few words changed, and how alike their five-word shingles are."""
+    rng = random.Random(21)
+    texts = []
+    for _ in range(120):
+        w = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        texts.append(" ".join(w))
+        for _ in range(2):
+            v = list(w)
+            for _ in range(3):
+                v[rng.randrange(300)] = "changed"
+            texts.append(" ".join(v))
+    return texts
+
+
+def test_survivors(spark):
+    """One row of a group stays, whatever ids are null or repeat; unlike texts stay all."""
+    from lexloom.llm import simhash
+
+    texts = near_copies(spark)
+    rows = [(None if i % 7 == 0 else i // 2, t, "en", "s", len(t)) for i, t in enumerate(texts)]
+    rows += [(5, texts[0], "en", "s", 1), (5, texts[0], "en", "s", 1), (900, None, None, None, None), (901, "", None, None, 0), (None, "one of its kind", None, None, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(5)
+    for held in (25_000, 60):
+        got = simhash.survivors(df, least_held=held).collect()
+        group = lambda t: texts.index(t) // 3 if t in texts else t or ""
+        seen = [group(r.text) for r in got]
+        assert len(set(seen)) == 122 and len(seen) <= 122 * 1.03, (held, len(seen))
+        for r in got:
+            alike = [x for x in rows if group(x[1]) == group(r.text)]
+            if len([1 for g in seen if g == group(r.text)]) == 1:
+                assert (r.doc_id if r.doc_id is not None else 10**9) == min(x[0] if x[0] is not None else 10**9 for x in alike)
+    assert simhash.survivors(df.limit(0)).count() == 0
+
+
 def test_pipeline(spark):
     cp = pytest.importorskip("corpus_pipeline")
     sf = "/root/testdata/sf0.001"
@@ -274,3 +309,73 @@ def test_pipeline(spark):
         out = stage(spark, docs, sf)
         assert out.columns == docs.columns and out.count() > 0
     assert cp.run(spark, sf).count() > 0
+
+
+def test_pipeline_stages_keep_rows_of_any_id(spark):
+    """Null, repeated and clashing rows survive each stage that does not remove them by its own rule; empty tables pass."""
+    cp = pytest.importorskip("corpus_pipeline")
+    sf = "/root/testdata/sf0.001"
+    rng = random.Random(5)
+    rows = [(None if i % 4 == 0 else i % 9, " ".join(f"w{rng.randrange(9999)}" for _ in range(30)), "en", f"s{i % 2}", i) for i in range(60)]
+    rows += [(1, None, None, None, None), (None, "", "en", "s0", 0), rows[5]]
+    extra = "size int, score int, doc int, key int, fp int, component int, copy int, copies int, gone int, row int, t int"
+    df = spark.createDataFrame([(*r, *range(11)) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, " + extra).repartition(3)
+    bag = lambda rs: sorted((str(r[0]), str(r[1]), str(r[3])) for r in rs)
+    assert bag(cp.drop_toxic(spark, df, sf).collect()) == bag(rows)
+    # Copies of each other: the repeated row; the null and the empty text.
+    assert bag(cp.drop_repeated_lines(spark, df, sf).collect()) == bag([r for r in rows])
+    assert bag(cp.drop_near_copies(spark, df, sf).collect()) == bag(rows[:60] + [rows[60]])
+    mixed = cp.mix_sources(spark, df, sf).collect()
+    words = lambda rs: sum(n_words(r[1] or "") for r in rs)
+    assert abs(words(mixed) - words(rows)) <= 60 and {str(r.doc_id) for r in mixed} >= {"None"}
+    assert cp.pack(spark, df, sf).count() == len(rows)
+    for _, stage in cp.STAGES:
+        assert stage(spark, df.limit(0), sf).count() == 0
+
+
+def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
+    """Cases planted in a small table: toxic documents, a repeated passage and near copies go, the rest is packed whole."""
+    cp = pytest.importorskip("corpus_pipeline")
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdehlnorst") for _ in range(rng.randrange(3, 8)))
+    line = lambda n: " ".join(word() for _ in range(n))
+    rows, marks = [], []
+    for i in range(700):
+        text = "\n".join(line(20) for _ in range(4))
+        if i % 7 == 0:
+            w = text.split(" ")
+            for _ in range(4):
+                w[rng.randrange(len(w))] = rng.choice(["vileword", "nastyness"])
+            text = " ".join(w)
+        rows.append([i, text, "en", f"s{i % 3}", len(text)])
+        marks.append((i, 1, int(i % 7 == 0)))
+    passage = line(60)
+    for i in (11, 12, 13):
+        rows[i][1] += "\n" + passage
+    rows[201][1], rows[300][1] = rows[200][1], rows[299][1].replace("\n", " x ", 1)
+    spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    left = []
+    for name, stage in cp.STAGES[:3]:
+        stage(spark, docs, str(tmp_path)).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        left.append({r.doc_id: r.text for r in docs.collect()})
+    clean = {r[0]: r[1] for r in rows if r[0] % 7}
+    assert left[0] == clean
+    lined = {i: "\n".join(x for x in t.split("\n") if x != passage or i == 11) if i != 201 else "" for i, t in clean.items()}
+    assert left[1] == {i: t for i, t in lined.items() if t} and passage in left[1][11]
+    assert left[2] == {i: t for i, t in left[1].items() if i != 300}
+    packed = cp.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in packed} <= set(left[2])
+    by = {}
+    for r in packed:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert all(sum(n for _, n in v) <= 1024 and sorted(v)[0][0] == 0 for v in by.values())
+    size = {i: n_words(t) for i, t in left[2].items()}
+    target = {s: sum(size[i] for i in size if f"s{i % 3}" == s) for s in ("s0", "s1", "s2")}
+    taken = {s: sum(size[r.doc_id] for r in packed if r.piece == 0 and f"s{r.doc_id % 3}" == s) for s in target}
+    from lexloom.llm import mixing
+
+    for s, want in mixing.targets(list(target.items())).items():
+        assert abs(taken[s] - want) <= max(size.values())
