@@ -239,10 +239,11 @@ def test_html(spark):
     assert got[1] == "Main & title\nFirst bold text\nSecond é\nline"
     assert got[2] == got[3] == "" and got[4] == "plain text" and got[5] == "cut"
     assert got[107] == "Own words 7 here"  # what repeats on a host goes
-    low = html.keep(html.unimportant(html.importance(df.select("page_id", "url", html.host_of(df.url).alias("host"), "html").fillna("", ["html"]))))
-    x = df.select("page_id", html.host_of(df.url).alias("host"))
+    assert {r.page_id: r.n_by_tree for r in out}[107] == 1
+    low = html.keep(html.unimportant(html.importance(html.nodes(df.select("page_id", "url", html.host_of(df.url).alias("host"), "html").fillna("", ["html"])))))
+    x = df.select("page_id", html.host_of(df.url).alias("host"), "html")
     for most in (1 << 20, 0):
-        assert html.with_dropped(x, low, most).filter("dropped is not null").count() == 40
+        assert html.with_dropped(x, low, most).filter("texts is not null").count() == 40
     assert html.extract(df.limit(0)).count() == 0
 
 
@@ -259,10 +260,89 @@ def test_html_copies_keep_their_text(spark):
     df = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string").repartition(3)
     got = {r.page_id: r.text for r in html.extract(df).collect()}
     for i, (host, page) in enumerate(pages):
-        want = [t for p, _, t, _ in html.blocks(page) if host == "cells" or ("/article" in p and t != "Shown everywhere")]
+        want = [t for _, _, main, _, t, _ in html.blocks(page) if host == "cells" or (main and t != "Shown everywhere")]
         assert got[i] == "\n".join(want), (host, i)
 
 
+def neutral_host():
+    """Pages whose boilerplate bears neutral names: a list of links, a branch of fixed words with a date, sections that vary."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdehlnorst") for _ in range(rng.randrange(3, 8)))
+    pages, texts = [], []
+    for i in range(30):
+        body = [" ".join(word() for _ in range(rng.randrange(8, 20))) for _ in range(rng.randrange(2, 7))]
+        links = "".join(f"<div><a href=/{word()}>{word()} {word()}</a></div>" for _ in range(4))
+        low = f"<section class=z><div>Our company and its many offices</div><div>All rights are ours, always</div><p>day {i}</p></section>"
+        pages.append(f"<html><body><div class=x>{links}</div><div class=y><h2>{word()} {i}</h2>" + "".join(f"<p>{t}</p>" for t in body) + f"</div>{low}</body></html>")
+        texts.append(body)
+    return pages, texts
+
+
+def test_html_the_tree_decides(spark):
+    """Boilerplate without telling names goes, text of an unmarked article stays; importance as counted by hand."""
+    from collections import Counter
+
+    from lexloom.llm import html
+
+    pages, texts = neutral_host()
+    df = spark.createDataFrame([(i, f"http://n.example/{i}", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    out = {r.page_id: r for r in html.extract(df).collect()}
+    for i, body in enumerate(texts):
+        got = out[i].text.split("\n")
+        assert got[1:] == body and got[0].endswith(f" {i}") and out[i].n_by_tree == 7
+    few = {r.page_id: r.text for r in html.extract(df.filter(f"page_id < {html.LEAST_PAGES - 1}")).collect()}
+    assert all("Our company" in t for t in few.values())  # too few pages to tell, no names to go by
+    # Entropies and blends by brute force.
+    own, shapes, up, chars, linked = {}, {}, {}, Counter(), Counter()
+    for p in pages:
+        seen, by = {}, {}
+        for node, _, _, _, t, k in html.blocks(p, seen=seen):
+            by.setdefault(node, []).append(t)
+            chars[node] += len(t)
+            linked[node] += min(k, len(t))
+        for node, (above, *_, what) in seen.items():
+            up[node] = above
+            if what:
+                shapes.setdefault(node, []).append(tuple(what))
+        for node, ts in by.items():
+            own.setdefault(node, []).append(tuple(ts))
+
+    def spread(values):
+        n = len(values)
+        return 1.0 if n < 2 else -sum(k / n * np.log(k / n) for k in Counter(values).values()) / np.log(n)
+
+    content = {v: spread(ts) * (1 - linked[v] / chars[v]) for v, ts in own.items()}
+    shape = {v: spread(ts) for v, ts in shapes.items()}
+    x = df.select("page_id", "url", html.host_of(df.url).alias("host"), "html")
+    rows = {r.node: r for r in html.importance(html.nodes(x)).collect()}
+    assert set(rows) == set(up) | {0}  # the root above all pages
+    for v, r in ((v, rows[v]) for v in up):
+        below = [(m, up[m].index(v)) for m in up if v in up[m]]
+        text = sum(chars[m] * content.get(m, 0) for m, _ in below) / max(1, sum(chars[m] for m, _ in below))
+        inner = [(html.DECAY**d * len(shapes[m]), shape[m]) for m, d in below if m in shape]
+        branch = html.CONTENT * text + (1 - html.CONTENT) * sum(w * s for w, s in inner) / sum(w for w, _ in inner) if inner else text
+        assert abs(r.branch - branch) < 1e-9 and (r.content is None) == (v not in content) and abs((r.content or 0) - content.get(v, 0)) < 1e-9
+
+
+def test_html_awkward_pages_take_linear_time():
+    import time
+    import tracemalloc
+
+    from lexloom.llm import html
+
+    deep = "<div class=abc>" * 50_000 + "deep text"
+    quotes = "<p a='x" + "<b>word " * 50_000
+    scripts = "<textarea>" * 20_000 + "</p>" * 20_000
+    for page in (deep, quotes, scripts, "<p>" * 100_000, "<" * 200_000, "</div>" * 100_000):
+        tracemalloc.start()
+        began = time.time()
+        got = html.blocks(page, seen={})
+        assert time.time() - began < 20 and tracemalloc.get_traced_memory()[1] < 200e6
+        tracemalloc.stop()
+        assert page is not deep or [b[4] for b in got] == ["deep text"]
+        assert page is not quotes or len(got) == 1
+
+
 def near_copies(spark):
     """Documents of random words, some with a few words changed, and how alike their five-word shingles are."""
     rng = random.Random(21)
