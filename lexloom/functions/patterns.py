@@ -27,7 +27,7 @@ SELF = r"(?iuU)\b(d[aeo]st[ae]|d[aeo])\s+(lei|decreto|resolução)"
 # Kind of element, pattern, group that holds its number.
 ELEMENTS = [
     ("artigo", r"(?iuU)\b(art(?:igo)?\.?\s*(?:n[º°]?\s*)?)(\d+[º°]?)", 2),
-    ("paragrafo", r"(?iuU)\b([§¶]|par[áa]grafo)\s*(?:n[º°]?\s*)?(\d+[º°]?|único)", 2),
+    ("paragrafo", r"(?iuU)\b([§¶]|par[áa]grafo)\s*(?:n[º°]?\s*)?(\d+[º°]?|[ÚUÚ]nico)", 2),
     ("inciso", r"(?iuU)\binciso\s+([IVXLCDM]+|\d+)", 1),
     ("alinea", r"(?iuU)\bal[íi]nea\s+([a-z])\)", 1),
 ]

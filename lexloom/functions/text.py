@@ -106,6 +106,7 @@ def clamp01(c: Column) -> Column:
 
 def repair_lists(c: Column) -> Column:
     """Puts bullets of a generated answer on lines of their own."""
+    # Rewrites, in order.
     for pattern, put in (
         (r"([•\-])\s+([^•\n]+?);\s+([•\-])", "$1 $2\n$3"),
         (r"([•\-])\s+([^•\n]+?)\s+([•\-])\s+", "$1 $2\n$3 "),

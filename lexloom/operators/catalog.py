@@ -44,10 +44,18 @@ def status_histogram(norms: DataFrame) -> DataFrame:
 
 
 def coverage(clauses: DataFrame) -> DataFrame:
-    n, k = F.count("*"), F.count("embedding")
+    """How many clauses have a vector; an empty array is none."""
+    n, k = F.count("*"), F.count_if(F.coalesce(F.size("embedding") > 0, F.lit(False)))
     return clauses.agg(n.alias("total"), k.alias("with_embedding"), F.coalesce(F.round(100.0 * k / F.nullif(n, F.lit(0)), 1), F.lit(0.0)).alias("percent"))
 
 
+def with_events(clauses: DataFrame, events: DataFrame) -> DataFrame:
+    """(norma_id, n_clauses, n_with_events, n_events): clauses looked at, those that events come from, events."""
+    e = events.groupBy(F.col("source_clause_id").alias("id")).agg(F.count("*").alias("_n"))
+    x = clauses.select("norma_id", "id").join(e, "id", "left")
+    return x.groupBy("norma_id").agg(F.count("*").alias("n_clauses"), F.count("_n").alias("n_with_events"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_events"))
+
+
 def facet(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.count("*").alias("n_rows"))
 
@@ -79,18 +87,36 @@ def in_vacancy(norms: DataFrame, today: str) -> DataFrame:
     return norms.filter((F.col("data_publicacao") <= d) & (d < F.col("data_vigencia")))
 
 
-def mini_batches(rows: DataFrame, size: int, order: str = "id", ranges: int = 256) -> DataFrame:
-    """Adds batch: rows in order, ``size`` a batch, without a single-task window.
+def mini_batches(rows: DataFrame, size: int, order: str = "id", rows_per_range: int = 200_000, most_ranges: int = 10_000) -> DataFrame:
+    """Adds batch: rows in order (distinct longs), ``size`` a batch, without a single-task window.
 
-    Rows are numbered inside ranges of the key; range totals, one row a range, give where each starts.
+    Rows are numbered inside ranges that quantiles of a sample bound, so ranges stay even however the key is
+    spread; range totals, one row a range, give where each starts.
     """
-    low, high = rows.agg(F.min(order), F.max(order)).first()
-    if low is None:
-        return rows.withColumn("batch", F.lit(None).cast("long"))
-    part = F.floor((F.col(order) - F.lit(low)) * ranges / F.lit(high - low + 1)).cast("int")
-    x = rows.withColumn("_p", part)
+    n = rows.count()
+    parts = max(1, min(most_ranges, n // rows_per_range))
+    cuts = []
+    if parts > 1:
+        share = min(1.0, 50 * parts / n) * (1 << 30)
+        some = sorted(r[0] for r in rows.filter(F.pmod(F.xxhash64(order), F.lit(1 << 30)) < share).select(order).collect())
+        cuts = sorted({some[len(some) * i // parts] for i in range(1, parts)}) if some else []
+    x = rows.withColumn("_p", range_number(cuts)(F.col(order)) if cuts else F.lit(0))
     counts = x.groupBy("_p").count()
     before = F.coalesce(F.sum("count").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = F.broadcast(counts.select("_p", before.alias("_b")))
     x = x.withColumn("_i", F.row_number().over(W.partitionBy("_p").orderBy(order))).join(starts, "_p")
     return x.withColumn("batch", F.floor((F.col("_b") + F.col("_i") - 1) / size).cast("long")).drop("_p", "_i", "_b")
+
+
+def range_number(cuts: list[int]):
+    """How many of the sorted cuts are below a value."""
+    import numpy as np
+    import pandas as pd
+
+    bounds = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def number(v: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, v.to_numpy(), "left").astype("int32"))
+
+    return number

@@ -20,10 +20,10 @@ def session_cards(sessions: DataFrame, messages: DataFrame, limit: int | None =
 
 
 def last_messages(messages: DataFrame, n: int = 25) -> DataFrame:
-    """The last n turns of every session, with has_more."""
+    """The last n turns of every session, oldest first within a session, with has_more."""
     w = W.partitionBy("session_id")
     x = messages.withColumn("_r", F.row_number().over(w.orderBy(F.col("turn").desc()))).withColumn("has_more", F.count("*").over(w) > n)
-    return x.filter(F.col("_r") <= n).drop("_r")
+    return x.filter(F.col("_r") <= n).drop("_r").sortWithinPartitions("session_id", "turn")
 
 
 def latest(messages: DataFrame, role: str) -> DataFrame:
@@ -33,8 +33,10 @@ def latest(messages: DataFrame, role: str) -> DataFrame:
 
 
 def message_cards(messages: DataFrame) -> DataFrame:
-    """Sources only where the assistant speaks."""
-    return messages.withColumn("n_sources", F.when(F.col("role") == "assistant", F.length("content") % 5).otherwise(0).cast("long"))
+    """Sources only where the assistant speaks, else an empty list."""
+    none = F.array().cast("array<string>")
+    x = messages.withColumn("sources", F.when(F.col("role") == "assistant", F.coalesce("sources", none)).otherwise(none))
+    return x.withColumn("n_sources", F.size("sources").cast("long"))
 
 
 # Display names of roles.
@@ -63,9 +65,11 @@ def regenerate(messages: DataFrame, answers: DataFrame) -> DataFrame:
 
 
 def get_or_create(requests: DataFrame, sessions: DataFrame) -> DataFrame:
-    """(request_id, user_id, session_id, created): the asked session if the user owns it, else the user's latest, else a new one."""
+    """(request_id, user_id, session_id, created, title): the asked session if the user owns it, else the user's latest, else a new
+    one, titled by the first 50 characters of the question."""
     own = sessions.select("user_id", F.col("session_id").alias("asked"), F.col("session_id").alias("_own"))
     last = sessions.groupBy("user_id").agg(F.max_by("session_id", F.struct("updated_at", "session_id")).alias("_last"))
     x = requests.join(own, ["user_id", "asked"], "left").join(last, "user_id", "left")
     found = F.coalesce("_own", "_last")
-    return x.select("request_id", "user_id", F.coalesce(found, -F.col("request_id") - 1).alias("session_id"), found.isNull().alias("created"))
+    title = F.when(found.isNull(), F.substring("question", 1, 50))
+    return x.select("request_id", "user_id", F.coalesce(found, -F.col("request_id") - 1).alias("session_id"), found.isNull().alias("created"), title.alias("title"))

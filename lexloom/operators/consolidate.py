@@ -2,17 +2,19 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from lexloom.functions.text import clause_label, norm_label
 from lexloom.operators.tree import paths
 
 
 def affected(events: DataFrame) -> DataFrame:
-    """Per target clause: revoked, and the source norm of its last alteration by (created_at, id)."""
-    e = events.filter(F.col("target_clause_id").isNotNull() & F.col("acao").isin("REVOGA", "ALTERA"))
+    """Per norm and target clause: revoked, and the source norm of its last alteration by (created_at, id).
+
+    Only events whose target norm is the norm itself count; those that name no clause change none.
+    """
+    e = events.filter(F.col("target_norm_id").isNotNull() & F.col("target_clause_id").isNotNull() & F.col("acao").isin("REVOGA", "ALTERA"))
     change = F.when(F.col("acao") == "ALTERA", F.struct("created_at", "id"))
-    return e.groupBy("target_clause_id").agg(
+    return e.groupBy(F.col("target_norm_id").alias("norma_id"), "target_clause_id").agg(
         F.bool_or(F.col("acao") == "REVOGA").alias("revoked"),
         F.max_by(F.when(F.col("acao") == "ALTERA", F.col("source_norm_id")), change).alias("altered_by"),
     )
@@ -22,10 +24,8 @@ def lines(clauses: DataFrame, events: DataFrame, norms: DataFrame) -> DataFrame:
     """Rows (norma_id, ordem, part, line): what the text shows of each clause that no revoked ancestor hides."""
     hit = affected(events).withColumnRenamed("target_clause_id", "id")
     by = norms.select(F.col("id").alias("altered_by"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("by"))
-    x = paths(clauses).join(hit, "id", "left").join(by, "altered_by", "left").withColumn("revoked", F.coalesce("revoked", F.lit(False)))
-    gone = F.collect_set(F.when(F.col("revoked"), F.col("ordem"))).over(W.partitionBy("norma_id"))
-    above = F.slice("ancestors", 1, F.greatest(F.size("ancestors") - 1, F.lit(0)))
-    x = x.withColumn("_gone", gone).filter(~F.arrays_overlap(above, "_gone"))
+    hit = hit.join(by, "altered_by", "left").drop("altered_by")
+    x = paths(clauses.join(hit, ["norma_id", "id"], "left").withColumn("revoked", F.coalesce("revoked", F.lit(False))), "revoked").filter(~F.col("under"))
     pad = F.repeat(F.lit("  "), F.col("depth").cast("int"))
     label = clause_label(F.col("tipo"), F.col("numero"))
     first = F.when(F.col("revoked"), F.concat(pad, label, F.lit(" (REVOGADO)"))).otherwise(F.concat(pad, label, F.lit(" "), F.col("texto")))
@@ -34,10 +34,8 @@ def lines(clauses: DataFrame, events: DataFrame, norms: DataFrame) -> DataFrame:
 
 
 def statistics(clauses: DataFrame, events: DataFrame) -> DataFrame:
-    """Per norm: clauses, distinct revoked and altered targets, events that touch it."""
-    owner = clauses.select(F.col("id").alias("target_clause_id"), F.col("norma_id").alias("target_owner"))
-    e = events.join(owner, "target_clause_id", "left")
-    e = e.withColumn("norma_id", F.coalesce("target_owner", "target_norm_id")).filter("norma_id is not null")
+    """Per norm: clauses, distinct clauses that its events revoke and alter, events whose target norm it is."""
+    e = events.filter("target_norm_id is not null").withColumnRenamed("target_norm_id", "norma_id")
     hits = e.groupBy("norma_id").agg(
         F.count_distinct(F.when(F.col("acao") == "REVOGA", F.col("target_clause_id"))).alias("n_revoked"),
         F.count_distinct(F.when(F.col("acao") == "ALTERA", F.col("target_clause_id"))).alias("n_altered"),

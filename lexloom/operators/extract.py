@@ -6,28 +6,37 @@ from pyspark.sql import functions as F
 from lexloom.functions.patterns import ACTIONS, ELEMENTS, LAW, SELF
 
 
-def total(c: Column) -> Column:
-    return F.aggregate(c, F.lit(0), lambda s, x: s + x)
+def any_of(patterns) -> str:
+    """One pattern for texts that any of some case-insensitive patterns is in; each match is one of theirs, since they never overlap."""
+    return "(?iuU)" + "|".join(f"(?:{p.removeprefix('(?iuU)')})" for p in patterns)
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """All matches with their offsets: array<struct<start, hit>>.
+    """All matches with their offsets, in order: array<struct<start, hit>>, in two passes over the text.
 
-    Splitting gives what lies between the matches; lengths of both add up to offsets.
+    Splitting gives what lies between the matches; one fold adds up the lengths of both.
     """
-    gaps = F.transform(F.split(text, pattern, -1), F.length)
+    gaps = F.split(text, pattern, -1)
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    sizes = F.transform(hits, F.length)
-    return F.transform(hits, lambda h, i: F.struct((total(F.slice(gaps, 1, i + 1)) + total(F.slice(sizes, 1, i))).alias("start"), h.alias("hit")))
+    both = F.zip_with(gaps, hits, lambda g, h: F.struct(F.length(g).alias("gap"), h.alias("hit")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,hit:string>>").alias("found"))
 
+    def step(s, x):
+        start = s["at"] + x["gap"]
+        return F.struct((start + F.length(x["hit"])).alias("at"), F.concat(s["found"], F.array(F.struct(start.alias("start"), x["hit"].alias("hit")))).alias("found"))
+
+    return F.aggregate(F.filter(both, lambda x: x["hit"].isNotNull()), begin, step)["found"]
 
-def action_mentions(clauses: DataFrame, text: str = "texto") -> DataFrame:
-    """One row per action match, all actions: adds acao, start, hit."""
-    def named(action):
-        return lambda m: F.struct(F.lit(action).alias("acao"), m["start"].alias("start"), m["hit"].alias("hit"))
 
-    per = [F.transform(matches(F.col(text), p), named(a)) for a, p in ACTIONS.items()]
-    return clauses.withColumn("_m", F.explode(F.concat(*per))).select("*", "_m.*").drop("_m")
+def action_mentions(clauses: DataFrame, text: str = "texto") -> DataFrame:
+    """One row per action match, all actions: adds acao, start, hit. Texts without any are passed over by one search."""
+    whole = any_of(ACTIONS.values())
+    x = clauses.filter(F.col(text).rlike(whole)).withColumn("_m", F.explode(matches(F.col(text), whole))).select("*", "_m.*").drop("_m")
+    name = F.lit(None).cast("string")
+    for acao, pattern in reversed(ACTIONS.items()):
+        name = F.when(F.col("hit").rlike(pattern), acao).otherwise(name)
+    own = [c for c in clauses.columns]
+    return x.withColumn("acao", name).select(*own, "acao", "start", "hit")
 
 
 def reference(tipo, numero, hit, confidence, law_tipo=None, law_numero=None, law_ano=None) -> Column:
@@ -40,23 +49,20 @@ def reference(tipo, numero, hit, confidence, law_tipo=None, law_numero=None, law
 
 def references(context: Column) -> Column:
     """References within a context, kind by kind, as an array of structs."""
-    group = lambda p, g: F.regexp_extract_all(context, F.lit(p), F.lit(g))
-    laws = F.arrays_zip(group(LAW, 0).alias("h"), group(LAW, 1).alias("t"), group(LAW, 2).alias("n"), group(LAW, 3).alias("y"))
+    hits = lambda p: F.regexp_extract_all(context, F.lit(p), F.lit(0))
 
-    def law(x):
-        dated, kind = x["y"] != "", F.trim(x["t"])
-        number = F.when(dated, F.concat(x["n"], F.lit("/"), x["y"])).otherwise(x["n"])
-        return reference(F.lower(kind), number, x["h"], F.when(dated, 0.9).otherwise(0.7), F.when(dated, kind), F.when(dated, x["n"]), F.when(dated, x["y"]))
+    def law(h):  # a hit read alone has the groups that it had in its context
+        kind, n, y = (F.regexp_extract(h, LAW, g) for g in (1, 2, 3))
+        dated, kind = y != "", F.trim(kind)
+        number = F.when(dated, F.concat(n, F.lit("/"), y)).otherwise(n)
+        return reference(F.lower(kind), number, h, F.when(dated, 0.9).otherwise(0.7), F.when(dated, kind), F.when(dated, n), F.when(dated, y))
 
-    found = [F.transform(laws, law), F.transform(group(SELF, 0), lambda h: reference(F.lit("self_reference"), F.lit(""), h, F.lit(0.95)))]
+    found = [F.transform(hits(LAW), law), F.transform(hits(SELF), lambda h: reference(F.lit("self_reference"), F.lit(""), h, F.lit(0.95)))]
 
-    def element(name):
-        return lambda x: reference(F.lit(name), F.trim(x["n"]), x["h"], F.lit(0.9))
+    def element(name, pattern, g):
+        return lambda h: reference(F.lit(name), F.trim(F.regexp_extract(h, pattern, g)), h, F.lit(0.9))
 
-    for name, pattern, g in ELEMENTS:
-        zipped = F.arrays_zip(group(pattern, 0).alias("h"), group(pattern, g).alias("n"))
-        found.append(F.transform(zipped, element(name)))
-    return F.concat(*found)
+    return F.concat(*found, *[F.transform(hits(pattern), element(name, pattern, g)) for name, pattern, g in ELEMENTS])
 
 
 def events(clauses: DataFrame, text: str = "texto", reach: int = 200, least: int = 20) -> DataFrame:

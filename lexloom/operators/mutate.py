@@ -5,12 +5,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """New rows win; adds change: created, updated or kept."""
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", status: str | None = None) -> DataFrame:
+    """New rows win; adds change: created, updated or kept. ``status``: what created and updated rows are set to."""
     o, n = old.withColumn("_o", F.lit(True)), new.withColumn("_n", F.lit(True))
     cols = [c for c in old.columns if c != key]
     x = o.alias("o").join(n.alias("n"), key, "full_outer")
-    pick = [F.when(F.col("_n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in cols]
+    fresh = lambda c: F.lit(status) if c == "status" and status is not None else F.col(f"n.{c}")
+    pick = [F.when(F.col("_n").isNotNull(), fresh(c)).otherwise(F.col(f"o.{c}")).alias(c) for c in cols]
     change = F.when(F.col("_o").isNull(), "created").when(F.col("_n").isNotNull(), "updated").otherwise("kept")
     return x.select(key, *pick, change.alias("change"))
 
@@ -31,10 +32,33 @@ def replace_children(old: DataFrame, new: DataFrame, key: str = "norma_id") -> D
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
-def set_vectors(clauses: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+def cascade(events: DataFrame, gone: DataFrame) -> DataFrame:
+    """Events after the clauses ``gone`` (id): those that came from one go, those that point at one lose their target clause."""
+    g = gone.select("id")
+    x = events.join(g.withColumnRenamed("id", "source_clause_id"), "source_clause_id", "left_anti")
+    hit = g.select(F.col("id").alias("target_clause_id"), F.lit(True).alias("_gone")).distinct()
+    x = x.join(hit, "target_clause_id", "left")
+    return x.withColumn("target_clause_id", F.when(F.col("_gone").isNull(), F.col("target_clause_id"))).drop("_gone")
+
+
+def append_events(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Append only: a rerun adds its events once more. ``replace_children`` on the source norm is the form that reruns agree with."""
+    return old.unionByName(new)
+
+
+def set_texts(norms: DataFrame, texts: DataFrame, status: str = "consolidated") -> DataFrame:
+    """Norms with the consolidated texts (norma_id, consolidated_text) written back and their status set; others as they are."""
+    x = norms.drop("consolidated_text").join(texts.select(F.col("norma_id").alias("id"), "consolidated_text"), "id", "left")
+    return x.withColumn("status", F.when(F.col("consolidated_text").isNotNull(), status).otherwise(F.col("status")))
+
+
+def set_vectors(clauses: DataFrame, vectors: DataFrame, model: str, now=None) -> DataFrame:
+    """New vectors, the model they are from and, if ``now`` is given, when they came."""
     v = vectors.select("id", F.col("embedding").alias("_v"))
-    x = clauses.join(v, "id", "left")
-    return x.withColumn("embedding_model", F.when(F.col("_v").isNotNull(), F.lit(model))).withColumn("embedding", F.coalesce("_v", "embedding")).drop("_v")
+    x, new = clauses.join(v, "id", "left"), F.col("_v").isNotNull()
+    if now is not None:
+        x = x.withColumn("embedded_at", F.when(new, F.lit(now).cast("timestamp")))
+    return x.withColumn("embedding_model", F.when(new, F.lit(model))).withColumn("embedding", F.coalesce("_v", "embedding")).drop("_v")
 
 
 def clear_vectors(clauses: DataFrame) -> DataFrame:
@@ -42,16 +66,27 @@ def clear_vectors(clauses: DataFrame) -> DataFrame:
 
 
 def ingest_projection(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected) of JSON payloads. The kind may be a string or an object with a description;
-    malformed dates give null; a payload without id is rejected."""
+    """(rows, rejected) of JSON payloads. The kind may be a string or an object with a description; fields that are not there are
+    empty; malformed dates give null. A payload without id, or with a well-formed date that does not exist, is rejected and
+    says why. The full text field is the text and the address of the file."""
     j = lambda p: F.get_json_object("value", p)
-    date = F.when(j("$.data").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.expr("try_to_date(get_json_object(value, '$.data'), 'yyyy-MM-dd')"))
+    text = lambda p: F.coalesce(j(p), F.lit(""))
+
+    def date(p):
+        well = F.coalesce(j(p), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}$")
+        return F.when(well, F.expr(f"try_to_date(get_json_object(value, '{p}'), 'yyyy-MM-dd')")), well
+
+    (published, p_ok), (in_force, v_ok) = date("$.data"), date("$.data_vigencia")
+    impossible = (p_ok & published.isNull()) | (v_ok & in_force.isNull())
     x = payloads.select(
-        "arrival", F.expr("try_cast(get_json_object(value, '$.id') as bigint)").alias("id"), F.coalesce(j("$.tipo.descricao"), j("$.tipo")).alias("tipo"),
-        j("$.numero").alias("numero"), F.expr("try_cast(get_json_object(value, '$.ano') as bigint)").alias("ano"), date.alias("published"),
-        F.concat(F.lit("http://norms/"), j("$.id")).alias("page_url"),
+        "arrival", F.expr("nullif(try_cast(get_json_object(value, '$.id') as bigint), 0)").alias("id"), F.coalesce(j("$.tipo.descricao"), j("$.tipo"), F.lit("")).alias("tipo"),
+        text("$.numero").alias("numero"), F.expr("try_cast(get_json_object(value, '$.ano') as bigint)").alias("ano"), text("$.ementa").alias("ementa"),
+        text("$.observacao").alias("observacao"), published.alias("published"), in_force.alias("in_force"), text("$.texto_integral").alias("texto_integral"),
+        text("$.texto_integral").alias("pdf_url"), F.concat(F.lit("http://norms/"), j("$.id")).alias("page_url"), impossible.alias("_bad"),
     )
-    return x.filter("id is not null"), x.filter("id is null")
+    why = F.when(F.col("id").isNull(), "missing id").when(F.col("_bad"), "impossible date")
+    x = x.withColumn("reason", why)
+    return x.filter("reason is null").drop("_bad", "reason"), x.filter("reason is not null").drop("_bad")
 
 
 def latest_status(log: DataFrame) -> DataFrame:
@@ -92,3 +127,12 @@ def transitions(log: DataFrame) -> DataFrame:
 
 def ingestion_statistics(changes: DataFrame) -> DataFrame:
     return changes.groupBy("change").agg(F.count("*").alias("n_rows"))
+
+
+def ingestion_summary(rows: DataFrame, rejected: DataFrame, page_size: int = 50, shown: int = 10) -> DataFrame:
+    """One row over all pages: pages, rows, failures, and the first errors by arrival (``shown`` of them, kept task by task)."""
+    n = rows.select("arrival", F.lit(1).alias("ok")).unionByName(rejected.select("arrival", F.lit(0).alias("ok")))
+    total = n.agg(F.ceil(F.count("*") / page_size).cast("long").alias("n_pages"), F.coalesce(F.sum("ok"), F.lit(0)).cast("long").alias("n_rows"), F.count_if(F.col("ok") == 0).alias("n_failed"))
+    head = rejected.orderBy("arrival").limit(shown).agg(F.sort_array(F.collect_list(F.struct("arrival", "reason"))).alias("e"))
+    text = F.array_join(F.transform("e", lambda v: F.concat(v["arrival"].cast("string"), F.lit(": "), v["reason"])), "; ")
+    return total.withColumn("_one", F.lit(1)).join(head.select(text.alias("errors"), F.lit(1).alias("_one")), "_one").drop("_one")

@@ -1,4 +1,9 @@
-"""Legal text to a clause tree: marker scan, slices, parents. All in the JVM, one shuffle by norm."""
+"""Legal text to a clause tree: marker scan, slices, parents. All in the JVM, inside the row of a text.
+
+A text is cut at line starts that a marker could open; every pattern is matched once against
+the stretch that follows, with the few stretches after it that a marker may reach into. What leaves
+the row are positions, numbers and slices, so a text's size counts once, however many markers it has.
+"""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -7,49 +12,65 @@ from pyspark.sql import Window as W
 from lexloom.functions.patterns import MARKERS
 from lexloom.functions.text import clean_text
 
+REACH = 4  # stretches that open with a word, a number, a dash and what follows
+BEFORE = 5  # stretches of two characters or more, ten in all
+OPENS = r"(?iuU)^(art|§|par|[IVX]|[a-z]\)|\d)"
+
+
+def markers(stretches: Column) -> Column:
+    """Markers of a text cut into stretches: array of i (stretch), kind, marker, numero."""
+
+    def one(x: Column, i: Column) -> Column:
+        rest = F.array_join(F.slice(stretches, i + 1, REACH), "\n")
+        kinds = [F.struct(F.lit(k).alias("kind"), F.regexp_extract(rest, p, 0).alias("marker"), F.regexp_extract(rest, p, 1).alias("numero")) for k, p in MARKERS.items()]
+        none = F.lit(None).cast("struct<kind:string,marker:string,numero:string>")
+        hit = none
+        for k in reversed(kinds):
+            hit = F.when(k["marker"] != "", k).otherwise(hit)
+        return F.struct(i.alias("i"), F.when(x.rlike(OPENS), hit).alias("m"))
+
+    return F.filter(F.transform(stretches, one), lambda x: x["m"].isNotNull())
+
+
+def scanned(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, _s, _f) of every text: its stretches, its markers."""
+    x = texts.select(key, F.split(F.coalesce(F.col(text), F.lit("")), r"\n(?=\S)", -1).alias("_s"))
+    return x.withColumn("_f", markers(F.col("_s")))
+
 
 def marker_scan(texts: DataFrame, key: str = "norma_id", text: str = "raw_text") -> DataFrame:
-    """Rows (key, pos, kind, numero, marker_end) of every marker that opens a line.
+    """Rows (key, pos, kind, numero, marker, marker_end, texto, slice_end, end_pos, dated) of every marker that opens a line.
 
-    Every pattern is anchored at a line start, so what follows each line start is
-    matched once; offsets are running sums of line lengths.
+    ``texto`` reaches from the marker's end to the next marker, whatever its kind, and is never negative; ``end_pos`` is
+    the marker's end plus the length of ``texto``, which is shorter than the slice where cleaning took something out;
+    ``dated`` says that the ten characters before look like a date.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)
-    starts = F.transform(
-        lines,
-        lambda x, i: F.struct(
-            i.alias("i"),
-            x.alias("line"),
-        ),
-    )
-    per_line = texts.select(key, F.col(text).alias("_t"), F.explode(starts).alias("s")).select(key, "_t", "s.i", "s.line")
-    w = W.partitionBy(key).orderBy("i").rowsBetween(W.unboundedPreceding, -1)
-    per_line = per_line.withColumn("pos", F.coalesce(F.sum(F.length("line") + 1).over(w), F.lit(0)).cast("long"))
-    per_line = per_line.filter(F.col("line").rlike(r"(?iuU)^(art|§|par|[IVX]|[a-z]\)|\d)"))
-    rest = F.expr("substring(_t, cast(pos + 1 as int))")
-    kind, whole, numero = F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")
-    for name, pattern in reversed(MARKERS.items()):
-        hit = F.regexp_extract(rest, pattern, 0)
-        kind = F.when(hit != "", F.lit(name)).otherwise(kind)
-        whole = F.when(hit != "", hit).otherwise(whole)
-        numero = F.when(hit != "", F.regexp_extract(rest, pattern, 1)).otherwise(numero)
-    found = per_line.withColumn("kind", kind).withColumn("whole", whole).withColumn("numero", numero).filter("kind is not null")
-    return found.select(key, "pos", "kind", "numero", F.col("whole").alias("marker"), (F.col("pos") + F.length("whole")).alias("marker_end"), F.col("_t").alias("text"))
-
-
-def slices(found: DataFrame, key: str = "norma_id") -> DataFrame:
-    """Adds ``texto``: from a marker's end to the next marker, whatever its kind; never negative."""
-    after = F.lead("pos").over(W.partitionBy(key).orderBy("pos"))
-    end = F.coalesce(after, F.length("text").cast("long"))
-    body = F.expr("substring(text, cast(marker_end + 1 as int), cast(greatest(0, slice_end - marker_end) as int))")
-    return found.withColumn("slice_end", end).withColumn("texto", clean_text(body))
+    size = F.size("_s")
+
+    def row(f: Column, k: Column) -> Column:
+        after = F.coalesce(F.get(F.col("_f"), k + 1)["i"], size)
+        slice_ = F.array_join(F.slice("_s", f["i"] + 1, after - f["i"]), "\n")
+        before = F.when(f["i"] > 0, F.right(F.concat(F.array_join(F.slice("_s", F.greatest(f["i"] - BEFORE, F.lit(0)) + 1, F.least(f["i"], F.lit(BEFORE))), "\n"), F.lit("\n")), F.lit(10))).otherwise("")
+        # Characters up to this marker since the one before it; a running sum gives positions.
+        start = F.coalesce(F.get(F.col("_f"), k - 1)["i"], F.lit(0))
+        gap = F.length(F.array_join(F.slice("_s", start + 1, f["i"] - start), "\n")) + F.when(f["i"] > start, 1).otherwise(0)
+        return F.struct(
+            f["m"]["kind"].alias("kind"), f["m"]["marker"].alias("marker"), f["m"]["numero"].alias("numero"), gap.alias("gap"),
+            (F.length(slice_) + F.when(after < size, 1).otherwise(0)).alias("width"), F.substring(slice_, F.length(f["m"]["marker"]) + 1, F.length(slice_)).alias("body"), before.alias("before"),
+        )
+
+    # Within a norm, the gaps of the markers before add up.
+    x = scanned(texts, key, text).select(key, F.posexplode(F.transform("_f", row)).alias("n", "r")).select(key, "n", "r.*")
+    upto = W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
+    x = x.withColumn("pos", F.sum("gap").over(upto).cast("long")).withColumn("texto", clean_text(F.col("body")))
+    x = x.withColumn("marker_end", F.col("pos") + F.length("marker")).withColumn("slice_end", F.col("pos") + F.col("width"))
+    x = x.withColumn("end_pos", F.col("marker_end") + F.length("texto")).withColumn("dated", F.col("before").rlike(r"\d{4}|\d{1,2}/\d{1,2}"))
+    return x.select(key, "pos", "kind", "numero", "marker", "marker_end", "texto", "slice_end", "end_pos", "dated")
 
 
 def date_guard(found: DataFrame) -> DataFrame:
     """Drops an incise whose ten characters before look like a date; it has already cut the text before it."""
-    before = F.expr("substring(text, cast(greatest(1, pos - 9) as int), cast(least(10, pos) as int))")
-    bad = (F.col("kind") == "inciso") & before.rlike(r"\d{4}|\d{1,2}/\d{1,2}")
-    return found.filter(~bad)
+    return found.filter((F.col("kind") != "inciso") | ~F.col("dated"))
 
 
 def parent_index(kind: Column, index: Column, w) -> Column:
@@ -65,11 +86,11 @@ def parent_index(kind: Column, index: Column, w) -> Column:
 
 
 def segment(texts: DataFrame, key: str = "norma_id", text: str = "raw_text") -> DataFrame:
-    """Clauses (key, ordem, tipo, numero, texto, parent_ordem) of every text."""
-    kept = date_guard(slices(marker_scan(texts, key, text), key)).filter(F.col("kind") != "item")
+    """Clauses (key, ordem, tipo, numero, texto, end_pos, parent_ordem) of every text."""
+    kept = date_guard(marker_scan(texts, key, text)).filter(F.col("kind") != "item")
     by = W.partitionBy(key).orderBy("pos")
     kept = kept.withColumn("tipo", F.when(F.col("kind") == "paragrafo_unico", "paragrafo").otherwise(F.col("kind")))
     kept = kept.withColumn("numero", F.when(F.col("kind") == "paragrafo_unico", "único").otherwise(F.col("numero")))
     kept = kept.withColumn("ordem", (F.row_number().over(by) - 1).cast("long"))
     kept = kept.withColumn("parent_ordem", parent_index(F.col("tipo"), F.col("ordem"), by))
-    return kept.select(key, "ordem", "tipo", "numero", "texto", "parent_ordem")
+    return kept.select(key, "ordem", "tipo", "numero", "texto", "end_pos", "parent_ordem")

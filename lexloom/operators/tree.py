@@ -1,7 +1,7 @@
 """Paths and depth in clause trees.
 
-Trees that the segmenter builds are at most four deep, so three look-ups within
-a norm suffice; the look-ups are window expressions over one shuffle by norm.
+In trees that the segmenter builds, a clause's ancestors are the last article, paragraph and
+incise before it, at most three; running values over one sort by norm carry them along.
 ``paths_of_any_depth`` walks edited trees level by level.
 """
 
@@ -12,15 +12,29 @@ from pyspark.sql import Window as W
 from lexloom.functions.text import clause_label
 
 
-def paths(clauses: DataFrame) -> DataFrame:
-    """Adds ancestors (array of ordem, root first, itself last), depth, path (labels joined by ' > ')."""
-    nodes = F.map_from_entries(F.collect_list(F.struct("ordem", F.struct("parent_ordem", clause_label(F.col("tipo"), F.col("numero")).alias("label")))).over(W.partitionBy("norma_id")))
-    x = clauses.withColumn("_n", nodes)
-    up = lambda c: F.element_at("_n", c)["parent_ordem"]
-    x = x.withColumn("_1", F.col("parent_ordem")).withColumn("_2", up(F.col("_1"))).withColumn("_3", up(F.col("_2")))
-    x = x.withColumn("ancestors", F.filter(F.array("_3", "_2", "_1", "ordem"), lambda a: a.isNotNull()))
-    x = x.withColumn("path", F.array_join(F.transform("ancestors", lambda a: F.element_at("_n", a)["label"]), " > "))
-    return x.withColumn("depth", (F.size("ancestors") - 1).cast("long")).drop("_n", "_1", "_2", "_3")
+def paths(clauses: DataFrame, flag: str | None = None) -> DataFrame:
+    """Adds ancestors (array of ordem, root first, itself last), depth, path (labels joined by ' > ').
+
+    ``flag`` names a boolean column; ``under`` then says whether it holds for any ancestor.
+    """
+    marked = F.lit(False) if flag is None else F.coalesce(F.col(flag), F.lit(False))
+    label = clause_label(F.col("tipo"), F.col("numero"))
+    node = F.struct(F.col("ordem").alias("ordem"), F.col("parent_ordem").alias("up"), label.alias("label"), marked.alias("flag"))
+    past = W.partitionBy("norma_id").orderBy("ordem").rowsBetween(W.unboundedPreceding, -1)
+    open_ = [f"_{k}" for k in ("artigo", "paragrafo", "inciso")]
+    x = clauses.withColumns({f"_{k}": F.last(F.when(F.col("tipo") == k, node), ignorenulls=True).over(past) for k in ("artigo", "paragrafo", "inciso")})
+
+    def above(ordem):
+        return F.coalesce(*[F.when(F.col(c)["ordem"] == ordem, F.col(c)) for c in open_])
+
+    for name, of in (("_1", "parent_ordem"), ("_2", "_1.up"), ("_3", "_2.up")):
+        x = x.withColumn(name, above(F.col(of)))
+    chain = [F.col(c) for c in ("_3", "_2", "_1")]
+    x = x.withColumn("ancestors", F.array_compact(F.array(*[c["ordem"] for c in chain], F.col("ordem"))))
+    x = x.withColumn("path", F.concat_ws(" > ", *[c["label"] for c in chain], label)).withColumn("depth", (F.size("ancestors") - 1).cast("long"))
+    if flag is not None:
+        x = x.withColumn("under", F.coalesce(*[F.when(c["flag"], F.lit(True)) for c in chain], F.lit(False)))
+    return x.drop("_1", "_2", "_3", *open_)
 
 
 def paths_of_any_depth(clauses: DataFrame, most: int = 64) -> DataFrame:

@@ -34,11 +34,11 @@ PATHS = PARENTS + f""", walk AS (SELECT id, norma_id, ordem, tipo, numero, texto
  UNION ALL SELECT t.id, t.norma_id, t.ordem, t.tipo, t.numero, t.texto, w.path || ' > ' || {label('t')}, w.depth + 1, w.order_key || '.' || lpad(CAST(t.ordem AS VARCHAR),4,'0'), list_append(w.anc, t.ordem)
  FROM tree t JOIN walk w ON t.norma_id = w.norma_id AND t.parent_ordem = w.ordem)"""
 
-VECTORS = CLAUSES + """, vclauses AS (SELECT c.*, CASE WHEN c.id % 7 <> 0 THEN e.embedding END AS embedding FROM clauses c LEFT JOIN embeddings e ON e.vec_id = c.id % 500),
+VECTORS = CLAUSES + """, vclauses AS (SELECT c.*, CASE WHEN c.id % 7 <> 0 THEN e.embedding END AS embedding FROM clauses c LEFT JOIN embeddings e ON e.vec_id = c.id % (SELECT count(*) FROM embeddings)),
 q AS (SELECT list(0.8 * x + 0.3 * y ORDER BY i) AS v FROM (SELECT unnest(a.embedding)::DOUBLE AS x, unnest(b.embedding)::DOUBLE AS y, unnest(range(len(a.embedding))) AS i FROM embeddings a, embeddings b WHERE a.vec_id = 3 AND b.vec_id = 10)),
-dist AS (SELECT c.id, c.norma_id, round(list_distance(c.embedding::DOUBLE[], q.v), 6) AS distance FROM vclauses c, q WHERE c.embedding IS NOT NULL)"""
+dist AS (SELECT c.id, c.norma_id, list_distance(c.embedding::DOUBLE[], q.v) AS d FROM vclauses c, q WHERE c.embedding IS NOT NULL)"""
 
-SCORED = ", round(greatest(0.0, least(1.0, 1.0 - distance)), 6) AS score"
+SCORED = ", round(greatest(0.0, least(1.0, 1.0 - d)), 6) AS score"
 
 EVENTS = """, events_ AS (SELECT id, id AS source_clause_id, norma_id AS source_norm_id, CASE l_returnflag WHEN 'R' THEN 'REVOGA' WHEN 'A' THEN 'ALTERA' ELSE 'REFERENCIA' END AS acao,
  CASE WHEN l_partkey % 5 = 0 THEN norma_id WHEN l_partkey % 5 < 4 THEN l_partkey END AS target_norm_id, CASE WHEN ordem > 0 AND l_partkey % 3 = 0 THEN id - 1 END AS target_clause_id, created_at FROM {0})"""
@@ -63,17 +63,17 @@ refs AS (SELECT id, norma_id, acao, start, lower(t) AS ref_tipo, CASE WHEN y <>
 evs AS (SELECT id, acao, start, ref_tipo, ref_numero, target_text, confidence, law_ano, norma_id FROM refs
  UNION ALL SELECT c.id, c.acao, c.start, '', '', substr(c.context, 1, 100), 0.5, NULL, c.norma_id FROM ctx c WHERE NOT EXISTS (SELECT 1 FROM refs r WHERE r.id = c.id AND r.acao = c.acao AND r.start = c.start))"""
 
-AFFECTED = """, aff AS (SELECT target_clause_id, bool_or(acao = 'REVOGA') AS revoked, arg_max(source_norm_id, (created_at, id)) FILTER (acao = 'ALTERA') AS altered_by FROM events_ WHERE target_clause_id IS NOT NULL AND acao IN ('REVOGA','ALTERA') GROUP BY 1)"""
+# What happens to a norm comes from the events whose target norm it is, and from no others.
+AFFECTED = """, aff AS (SELECT target_norm_id AS norma_id, target_clause_id, bool_or(acao = 'REVOGA') AS revoked, arg_max(source_norm_id, (created_at, id)) FILTER (acao = 'ALTERA') AS altered_by FROM events_ WHERE target_norm_id IS NOT NULL AND target_clause_id IS NOT NULL AND acao IN ('REVOGA','ALTERA') GROUP BY 1, 2)"""
 
-LINES = NORMS + ", " + PATHS + EVENTS.format("tree") + AFFECTED + f""", shown AS (SELECT w.*, coalesce(a.revoked, false) AS revoked, n.tipo || ' ' || n.numero || '/' || n.ano AS by_ FROM walk w LEFT JOIN aff a ON a.target_clause_id = w.id LEFT JOIN norms n ON n.id = a.altered_by),
+LINES = NORMS + ", " + PATHS + EVENTS.format("tree") + AFFECTED + f""", shown AS (SELECT w.*, coalesce(a.revoked, false) AS revoked, n.tipo || ' ' || n.numero || '/' || n.ano AS by_ FROM walk w LEFT JOIN aff a ON a.target_clause_id = w.id AND a.norma_id = w.norma_id LEFT JOIN norms n ON n.id = a.altered_by),
 gone AS (SELECT norma_id, list(ordem) AS g FROM shown WHERE revoked GROUP BY 1),
 vis AS (SELECT s.* FROM shown s LEFT JOIN gone USING (norma_id) WHERE NOT list_has_any(coalesce(g, []), list_slice(anc, 1, len(anc) - 1))),
 lines_ AS (SELECT norma_id, ordem, 0 AS part, repeat('  ', depth) || {label()} || CASE WHEN revoked THEN ' (REVOGADO)' ELSE ' ' || texto END AS line FROM vis
  UNION ALL SELECT norma_id, ordem, 1, repeat('  ', depth) || '  [ALTERADO pela ' || by_ || ']' FROM vis WHERE NOT revoked AND by_ IS NOT NULL)"""
 
 STATS = """, stat AS (SELECT c.norma_id, count(*) AS n_clauses FROM clauses c GROUP BY 1),
-ev2 AS (SELECT e.*, coalesce(c.norma_id, e.target_norm_id) AS norma_id FROM events_ e LEFT JOIN clauses c ON c.id = e.target_clause_id),
-evn AS (SELECT norma_id, count(DISTINCT CASE WHEN acao='REVOGA' THEN target_clause_id END) AS r, count(DISTINCT CASE WHEN acao='ALTERA' THEN target_clause_id END) AS a, count(*) AS e FROM ev2 WHERE norma_id IS NOT NULL GROUP BY 1),
+evn AS (SELECT target_norm_id AS norma_id, count(DISTINCT CASE WHEN acao='REVOGA' THEN target_clause_id END) AS r, count(DISTINCT CASE WHEN acao='ALTERA' THEN target_clause_id END) AS a, count(*) AS e FROM events_ WHERE target_norm_id IS NOT NULL GROUP BY 1),
 stats AS (SELECT s.norma_id, n_clauses, coalesce(r,0) AS n_revoked, coalesce(a,0) AS n_altered, coalesce(e,0) AS n_events FROM stat s LEFT JOIN evn USING (norma_id))"""
 
 BATCHES = "SELECT CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 64 AS BIGINT) AS batch, o_orderkey AS id FROM orders"
@@ -83,6 +83,14 @@ WHITE = "'[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028
 WITH_R = "WITH RECURSIVE "
 W_ = "WITH "
 
+CONSOLIDATED = WITH_R + LINES + STATS + """, body AS (SELECT norma_id, string_agg(line, chr(10) ORDER BY ordem, part) AS b FROM lines_ GROUP BY 1)
+ SELECT s.norma_id, repeat('=',80) || chr(10) || n.tipo || ' Nº ' || n.numero || '/' || n.ano || chr(10) || 'TEXTO CONSOLIDADO' || chr(10) || repeat('=',80) || chr(10) || chr(10) || 'EMENTA: ' || n.ementa || chr(10) || chr(10) || b || chr(10) || chr(10) || repeat('-',80) || chr(10) || 'INFORMAÇÕES DE CONSOLIDAÇÃO:' || chr(10)
+ || '  - Total de dispositivos: ' || n_clauses || chr(10) || '  - Dispositivos revogados: ' || n_revoked || chr(10) || '  - Dispositivos alterados: ' || n_altered || chr(10) || '  - Eventos processados: ' || n_events || chr(10) || '  - Data de publicação: ' || strftime(n.pub,'%Y-%m-%d') || chr(10)
+ || CASE WHEN n.vig IS NULL THEN '' ELSE '  - Data de vigência: ' || strftime(n.vig,'%Y-%m-%d') || chr(10) END || '  - Consolidado em: 01/01/2000 00:00:00' || chr(10) || repeat('=',80) AS consolidated_text FROM stats s JOIN norms n ON n.id = s.norma_id JOIN body USING (norma_id)"""
+# Norms divisible by six have no clauses there: those with a raw text keep it.
+WRITTEN = CONSOLIDATED.replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey % 6 <> 0)").replace("SELECT s.norma_id, repeat", ", done AS (SELECT s.norma_id, repeat") + """ UNION ALL SELECT id, 'Texto original de ' || numero FROM norms WHERE id % 6 = 0 AND id % 4 <> 0)
+SELECT n.id, CASE WHEN d.norma_id IS NOT NULL THEN 'consolidated' ELSE n.status END AS status, md5(consolidated_text) AS text_md5, length(consolidated_text) AS n_chars FROM norms n LEFT JOIN done d ON d.norma_id = n.id"""
+
 ORACLE: dict[str, str] = {
     "norm_list_search": W_ + NORMS + " SELECT id, tipo, numero, CAST(ano AS BIGINT) AS ano, left(ementa,200) AS ementa, status, strftime(pub,'%Y-%m-%d') AS published FROM norms WHERE status='consolidated' AND (contains(upper(ementa),'URGENT') OR contains(upper(numero),'URGENT') OR contains(upper(tipo),'URGENT')) ORDER BY norms.ano DESC, numero DESC, id LIMIT 50",
     "norm_list_page": W_ + NORMS + ", f AS (SELECT * FROM norms WHERE status IN ('segmented','entities_extracted') AND (contains(ementa,'9') OR contains(numero,'9') OR contains(tipo,'9'))), n AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*)/20.0) AS BIGINT)) AS n_pages FROM f), r AS (SELECT *, row_number() OVER (ORDER BY ano DESC, numero DESC, id) AS rn FROM f) SELECT id, tipo, numero, CAST(ano AS BIGINT) AS ano, left(ementa,200) AS ementa, status, strftime(pub,'%Y-%m-%d') AS published, total, n_pages, least(3,n_pages) < n_pages AS has_next, least(3,n_pages) > 1 AS has_prev FROM r, n WHERE rn > (least(3,n_pages)-1)*20 AND rn <= least(3,n_pages)*20",
@@ -109,10 +117,10 @@ ORACLE: dict[str, str] = {
     "event_full_chain": W_ + NORMS + ", " + CLAUSES + EVENTS.format("clauses") + f" SELECT e.id, acao, {label('s')} AS source_label, n.tipo || ' ' || n.numero || '/' || n.ano AS source_norm, {label('t')} AS target_label, t.norma_id AS target_owner FROM events_ e JOIN clauses s ON s.id = e.source_clause_id JOIN norms n ON n.id = e.source_norm_id LEFT JOIN clauses t ON t.id = e.target_clause_id",
     "events_in_or_out": W_ + NORMS + ", " + CLAUSES + EVENTS.format("clauses") + " SELECT e.id, acao, n.tipo || ' ' || n.numero || '/' || n.ano AS source_norm, target_norm_id FROM events_ e JOIN norms n ON n.id = e.source_norm_id WHERE target_norm_id = 15 OR source_norm_id = 15",
     "internal_events": W_ + CLAUSES + EVENTS.format("clauses") + " SELECT id, acao, source_norm_id FROM events_ WHERE source_norm_id = target_norm_id",
-    "union_events": W_ + CLAUSES + EVENTS.format("clauses") + " SELECT id, acao, created_at FROM events_ WHERE target_norm_id < 200 UNION SELECT id, acao, created_at FROM events_ WHERE source_norm_id = target_norm_id",
+    "union_events": W_ + CLAUSES + EVENTS.format("clauses") + " SELECT id, acao, created_at FROM events_ WHERE target_norm_id IS NOT NULL UNION SELECT id, acao, created_at FROM events_ WHERE source_norm_id = target_norm_id",
     "parent_link": W_ + PARENTS + " SELECT id, CASE WHEN parent_ordem IS NOT NULL THEN norma_id * 100 + parent_ordem END AS found_parent FROM tree",
     "marker_scan": W_ + CLAUSES + RAW + " SELECT l.norma_id, CAST(coalesce(sum(length(line)+1) OVER (PARTITION BY l.norma_id ORDER BY l.ordem ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS pos, c.tipo AS kind, c.numero FROM line_ l JOIN clauses c ON c.norma_id = l.norma_id AND c.ordem = l.ordem",
-    "next_marker_slice": W_ + CLAUSES + RAW + " SELECT l.norma_id, CAST(coalesce(sum(length(line)+1) OVER (PARTITION BY l.norma_id ORDER BY l.ordem ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS pos, c.texto FROM line_ l JOIN clauses c ON c.norma_id = l.norma_id AND c.ordem = l.ordem",
+    "next_marker_slice": W_ + CLAUSES + RAW + " SELECT l.norma_id, CAST(coalesce(sum(length(line)+1) OVER (PARTITION BY l.norma_id ORDER BY l.ordem ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS pos, c.texto, CAST(pos + length(line) - length(c.texto) + length(c.texto) AS BIGINT) AS end_pos FROM line_ l JOIN clauses c ON c.norma_id = l.norma_id AND c.ordem = l.ordem",
     "hierarchy_parents": W_ + PARENTS.replace("FROM clauses c WINDOW", "FROM guarded c WINDOW").replace("seen AS", """g0 AS (SELECT *, lag(texto) OVER (PARTITION BY norma_id ORDER BY ordem) AS above FROM clauses),
 guarded AS (SELECT norma_id, tipo, numero, row_number() OVER (PARTITION BY norma_id ORDER BY ordem) - 1 AS ordem FROM g0 WHERE tipo <> 'inciso' OR NOT regexp_matches(coalesce(right(above, 9), ''), '\\d{4}|\\d{1,2}/\\d{1,2}')), seen AS""", 1) + " SELECT norma_id, ordem, tipo, numero, parent_ordem FROM tree",
     "clause_path_depth": WITH_R + PATHS + " SELECT id, path, CAST(depth AS BIGINT) AS depth FROM walk",
@@ -125,28 +133,32 @@ guarded AS (SELECT norma_id, tipo, numero, row_number() OVER (PARTITION BY norma
     "revoked_altered_sets": W_ + CLAUSES + EVENTS.format("clauses") + AFFECTED + " SELECT * FROM aff",
     "consolidated_lines": WITH_R + LINES + " SELECT norma_id, ordem, CAST(part AS BIGINT) AS part, line FROM lines_",
     "consolidation_statistics": W_ + CLAUSES + EVENTS.format("clauses") + STATS + " SELECT * FROM stats",
-    "consolidated_text": WITH_R + LINES + STATS + """, body AS (SELECT norma_id, string_agg(line, chr(10) ORDER BY ordem, part) AS b FROM lines_ GROUP BY 1)
- SELECT s.norma_id, repeat('=',80) || chr(10) || n.tipo || ' Nº ' || n.numero || '/' || n.ano || chr(10) || 'TEXTO CONSOLIDADO' || chr(10) || repeat('=',80) || chr(10) || chr(10) || 'EMENTA: ' || n.ementa || chr(10) || chr(10) || b || chr(10) || chr(10) || repeat('-',80) || chr(10) || 'INFORMAÇÕES DE CONSOLIDAÇÃO:' || chr(10)
- || '  - Total de dispositivos: ' || n_clauses || chr(10) || '  - Dispositivos revogados: ' || n_revoked || chr(10) || '  - Dispositivos alterados: ' || n_altered || chr(10) || '  - Eventos processados: ' || n_events || chr(10) || '  - Data de publicação: ' || strftime(n.pub,'%Y-%m-%d') || chr(10)
- || CASE WHEN n.vig IS NULL THEN '' ELSE '  - Data de vigência: ' || strftime(n.vig,'%Y-%m-%d') || chr(10) END || '  - Consolidado em: 01/01/2000 00:00:00' || chr(10) || repeat('=',80) AS consolidated_text FROM stats s JOIN norms n ON n.id = s.norma_id JOIN body USING (norma_id)""",
-    "vector_topk": W_ + VECTORS + f" SELECT id, distance{SCORED} FROM dist ORDER BY distance, id LIMIT 25",
-    "vector_topk_filtered": W_ + VECTORS + f" SELECT id, distance{SCORED} FROM dist WHERE norma_id = 7 ORDER BY distance, id LIMIT 5",
-    "vector_threshold": W_ + VECTORS + f" SELECT id, distance{SCORED} FROM dist WHERE distance < 0.95 ORDER BY distance, id LIMIT 50",
-    "rag_confidence": W_ + VECTORS + f", h AS (SELECT id{SCORED} FROM dist ORDER BY distance, id LIMIT 10) SELECT coalesce(round(avg(score),6),0.0) AS confidence, count(*) AS n_hits FROM h",
+    "consolidated_text": CONSOLIDATED,
+    "consolidated_written": WRITTEN,
+    "vector_topk": W_ + VECTORS + f" SELECT id, round(d, 6) AS distance{SCORED} FROM dist ORDER BY d, id LIMIT 25",
+    "vector_topk_filtered": W_ + VECTORS + f" SELECT id, round(d, 6) AS distance{SCORED} FROM dist WHERE norma_id = 7 ORDER BY d, id LIMIT 5",
+    "vector_threshold": W_ + VECTORS + f" SELECT id, round(d, 6) AS distance{SCORED} FROM dist WHERE d < 0.95 ORDER BY d, id LIMIT 50",
+    "rag_confidence": W_ + VECTORS + f", h AS (SELECT id{SCORED} FROM dist ORDER BY d, id LIMIT 10) SELECT coalesce(round(avg(score),6),0.0) AS confidence, count(*) AS n_hits FROM h",
     "session_cards": W_ + MESSAGES + ", g AS (SELECT session_id, count(*) AS n, arg_min(content, turn) FILTER (role='user') AS f FROM messages GROUP BY 1) SELECT s.session_id, user_id, CASE WHEN title = '' THEN 'Nova conversa' ELSE title END AS title, coalesce(n,0) AS n_messages, coalesce(CASE WHEN length(f) > 50 THEN left(f,50) || '...' ELSE f END,'') AS preview, updated_at, left(sha256(s.session_id || 'chat'),12) AS slug FROM sessions s LEFT JOIN g USING (session_id)",
-    "last_25_messages": W_ + MESSAGES + " SELECT session_id, turn, role, n > 3 AS has_more FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM messages) WHERE r <= 3",
+    "last_25_messages": W_ + MESSAGES + " SELECT session_id, turn, role, n > 25 AS has_more FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY turn DESC) AS r, count(*) OVER (PARTITION BY session_id) AS n FROM messages) WHERE r <= 25",
     "latest_assistant": W_ + MESSAGES + " SELECT session_id, max(turn) AS turn, arg_max(content, turn) AS content FROM messages WHERE role='assistant' GROUP BY 1",
-    "message_cards": W_ + MESSAGES + " SELECT session_id, turn, role, CAST(CASE WHEN role='assistant' THEN length(content) % 5 ELSE 0 END AS BIGINT) AS n_sources FROM messages",
+    "message_cards": W_ + MESSAGES + " SELECT session_id, turn, role, CASE WHEN role='assistant' THEN len(string_split(content, ' ')[1:3]) ELSE 0 END AS n_sources, CASE WHEN role='assistant' THEN array_to_string(string_split(content, ' ')[1:3], ' | ') ELSE '' END AS sources FROM messages",
     "single_active_session": W_ + MESSAGES + " SELECT session_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, session_id DESC) = 1 AS is_active FROM sessions",
     "delete_sessions": W_ + MESSAGES + " SELECT session_id, count(*) AS n_messages FROM messages WHERE session_id % 7 <> 2 GROUP BY 1",
     "regenerate_message": W_ + MESSAGES + ", la AS (SELECT session_id, max(turn) AS t FROM messages WHERE role='assistant' AND session_id % 2 = 0 GROUP BY 1) SELECT m.session_id, m.turn, role, content FROM messages m LEFT JOIN la ON la.session_id = m.session_id AND la.t = m.turn WHERE la.t IS NULL UNION ALL SELECT session_id, max(turn) + 1, 'assistant', 'nova resposta' FROM messages WHERE session_id % 2 = 0 GROUP BY 1",
-    "get_or_create_session": W_ + MESSAGES + ", s AS (SELECT * FROM sessions WHERE user_id < 5), r AS (SELECT c_custkey AS request_id, c_custkey % 7 AS user_id, c_custkey % 40 AS asked FROM customer), l AS (SELECT user_id, arg_max(session_id, (updated_at, session_id)) AS last FROM s GROUP BY 1) SELECT request_id, r.user_id, coalesce(s.session_id, last, -request_id - 1) AS session_id, s.session_id IS NULL AND last IS NULL AS created FROM r LEFT JOIN s ON s.user_id = r.user_id AND s.session_id = r.asked LEFT JOIN l ON l.user_id = r.user_id",
-    "upsert_norms": W_ + NORMS + " SELECT id, tipo, CASE WHEN id % 2 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 'created' WHEN id % 2 = 0 THEN 'updated' ELSE 'kept' END AS change FROM norms WHERE id % 3 <> 0 OR id % 2 = 0",
+    "get_or_create_session": W_ + MESSAGES + ", s AS (SELECT * FROM sessions WHERE user_id < 5), r AS (SELECT c_custkey AS request_id, c_custkey % 7 AS user_id, c_custkey % 40 AS asked, 'Pergunta de ' || c_name || ' sobre a vigência das normas' AS question FROM customer), l AS (SELECT user_id, arg_max(session_id, (updated_at, session_id)) AS last FROM s GROUP BY 1) SELECT request_id, r.user_id, coalesce(s.session_id, last, -request_id - 1) AS session_id, s.session_id IS NULL AND last IS NULL AS created, CASE WHEN s.session_id IS NULL AND last IS NULL THEN left(question, 50) END AS title FROM r LEFT JOIN s ON s.user_id = r.user_id AND s.session_id = r.asked LEFT JOIN l ON l.user_id = r.user_id",
+    "upsert_norms": W_ + NORMS + " SELECT id, tipo, numero, ano, CASE WHEN id % 2 = 0 THEN ementa || ' (nova)' ELSE ementa END AS ementa, pdf_url, CASE WHEN id % 2 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 'created' WHEN id % 2 = 0 THEN 'updated' ELSE 'kept' END AS change FROM norms WHERE id % 3 <> 0 OR id % 2 = 0",
     "ingestion_statistics": "SELECT CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'created' WHEN o_orderkey % 2 = 0 THEN 'updated' ELSE 'kept' END AS change, count(*) AS n_rows FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY 1",
     "first_wins_dedup": "SELECT o_custkey AS id, min(o_orderkey) AS arrival, arg_min(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY 1",
     "new_ids": "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
-    "ingest_projection": W_ + NORMS + " SELECT id AS arrival, id, tipo, numero, CAST(ano AS BIGINT) AS ano, CASE WHEN id % 10 <> 9 THEN pub END AS published, 'http://norms/' || id AS page_url FROM norms WHERE id % 11 <> 0",
-    "ingest_rejects": W_ + NORMS + " SELECT id AS arrival, tipo, numero FROM norms WHERE id % 11 = 0",
+    "ingest_projection": W_ + NORMS + " SELECT id AS arrival, id, tipo, numero, CAST(ano AS BIGINT) AS ano, ementa, CASE WHEN id % 4 = 0 THEN 'sem observação' ELSE '' END AS observacao, CASE WHEN id % 10 <> 9 THEN pub END AS published, vig AS in_force, pdf_url AS texto_integral, pdf_url, 'http://norms/' || id AS page_url FROM norms WHERE id % 11 <> 0 AND id % 10 <> 8",
+    "ingest_rejects": W_ + NORMS + " SELECT id AS arrival, tipo, numero, CASE WHEN id % 11 = 0 THEN 'missing id' ELSE 'impossible date' END AS reason FROM norms WHERE id % 11 = 0 OR id % 10 = 8",
+    "ingestion_summary": "WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'missing id' WHEN o_orderkey % 10 = 8 THEN 'impossible date' END AS reason FROM orders), h AS (SELECT * FROM r WHERE reason IS NOT NULL ORDER BY id LIMIT 10) SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) AS n_pages, count(*) FILTER (reason IS NULL) AS n_rows, count(reason) AS n_failed, (SELECT string_agg(id || ': ' || reason, '; ' ORDER BY id) FROM h) AS errors FROM r",
+    "rest_years": W_ + NORMS + " SELECT id, tipo, numero, ano, ementa, ano AS asked FROM norms",
+    "appended_events": W_ + CLAUSES + EVENTS.format("clauses") + " SELECT source_norm_id, acao, count(*) * CASE WHEN source_norm_id % 10 = 0 THEN 2 ELSE 1 END AS n_events FROM events_ GROUP BY 1, 2",
+    "cascaded_events": W_ + CLAUSES + EVENTS.format("clauses") + ", g AS (SELECT id FROM clauses WHERE norma_id % 10 = 0), e AS (SELECT id, source_clause_id, CASE WHEN id % 2 = 0 THEN id + 100 ELSE target_clause_id END AS t, target_norm_id FROM events_) SELECT id, source_clause_id, CASE WHEN t NOT IN (SELECT id FROM g) THEN t END AS target_clause_id, target_norm_id FROM e WHERE source_clause_id NOT IN (SELECT id FROM g)",
+    "clauses_with_events": W_ + CLAUSES + " SELECT norma_id, count(*) AS n_clauses, count(*) FILTER (l_returnflag IN ('R', 'A')) AS n_with_events, count(*) FILTER (l_returnflag IN ('R', 'A')) AS n_events FROM clauses GROUP BY 1",
+    "vector_query_set": "WITH p AS (SELECT q.vec_id AS query_id, e.vec_id, list_distance(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS d FROM embeddings q, embeddings e WHERE q.vec_id % 100 = 0 AND q.vec_id <> e.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS rank FROM p) SELECT query_id, rank, vec_id, round(d, 6) AS distance FROM r WHERE rank <= 10",
     "replace_clauses": W_ + CLAUSES + ", k AS (SELECT DISTINCT norma_id FROM clauses WHERE norma_id % 10 = 0 AND id % 2 = 0) SELECT id, norma_id, texto FROM clauses WHERE norma_id NOT IN (SELECT norma_id FROM k) UNION ALL SELECT id, norma_id, 'novo' FROM clauses WHERE norma_id % 10 = 0 AND id % 2 = 0",
     "embedding_update": W_ + VECTORS + " SELECT CASE WHEN id % 7 = 0 THEN 'stub' END AS embedding_model, count(*) AS n_rows, CAST(sum(CASE WHEN id % 7 = 0 THEN 1 ELSE len(embedding) END) AS BIGINT) AS n_values FROM vclauses GROUP BY 1",
     "status_latest": "SELECT user_id AS entity_id, arg_max(CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'ocr_completed' WHEN 'click' THEN 'segmented' WHEN 'purchase' THEN 'consolidated' ELSE 'failed' END, (ts, event_id)) AS status, max(ts) AS ts, count(*) AS n_changes FROM events GROUP BY 1",
@@ -158,7 +170,7 @@ guarded AS (SELECT norma_id, tipo, numero, row_number() OVER (PARTITION BY norma
 # Parts that build on the statements above.
 VEC = VECTORS[len(CLAUSES):]
 NAMED = "{0}.tipo || ' ' || {0}.numero || '/' || {0}.ano"
-HITS = WITH_R + NORMS + ", " + PATHS + VEC + f""", hit AS (SELECT id, distance{SCORED} FROM dist ORDER BY distance, id LIMIT {{0}}),
+HITS = WITH_R + NORMS + ", " + PATHS + VEC + f""", hit AS (SELECT id, round(d, 6) AS distance{SCORED} FROM dist ORDER BY d, id LIMIT {{0}}),
 hits AS (SELECT h.*, w.path, w.texto, {NAMED.format('n')} AS norm_label FROM hit h JOIN walk w USING (id) JOIN norms n ON n.id = w.norma_id)"""
 PARTS = HITS + """, part AS (SELECT *, '[' || printf('%.2f', score) || '] ' || norm_label || ' | ' || path || ': ' || texto AS part, row_number() OVER (ORDER BY distance, id) AS rank FROM hits),
 parts AS (SELECT id, rank, CAST(sum(length(part)) OVER (ORDER BY rank) AS BIGINT) AS used, rank || '. ' || part AS shown FROM part)"""
@@ -190,7 +202,8 @@ def outline() -> str:
 
 ORACLE |= {
     "rag_context_budget": PARTS.format(20) + " SELECT id, rank, used, shown FROM parts WHERE used <= 1200",
-    "rag_answer": PARTS.format(5) + f", asked AS (SELECT {PROMPT} AS prompt FROM parts WHERE used <= 8000) SELECT prompt, 'Resumo: ' || chr(10) || '• itens' || chr(10) || '• tamanho ' || length(prompt) AS answer FROM asked",
+    "rag_answer": PARTS.format(5) + f", asked AS (SELECT {PROMPT} AS prompt FROM parts WHERE used <= 8000) SELECT prompt, 'Resumo: ' || chr(10) || '• itens' || chr(10) || '• tamanho ' || length(prompt) AS answer, (SELECT round(avg(score), 6) FROM hits) AS confidence FROM asked",
+    "rag_answer_without_hits": "SELECT 'Nenhum contexto relevante encontrado.' AS context, 'Não encontrei informações relevantes para responder esta pergunta.' AS answer, CAST(0 AS DOUBLE) AS confidence",
     "source_cards": HITS.format(10) + " SELECT id, norm_label, path, CASE WHEN length(texto) > 200 THEN left(texto, 200) || '...' ELSE texto END AS text_preview, texto AS full_text, score FROM hits",
     "ivf_cells": "WITH c AS (SELECT vec_id AS cell, embedding FROM embeddings WHERE vec_id < 10) SELECT e.vec_id, arg_min(c.cell, (list_distance(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.cell)) AS cell FROM embeddings e, c GROUP BY 1",
     "embed_stub": f"SELECT cache_hit, count(*) AS n_rows FROM ({SEEN}) GROUP BY 1",

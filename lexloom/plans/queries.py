@@ -1,16 +1,16 @@
 """Registered queries: each takes (spark, sf_dir) and runs operators over whole tables."""
 
-import os
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 from pyspark.sql import types as T
 
 from lexloom import schema
 from lexloom.functions import text as X
 from lexloom.operators import catalog, chat, consolidate, extract, links, mutate, resolve, search, segment, tree
+from lexloom.session import shared_folder
 from lexloom.sources import bridge, tables
 from lexloom.sources.tables import table
 
@@ -44,12 +44,11 @@ def query_vector(spark, d) -> list[float]:
 
 
 def hits(spark, d, k=10, **more):
-    """The k nearest clauses with their texts: the join back sees k rows, so they are broadcast."""
-    c = linked(spark, d)
+    """The k nearest clauses with their texts. The k rows are found once and then known: their norms are a filter, they are broadcast."""
     found = search.top_k(bridge.with_vectors(spark, d, clauses(spark, d)), query_vector(spark, d), k, **more)
-    n = found.count()  # at most k
-    norm_ids = [r[0] for r in found.select((F.col("id") / 100).cast("long")).distinct().collect()] if n else []
-    near = tree.paths(c.filter(F.col("norma_id").isin(norm_ids)))
+    rows = [tuple(r) for r in found.collect()]  # at most k
+    found = spark.createDataFrame(rows, found.schema)
+    near = tree.paths(linked(spark, d).filter(F.col("norma_id").isin(sorted({r[0] // 100 for r in rows}))))
     return links.with_norm(near.join(F.broadcast(found), "id"), bridge.norms(spark, d))
 
 
@@ -236,7 +235,7 @@ def internal_events(spark, d):
 @query
 def union_events(spark, d):
     e = bridge.alteration_events(clauses(spark, d)).select("id", "acao", "source_norm_id", "target_norm_id", "created_at")
-    received = e.filter("target_norm_id < 200")
+    received = e.filter("target_norm_id is not null")
     return links.union_distinct(received, links.internal(e)).select("id", "acao", "created_at")
 
 
@@ -262,7 +261,7 @@ def marker_scan(spark, d):
 
 @query
 def next_marker_slice(spark, d):
-    return segment.slices(segment.marker_scan(bridge.raw_texts(clauses(spark, d)))).select("norma_id", "pos", "texto")
+    return segment.marker_scan(bridge.raw_texts(clauses(spark, d))).select("norma_id", "pos", "texto", "end_pos")
 
 
 @query
@@ -397,9 +396,31 @@ def ivf_cells(spark, d):
 
 @query
 def rag_answer(spark, d):
-    parts = search.context_parts(hits(spark, d, 5), 2000)
-    asked = search.prompts(search.context(parts), "O que foi revogado?")
-    return search.answers(asked, search.stub_answer).select("prompt", "answer")
+    found = hits(spark, d, 5)
+    asked = search.prompts(search.context(search.context_parts(found, 2000)), "O que foi revogado?")
+    return search.answers(asked, search.stub_answer, found).select("prompt", "answer", "confidence")
+
+
+@query
+def rag_answer_without_hits(spark, d):
+    """A question whose norm no clause belongs to: fixed sentences, confidence 0."""
+    found = hits(spark, d, 5, norm_id=-1)
+    asked = search.prompts(search.context(search.context_parts(found, 2000)), "O que foi revogado?")
+    return search.answers(asked, search.stub_answer, found).select("context", "answer", "confidence")
+
+
+@query
+def vector_query_set(spark, d):
+    """The ten nearest vectors of every vector whose id is divisible by 100, among all."""
+    v = table(spark, d, "embeddings")
+    return search.top_k_of_queries(v, v.filter("vec_id % 100 = 0"), 10)
+
+
+@query
+def ivf_query_set(spark, d):
+    """The same queries through cells trained on a bounded sample; recall is tested against brute force."""
+    v = table(spark, d, "embeddings")
+    return search.probe_queries(v, v.filter("vec_id % 100 = 0"), search.train_cells(v, 16), 8)
 
 
 def looked_up(spark, d):
@@ -450,7 +471,7 @@ def message_labels(spark, d):
 
 @query
 def last_25_messages(spark, d):
-    return chat.last_messages(bridge.messages(spark, d), 3).select("session_id", "turn", "role", "has_more")
+    return chat.last_messages(bridge.messages(spark, d)).select("session_id", "turn", "role", "has_more")
 
 
 @query
@@ -460,7 +481,8 @@ def latest_assistant(spark, d):
 
 @query
 def message_cards(spark, d):
-    return chat.message_cards(bridge.messages(spark, d)).select("session_id", "turn", "role", "n_sources")
+    x = chat.message_cards(bridge.cited(bridge.messages(spark, d)))
+    return x.select("session_id", "turn", "role", "n_sources", F.array_join("sources", " | ").alias("sources"))
 
 
 @query
@@ -485,7 +507,7 @@ def regenerate_message(spark, d):
 @query
 def get_or_create_session(spark, d):
     s = bridge.sessions(bridge.messages(spark, d)).filter("user_id < 5")
-    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 7).alias("user_id"), (F.col("c_custkey") % 40).alias("asked"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("request_id"), (F.col("c_custkey") % 7).alias("user_id"), (F.col("c_custkey") % 40).alias("asked"), F.concat(F.lit("Pergunta de "), F.col("c_name"), F.lit(" sobre a vigência das normas")).alias("question"))
     return chat.get_or_create(asked, s)
 
 
@@ -493,10 +515,10 @@ def get_or_create_session(spark, d):
 
 @query
 def upsert_norms(spark, d):
-    n = bridge.norms(spark, d).select("id", "tipo", "status")
+    n = bridge.norms(spark, d).select("id", "tipo", "numero", "ano", "ementa", "pdf_url", "status")
     old = n.filter("id % 3 != 0")
-    new = n.filter("id % 2 = 0").withColumn("status", F.lit("pending"))
-    return mutate.upsert(old, new)
+    new = n.filter("id % 2 = 0").withColumn("ementa", F.concat("ementa", F.lit(" (nova)")))
+    return mutate.upsert(old, new, status="pending")
 
 
 @query
@@ -523,7 +545,66 @@ def ingest_projection(spark, d):
 
 @query
 def ingest_rejects(spark, d):
-    return mutate.ingest_projection(bridge.payloads(spark, d))[1].select("arrival", "tipo", "numero")
+    return mutate.ingest_projection(bridge.payloads(spark, d))[1].select("arrival", "tipo", "numero", "reason")
+
+
+@query
+def ingestion_summary(spark, d):
+    return mutate.ingestion_summary(*mutate.ingest_projection(bridge.payloads(spark, d)))
+
+
+@query
+def rest_years(spark, d):
+    """Norms as JSON pages in a shared folder, every fiftieth listed in the next year too, read back through the data source."""
+    from lexloom.sources import rest
+
+    n = bridge.norms(spark, d).select("id", "tipo", "numero", "ano", "ementa")
+    listed = n.withColumn("year", F.col("ano")).unionByName(n.filter("id % 50 = 0").withColumn("year", F.col("ano") + 1))
+    size = 500
+    w = W.partitionBy("year").orderBy("id")
+    listed = listed.withColumn("page", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
+    kind = F.when(F.col("id") % 3 != 0, F.struct(F.col("tipo").alias("descricao")))
+    item = F.when(kind.isNull(), F.to_json(F.struct("id", "tipo", "numero", "ano", "ementa"))).otherwise(F.to_json(F.struct("id", kind.alias("tipo"), "numero", "ano", "ementa")))
+    body = F.concat(F.lit('{"count":'), F.count("*").cast("string"), F.lit(',"results":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", item.alias("j")))), lambda x: x["j"]), ","), F.lit("]}"))
+    pages = listed.groupBy("year", "page").agg(body.alias("body")).select(F.concat(F.col("year").cast("string"), F.lit("-"), F.col("page").cast("string"), F.lit(".json")).alias("name"), "body")
+    folder = next(shared_subfolders(spark, "pages"))
+    rest.write_pages(pages, folder)
+    first, last = listed.agg(F.min("year"), F.max("year")).first()
+    return rest.of_years(spark, folder, first, last, size).select("id", "tipo", "numero", "ano", "ementa", "asked")
+
+
+@query
+def appended_events(spark, d):
+    """Events of norms extracted anew, appended: they stand twice."""
+    e = bridge.alteration_events(clauses(spark, d)).select("id", "source_norm_id", "acao")
+    x = mutate.append_events(e, e.filter("source_norm_id % 10 = 0"))
+    return x.groupBy("source_norm_id", "acao").agg(F.count("*").alias("n_events"))
+
+
+@query
+def cascaded_events(spark, d):
+    """Events after the clauses of every tenth norm went."""
+    c = clauses(spark, d)
+    e = bridge.alteration_events(c).select("id", "source_clause_id", "target_clause_id", "target_norm_id")
+    # Where a clause's target is the clause of its own norm, both go; pointing at the clause 100 ids on crosses norms.
+    e = e.withColumn("target_clause_id", F.when(F.col("id") % 2 == 0, F.col("id") + 100).otherwise(F.col("target_clause_id")))
+    return mutate.cascade(e, c.filter("norma_id % 10 = 0"))
+
+
+@query
+def clauses_with_events(spark, d):
+    c = clauses(spark, d)
+    return catalog.with_events(c, bridge.alteration_events(c).filter("acao <> 'REFERENCIA'"))
+
+
+@query
+def consolidated_written(spark, d):
+    """Norms with their consolidated texts and status; norms without clauses fall back to their raw text, where they have one."""
+    c, n = linked(spark, d).filter("norma_id % 6 <> 0"), bridge.norms(spark, d)
+    raw = n.filter("id % 6 = 0 and id % 4 <> 0").select(F.col("id").alias("norma_id"), F.concat(F.lit("Texto original de "), F.col("numero")).alias("raw_text"))
+    texts = consolidate.texts(n, c, bridge.alteration_events(c), STAMP, raw)
+    x = mutate.set_texts(n, texts)
+    return x.select("id", "status", F.md5(F.col("consolidated_text").cast("binary")).alias("text_md5"), F.length("consolidated_text").cast("long").alias("n_chars"))
 
 
 @query
@@ -574,27 +655,23 @@ def event_windows(spark, d):
 
 # Streams
 
-def stream_folders(spark):
-    """A fresh sink and checkpoint in the shared folder that the session names, else in a new local one."""
+def shared_subfolders(spark, *names):
+    """Fresh folders in the one that driver and executors share."""
     import uuid
 
-    root = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp(prefix="lexloom-")
-    return (f"{root.rstrip('/')}/lexloom-{uuid.uuid4().hex}/{x}" for x in ("sink", "check"))
+    root = f"{shared_folder(spark)}/lexloom-{uuid.uuid4().hex}"
+    return (f"{root}/{x}" for x in names)
 
 
 @query
 def stream_upsert(spark, d):
-    """Events as a file stream, deduplicated, upserted per micro-batch; equals the batch count by type."""
+    """Events as a file stream, upserted per micro-batch into a versioned table; equals the batch count by type."""
     from lexloom.streaming import ingest
 
-    sink, check = stream_folders(spark)
-    stream = ingest.deduplicated(ingest.event_stream(spark, d))
-
-    def put(batch, n):
-        batch.select("event_id", "event_type", "value").write.mode("overwrite").parquet(f"{sink}/batch={n}")
-
-    ingest.run_available(stream, put, check)
-    got = spark.read.schema("event_id long, event_type string, value double").option("recursiveFileLookup", "true").parquet(sink)
+    sink, check = shared_subfolders(spark, "sink", "check")
+    stream = ingest.event_stream(spark, d).select("event_id", "ts", "event_type", "value")
+    ingest.run_available(stream, lambda b, n: ingest.upsert_batch(b, n, sink), check)
+    got = ingest.latest_version(spark, sink, "event_id long, ts timestamp, event_type string, value double, v int")
     return got.groupBy("event_type").agg(F.count("*").alias("n_events"), F.round(F.sum(F.col("value").cast("decimal(18,2)")), 2).cast("double").alias("total"))
 
 
@@ -603,7 +680,7 @@ def stream_status(spark, d):
     """Custom state per entity over the event stream; the last update per entity."""
     from lexloom.streaming import ingest
 
-    sink, check = stream_folders(spark)
+    sink, check = shared_subfolders(spark, "sink", "check")
     stream = ingest.event_stream(spark, d).select("ts", F.col("user_id").alias("entity_id"), F.col("event_type").alias("status"))
     ingest.run_available(ingest.status_tracker(stream), lambda b, n: b.withColumn("n", F.lit(n)).write.mode("overwrite").parquet(f"{sink}/batch={n}"), check)
     got = spark.read.schema(T._parse_datatype_string(ingest.STATE_OUT + ", n long")).option("recursiveFileLookup", "true").parquet(sink)

@@ -15,3 +15,15 @@ def local_session(cpus: int = 8, memory: str = "8g", name: str = "lexloom") -> S
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A folder that driver and executors share: spark.checkpoint.dir, else one set by setCheckpointDir, else, where they
+    are one process, a new local one."""
+    import tempfile
+
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", "") or sc.getCheckpointDir()
+    if not named and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return (named or tempfile.mkdtemp(prefix="lexloom-")).rstrip("/")

@@ -10,7 +10,6 @@ from pyspark.sql import Window as W
 
 from lexloom.sources.tables import table
 
-N_VECTORS = 500
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_shipdate", "l_returnflag", "l_linestatus"]
 
 
@@ -64,9 +63,10 @@ def with_parents(c: DataFrame) -> DataFrame:
 
 
 def with_vectors(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
-    """Every seventh clause has no vector. The vector side has N_VECTORS rows, so it is broadcast."""
-    v = table(spark, d, "embeddings").filter(F.col("vec_id") < N_VECTORS).select("vec_id", "embedding")
-    joined = c.withColumn("vec_id", F.col("id") % N_VECTORS).join(F.broadcast(v), "vec_id", "left")
+    """Clauses with the vectors of the whole table, dealt by id; every seventh clause has none."""
+    v = table(spark, d, "embeddings").select("vec_id", "embedding")
+    n = v.count()
+    joined = c.withColumn("vec_id", F.col("id") % n if n else F.lit(None).cast("long")).join(v, "vec_id", "left")
     return joined.withColumn("embedding", F.when(F.col("id") % 7 != 0, F.col("embedding"))).drop("vec_id")
 
 
@@ -95,6 +95,11 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("content"))
 
 
+def cited(m: DataFrame) -> DataFrame:
+    """Messages whose first three words stand for the sources they cite."""
+    return m.withColumn("sources", F.slice(F.split("content", " ", -1), 1, 3))
+
+
 def sessions(m: DataFrame) -> DataFrame:
     """One session per conversation; seven users; the last turn stands for its time."""
     return m.groupBy("session_id").agg(F.max("turn").alias("updated_at")).withColumn("user_id", F.col("session_id") % 7).withColumn(
@@ -103,12 +108,17 @@ def sessions(m: DataFrame) -> DataFrame:
 
 
 def payloads(spark: SparkSession, d: str) -> DataFrame:
-    """JSON of the REST shape; the kind is nested in two rows of three and one row in eleven has no id."""
+    """JSON of the REST shape; the kind is nested in two rows of three, one row in eleven has no id, some dates are malformed
+    and some are well formed but do not exist."""
     n = norms(spark, d)
-    when = F.when(F.col("id") % 10 == 9, F.lit("not a date")).otherwise(F.date_format("data_publicacao", "yyyy-MM-dd"))
-    flat = F.to_json(F.struct(F.when(F.col("id") % 11 != 0, F.col("id")).alias("id"), F.col("tipo"), F.col("numero"), F.col("ano"), when.alias("data")))
-    deep = F.to_json(F.struct(F.when(F.col("id") % 11 != 0, F.col("id")).alias("id"), F.struct(F.col("tipo").alias("descricao")).alias("tipo"), F.col("numero"), F.col("ano"), when.alias("data")))
-    return n.select(F.col("id").alias("arrival"), F.when(F.col("id") % 3 == 0, flat).otherwise(deep).alias("value"))
+    when = F.when(F.col("id") % 10 == 9, F.lit("not a date")).when(F.col("id") % 10 == 8, F.lit("2001-02-30")).otherwise(F.date_format("data_publicacao", "yyyy-MM-dd"))
+    kind = F.when(F.col("id") % 3 == 0, F.to_json(F.struct("tipo"))).otherwise(F.to_json(F.struct(F.struct(F.col("tipo").alias("descricao")).alias("tipo"))))
+    rest = F.to_json(F.struct(
+        F.when(F.col("id") % 11 != 0, F.col("id")).alias("id"), "numero", "ano", when.alias("data"), F.date_format("data_vigencia", "yyyy-MM-dd").alias("data_vigencia"),
+        "ementa", F.when(F.col("id") % 4 == 0, F.lit("sem observação")).alias("observacao"), F.col("pdf_url").alias("texto_integral"),
+    ))
+    both = F.concat(F.substring(kind, F.lit(1), F.length(kind) - 1), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))
+    return n.select(F.col("id").alias("arrival"), both.alias("value"))
 
 
 def status_log(spark: SparkSession, d: str) -> DataFrame:
