@@ -47,12 +47,18 @@ def reference(tipo, numero, hit, confidence, law_tipo=None, law_numero=None, law
     )
 
 
+def alone(pattern: str) -> str:
+    """The pattern for one of its matches without what surrounds it: the groups are those that it had there, the word
+    boundary before it, which may be another character's, is not asked for again."""
+    return "(?iuU)^" + pattern.removeprefix("(?iuU)\\b")
+
+
 def references(context: Column) -> Column:
     """References within a context, kind by kind, as an array of structs."""
     hits = lambda p: F.regexp_extract_all(context, F.lit(p), F.lit(0))
 
-    def law(h):  # a hit read alone has the groups that it had in its context
-        kind, n, y = (F.regexp_extract(h, LAW, g) for g in (1, 2, 3))
+    def law(h):
+        kind, n, y = (F.regexp_extract(h, alone(LAW), g) for g in (1, 2, 3))
         dated, kind = y != "", F.trim(kind)
         number = F.when(dated, F.concat(n, F.lit("/"), y)).otherwise(n)
         return reference(F.lower(kind), number, h, F.when(dated, 0.9).otherwise(0.7), F.when(dated, kind), F.when(dated, n), F.when(dated, y))
@@ -60,7 +66,7 @@ def references(context: Column) -> Column:
     found = [F.transform(hits(LAW), law), F.transform(hits(SELF), lambda h: reference(F.lit("self_reference"), F.lit(""), h, F.lit(0.95)))]
 
     def element(name, pattern, g):
-        return lambda h: reference(F.lit(name), F.trim(F.regexp_extract(h, pattern, g)), h, F.lit(0.9))
+        return lambda h: reference(F.lit(name), F.trim(F.regexp_extract(h, alone(pattern), g)), h, F.lit(0.9))
 
     return F.concat(*found, *[F.transform(hits(pattern), element(name, pattern, g)) for name, pattern, g in ELEMENTS])
 

@@ -420,7 +420,7 @@ def vector_query_set(spark, d):
 def ivf_query_set(spark, d):
     """The same queries through cells trained on a bounded sample; recall is tested against brute force."""
     v = table(spark, d, "embeddings")
-    return search.probe_queries(v, v.filter("vec_id % 100 = 0"), search.train_cells(v, 16), 8)
+    return search.probe_queries(v, v.filter("vec_id % 100 = 0"), search.train_cells(v, 16), 13)
 
 
 def looked_up(spark, d):
