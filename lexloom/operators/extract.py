@@ -7,8 +7,10 @@ from lexloom.functions.patterns import ACTIONS, ELEMENTS, LAW, SELF
 
 
 def any_of(patterns) -> str:
-    """One pattern for texts that any of some case-insensitive patterns is in; each match is one of theirs, since they never overlap."""
-    return "(?iuU)" + "|".join(f"(?:{p.removeprefix('(?iuU)')})" for p in patterns)
+    """One pattern for texts that any of some patterns of whole words is in, so that a place inside a word is passed over at
+    once; each match is one of theirs, since they never overlap."""
+    inner = [p.removeprefix("(?iuU)\\b").removesuffix("\\b") for p in patterns]
+    return f"(?iuU)\\b(?:{'|'.join(inner)})\\b"
 
 
 def matches(text: Column, pattern: str) -> Column:
