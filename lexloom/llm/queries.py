@@ -124,3 +124,22 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
  sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
  CAST(sum(length('<|turn|>') + length(replace({_ESCAPED.format('role')}, chr(10), '\\n')) + 1 + length({_ESCAPED.format('text')}) + length('<|end|>') + 1) AS BIGINT) AS formatted_chars
 FROM r GROUP BY conv_id"""
+
+# Runs of 50 words or more: the shortest from each line on and up to each line; a run that an earlier (doc_id, line) shows, goes.
+ORACLE["op3_suffix_array_lines"] = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ln FROM documents),
+k AS (SELECT doc_id, ln, line, trim(line, ' ') AS key, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS w FROM l),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY ln) AS c1 FROM k),
+often AS (SELECT key FROM c GROUP BY 1 HAVING count(*) > 1), m AS (SELECT * FROM c WHERE key IN (SELECT key FROM often)),
+runs AS (SELECT b.doc_id, b.ln AS b, min(e.ln) AS e FROM m b JOIN c e ON e.doc_id = b.doc_id AND e.ln >= b.ln AND e.c1 - b.c1 + b.w >= 50 GROUP BY 1, 2
+ UNION SELECT e.doc_id, max(b.ln), e.ln FROM m e JOIN c b ON e.doc_id = b.doc_id AND e.ln >= b.ln AND e.c1 - b.c1 + b.w >= 50 GROUP BY 1, 3),
+said AS (SELECT r.doc_id, r.b, r.e, list(c.key ORDER BY c.ln) AS lines FROM runs r JOIN c ON c.doc_id = r.doc_id AND c.ln BETWEEN r.b AND r.e GROUP BY 1, 2, 3),
+ranked AS (SELECT doc_id, b, e, min((doc_id, b)) OVER (PARTITION BY lines) AS first_ FROM said),
+gone AS (SELECT DISTINCT doc_id, unnest(range(b, e + 1)) AS ln FROM ranked WHERE (doc_id, b) > first_),
+kept AS (SELECT c.doc_id, count(*) AS n_lines, count(g.ln) AS n_removed, string_agg(line, chr(10) ORDER BY c.ln) FILTER (g.ln IS NULL) AS t FROM c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.ln = c.ln GROUP BY 1)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(t, '') END AS text, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed FROM documents d LEFT JOIN kept k ON k.doc_id = d.doc_id"""
+# Every pair of vectors, and what links reach.
+ORACLE["op8_sorted_projections"] = """WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM link GROUP BY 1)
+SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""

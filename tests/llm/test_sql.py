@@ -5,7 +5,7 @@ from compare import difference, duck
 
 pytest.importorskip("lexloom.llm")
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 
 
 def test_queries_equal_their_sql(spark):
