@@ -69,24 +69,24 @@ def ingest_projection(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected) of JSON payloads. The kind may be a string or an object with a description; fields that are not there are
     empty; malformed dates give null. A payload without id, or with a well-formed date that does not exist, is rejected and
     says why. The full text field is the text and the address of the file."""
-    j = lambda p: F.get_json_object("value", p)
-    text = lambda p: F.coalesce(j(p), F.lit(""))
-
-    def date(p):
-        well = F.coalesce(j(p), F.lit("")).rlike(r"^\d{4}-\d{2}-\d{2}$")
-        return F.when(well, F.expr(f"try_to_date(get_json_object(value, '{p}'), 'yyyy-MM-dd')")), well
-
-    (published, p_ok), (in_force, v_ok) = date("$.data"), date("$.data_vigencia")
-    impossible = (p_ok & published.isNull()) | (v_ok & in_force.isNull())
-    x = payloads.select(
-        "arrival", F.expr("nullif(try_cast(get_json_object(value, '$.id') as bigint), 0)").alias("id"), F.coalesce(j("$.tipo.descricao"), j("$.tipo"), F.lit("")).alias("tipo"),
-        text("$.numero").alias("numero"), F.expr("try_cast(get_json_object(value, '$.ano') as bigint)").alias("ano"), text("$.ementa").alias("ementa"),
-        text("$.observacao").alias("observacao"), published.alias("published"), in_force.alias("in_force"), text("$.texto_integral").alias("texto_integral"),
-        text("$.texto_integral").alias("pdf_url"), F.concat(F.lit("http://norms/"), j("$.id")).alias("page_url"), impossible.alias("_bad"),
+    fields = ["id", "tipo", "numero", "ano", "data", "data_vigencia", "ementa", "observacao", "texto_integral"]
+    x = payloads.select("arrival", F.from_json("value", ", ".join(f"{c} string" for c in fields)).alias("j")).select("arrival", "j.*")  # parsed once
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+
+    def date(c):
+        well = text(c).rlike(r"^\d{4}-\d{2}-\d{2}$")
+        return F.when(well, F.expr(f"try_to_date({c}, 'yyyy-MM-dd')")), well
+
+    (published, p_ok), (in_force, v_ok) = date("data"), date("data_vigencia")
+    ident = F.expr("nullif(try_cast(id as bigint), 0)")
+    kind = F.when(F.startswith("tipo", F.lit("{")), F.get_json_object("tipo", "$.descricao")).otherwise(F.col("tipo"))
+    why = F.when(ident.isNull(), "missing id").when((p_ok & published.isNull()) | (v_ok & in_force.isNull()), "impossible date")
+    x = x.select(
+        "arrival", ident.alias("id"), F.coalesce(kind, F.lit("")).alias("tipo"), text("numero").alias("numero"), F.expr("try_cast(ano as bigint)").alias("ano"),
+        text("ementa").alias("ementa"), text("observacao").alias("observacao"), published.alias("published"), in_force.alias("in_force"), text("texto_integral").alias("texto_integral"),
+        text("texto_integral").alias("pdf_url"), F.concat(F.lit("http://norms/"), F.col("id")).alias("page_url"), why.alias("reason"),
     )
-    why = F.when(F.col("id").isNull(), "missing id").when(F.col("_bad"), "impossible date")
-    x = x.withColumn("reason", why)
-    return x.filter("reason is null").drop("_bad", "reason"), x.filter("reason is not null").drop("_bad")
+    return x.filter("reason is null").drop("reason"), x.filter("reason is not null")
 
 
 def latest_status(log: DataFrame) -> DataFrame:
