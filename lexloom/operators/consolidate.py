@@ -35,12 +35,11 @@ def lines(clauses: DataFrame, events: DataFrame, norms: DataFrame) -> DataFrame:
 
 def statistics(clauses: DataFrame, events: DataFrame) -> DataFrame:
     """Per norm: clauses, distinct clauses that its events revoke and alter, events whose target norm it is."""
-    e = events.filter("target_norm_id is not null").withColumnRenamed("target_norm_id", "norma_id")
-    hits = e.groupBy("norma_id").agg(
-        F.count_distinct(F.when(F.col("acao") == "REVOGA", F.col("target_clause_id"))).alias("n_revoked"),
-        F.count_distinct(F.when(F.col("acao") == "ALTERA", F.col("target_clause_id"))).alias("n_altered"),
-        F.count("*").alias("n_events"),
+    named = F.col("target_clause_id").isNotNull()
+    per = events.filter("target_norm_id is not null").groupBy(F.col("target_norm_id").alias("norma_id"), "target_clause_id").agg(
+        F.max((named & (F.col("acao") == "REVOGA")).cast("int")).alias("r"), F.max((named & (F.col("acao") == "ALTERA")).cast("int")).alias("a"), F.count("*").alias("n"),
     )
+    hits = per.groupBy("norma_id").agg(F.sum("r").alias("n_revoked"), F.sum("a").alias("n_altered"), F.sum("n").alias("n_events"))
     n = clauses.groupBy("norma_id").agg(F.count("*").alias("n_clauses"))
     return n.join(hits, "norma_id", "left").fillna(0, ["n_revoked", "n_altered", "n_events"])
 

@@ -21,20 +21,20 @@ def paths(clauses: DataFrame, flag: str | None = None) -> DataFrame:
     label = clause_label(F.col("tipo"), F.col("numero"))
     node = F.struct(F.col("ordem").alias("ordem"), F.col("parent_ordem").alias("up"), label.alias("label"), marked.alias("flag"))
     past = W.partitionBy("norma_id").orderBy("ordem").rowsBetween(W.unboundedPreceding, -1)
-    open_ = [f"_{k}" for k in ("artigo", "paragrafo", "inciso")]
     x = clauses.withColumns({f"_{k}": F.last(F.when(F.col("tipo") == k, node), ignorenulls=True).over(past) for k in ("artigo", "paragrafo", "inciso")})
-
-    def above(ordem):
-        return F.coalesce(*[F.when(F.col(c)["ordem"] == ordem, F.col(c)) for c in open_])
-
-    for name, of in (("_1", "parent_ordem"), ("_2", "_1.up"), ("_3", "_2.up")):
-        x = x.withColumn(name, above(F.col(of)))
-    chain = [F.col(c) for c in ("_3", "_2", "_1")]
+    # From the lowest up: an open clause is an ancestor if what is below it points at it.
+    chain, below = [], F.col("parent_ordem")
+    for c in (F.col("_inciso"), F.col("_paragrafo"), F.col("_artigo")):
+        is_it = F.coalesce(c["ordem"] == below, F.lit(False))
+        chain.insert(0, F.when(is_it, c))
+        below = F.when(is_it, c["up"]).otherwise(below)
+    x = x.select("*", *[c.alias(f"_{i}") for i, c in enumerate(chain)])
+    chain = [F.col(f"_{i}") for i in range(3)]
     x = x.withColumn("ancestors", F.array_compact(F.array(*[c["ordem"] for c in chain], F.col("ordem"))))
     x = x.withColumn("path", F.concat_ws(" > ", *[c["label"] for c in chain], label)).withColumn("depth", (F.size("ancestors") - 1).cast("long"))
     if flag is not None:
         x = x.withColumn("under", F.coalesce(*[F.when(c["flag"], F.lit(True)) for c in chain], F.lit(False)))
-    return x.drop("_1", "_2", "_3", *open_)
+    return x.drop("_0", "_1", "_2", "_artigo", "_paragrafo", "_inciso")
 
 
 def paths_of_any_depth(clauses: DataFrame, most: int = 64) -> DataFrame:
