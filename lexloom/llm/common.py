@@ -68,6 +68,18 @@ def n_words(c: Column) -> Column:
     return F.regexp_count(c, F.lit(WORD)).cast("long")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: list[str], count: str = "n", hot: int = 1000) -> DataFrame:
+    """Rows (kept) with the row of their group (kept; ``count``: how many rows it has).
+
+    Groups with more than one in ``hot`` of all rows, fewer than ``hot`` of them, are broadcast, so that none is one task.
+    """
+    total = groups.agg(F.sum(count)).first()[0] or 0
+    is_hot = F.col(count) * hot > total
+    big = F.broadcast(groups.filter(is_hot))
+    rest = rows.join(big.select(*key), key, "left_anti").join(groups.filter(~is_hot), key)
+    return rows.join(big, key).unionByName(rest).drop(count)
+
+
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest index that each of n vertices reaches."""
     label = np.arange(n)

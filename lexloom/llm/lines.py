@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.llm.common import keep, n_words, named, text_of
+from lexloom.llm.common import join_groups, keep, n_words, named, text_of
 
 KEY = ["d", "t"]
 HOT = 1000  # a line with more than one in so many of all lines is hot: fewer than HOT ids are broadcast
@@ -133,10 +133,10 @@ def intervals(x: DataFrame, min_words: int) -> DataFrame:
 
 def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
     """(d, t, gone): the line numbers to delete of each document that repeats an earlier run."""
-    runs = intervals(islands(docs, min_words), min_words)
+    runs = keep(intervals(islands(docs, min_words), min_words))
     interval, here = ["m", "i1", "p1", "i2", "p2"], F.struct("d", "t", "b")
-    first = runs.groupBy(*interval).agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    later = runs.join(first, interval).filter(F.col("first") < here)
+    first = keep(runs.groupBy(*interval).agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1"))
+    later = join_groups(runs, first, interval).filter(F.col("first") < here)
     lines = later.select(*KEY, F.explode(F.sequence(F.col("b"), F.col("b") + F.col("m") - 1)).alias("ln"))
     return lines.groupBy(*KEY).agg(F.sort_array(F.collect_set("ln")).alias("gone"))
 
