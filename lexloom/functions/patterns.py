@@ -31,3 +31,13 @@ ELEMENTS = [
     ("inciso", r"(?iuU)\binciso\s+([IVXLCDM]+|\d+)", 1),
     ("alinea", r"(?iuU)\bal[íi]nea\s+([a-z])\)", 1),
 ]
+
+# Stems, upper-cased, that a match of an action holds; REFERENCIA has all others.
+STEMS = {
+    "REVOGA": ["REVOG"], "ALTERA": ["ALTER", "MODIFIC"], "ADICIONA": ["ADICION", "ACRESCEN", "INCLUI"], "SUBSTITUI": ["SUBSTITU"],
+    "REGULAMENTA": ["REGULAMENTA", "DISCIPLINA"],
+}
+# What a text must hold, upper-cased, to match at all.
+HINTS = {
+    "law": ["LEI", "LC", "DECRETO", "RESOLU"], "self": ["LEI", "DECRETO", "RESOLU"], "artigo": ["ART"], "paragrafo": ["§", "¶", "GRAFO"], "inciso": ["INCISO"], "alinea": ["NEA"],
+}

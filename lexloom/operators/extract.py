@@ -1,9 +1,12 @@
 """Alteration events in clause texts: actions with offsets, references near them."""
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexloom.functions.patterns import ACTIONS, ELEMENTS, LAW, SELF
+from lexloom.functions.patterns import ACTIONS, ELEMENTS, HINTS, LAW, SELF, STEMS
 
 
 def any_of(patterns) -> str:
@@ -34,11 +37,16 @@ def action_mentions(clauses: DataFrame, text: str = "texto") -> DataFrame:
     """One row per action match, all actions: adds acao, start, hit. Texts without any are passed over by one search."""
     whole = any_of(ACTIONS.values())
     x = clauses.filter(F.col(text).rlike(whole)).withColumn("_m", F.explode(matches(F.col(text), whole))).select("*", "_m.*").drop("_m")
-    name = F.lit(None).cast("string")
-    for acao, pattern in reversed(ACTIONS.items()):
-        name = F.when(F.col("hit").rlike(pattern), acao).otherwise(name)
-    own = [c for c in clauses.columns]
-    return x.withColumn("acao", name).select(*own, "acao", "start", "hit")
+    return x.withColumn("acao", action_of(F.upper("hit"))).select(*clauses.columns, "acao", "start", "hit")
+
+
+def action_of(hit: Column) -> Column:
+    """The action whose pattern an upper-cased match is of, told by the stem it holds; the last action takes the rest."""
+    name = F.lit(list(ACTIONS)[-1])
+    for acao, stems in reversed(STEMS.items()):
+        has = [F.contains(hit, F.lit(s)) for s in stems]
+        name = F.when(reduce(or_, has), acao).otherwise(name)
+    return name
 
 
 def reference(tipo, numero, hit, confidence, law_tipo=None, law_numero=None, law_ano=None) -> Column:
@@ -55,9 +63,14 @@ def alone(pattern: str) -> str:
     return "(?iuU)^" + pattern.removeprefix("(?iuU)\\b")
 
 
-def references(context: Column) -> Column:
-    """References within a context, kind by kind, as an array of structs."""
-    hits = lambda p: F.regexp_extract_all(context, F.lit(p), F.lit(0))
+def references(context: Column, upper: Column) -> Column:
+    """References within a context, kind by kind, as an array of structs. A kind is searched for only where the upper-cased
+    context holds one of its hints."""
+    none = F.array().cast("array<string>")
+
+    def hits(kind, pattern):
+        may = reduce(or_, [F.contains(upper, F.lit(h)) for h in HINTS[kind]])
+        return F.when(may, F.regexp_extract_all(context, F.lit(pattern), F.lit(0))).otherwise(none)
 
     def law(h):
         kind, n, y = (F.regexp_extract(h, alone(LAW), g) for g in (1, 2, 3))
@@ -65,12 +78,12 @@ def references(context: Column) -> Column:
         number = F.when(dated, F.concat(n, F.lit("/"), y)).otherwise(n)
         return reference(F.lower(kind), number, h, F.when(dated, 0.9).otherwise(0.7), F.when(dated, kind), F.when(dated, n), F.when(dated, y))
 
-    found = [F.transform(hits(LAW), law), F.transform(hits(SELF), lambda h: reference(F.lit("self_reference"), F.lit(""), h, F.lit(0.95)))]
+    found = [F.transform(hits("law", LAW), law), F.transform(hits("self", SELF), lambda h: reference(F.lit("self_reference"), F.lit(""), h, F.lit(0.95)))]
 
     def element(name, pattern, g):
         return lambda h: reference(F.lit(name), F.trim(F.regexp_extract(h, alone(pattern), g)), h, F.lit(0.9))
 
-    return F.concat(*found, *[F.transform(hits(pattern), element(name, pattern, g)) for name, pattern, g in ELEMENTS])
+    return F.concat(*found, *[F.transform(hits(name, pattern), element(name, pattern, g)) for name, pattern, g in ELEMENTS])
 
 
 def events(clauses: DataFrame, text: str = "texto", reach: int = 200, least: int = 20) -> DataFrame:
@@ -78,7 +91,7 @@ def events(clauses: DataFrame, text: str = "texto", reach: int = 200, least: int
     without any keeps the start of its context as target. Texts under ``least`` characters are skipped."""
     acts = action_mentions(clauses.filter(F.length(F.trim(text)) >= least), text)
     acts = acts.withColumn("context", F.expr(f"substring({text}, start + 1, length(hit) + {reach})"))
-    rows = acts.withColumn("r", F.explode_outer(references(F.col("context")))).select("*", "r.*").drop("r")
+    rows = acts.withColumn("_u", F.upper("context")).withColumn("r", F.explode_outer(references(F.col("context"), F.col("_u")))).select("*", "r.*").drop("r", "_u")
     alone = F.col("ref_tipo").isNull()
     return (
         rows.withColumn("target_text", F.substring(F.when(alone, F.substring("context", 1, 100)).otherwise(F.col("ref_text")), 1, 500))

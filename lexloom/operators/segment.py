@@ -14,7 +14,15 @@ from lexloom.functions.text import clean_text
 
 REACH = 4  # stretches that open with a word, a number, a dash and what follows
 BEFORE = 5  # stretches of two characters or more, ten in all
-OPENS = r"(?iuU)^(art|§|par|[IVX]|[a-z]\)|\d)"
+
+
+def opens(x: Column) -> dict[str, Column]:
+    """Which kind a stretch may open, by its first characters; the first that holds is meant. Digits may be of any script."""
+    first, three = F.substring(x, 1, 1), F.upper(F.substring(x, 1, 3))
+    return {
+        "artigo": three == "ART", "paragrafo": first == "§", "paragrafo_unico": three == "PAR", "inciso": first.isin("I", "V", "X"),
+        "alinea": F.substring(x, 2, 1) == ")", "item": first.between("0", "9") | ~first.between(" ", "~"),
+    }
 
 
 def markers(stretches: Column) -> Column:
@@ -22,14 +30,13 @@ def markers(stretches: Column) -> Column:
 
     def one(x: Column, i: Column) -> Column:
         rest = F.array_join(F.slice(stretches, i + 1, REACH), "\n")
-        kinds = [F.struct(F.lit(k).alias("kind"), F.regexp_extract(rest, p, 0).alias("marker"), F.regexp_extract(rest, p, 1).alias("numero")) for k, p in MARKERS.items()]
-        none = F.lit(None).cast("struct<kind:string,marker:string,numero:string>")
-        hit = none
-        for k in reversed(kinds):
-            hit = F.when(k["marker"] != "", k).otherwise(hit)
-        return F.struct(i.alias("i"), F.when(x.rlike(OPENS), hit).alias("m"))
+        hit = F.lit(None).cast("struct<kind:string,marker:string,numero:string>")
+        for kind, may in reversed(opens(x).items()):
+            p = MARKERS[kind]
+            hit = F.when(may, F.struct(F.lit(kind).alias("kind"), F.regexp_extract(rest, p, 0).alias("marker"), F.regexp_extract(rest, p, 1).alias("numero"))).otherwise(hit)
+        return F.struct(i.alias("i"), hit.alias("m"))
 
-    return F.filter(F.transform(stretches, one), lambda x: x["m"].isNotNull())
+    return F.filter(F.transform(stretches, one), lambda x: F.coalesce(x["m"]["marker"] != "", F.lit(False)))
 
 
 def scanned(texts: DataFrame, key: str, text: str) -> DataFrame:
@@ -43,28 +50,29 @@ def marker_scan(texts: DataFrame, key: str = "norma_id", text: str = "raw_text")
 
     ``texto`` reaches from the marker's end to the next marker, whatever its kind, and is never negative; ``end_pos`` is
     the marker's end plus the length of ``texto``, which is shorter than the slice where cleaning took something out;
-    ``dated`` says that the ten characters before look like a date.
+    ``dated`` says that the ten characters before an incise look like a date.
     """
     size = F.size("_s")
 
     def row(f: Column, k: Column) -> Column:
         after = F.coalesce(F.get(F.col("_f"), k + 1)["i"], size)
         slice_ = F.array_join(F.slice("_s", f["i"] + 1, after - f["i"]), "\n")
-        before = F.when(f["i"] > 0, F.right(F.concat(F.array_join(F.slice("_s", F.greatest(f["i"] - BEFORE, F.lit(0)) + 1, F.least(f["i"], F.lit(BEFORE))), "\n"), F.lit("\n")), F.lit(10))).otherwise("")
-        # Characters up to this marker since the one before it; a running sum gives positions.
-        start = F.coalesce(F.get(F.col("_f"), k - 1)["i"], F.lit(0))
-        gap = F.length(F.array_join(F.slice("_s", start + 1, f["i"] - start), "\n")) + F.when(f["i"] > start, 1).otherwise(0)
+        before = F.array_join(F.slice("_s", F.greatest(f["i"] - BEFORE, F.lit(0)) + 1, F.least(f["i"], F.lit(BEFORE))), "\n")
         return F.struct(
-            f["m"]["kind"].alias("kind"), f["m"]["marker"].alias("marker"), f["m"]["numero"].alias("numero"), gap.alias("gap"),
-            (F.length(slice_) + F.when(after < size, 1).otherwise(0)).alias("width"), F.substring(slice_, F.length(f["m"]["marker"]) + 1, F.length(slice_)).alias("body"), before.alias("before"),
+            f["m"]["kind"].alias("kind"), f["m"]["marker"].alias("marker"), f["m"]["numero"].alias("numero"), slice_.alias("slice"), F.when(after < size, 1).otherwise(0).alias("more"),
+            # What stands before the first marker; before the others, the slices of those that precede.
+            F.when((k == 0) & (f["i"] > 0), F.length(F.array_join(F.slice("_s", 1, f["i"]), "\n")) + 1).otherwise(0).alias("lead"),
+            F.when((f["m"]["kind"] == "inciso") & (f["i"] > 0), F.right(F.concat(before, F.lit("\n")), F.lit(10))).alias("before"),
         )
 
-    # Within a norm, the gaps of the markers before add up.
     x = scanned(texts, key, text).select(key, F.posexplode(F.transform("_f", row)).alias("n", "r")).select(key, "n", "r.*")
-    upto = W.partitionBy(key).orderBy("n").rowsBetween(W.unboundedPreceding, 0)
-    x = x.withColumn("pos", F.sum("gap").over(upto).cast("long")).withColumn("texto", clean_text(F.col("body")))
+    x = x.withColumn("width", F.length("slice") + F.col("more"))
+    w = W.partitionBy(key).orderBy("n")
+    past = F.coalesce(F.sum("width").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    x = x.withColumn("pos", (past + F.max("lead").over(w.rowsBetween(W.unboundedPreceding, 0))).cast("long"))
+    x = x.withColumn("texto", clean_text(F.substring(F.col("slice"), F.length("marker") + 1, F.length("slice"))))
     x = x.withColumn("marker_end", F.col("pos") + F.length("marker")).withColumn("slice_end", F.col("pos") + F.col("width"))
-    x = x.withColumn("end_pos", F.col("marker_end") + F.length("texto")).withColumn("dated", F.col("before").rlike(r"\d{4}|\d{1,2}/\d{1,2}"))
+    x = x.withColumn("end_pos", F.col("marker_end") + F.length("texto")).withColumn("dated", F.coalesce(F.col("before").rlike(r"\d{4}|\d{1,2}/\d{1,2}"), F.lit(False)))
     return x.select(key, "pos", "kind", "numero", "marker", "marker_end", "texto", "slice_end", "end_pos", "dated")
 
 
