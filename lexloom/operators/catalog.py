@@ -18,7 +18,7 @@ def search(norms: DataFrame, q: str | None = None, status: str | None = None, st
 
 def card(norms: DataFrame) -> DataFrame:
     summary = F.when(has_text(F.col("ementa")), F.substring("ementa", 1, 200))
-    return norms.select("id", "tipo", "numero", F.col("ano").cast("long").alias("ano"), summary.alias("ementa"), "status", F.date_format("data_publicacao", "yyyy-MM-dd").alias("published"))
+    return norms.select("id", "tipo", "numero", F.col("ano").cast("long").alias("ano"), summary.alias("ementa"), "status", F.date_format("data_publicacao", "yyyy-MM-dd").alias("published"), F.concat(F.lit("/normas/"), F.col("id").cast("string"), F.lit("/")).alias("url"))
 
 
 def default_order(norms: DataFrame) -> DataFrame:
@@ -56,6 +56,22 @@ def with_events(clauses: DataFrame, events: DataFrame) -> DataFrame:
     return x.groupBy("norma_id").agg(F.count("*").alias("n_clauses"), F.count("_n").alias("n_with_events"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n_events"))
 
 
+def statistics(norms: DataFrame, clauses: DataFrame, events: DataFrame, texts: DataFrame) -> DataFrame:
+    """(id, n_clauses, n_events, n_chars, has_original, has_consolidated) of every norm: events are those it receives, characters those of
+    its consolidated text (``texts``: norma_id, text), the original is its file."""
+    c = clauses.groupBy(F.col("norma_id").alias("id")).agg(F.count("*").alias("n_clauses"))
+    e = events.filter("target_norm_id is not null").groupBy(F.col("target_norm_id").alias("id")).agg(F.count("*").alias("n_events"))
+    t = texts.select(F.col("norma_id").alias("id"), F.length("text").cast("long").alias("n_chars"))
+    x = norms.select("id", has_text(F.col("pdf_path")).alias("has_original")).join(c, "id", "left").join(e, "id", "left").join(t, "id", "left")
+    x = x.fillna(0, ["n_clauses", "n_events", "n_chars"])
+    return x.select("id", "n_clauses", "n_events", "n_chars", "has_original", (F.col("n_chars") > 0).alias("has_consolidated"))
+
+
+def search_fields(df: DataFrame, q: str, *cols: str) -> DataFrame:
+    """Rows in which any of the columns holds the text, whatever the case."""
+    return df.filter(contains_ci(q, *[F.col(c) for c in cols]))
+
+
 def facet(df: DataFrame, *cols: str) -> DataFrame:
     return df.groupBy(*cols).agg(F.count("*").alias("n_rows"))
 

@@ -17,12 +17,13 @@ def with_norm(clauses: DataFrame, norms: DataFrame) -> DataFrame:
 
 
 def event_chain(events: DataFrame, clauses: DataFrame, norms: DataFrame) -> DataFrame:
-    """Event with source clause, source norm and, where there is one, target clause."""
+    """Event with source clause, source norm and, where there are, target clause and target norm."""
     name = clause_label(F.col("tipo"), F.col("numero"))
     src = clauses.select(F.col("id").alias("source_clause_id"), name.alias("source_label"))
     tgt = clauses.select(F.col("id").alias("target_clause_id"), name.alias("target_label"), F.col("norma_id").alias("target_owner"))
     n = norms.select(F.col("id").alias("source_norm_id"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("source_norm"))
-    return events.join(src, "source_clause_id").join(n, "source_norm_id").join(tgt, "target_clause_id", "left")
+    to = n.withColumnsRenamed({"source_norm_id": "target_norm_id", "source_norm": "target_norm"})
+    return events.join(src, "source_clause_id").join(n, "source_norm_id").join(tgt, "target_clause_id", "left").join(to, "target_norm_id", "left")
 
 
 def touching(chain: DataFrame, norm_id: int) -> DataFrame:

@@ -92,8 +92,8 @@ WRITTEN = CONSOLIDATED.replace("FROM lineitem)", "FROM lineitem WHERE l_orderkey
 SELECT n.id, CASE WHEN d.norma_id IS NOT NULL THEN 'consolidated' ELSE n.status END AS status, md5(consolidated_text) AS text_md5, length(consolidated_text) AS n_chars FROM norms n LEFT JOIN done d ON d.norma_id = n.id"""
 
 ORACLE: dict[str, str] = {
-    "norm_list_search": W_ + NORMS + " SELECT id, tipo, numero, CAST(ano AS BIGINT) AS ano, left(ementa,200) AS ementa, status, strftime(pub,'%Y-%m-%d') AS published FROM norms WHERE status='consolidated' AND (contains(upper(ementa),'URGENT') OR contains(upper(numero),'URGENT') OR contains(upper(tipo),'URGENT')) ORDER BY norms.ano DESC, numero DESC, id LIMIT 50",
-    "norm_list_page": W_ + NORMS + ", f AS (SELECT * FROM norms WHERE status IN ('segmented','entities_extracted') AND (contains(ementa,'9') OR contains(numero,'9') OR contains(tipo,'9'))), n AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*)/20.0) AS BIGINT)) AS n_pages FROM f), r AS (SELECT *, row_number() OVER (ORDER BY ano DESC, numero DESC, id) AS rn FROM f) SELECT id, tipo, numero, CAST(ano AS BIGINT) AS ano, left(ementa,200) AS ementa, status, strftime(pub,'%Y-%m-%d') AS published, total, n_pages, least(3,n_pages) < n_pages AS has_next, least(3,n_pages) > 1 AS has_prev FROM r, n WHERE rn > (least(3,n_pages)-1)*20 AND rn <= least(3,n_pages)*20",
+    "norm_list_search": W_ + NORMS + " SELECT id, tipo, numero, CAST(ano AS BIGINT) AS ano, left(ementa,200) AS ementa, status, strftime(pub,'%Y-%m-%d') AS published, '/normas/' || id || '/' AS url FROM norms WHERE status='consolidated' AND (contains(upper(ementa),'URGENT') OR contains(upper(numero),'URGENT') OR contains(upper(tipo),'URGENT')) ORDER BY norms.ano DESC, numero DESC, id LIMIT 50",
+    "norm_list_page": W_ + NORMS + ", f AS (SELECT * FROM norms WHERE status IN ('segmented','entities_extracted') AND (contains(ementa,'9') OR contains(numero,'9') OR contains(tipo,'9'))), n AS (SELECT count(*) AS total, greatest(1, CAST(ceil(count(*)/20.0) AS BIGINT)) AS n_pages FROM f), r AS (SELECT *, row_number() OVER (ORDER BY ano DESC, numero DESC, id) AS rn FROM f) SELECT id, tipo, numero, CAST(ano AS BIGINT) AS ano, left(ementa,200) AS ementa, status, strftime(pub,'%Y-%m-%d') AS published, '/normas/' || id || '/' AS url, total, n_pages, least(3,n_pages) < n_pages AS has_next, least(3,n_pages) > 1 AS has_prev FROM r, n WHERE rn > (least(3,n_pages)-1)*20 AND rn <= least(3,n_pages)*20",
     "status_histogram": W_ + NORMS + " SELECT status, count(*) AS n_norms FROM norms GROUP BY 1",
     "embedding_coverage": W_ + VECTORS + " SELECT count(*) AS total, count(embedding) AS with_embedding, round(100.0*count(embedding)/count(*),1) AS percent FROM vclauses",
     "clause_type_pivot": W_ + CLAUSES + " SELECT norma_id, count(*) FILTER (tipo='artigo') AS artigo, count(*) FILTER (tipo='paragrafo') AS paragrafo, count(*) FILTER (tipo='inciso') AS inciso, count(*) FILTER (tipo='alinea') AS alinea FROM clauses GROUP BY 1",
@@ -101,6 +101,8 @@ ORACLE: dict[str, str] = {
     "facet_year_month_rollup": "SELECT year(o_orderdate) AS y, month(o_orderdate) AS m, count(*) AS n_norms FROM orders GROUP BY ROLLUP (1, 2)",
     "admin_facets": W_ + NORMS + " SELECT tipo, status, count(*) AS n_rows FROM norms GROUP BY 1, 2",
     "norm_detail_nested": W_ + NORMS + ", " + VECTORS + f", g AS (SELECT norma_id, string_agg(ordem || ':' || {label()} || CASE WHEN embedding IS NULL THEN '' ELSE '*' END, ', ' ORDER BY ordem) AS clause_list, count(*) AS n_clauses, CAST(sum(length(texto)) AS BIGINT) AS n_chars, count(embedding) AS n_embedded FROM vclauses GROUP BY 1) SELECT n.id, n.tipo || ' ' || n.numero || '/' || n.ano AS label, clause_list, n_clauses, n_chars, n_embedded FROM norms n LEFT JOIN g ON g.norma_id = n.id",
+    "admin_search": W_ + NORMS + " SELECT tipo, count(*) AS n_rows FROM norms WHERE status = 'segmented' AND (contains(upper(numero), 'LOW') OR contains(upper(ementa), 'LOW') OR contains(upper(pdf_url), 'LOW')) GROUP BY 1",
+    "norm_statistics": W_ + NORMS + ", " + CLAUSES + EVENTS.format("clauses") + RAW + ", c AS (SELECT norma_id, count(*) AS n FROM clauses GROUP BY 1), e AS (SELECT target_norm_id, count(*) AS n FROM events_ WHERE target_norm_id IS NOT NULL GROUP BY 1), t AS (SELECT norma_id, CAST(sum(length(line)) + count(*) - 1 AS BIGINT) AS n FROM line_ WHERE norma_id % 2 = 0 GROUP BY 1) SELECT o.id, coalesce(c.n, 0) AS n_clauses, coalesce(e.n, 0) AS n_events, coalesce(t.n, 0) AS n_chars, coalesce(pdf_path, '') <> '' AS has_original, coalesce(t.n, 0) > 0 AS has_consolidated FROM norms o LEFT JOIN c ON c.norma_id = o.id LEFT JOIN e ON e.target_norm_id = o.id LEFT JOIN t ON t.norma_id = o.id",
     "norm_compare": W_ + CLAUSES + RAW + ", t AS (SELECT norma_id, string_agg(line, chr(10) ORDER BY ordem) AS t FROM line_ GROUP BY 1) SELECT norma_id, CAST(len(string_split(t, chr(10))) AS BIGINT) AS n_lines, CAST(len(regexp_extract_all(t, '[^\\s]+')) AS BIGINT) AS n_words FROM t",
     "work_selection": W_ + NORMS + " SELECT id, tipo, status FROM norms WHERE status IN ('segmented','entities_extracted') ORDER BY id LIMIT 40 OFFSET 5",
     "missing_file_selection": W_ + NORMS + " SELECT id, pdf_url FROM norms WHERE (pdf_path IS NULL OR pdf_path = '') AND pdf_url <> ''",
@@ -114,8 +116,8 @@ ORACLE: dict[str, str] = {
     "answer_repair": "SELECT conv_id, turn, '• ' || role || chr(10) || '• turno ' || turn || ' ' || chr(10) || '- fim ' AS repaired FROM conversations",
     "clause_with_parent": W_ + PARENTS + f" SELECT t.id, p.id AS parent_id, {label('p')} AS parent_label FROM tree t LEFT JOIN tree p ON p.norma_id = t.norma_id AND p.ordem = t.parent_ordem",
     "embedding_input": WITH_R + NORMS + ", " + PATHS + f" SELECT w.id, concat_ws(' | ', n.tipo || ' ' || n.numero || '/' || n.ano, w.path, 'Contexto: ' || ({label('p')}), w.texto) AS embedding_input FROM walk w JOIN norms n ON n.id = w.norma_id LEFT JOIN tree p ON p.norma_id = w.norma_id AND p.ordem = list_extract(w.anc, len(w.anc) - 1) AND len(w.anc) > 1",
-    "event_full_chain": W_ + NORMS + ", " + CLAUSES + EVENTS.format("clauses") + f" SELECT e.id, acao, {label('s')} AS source_label, n.tipo || ' ' || n.numero || '/' || n.ano AS source_norm, {label('t')} AS target_label, t.norma_id AS target_owner FROM events_ e JOIN clauses s ON s.id = e.source_clause_id JOIN norms n ON n.id = e.source_norm_id LEFT JOIN clauses t ON t.id = e.target_clause_id",
-    "events_in_or_out": W_ + NORMS + ", " + CLAUSES + EVENTS.format("clauses") + " SELECT e.id, acao, n.tipo || ' ' || n.numero || '/' || n.ano AS source_norm, target_norm_id FROM events_ e JOIN norms n ON n.id = e.source_norm_id WHERE target_norm_id = 15 OR source_norm_id = 15",
+    "event_full_chain": W_ + NORMS + ", " + CLAUSES + EVENTS.format("clauses") + f" SELECT e.id, acao, {label('s')} AS source_label, n.tipo || ' ' || n.numero || '/' || n.ano AS source_norm, {label('t')} AS target_label, t.norma_id AS target_owner, tn.tipo || ' ' || tn.numero || '/' || tn.ano AS target_norm FROM events_ e JOIN clauses s ON s.id = e.source_clause_id JOIN norms n ON n.id = e.source_norm_id LEFT JOIN clauses t ON t.id = e.target_clause_id LEFT JOIN norms tn ON tn.id = e.target_norm_id",
+    "events_in_or_out": W_ + NORMS + ", " + CLAUSES + EVENTS.format("clauses") + " SELECT e.id, acao, n.tipo || ' ' || n.numero || '/' || n.ano AS source_norm, target_norm_id, tn.tipo || ' ' || tn.numero || '/' || tn.ano AS target_norm FROM events_ e JOIN norms n ON n.id = e.source_norm_id LEFT JOIN norms tn ON tn.id = e.target_norm_id WHERE target_norm_id = 15 OR source_norm_id = 15",
     "internal_events": W_ + CLAUSES + EVENTS.format("clauses") + " SELECT id, acao, source_norm_id FROM events_ WHERE source_norm_id = target_norm_id",
     "union_events": W_ + CLAUSES + EVENTS.format("clauses") + " SELECT id, acao, created_at FROM events_ WHERE target_norm_id IS NOT NULL UNION SELECT id, acao, created_at FROM events_ WHERE source_norm_id = target_norm_id",
     "parent_link": W_ + PARENTS + " SELECT id, CASE WHEN parent_ordem IS NOT NULL THEN norma_id * 100 + parent_ordem END AS found_parent FROM tree",

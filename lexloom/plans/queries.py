@@ -48,8 +48,9 @@ def hits(spark, d, k=10, **more):
     found = search.top_k(bridge.with_vectors(spark, d, clauses(spark, d)), query_vector(spark, d), k, **more)
     rows = [tuple(r) for r in found.collect()]  # at most k
     found = spark.createDataFrame(rows, found.schema)
-    near = tree.paths(linked(spark, d).filter(F.col("norma_id").isin(sorted({r[0] // 100 for r in rows}))))
-    return links.with_norm(near.join(F.broadcast(found), "id"), bridge.norms(spark, d))
+    own = sorted({r[0] // 100 for r in rows})
+    near = tree.paths(linked(spark, d).filter(F.col("norma_id").isin(own)))
+    return links.with_norm(near.join(F.broadcast(found), "id"), bridge.norms(spark, d).filter(F.col("id").isin(own)))
 
 
 # Catalogue
@@ -95,6 +96,21 @@ def admin_facets(spark, d):
     return catalog.facet(bridge.norms(spark, d), "tipo", "status")
 
 
+@query
+def admin_search(spark, d):
+    """Several fields searched, one status, counted by kind."""
+    n = catalog.search_fields(bridge.norms(spark, d).filter("status = 'segmented'"), "LOW", "numero", "ementa", "pdf_url")
+    return catalog.facet(n, "tipo")
+
+
+@query
+def norm_statistics(spark, d):
+    """Every other norm has a text."""
+    c = clauses(spark, d)
+    texts = bridge.raw_texts(c.filter("norma_id % 2 = 0")).withColumnRenamed("raw_text", "text")
+    return catalog.statistics(bridge.norms(spark, d), c, bridge.alteration_events(c), texts)
+
+
 @query
 def norm_detail_nested(spark, d):
     x = catalog.detail(bridge.norms(spark, d), bridge.with_vectors(spark, d, clauses(spark, d)))
@@ -217,14 +233,14 @@ def embedding_input(spark, d):
 @query
 def event_full_chain(spark, d):
     c = clauses(spark, d)
-    return links.event_chain(bridge.alteration_events(c), c, bridge.norms(spark, d)).select("id", "acao", "source_label", "source_norm", "target_label", "target_owner")
+    return links.event_chain(bridge.alteration_events(c), c, bridge.norms(spark, d)).select("id", "acao", "source_label", "source_norm", "target_label", "target_owner", "target_norm")
 
 
 @query
 def events_in_or_out(spark, d):
     c = clauses(spark, d)
     e = links.touching(bridge.alteration_events(c), 15)
-    return links.event_chain(e, c, bridge.norms(spark, d)).select("id", "acao", "source_norm", "target_norm_id")
+    return links.event_chain(e, c, bridge.norms(spark, d)).select("id", "acao", "source_norm", "target_norm_id", "target_norm")
 
 
 @query
