@@ -6,13 +6,16 @@ from pyspark.sql import functions as F
 from lexloom.functions.text import action_name, clause_label, norm_label
 
 
-def with_parent(clauses: DataFrame) -> DataFrame:
-    p = clauses.select(F.col("id").alias("parent_id"), clause_label(F.col("tipo"), F.col("numero")).alias("parent_label"))
+def with_parent(clauses: DataFrame, among: DataFrame | None = None) -> DataFrame:
+    """Adds parent_label; parents are looked up ``among`` other clauses where some are left out of the first."""
+    p = (clauses if among is None else among).select(F.col("id").alias("parent_id"), clause_label(F.col("tipo"), F.col("numero")).alias("parent_label"))
     return clauses.join(p, "parent_id", "left")
 
 
 def with_norm(clauses: DataFrame, norms: DataFrame) -> DataFrame:
-    n = norms.select(F.col("id").alias("norma_id"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("norm_label"))
+    """Adds norm_label and norm (id, tipo, numero, ano)."""
+    own = F.struct("id", "tipo", "numero", F.col("ano").cast("long").alias("ano"))
+    n = norms.select(F.col("id").alias("norma_id"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("norm_label"), own.alias("norm"))
     return clauses.join(n, "norma_id")
 
 

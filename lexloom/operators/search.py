@@ -100,8 +100,14 @@ def context(parts: DataFrame) -> DataFrame:
     return got.select(F.when(F.size("p") > 0, joined).otherwise(NO_CONTEXT).alias("context"), F.size("p").cast("long").alias("n_parts"))
 
 
+def hit_cards(hits: DataFrame) -> DataFrame:
+    """Search results, nearest first: the clause with its norm as one column, its place and its parent; expects parent_label."""
+    return hits.orderBy("distance", "id").select("id", "norm", "path", "parent_label", "texto", "score")
+
+
 def source_cards(hits: DataFrame) -> DataFrame:
-    return hits.select("id", "norm_label", "path", preview(F.col("texto"), 200).alias("text_preview"), F.col("texto").alias("full_text"), clamp01(F.col("score")).alias("score"))
+    """Sources of an answer, nearest first."""
+    return hits.orderBy("distance", "id").select("id", "norm_label", "path", preview(F.col("texto"), 200).alias("text_preview"), F.col("texto").alias("full_text"), clamp01(F.col("score")).alias("score"))
 
 
 PROMPT = """Responda em português claro e objetivo à pergunta, usando apenas os dispositivos legais abaixo.

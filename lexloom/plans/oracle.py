@@ -206,6 +206,7 @@ ORACLE |= {
     "rag_context_budget": PARTS.format(20) + " SELECT id, rank, used, shown FROM parts WHERE used <= 1200",
     "rag_answer": PARTS.format(5) + f", asked AS (SELECT {PROMPT} AS prompt FROM parts WHERE used <= 8000) SELECT prompt, 'Resumo: ' || chr(10) || '• itens' || chr(10) || '• tamanho ' || length(prompt) AS answer, (SELECT round(avg(score), 6) FROM hits) AS confidence FROM asked",
     "rag_answer_without_hits": "SELECT 'Nenhum contexto relevante encontrado.' AS context, 'Não encontrei informações relevantes para responder esta pergunta.' AS answer, CAST(0 AS DOUBLE) AS confidence",
+    "search_hits": HITS.format(10) + f" SELECT h.id, n.tipo, n.numero, CAST(n.ano AS BIGINT) AS ano, h.path, {label('p')} AS parent_label, h.texto, h.score FROM hits h JOIN tree t USING (id) JOIN norms n ON n.id = t.norma_id LEFT JOIN tree p ON p.norma_id = t.norma_id AND p.ordem = t.parent_ordem",
     "source_cards": HITS.format(10) + " SELECT id, norm_label, path, CASE WHEN length(texto) > 200 THEN left(texto, 200) || '...' ELSE texto END AS text_preview, texto AS full_text, score FROM hits",
     "ivf_cells": "WITH c AS (SELECT vec_id AS cell, embedding FROM embeddings WHERE vec_id < 10) SELECT e.vec_id, arg_min(c.cell, (list_distance(e.embedding::DOUBLE[], c.embedding::DOUBLE[]), c.cell)) AS cell FROM embeddings e, c GROUP BY 1",
     "embed_stub": f"SELECT cache_hit, count(*) AS n_rows FROM ({SEEN}) GROUP BY 1",

@@ -397,6 +397,13 @@ def rag_context_budget(spark, d):
     return search.context_parts(hits(spark, d, 20), 300).select("id", "rank", "used", "shown")
 
 
+@query
+def search_hits(spark, d):
+    """Hits in order, their norm as one column."""
+    x = search.hit_cards(links.with_parent(hits(spark, d, 10), linked(spark, d)))
+    return x.select("id", "norm.tipo", "norm.numero", "norm.ano", "path", "parent_label", "texto", "score")
+
+
 @query
 def source_cards(spark, d):
     return search.source_cards(hits(spark, d, 10))
