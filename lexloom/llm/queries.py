@@ -112,6 +112,33 @@ def op9_site_style_trees(spark, d):
     return html.extract(read(spark, d, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
 
+@query
+def op11_orchard_codes(spark, d):
+    from lexloom.llm import codes
+
+    return codes.compressed(read(spark, d, "embeddings"))
+
+
+@query
+def op12_rank_queue_bpe(spark, d):
+    import public_tokenizers
+
+    from lexloom.llm import tokens
+
+    own = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    x = tokens.decode(tokens.encode(read(spark, d, "documents"), *own, ["doc_id"]), *own)
+    written = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return x.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(written.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op13_turn_repair(spark, d):
+    from lexloom.llm import repair
+
+    x = repair.repair(repair.damaged(read(spark, d, "conversations")))
+    return x.select("conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
 # Conversations as the template of the chat module writes them: a turn is <|turn|>role, line break, text, <|end|>, line break,
 # with a backslash as \e and <| as <\p.
 _SAID = "'\\### Assistant: </turn> ok'"
