@@ -24,6 +24,7 @@ gives no rows; further columns are ignored.
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
@@ -178,8 +179,8 @@ def train(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6
 
 def encode(vectors: DataFrame, books: dict[int, list[np.ndarray]], columns: list[str | Column], scale: int = 4096) -> DataFrame:
     """``columns`` of the rows that have a vector, with dim, code (an index a part, as bytes) and error (decimal(38,0))."""
-    rows = usable(vectors).select("embedding", *columns)
-    rest = rows.drop("embedding")
+    rows = usable(vectors).select(F.col("embedding").alias("_vector"), *columns)
+    rest = rows.drop("_vector")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", dim int, code binary, error long"
 
     def name(batches):
@@ -200,8 +201,8 @@ def decode(coded: DataFrame, books: dict[int, list[np.ndarray]], scale: int = 40
     """Adds approximation (array<double>): the entries that a code names, scaled back."""
 
     @F.pandas_udf("array<double>")
-    def back(dim, code):
-        return code.combine(dim, lambda c, d: [float(v) / scale for b, i in zip(books[d], c) for v in b[i]])
+    def back(dim: pd.Series, code: pd.Series) -> pd.Series:
+        return pd.Series([[float(v) / scale for b, i in zip(books[d], c) for v in b[i]] for d, c in zip(dim, code)])
 
     return coded.withColumn("approximation", back("dim", "code"))
 

@@ -170,3 +170,50 @@ link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.
 reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b),
 c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY 1), n AS (SELECT a, count(*) AS n_links FROM link GROUP BY 1)
 SELECT e.vec_id, coalesce(n_links, 0) AS n_links, component_id, e.vec_id = component_id AS kept FROM embeddings e JOIN c ON c.a = e.vec_id LEFT JOIN n ON n.a = e.vec_id"""
+
+
+def _codes_sql(parts: int = 8, entries: int = 16, rounds: int = 6) -> str:
+    """Rounds as common tables: p has the parts of vectors, b<k> the codebooks after k rounds, a<k> who is nearest to them."""
+    floor = "(sum(v) - ((sum(v) % count(*)) + count(*)) % count(*)) // count(*)"
+    near = "min(list_sum(list_transform(range(len(x)), lambda i: (x[i + 1] - c[i + 1]) * (x[i + 1] - c[i + 1])))::HUGEINT * 256 + e)"
+    t = [
+        "v AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS rid, vec_id, label, list_transform(embedding, lambda x: CAST(floor(4096 * x::DOUBLE) AS BIGINT)) AS q"
+        " FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        f"p AS MATERIALIZED (SELECT rid, k AS part, q[k * (len(q) // {parts}) + 1 : (k + 1) * (len(q) // {parts})] AS x FROM v, range({parts}) AS t(k))",
+        f"b0 AS MATERIALIZED (SELECT part, rid AS e, x AS c FROM p WHERE rid < {entries})",
+    ]
+    for k in range(rounds + 1):
+        t.append(f"a{k} AS MATERIALIZED (SELECT rid, part, any_value(x) AS x, {near} AS m FROM p JOIN b{k} USING (part) GROUP BY rid, part)")
+        if k < rounds:
+            t.append(f"m{k} AS (SELECT part, m % 256 AS e, i, {floor} AS w FROM (SELECT part, m, unnest(x) AS v, unnest(range(len(x))) AS i FROM a{k}) GROUP BY 1, 2, 3)")
+            t.append(f"b{k + 1} AS MATERIALIZED (SELECT b.part, b.e, coalesce(n.c, b.c) AS c FROM b{k} b LEFT JOIN (SELECT part, e, list(w ORDER BY i) AS c FROM m{k} GROUP BY 1, 2) n ON n.part = b.part AND n.e = b.e)")
+    t.append(f"o AS (SELECT rid, string_agg(printf('%02x', CAST(m % 256 AS INT)), '' ORDER BY part) AS code, CAST(sum(m // 256) AS BIGINT) AS error FROM a{rounds} GROUP BY 1)")
+    t.append(f"s AS (SELECT sha256(string_agg(w, ',' ORDER BY part, e, i)) AS codebooks_sha256 FROM (SELECT part, e, unnest(range(len(c))) AS i, unnest(c)::BIGINT::VARCHAR AS w FROM b{rounds}))")
+    return f"WITH {', '.join(t)} SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM v JOIN o USING (rid), s"
+
+
+ORACLE["op11_orchard_codes"] = _codes_sql()
+
+# Rows after damage, their faults, and the best edits row by row: of all that reach a state of the pattern, the least cost and audit goes on.
+# Insertions cost more than to delete their neighbours and are left out.
+_BLANK = r"[^\x20\x09-\x0D]"
+ORACLE["op13_turn_repair"] = rf"""WITH RECURSIVE k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s FROM conversations),
+h AS (SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(range(len(s)), lambda i: ascii(s[i + 1])::BIGINT), lambda c, b: list_reduce([xor(c, b)] || range(8), lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)), 4294967295) % 20 AS d FROM k),
+r0 AS (SELECT conv_id, turn, CASE d WHEN 4 THEN 'user' ELSE role END AS role, CASE d WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE d WHEN 3 THEN 2 ELSE 1 END)) FROM h WHERE d <> 0),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, left(role, 1) AS ini FROM r0),
+r AS MATERIALIZED (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) AS prev, CASE WHEN NOT regexp_matches(text, '{_BLANK}') THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+ WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 3 ELSE 0 END AS fault FROM r1),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+e AS (SELECT * FROM (VALUES (0, 'K', 's', NULL, 1), (0, 'K', 'u', NULL, 2), (1, 'K', 'u', NULL, 2), (2, 'K', 'a', NULL, 3), (3, 'K', 'u', NULL, 2),
+ (0, 'R', NULL, 'user', 2), (1, 'R', NULL, 'user', 2), (2, 'R', NULL, 'assistant', 3), (3, 'R', NULL, 'user', 2), (0, 'D', NULL, NULL, 0), (1, 'D', NULL, NULL, 1), (2, 'D', NULL, NULL, 2), (3, 'D', NULL, NULL, 3)) t(state, letter, ini, new, next)),
+path AS (SELECT conv_id, 0::BIGINT AS i, 0 AS state, 0 AS cost, '' AS audit, []::VARCHAR[] AS said FROM convs
+ UNION ALL SELECT * FROM (SELECT p.conv_id, p.i + 1, e.next, p.cost + CASE e.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e.letter <> 'D' AND r.fault = 3 THEN 5 ELSE 0 END, p.audit || e.letter AS audit_,
+  CASE e.letter WHEN 'D' THEN p.said ELSE list_append(p.said, coalesce(e.new, r.role) || ':' || r.text) END
+ FROM path p JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i + 1 JOIN e ON e.state = p.state
+ WHERE e.letter = 'D' OR (r.fault NOT IN (1, 2) AND (e.ini = r.ini OR e.new <> r.role))
+ QUALIFY row_number() OVER (PARTITION BY p.conv_id, e.next ORDER BY p.cost + CASE e.letter WHEN 'D' THEN 2 WHEN 'R' THEN 1 ELSE 0 END + CASE WHEN e.letter <> 'D' AND r.fault = 3 THEN 5 ELSE 0 END, p.audit || e.letter) = 1)),
+n AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+ count(*) FILTER (i > 1 AND prev || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY 1),
+best AS (SELECT p.* FROM path p LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM p.conv_id WHERE p.i = coalesce(n.n, 0) AND p.state IN (0, 3) QUALIFY row_number() OVER (PARTITION BY p.conv_id ORDER BY cost, audit) = 1)
+SELECT b.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cost::BIGINT AS cost, audit,
+ sha256(array_to_string(said, chr(10))) AS repaired_sha256 FROM best b LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM b.conv_id"""

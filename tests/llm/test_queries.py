@@ -18,7 +18,8 @@ TABLES = {
 }
 OPS = {
     "op1_best_fit_packing", "op2_chat_schema_fingerprints", "op3_suffix_array_lines", "op4_source_mixing", "op5_crf_toxicity", "op6_simhash_vantage_trees",
-    "op7_sampled_range_sharding", "op8_sorted_projections", "op9_site_style_trees", "op10_scaled_sketch",
+    "op7_sampled_range_sharding", "op8_sorted_projections", "op9_site_style_trees", "op10_scaled_sketch", "op11_orchard_codes", "op12_rank_queue_bpe",
+    "op13_turn_repair",
 }
 
 
