@@ -1,5 +1,7 @@
 """DuckDB SQL that states each registered query independently of the operators."""
 
+from lexloom.operators.mutate import NEXT
+
 NORMS = """norms AS (SELECT o_orderkey AS id,
  CASE substr(o_orderpriority,1,1) WHEN '1' THEN 'Lei' WHEN '2' THEN 'Lei Complementar' WHEN '3' THEN 'Decreto' WHEN '4' THEN 'Resolução' ELSE 'Portaria' END AS tipo,
  CAST(o_orderkey AS VARCHAR) AS numero, CAST(year(o_orderdate) AS INT) AS ano,
@@ -233,3 +235,32 @@ FROM events_ e JOIN place s ON s.id = e.source_clause_id LEFT JOIN place t ON t.
 FROM (SELECT *, o_orderkey IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') AS k FROM orders)""",
     "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n_events FROM events GROUP BY 1, 2",
 }
+
+
+# Streams: what a stored value still answers, and the status machine event by event.
+MACHINE_NEXT = ", ".join(f"('{a}', '{b}')" for a, bs in NEXT.items() for b in bs)
+LISTED = NORMS + ", ly AS (SELECT id, ano AS year, 0 AS copy FROM norms UNION ALL SELECT id, ano + 1, 0 FROM norms WHERE id % 50 = 0)"
+ORACLE |= {
+    "ivf_query_set": ORACLE["vector_query_set"],
+    "stream_cache": """WITH x AS (SELECT event_id, ts, user_id, props, event_type = 'purchase' AS put, ['embedding', 'search', 'answer'][user_id % 3 + 1] AS cache, [7 * 24, 24, 12][user_id % 3 + 1] AS hours FROM events),
+p AS (SELECT *, last_value(CASE WHEN put THEN {'ts': ts, 'v': props} END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS e FROM x),
+h AS (SELECT *, coalesce(ts < e.ts + to_hours(hours), false) AS hit FROM p) SELECT event_id, cache, hit, CASE WHEN hit THEN e.v END AS value FROM h WHERE NOT put""",
+    "stream_machine": f"""WITH RECURSIVE nxt AS (SELECT * FROM (VALUES {MACHINE_NEXT}) t(a, b)),
+x AS (SELECT user_id AS entity_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k, CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN CASE WHEN event_id % 2 = 1 THEN 'segmentation_processing' ELSE 'ocr_completed' END
+ WHEN 'click' THEN CASE WHEN event_id % 2 = 1 THEN 'entity_extraction' ELSE 'segmented' END WHEN 'purchase' THEN CASE WHEN event_id % 2 = 1 THEN 'consolidation' ELSE 'consolidated' END ELSE 'failed' END AS status FROM events),
+m AS (SELECT entity_id, 0::BIGINT AS k, NULL::TIMESTAMP AS ts, NULL::VARCHAR AS asked, NULL::VARCHAR AS before, false AS expired, NULL::VARCHAR AS old, NULL::TIMESTAMP AS gone, false AS allowed, NULL::VARCHAR AS now, NULL::TIMESTAMP AS since FROM x GROUP BY 1
+ UNION ALL SELECT entity_id, k, ts, asked, before, expired, old, gone, allowed, CASE WHEN NOT allowed THEN before WHEN asked <> 'consolidated' THEN asked END, CASE WHEN allowed THEN ts WHEN expired THEN gone ELSE since END
+ FROM (SELECT *, before IS NULL OR asked = 'failed' OR EXISTS (SELECT 1 FROM nxt WHERE a = before AND b = asked) AS allowed
+ FROM (SELECT x.entity_id, x.k, x.ts, x.status AS asked, m.since, m.now AS old, m.since + INTERVAL 1 HOUR AS gone,
+ coalesce(m.now IN ('segmentation_processing', 'entity_extraction', 'consolidation', 'ocr_processing') AND m.since + INTERVAL 1 HOUR <= x.ts, false) AS expired,
+ CASE WHEN m.now IN ('segmentation_processing', 'entity_extraction', 'consolidation', 'ocr_processing') AND m.since + INTERVAL 1 HOUR <= x.ts THEN CASE m.now WHEN 'segmentation_processing' THEN 'ocr_completed' WHEN 'entity_extraction' THEN 'segmented' ELSE 'failed' END ELSE m.now END AS before
+ FROM m JOIN x ON x.entity_id = m.entity_id AND x.k = m.k + 1))),
+over_ AS (SELECT entity_id, now AS old, since + INTERVAL 1 HOUR AS gone FROM m QUALIFY row_number() OVER (PARTITION BY entity_id ORDER BY k DESC) = 1)
+SELECT entity_id, ts, before, asked AS status, CASE WHEN allowed THEN 'moved' ELSE 'refused' END AS outcome FROM m WHERE k > 0
+ UNION ALL SELECT entity_id, gone, old, before, 'expired' FROM m WHERE expired
+ UNION ALL SELECT entity_id, gone, old, CASE old WHEN 'segmentation_processing' THEN 'ocr_completed' WHEN 'entity_extraction' THEN 'segmented' ELSE 'failed' END, 'expired' FROM over_
+ WHERE old IN ('segmentation_processing', 'entity_extraction', 'consolidation', 'ocr_processing') AND gone <= date_trunc('millisecond', (SELECT max(ts) FROM events)) - INTERVAL 1 HOUR""",
+    "fetched_pages": W_ + LISTED + """, l AS (SELECT * FROM ly UNION ALL SELECT id, year, 1 FROM ly WHERE id % 20 = 0), r AS (SELECT *, (row_number() OVER (PARTITION BY year ORDER BY id, copy) - 1) // 100 AS page FROM l),
+t AS (SELECT * FROM r WHERE page * 100 < 650) SELECT year, count(DISTINCT page) AS n_pages, count(*) AS n_fetched, count(*) - count(DISTINCT id) AS n_repeated, CAST(0 AS BIGINT) AS n_failed FROM t GROUP BY 1""",
+    "chained_streams": W_ + NORMS + " SELECT id, tipo, numero, ano, ano AS asked FROM norms",
+}

@@ -441,9 +441,12 @@ def vector_query_set(spark, d):
 
 @query
 def ivf_query_set(spark, d):
-    """The same queries through cells trained on a bounded sample; recall is tested against brute force."""
+    """The same queries through an index of trained cells, of which each reads those that the triangle bound leaves."""
+    from lexloom.operators import index
+
     v = table(spark, d, "embeddings")
-    return search.probe_queries(v, v.filter("vec_id % 100 = 0"), search.train_cells(v, 16), 13)
+    folder, notes = shared_subfolders(spark, "cells", "notes")
+    return index.search(index.build(v, folder), v.filter("vec_id % 100 = 0"), 10, index.kept_in(spark, notes))
 
 
 def looked_up(spark, d):
@@ -576,24 +579,62 @@ def ingestion_summary(spark, d):
     return mutate.ingestion_summary(*mutate.ingest_projection(bridge.payloads(spark, d)))
 
 
-@query
-def rest_years(spark, d):
-    """Norms as JSON pages in a shared folder, every fiftieth listed in the next year too, read back through the data source."""
-    from lexloom.sources import rest
+def written_pages(spark, listed, size):
+    """Norms listed by year as JSON pages of so many in a new shared folder: (folder, first year, last year)."""
+    from lexloom.sources import pages
 
-    n = bridge.norms(spark, d).select("id", "tipo", "numero", "ano", "ementa")
-    listed = n.withColumn("year", F.col("ano")).unionByName(n.filter("id % 50 = 0").withColumn("year", F.col("ano") + 1))
-    size = 500
-    w = W.partitionBy("year").orderBy("id")
+    w = W.partitionBy("year").orderBy("id", "copy")
     listed = listed.withColumn("page", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
     kind = F.when(F.col("id") % 3 != 0, F.struct(F.col("tipo").alias("descricao")))
     item = F.when(kind.isNull(), F.to_json(F.struct("id", "tipo", "numero", "ano", "ementa"))).otherwise(F.to_json(F.struct("id", kind.alias("tipo"), "numero", "ano", "ementa")))
-    body = F.concat(F.lit('{"count":'), F.count("*").cast("string"), F.lit(',"results":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", item.alias("j")))), lambda x: x["j"]), ","), F.lit("]}"))
-    pages = listed.groupBy("year", "page").agg(body.alias("body")).select(F.concat(F.col("year").cast("string"), F.lit("-"), F.col("page").cast("string"), F.lit(".json")).alias("name"), "body")
+    body = F.concat(F.lit('{"count":'), F.count("*").cast("string"), F.lit(',"results":['), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "copy", item.alias("j")))), lambda x: x["j"]), ","), F.lit("]}"))
+    rows = listed.groupBy("year", "page").agg(body.alias("body")).select(F.concat(F.col("year").cast("string"), F.lit("-"), F.col("page").cast("string")).alias("name"), "body")
     folder = next(shared_subfolders(spark, "pages"))
-    rest.write_pages(pages, folder)
-    first, last = listed.agg(F.min("year"), F.max("year")).first()
-    return rest.of_years(spark, folder, first, last, size).select("id", "tipo", "numero", "ano", "ementa", "asked")
+    pages.write_files(rows, folder, suffix=".json")
+    return folder, *listed.agg(F.min("year"), F.max("year")).first()
+
+
+def listed_norms(spark, d):
+    """Norms under their year, every fiftieth under the next one too."""
+    n = bridge.norms(spark, d).select("id", "tipo", "numero", "ano", "ementa", F.lit(0).alias("copy"))
+    return n.withColumn("year", F.col("ano")).unionByName(n.filter("id % 50 = 0").withColumn("year", F.col("ano") + 1))
+
+
+@query
+def rest_years(spark, d):
+    """Norms as JSON pages in a shared folder, read back through the data source."""
+    from lexloom.sources import rest
+
+    folder, first, last = written_pages(spark, listed_norms(spark, d), 500)
+    return rest.of_years(spark, folder, first, last, 500).select("id", "tipo", "numero", "ano", "ementa", "asked")
+
+
+@query
+def fetched_pages(spark, d):
+    """The pages as a stream into a table; then what was fetched by year, repeats included, in whole pages until 650 rows a year."""
+    from lexloom.sources import pages
+    from lexloom.streaming import state
+
+    x = listed_norms(spark, d)
+    folder, first, last = written_pages(spark, x.unionByName(x.filter("id % 20 = 0").withColumn("copy", F.lit(1))), 100)
+    sink, check = shared_subfolders(spark, "sink", "check")
+    state.run_to_table(pages.page_stream(spark, folder, first, last, 100), sink, check)
+    return pages.fetched(spark.read.parquet(sink), 650)[1]
+
+
+@query
+def chained_streams(spark, d):
+    """Pages to a table, that table's files as the next stream, upserted by id: the first listing of a norm counts."""
+    from lexloom.sources import pages
+    from lexloom.streaming import buckets, ingest, state
+
+    folder, first, last = written_pages(spark, listed_norms(spark, d), 250)
+    sink, check, norms, check2 = shared_subfolders(spark, "sink", "check", "norms", "check2")
+    state.run_to_table(pages.page_stream(spark, folder, first, last, 250), sink, check)
+    listed = spark.readStream.schema(pages.PAGES).parquet(sink).filter("id is not null").withColumn("arrival", -(F.col("year") * 1_000_000 + F.col("page")).cast("long"))
+    kept = buckets.BucketTable(spark, norms, "id long, arrival long, tipo string, numero string, ano int, year int", "id", "arrival", 16)
+    ingest.run_available(listed, kept.upsert, check2)
+    return kept.read().select("id", "tipo", "numero", "ano", F.col("year").alias("asked"))
 
 
 @query
@@ -688,14 +729,45 @@ def shared_subfolders(spark, *names):
 
 @query
 def stream_upsert(spark, d):
-    """Events as a file stream, upserted per micro-batch into a versioned table; equals the batch count by type."""
-    from lexloom.streaming import ingest
+    """Events as a file stream, upserted per micro-batch into a table of buckets; equals the batch count by type."""
+    from lexloom.streaming import buckets, ingest
 
     sink, check = shared_subfolders(spark, "sink", "check")
     stream = ingest.event_stream(spark, d).select("event_id", "ts", "event_type", "value")
-    ingest.run_available(stream, lambda b, n: ingest.upsert_batch(b, n, sink), check)
-    got = ingest.latest_version(spark, sink, "event_id long, ts timestamp, event_type string, value double, v int")
-    return got.groupBy("event_type").agg(F.count("*").alias("n_events"), F.round(F.sum(F.col("value").cast("decimal(18,2)")), 2).cast("double").alias("total"))
+    kept = buckets.BucketTable(spark, sink, "event_id long, ts timestamp, event_type string, value double", "event_id", "ts", 16)
+    ingest.run_available(stream, kept.upsert, check)
+    return kept.read().groupBy("event_type").agg(F.count("*").alias("n_events"), F.round(F.sum(F.col("value").cast("decimal(18,2)")), 2).cast("double").alias("total"))
+
+
+@query
+def stream_cache(spark, d):
+    """Look-ups in three caches of their own lives: purchases store a value, every other event of the user asks for it."""
+    from lexloom.streaming import ingest, state
+
+    sink, check = shared_subfolders(spark, "sink", "check")
+    cache = F.element_at(F.array(*[F.lit(c) for c in state.TTL]), (F.col("user_id") % 3 + 1).cast("int"))
+    op = F.when(F.col("event_type") == "purchase", "put").otherwise("get")
+    asked = ingest.event_stream(spark, d, files_per_batch=1000).select(cache.alias("cache"), F.col("user_id").cast("string").alias("key"), "event_id", "ts", op.alias("op"), F.col("props").alias("value"))
+    state.run_to_table(state.cached(asked), sink, check)
+    return spark.read.schema("event_id long, cache string, hit boolean, value string").parquet(sink)
+
+
+def under_way(log):
+    """Statuses of events, of which every other one says that a stage has begun."""
+    kind, odd = F.col("event_type"), F.col("event_id") % 2 == 1
+    status = F.when(kind == "signup", "pending").when(kind == "view", F.when(odd, "segmentation_processing").otherwise("ocr_completed"))
+    status = status.when(kind == "click", F.when(odd, "entity_extraction").otherwise("segmented")).when(kind == "purchase", F.when(odd, "consolidation").otherwise("consolidated"))
+    return log.select("event_id", F.col("user_id").alias("entity_id"), status.otherwise("failed").alias("status"), "ts")
+
+
+@query
+def stream_machine(spark, d):
+    """The status machine over the event stream: steps taken, refused, and those of stages that outlasted an hour."""
+    from lexloom.streaming import ingest, state
+
+    sink, check = shared_subfolders(spark, "sink", "check")
+    state.run_to_table(state.status_changes(under_way(ingest.event_stream(spark, d, files_per_batch=1000))), sink, check)
+    return spark.read.schema("entity_id long, ts timestamp, before string, status string, outcome string").parquet(sink)
 
 
 @query
