@@ -1,6 +1,6 @@
 """Lists, pages, facets and details of norms."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -21,21 +21,83 @@ def card(norms: DataFrame) -> DataFrame:
     return norms.select("id", "tipo", "numero", F.col("ano").cast("long").alias("ano"), summary.alias("ementa"), "status", F.date_format("data_publicacao", "yyyy-MM-dd").alias("published"), F.concat(F.lit("/normas/"), F.col("id").cast("string"), F.lit("/")).alias("url"))
 
 
+# The default order of lists; the id makes it total.
+DEFAULT = [("ano", True), ("numero", True), ("id", False)]
+
+
+def sort_columns(order: list[tuple[str, bool]]) -> list[Column]:
+    return [F.col(c).desc() if down else F.col(c).asc() for c, down in order]
+
+
 def default_order(norms: DataFrame) -> DataFrame:
-    return norms.orderBy(F.col("ano").desc(), F.col("numero").desc(), F.col("id"))
+    return norms.orderBy(*sort_columns(DEFAULT))
 
 
-def page(rows: DataFrame, number: int | None = 1, size: int | None = 20) -> DataFrame:
+def precedes(order: list[tuple[str, bool]], key: tuple) -> Column:
+    """Whether a row stands before a key in an order of (column, descending); nulls are the least."""
+    before, same = F.lit(False), F.lit(True)
+    for (c, down), v in zip(order, key):
+        col, value = F.col(c), F.lit(v)
+        if v is None:
+            less = col.isNotNull() if down else F.lit(False)
+        else:
+            less = F.coalesce(col > value, F.lit(False)) if down else F.coalesce(col < value, F.lit(True))
+        before, same = before | (same & less), same & col.eqNullSafe(value)
+    return before
+
+
+def slice_of(rows: DataFrame, order: list[tuple[str, bool]], offset: int, size: int, n: int | None = None, most: int = 200_000, fan: int = 128) -> DataFrame:
+    """``size`` rows from ``offset`` on in a total order, however deep, without sorting what comes before.
+
+    Keys sampled by hash (some 30 for each of ``fan`` ranges) cut the order; one scan counts the ranges; only those that
+    the slice touches are looked at further, cut again while they hold more than ``most`` rows, and sorted.
+    """
+    n, columns = rows.count() if n is None else n, [c for c, _ in order]
+    while n > most:
+        share = min(1.0, 30 * fan / n) * (1 << 30)
+        keys = [tuple(r) for r in rows.filter(F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < share).select(*columns).collect()]
+        for i, (_, down) in reversed(list(enumerate(order))):
+            keys.sort(key=lambda k: (k[i] is not None, k[i]), reverse=down)  # noqa: B023
+        cuts = list(dict.fromkeys(keys[len(keys) * i // fan] for i in range(1, fan) if keys))
+        if not cuts:
+            break
+        number = halving(order, cuts, 0, len(cuts))
+        counts = {r["_r"]: r["count"] for r in rows.select(number.alias("_r")).groupBy("_r").count().collect()}
+        ends, total = [], 0
+        for i in range(len(cuts) + 1):
+            total += counts.get(i, 0)
+            ends.append(total)
+        first = next((i for i, e in enumerate(ends) if e > offset), len(cuts))
+        last = next((i for i, e in enumerate(ends) if e >= offset + size), len(cuts))
+        before = ends[first - 1] if first else 0
+        if ends[last] - before == n:
+            break  # the slice touches all ranges
+        if first:
+            rows = rows.filter(~precedes(order, cuts[first - 1]))
+        if last < len(cuts):
+            rows = rows.filter(precedes(order, cuts[last]))
+        offset, n = offset - before, ends[last] - before
+    return rows.orderBy(*sort_columns(order)).offset(offset).limit(size)
+
+
+def halving(order: list[tuple[str, bool]], cuts: list[tuple], lo: int, hi: int) -> Column:
+    """The number of cuts from ``lo`` on that a row does not precede: a tree of comparisons, of which a row passes one branch."""
+    if lo == hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(precedes(order, cuts[mid]), halving(order, cuts, lo, mid)).otherwise(halving(order, cuts, mid + 1, hi))
+
+
+def page(rows: DataFrame, number: int | None = 1, size: int | None = 20, most: int = 200_000) -> DataFrame:
     """One page in default order, each row with total, n_pages, has_next, has_prev.
 
-    A page beyond the last shows the last. The sort keeps only the rows up to the
-    page's end (top-k); the count is a separate one-row aggregate.
+    A page beyond the last shows the last. Deep pages are found by ``slice_of``.
     """
     number, size = clamp_page(number, size)
     n = rows.count()
     pages = max(1, -(-n // size))
     number = min(number, pages)
-    got = default_order(rows).offset((number - 1) * size).limit(size)
+    got = default_order(slice_of(rows, DEFAULT, (number - 1) * size, size, n, most))
     return card(got).withColumns({"total": F.lit(n).cast("long"), "n_pages": F.lit(pages).cast("long"), "has_next": F.lit(number < pages), "has_prev": F.lit(number > 1)})
 
 
@@ -89,8 +151,9 @@ def detail(norms: DataFrame, clauses: DataFrame) -> DataFrame:
     return norms.withColumn("label", norm_label(F.col("tipo"), F.col("numero"), F.col("ano"))).join(c, "id", "left")
 
 
-def work_selection(norms: DataFrame, statuses: list[str], offset: int, limit: int) -> DataFrame:
-    return norms.filter(F.col("status").isin(statuses)).orderBy("id").offset(offset).limit(limit)
+def work_selection(norms: DataFrame, statuses: list[str], offset: int, limit: int, most: int = 200_000) -> DataFrame:
+    """So many rows of some statuses from an offset on, by id."""
+    return slice_of(norms.filter(F.col("status").isin(statuses)), [("id", False)], offset, limit, most=most)
 
 
 def without_file(norms: DataFrame) -> DataFrame:

@@ -73,3 +73,22 @@ def get_or_create(requests: DataFrame, sessions: DataFrame) -> DataFrame:
     found = F.coalesce("_own", "_last")
     title = F.when(found.isNull(), F.substring("question", 1, 50))
     return x.select("request_id", "user_id", F.coalesce(found, -F.col("request_id") - 1).alias("session_id"), found.isNull().alias("created"), title.alias("title"))
+
+
+def unique_slugs(sessions: DataFrame, taken: DataFrame, keep, length: int = 12) -> DataFrame:
+    """(session_id, slug): a slug of its own for every session (distinct ids), none of those ``taken`` (slug).
+
+    Every round proposes a slug that the id and the round's number decide. The smallest id of those that propose the same
+    gets it, if nobody has it; the others try again, until none is left. ``keep`` writes a table down. More sessions than
+    there are slugs are an error.
+    """
+    given, left, n = taken.select("slug").distinct(), sessions.select("session_id"), 0
+    if sessions.count() + given.count() > 16**length:
+        raise ValueError(f"slugs of {length} characters are too short")
+    done = None
+    while not left.isEmpty():
+        asked = keep(left.withColumn("slug", F.substring(slug(F.col("session_id"), f"chat{n or ''}"), 1, length)))
+        won = keep(asked.groupBy("slug").agg(F.min("session_id").alias("session_id")).join(given, "slug", "left_anti").select("session_id", "slug"))
+        done = won if done is None else done.unionByName(won)
+        given, left, n = given.unionByName(won.select("slug")), asked.join(won, "session_id", "left_anti").select("session_id"), n + 1
+    return sessions.select("session_id").withColumn("slug", F.lit("")) if done is None else done

@@ -20,8 +20,11 @@ def affected(events: DataFrame) -> DataFrame:
     )
 
 
-def lines(clauses: DataFrame, events: DataFrame, norms: DataFrame) -> DataFrame:
-    """Rows (norma_id, ordem, part, line): what the text shows of each clause that no revoked ancestor hides."""
+def lines(clauses: DataFrame, events: DataFrame, norms: DataFrame, paths=paths) -> DataFrame:
+    """Rows (norma_id, ordem, part, line): what the text shows of each clause that no revoked ancestor hides, in order.
+
+    ``paths`` finds the ancestors: that of segmented trees, or ``tree.walk`` (with its ``keep``) for trees of any depth.
+    """
     hit = affected(events).withColumnRenamed("target_clause_id", "id")
     by = norms.select(F.col("id").alias("altered_by"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("by"))
     hit = hit.join(by, "altered_by", "left").drop("altered_by")

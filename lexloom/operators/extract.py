@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.functions.patterns import ACTIONS, ELEMENTS, HINTS, LAW, SELF, STEMS
+from lexloom.functions.text import strip
 
 
 def any_of(patterns) -> str:
@@ -89,7 +90,7 @@ def references(context: Column, upper: Column) -> Column:
 def events(clauses: DataFrame, text: str = "texto", reach: int = 200, least: int = 20) -> DataFrame:
     """Actions times the references that follow within ``reach`` characters; an action
     without any keeps the start of its context as target. Texts under ``least`` characters are skipped."""
-    acts = action_mentions(clauses.filter(F.length(F.trim(text)) >= least), text)
+    acts = action_mentions(clauses.filter(F.length(strip(F.col(text))) >= least), text)
     acts = acts.withColumn("context", F.expr(f"substring({text}, start + 1, length(hit) + {reach})"))
     rows = acts.withColumn("_u", F.upper("context")).withColumn("r", F.explode_outer(references(F.col("context"), F.col("_u")))).select("*", "r.*").drop("r", "_u")
     alone = F.col("ref_tipo").isNull()

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.functions.text import clamp01, preview, repair_lists
+from lexloom.functions.text import clamp01, preview, repair_lists, strip
 from lexloom.functions.vectors import cosine_distance, l2, literal, similarity
 from lexloom.schema import clamp_k, clamp_similarity
 
@@ -123,7 +123,7 @@ RESPOSTA:"""
 
 
 def prompts(contexts: DataFrame, question: str) -> DataFrame:
-    return contexts.withColumn("prompt", F.format_string(PROMPT.replace("%", "%").replace("%%s", "%s"), "context", F.lit(question)))
+    return contexts.withColumn("prompt", F.format_string(PROMPT, "context", F.lit(question)))
 
 
 def answers(prompted: DataFrame, generate, hits: DataFrame | None = None) -> DataFrame:
@@ -131,7 +131,7 @@ def answers(prompted: DataFrame, generate, hits: DataFrame | None = None) -> Dat
 
     With ``hits``, adds confidence, the mean score of all hits; 0 where there is none or no answer came, which fixed sentences say.
     """
-    said = F.trim(repair_lists(generate(F.col("prompt"))))
+    said = strip(repair_lists(generate(F.col("prompt"))))
     if hits is None:
         return prompted.withColumn("answer", said)
     one = F.broadcast(confidence(hits).withColumn("_one", F.lit(1)))  # one row

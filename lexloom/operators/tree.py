@@ -2,7 +2,7 @@
 
 In trees that the segmenter builds, a clause's ancestors are the last article, paragraph and
 incise before it, at most three; running values over one sort by norm carry them along.
-``paths_of_any_depth`` walks edited trees level by level.
+``walk`` follows the parents of edited trees, however deep, by doubling.
 """
 
 from pyspark.sql import DataFrame
@@ -37,18 +37,42 @@ def paths(clauses: DataFrame, flag: str | None = None) -> DataFrame:
     return x.drop("_0", "_1", "_2", "_artigo", "_paragrafo", "_inciso")
 
 
-def paths_of_any_depth(clauses: DataFrame, most: int = 64) -> DataFrame:
-    """(id, path_ids) for trees of any depth up to ``most``: each round doubles how far up a row has looked.
+def walk(clauses: DataFrame, keep, flag: str | None = None) -> DataFrame:
+    """As ``paths``, from parent_id and for trees of any depth: adds ancestors, depth, path, with ``flag`` under, and cyclic.
 
-    Rows on a cycle, or deeper, end with a null path.
+    A row knows its nearest ancestors and who comes above them; joined with that row it knows twice as many, so the
+    rounds grow with the logarithm of the depth. ``keep`` writes a table down between them. A parent that is not there
+    ends a path. Rows on a cycle, or below one, are found by meeting an ancestor twice: they have null ancestors.
     """
-    x = clauses.select("id", F.col("parent_id").alias("up"), F.array("id").alias("path_ids"))
-    n = 1
-    while n < most:
-        above = x.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path_ids").alias("_p"))
-        x = x.join(above, "up", "left").select("id", F.col("_up").alias("up"), F.when(F.col("_p").isNotNull(), F.concat("_p", "path_ids")).otherwise(F.col("path_ids")).alias("path_ids"))
-        n *= 2
-    return x.select("id", F.when(F.col("up").isNull(), F.col("path_ids")).alias("path_ids"))
+    marked = F.lit(False) if flag is None else F.coalesce(F.col(flag), F.lit(False))
+    node = F.struct("id", "ordem", clause_label(F.col("tipo"), F.col("numero")).alias("label"), marked.alias("flag"))
+    x = keep(clauses.select("id", F.col("parent_id").alias("up"), F.array(node).alias("nodes"), F.lit(False).alias("cyclic")))
+    while not x.filter("up is not null").isEmpty():
+        above = x.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("nodes").alias("_n"), F.col("cyclic").alias("_c"))
+        nodes = F.when(F.col("_n").isNotNull(), F.concat("_n", "nodes")).otherwise(F.col("nodes"))
+        on = x.filter("up is not null").join(above, "up", "left").select("id", "_up", nodes.alias("nodes"), F.coalesce("_c", F.lit(False)).alias("_c"))
+        ids = F.transform("nodes", lambda n: n["id"])
+        on = on.withColumn("cyclic", F.col("_c") | (F.size(F.array_distinct(ids)) < F.size(ids)))
+        on = on.select("id", F.when(~F.col("cyclic"), F.col("_up")).alias("up"), F.when(~F.col("cyclic"), F.col("nodes")).alias("nodes"), "cyclic")
+        x = keep(x.filter("up is null").unionByName(on))
+    x = x.select("id", "cyclic", F.transform("nodes", lambda n: n["ordem"]).alias("ancestors"), F.array_join(F.transform("nodes", lambda n: n["label"]), " > ").alias("path"), F.exists(F.slice("nodes", 1, F.size("nodes") - 1), lambda n: n["flag"]).alias("under"))
+    x = x.withColumn("depth", (F.size("ancestors") - 1).cast("long")).withColumn("depth", F.when(~F.col("cyclic"), F.col("depth")))
+    return clauses.join(x if flag is not None else x.drop("under"), "id")
+
+
+def outline(walked: DataFrame) -> DataFrame:
+    """(norma_id, outline) as ``nested``, of any depth, from the rows of ``walk``: sorted by their ancestors, rows come in
+    preorder, and the step in depth between two says which braces open or close. Cyclic rows hang on no root and are left out."""
+    item = F.struct("ancestors", F.col("depth").cast("int").alias("depth"), clause_label(F.col("tipo"), F.col("numero")).alias("label"))
+    x = walked.filter(~F.col("cyclic")).groupBy("norma_id").agg(F.sort_array(F.collect_list(item)).alias("i"))
+
+    def shown(v, at):
+        before = F.when(at > 0, F.get("i", at - 1)["depth"])
+        step = F.when(before.isNull(), "").when(v["depth"] > before, "{").otherwise(F.concat(F.repeat(F.lit("}"), before - v["depth"]), F.lit(", ")))
+        return F.concat(step, v["label"])
+
+    end = F.repeat(F.lit("}"), F.element_at("i", -1)["depth"])
+    return x.select("norma_id", F.concat(F.array_join(F.transform("i", shown), ""), end).alias("outline"))
 
 
 def nested(clauses: DataFrame, levels: int = 4) -> DataFrame:

@@ -154,7 +154,7 @@ guarded AS (SELECT norma_id, tipo, numero, row_number() OVER (PARTITION BY norma
     "upsert_norms": W_ + NORMS + " SELECT id, tipo, numero, ano, CASE WHEN id % 2 = 0 THEN ementa || ' (nova)' ELSE ementa END AS ementa, pdf_url, CASE WHEN id % 2 = 0 THEN 'pending' ELSE status END AS status, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 'created' WHEN id % 2 = 0 THEN 'updated' ELSE 'kept' END AS change FROM norms WHERE id % 3 <> 0 OR id % 2 = 0",
     "ingestion_statistics": "SELECT CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'created' WHEN o_orderkey % 2 = 0 THEN 'updated' ELSE 'kept' END AS change, count(*) AS n_rows FROM orders WHERE o_orderkey % 3 <> 0 OR o_orderkey % 2 = 0 GROUP BY 1",
     "first_wins_dedup": "SELECT o_custkey AS id, min(o_orderkey) AS arrival, arg_min(o_orderpriority, o_orderkey) AS name FROM orders GROUP BY 1",
-    "new_ids": "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "new_ids": "SELECT c_custkey AS id, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)",
     "ingest_projection": W_ + NORMS + " SELECT id AS arrival, id, tipo, numero, CAST(ano AS BIGINT) AS ano, ementa, CASE WHEN id % 4 = 0 THEN 'sem observação' ELSE '' END AS observacao, CASE WHEN id % 10 <> 9 THEN pub END AS published, vig AS in_force, pdf_url AS texto_integral, pdf_url, 'http://norms/' || id AS page_url FROM norms WHERE id % 11 <> 0 AND id % 10 <> 8",
     "ingest_rejects": W_ + NORMS + " SELECT id AS arrival, tipo, numero, CASE WHEN id % 11 = 0 THEN 'missing id' ELSE 'impossible date' END AS reason FROM norms WHERE id % 11 = 0 OR id % 10 = 8",
     "ingestion_summary": "WITH r AS (SELECT o_orderkey AS id, CASE WHEN o_orderkey % 11 = 0 THEN 'missing id' WHEN o_orderkey % 10 = 8 THEN 'impossible date' END AS reason FROM orders), h AS (SELECT * FROM r WHERE reason IS NOT NULL ORDER BY id LIMIT 10) SELECT CAST(ceil(count(*) / 50.0) AS BIGINT) AS n_pages, count(*) FILTER (reason IS NULL) AS n_rows, count(reason) AS n_failed, (SELECT string_agg(id || ': ' || reason, '; ' ORDER BY id) FROM h) AS errors FROM r",
@@ -264,3 +264,22 @@ SELECT entity_id, ts, before, asked AS status, CASE WHEN allowed THEN 'moved' EL
 t AS (SELECT * FROM r WHERE page * 100 < 650) SELECT year, count(DISTINCT page) AS n_pages, count(*) AS n_fetched, count(*) - count(DISTINCT id) AS n_repeated, CAST(0 AS BIGINT) AS n_failed FROM t GROUP BY 1""",
     "chained_streams": W_ + NORMS + " SELECT id, tipo, numero, ano, ano AS asked FROM norms",
 }
+
+# Trees of any depth, deep pages, jobs.
+DEEP_PARENTS = CLAUSES + """, tree AS (SELECT *, CASE WHEN norma_id % 50 = 7 AND ordem = 1 THEN CASE WHEN max(ordem) OVER (PARTITION BY norma_id) > 1 THEN 2 END WHEN ordem % 3 <> 0 THEN ordem - 1 WHEN ordem > 0 THEN ordem - 2 END AS parent_ordem FROM clauses)"""
+DEEP_PATHS = PATHS.replace(PARENTS, DEEP_PARENTS)
+ORACLE |= {
+    "deep_paths": WITH_R + DEEP_PATHS + " SELECT t.id, w.path, CAST(w.depth AS BIGINT) AS depth, w.id IS NULL AS cyclic FROM tree t LEFT JOIN walk w USING (id)",
+    "deep_outline": WITH_R + DEEP_PATHS + f""", s AS (SELECT *, lag(depth) OVER o AS above, lead(id) OVER o IS NULL AS last_, {label()} AS label FROM walk WINDOW o AS (PARTITION BY norma_id ORDER BY anc))
+SELECT norma_id, string_agg(CASE WHEN above IS NULL THEN '' WHEN depth > above THEN '{{' ELSE repeat('}}', above - depth) || ', ' END || label || CASE WHEN last_ THEN repeat('}}', depth) ELSE '' END, '' ORDER BY anc) AS outline FROM s GROUP BY 1""",
+    "deep_consolidated_lines": WITH_R + LINES.replace(PARENTS, DEEP_PARENTS) + " SELECT norma_id, ordem, CAST(part AS BIGINT) AS part, line FROM lines_",
+    "norm_last_page": W_ + NORMS + """, n AS (SELECT count(*) AS total, CAST(ceil(count(*) / 20.0) AS BIGINT) AS n_pages FROM norms), r AS (SELECT *, row_number() OVER (ORDER BY ano DESC, numero DESC, id) AS rn FROM norms)
+SELECT id, tipo, numero, CAST(ano AS BIGINT) AS ano, left(ementa, 200) AS ementa, status, strftime(pub, '%Y-%m-%d') AS published, '/normas/' || id || '/' AS url, total, n_pages, false AS has_next, n_pages > 1 AS has_prev FROM r, n WHERE rn > (n_pages - 1) * 20""",
+    "deep_work_selection": W_ + NORMS + ", s AS (SELECT id, status, row_number() OVER (ORDER BY id) AS rn, count(*) OVER () AS n FROM norms WHERE status IN ('segmented', 'entities_extracted')) SELECT id, status FROM s WHERE rn > 2 * n // 3 AND rn <= 2 * n // 3 + 70",
+    "session_slugs": "SELECT count(*) AS n_sessions, count(*) AS n_slugs, CAST(0 AS BIGINT) AS n_clashes, CAST(0 AS BIGINT) AS n_short FROM customer",
+    "embedding_job": f"""WITH e AS (SELECT text, regexp_replace(text, {EDGES}, '', 'g') <> '' AS said, doc_id % 2 = 0 AS even FROM documents), t AS (SELECT text, bool_or(even) AS even, contains(text, '@') AS bad FROM e WHERE said AND NOT (even AND NOT contains(text, '@')) GROUP BY text),
+h AS (SELECT DISTINCT text FROM e WHERE even AND said AND NOT contains(text, '@')) SELECT (SELECT count(*) FILTER (NOT (even AND said AND NOT contains(text, '@'))) FROM e) AS n_rows, (SELECT count(*) FILTER (NOT said) FROM e) AS n_empty,
+count(*) AS n_texts, count(h.text) AS n_cached, count(*) FILTER (h.text IS NULL AND NOT bad) AS n_computed, count(*) FILTER (bad) AS n_failed FROM t LEFT JOIN h USING (text)""",
+    "short_clauses": W_ + CLAUSES + " SELECT id, 'REVOGA' AS acao FROM clauses WHERE l_returnflag = 'R' AND length(trim(substr(texto, 1, CAST(13 + id % 14 AS INT)))) >= 20",
+    "padded_pages": f"WITH {PAGES}, p AS (SELECT doc_id, count(*) FILTER (length(regexp_replace(t, {EDGES}, '', 'g')) <= 100) AS n_ocr FROM page GROUP BY 1) SELECT doc_id, n_ocr, length(regexp_replace(left(text, 60), {EDGES}, '', 'g')) >= 50 AS accepted FROM p JOIN documents USING (doc_id)",
+}

@@ -537,6 +537,98 @@ def get_or_create_session(spark, d):
     return chat.get_or_create(asked, s)
 
 
+# Edited trees, deep pages
+
+def edited(spark, d):
+    """Clauses hung deeper than the segmenter does, under the one before or before that; in every fiftieth norm two hang on each other."""
+    o = F.col("ordem")
+    up = F.when(o % 3 != 0, o - 1).when(o > 0, o - 2)
+    up = F.when((F.col("norma_id") % 50 == 7) & (o == 1), 2).otherwise(up).cast("long")
+    return clauses(spark, d).withColumn("parent_ordem", up).withColumn("parent_id", F.col("norma_id") * 100 + F.col("parent_ordem"))
+
+
+def written_down(spark):
+    from lexloom.operators import index
+
+    return index.kept_in(spark, next(shared_subfolders(spark, "notes")))
+
+
+@query
+def deep_paths(spark, d):
+    return tree.walk(edited(spark, d), written_down(spark)).select("id", "path", "depth", "cyclic")
+
+
+@query
+def deep_outline(spark, d):
+    return tree.outline(tree.walk(edited(spark, d), written_down(spark)))
+
+
+@query
+def deep_consolidated_lines(spark, d):
+    c = edited(spark, d)
+    below = lambda x, flag: tree.walk(x, written_down(spark), flag)
+    return consolidate.lines(c, bridge.alteration_events(c), bridge.norms(spark, d), below).select("norma_id", "ordem", long("part", "part"), "line")
+
+
+@query
+def norm_last_page(spark, d):
+    """The last page of all norms, found by ranges of the order."""
+    return catalog.page(bridge.norms(spark, d), 10**9, 20, most=500)
+
+
+@query
+def deep_work_selection(spark, d):
+    """Two in three norms of two statuses are passed over."""
+    n = bridge.norms(spark, d)
+    skip = 2 * n.filter("status in ('segmented', 'entities_extracted')").count() // 3
+    return catalog.work_selection(n, ["segmented", "entities_extracted"], skip, 70, most=500).select("id", "status")
+
+
+@query
+def session_slugs(spark, d):
+    """Slugs of four characters for every customer as a session, beside those that the conversations have: many collide."""
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("session_id"))
+    taken = table(spark, d, "conversations").select(F.substring(X.slug(F.col("conv_id")), 1, 4).alias("slug"))
+    x = chat.unique_slugs(asked, taken, written_down(spark), 4)
+    x = x.join(taken.distinct().withColumn("clash", F.lit(1)), "slug", "left")
+    return x.agg(F.count("*").alias("n_sessions"), F.count_distinct("slug").alias("n_slugs"), F.count("clash").alias("n_clashes"), F.count_if(F.length("slug") != 4).alias("n_short"))
+
+
+def counted_words(texts):
+    """Stands in for a model: its vector says how long a text is; a text that holds an address fails."""
+    return [None if "@" in t else [float(len(t)), float(t.count(" ")), 1.0] for t in texts]
+
+
+@query
+def embedding_job(spark, d):
+    """Vectors of the documents: a first run over the even ones fills the cache, this one asks for the others; its counts."""
+    from lexloom.operators import embedding
+
+    keep, now = written_down(spark), "2024-01-20 12:00:00"
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text", F.lit(None).cast("array<double>").alias("embedding"))
+    none = spark.createDataFrame([], "cache_key string, embedding array<double>, stored_at timestamp")
+    first, cache, _ = embedding.embed(docs.filter("id % 2 = 0"), none, counted_words, "stub", now, keep, wait=0.0)
+    rest = docs.filter("id % 2 = 1").withColumns({"embedding_model": F.lit(None).cast("string"), "embedded_at": F.lit(None).cast("timestamp")})
+    return embedding.embed(first.unionByName(rest), cache, counted_words, "stub", now, keep, wait=0.0)[2]
+
+
+@query
+def short_clauses(spark, d):
+    """Clauses cut near the least length that is read, their ends filled with white space that does not count."""
+    c = own_clauses(spark, d).filter(F.startswith("texto", F.lit("Fica"))).withColumn("texto", F.concat(F.expr("substring(texto, 1, 13 + id % 14)"), F.lit("\n\t\x0b" * 6)))
+    return extract.events(c).select("id", "acao")
+
+
+@query
+def padded_pages(spark, d):
+    """Pages whose text is followed by white space of all kinds: what has to be read optically, and which files go on."""
+    pages = text_pages(spark, d).withColumn("text", F.concat("text", F.lit("\t\x0b\x1c\u00a0" * 40)))
+    short = tables.needs_ocr(F.col("text"))
+    per = pages.groupBy(F.col("path").alias("doc_id")).agg(F.count_if(short).alias("n_ocr"))
+    lone = table(spark, d, "documents").select("doc_id", tables.accepted_text(F.concat(F.lit("\n" * 60), F.substring("text", 1, 60))).alias("accepted"))
+    return per.join(lone, "doc_id")
+
+
 # Changes of tables
 
 @query
@@ -560,8 +652,9 @@ def first_wins_dedup(spark, d):
 
 @query
 def new_ids(spark, d):
+    """Customers that no large order has named yet."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), "c_name")
-    return mutate.new_only(c, table(spark, d, "orders").select(F.col("o_custkey").alias("id")))
+    return mutate.new_only(c, table(spark, d, "orders").filter("o_totalprice > 400000").select(F.col("o_custkey").alias("id")))
 
 
 @query

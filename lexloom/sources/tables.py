@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lexloom.functions.text import strip
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,11 +22,12 @@ def pages_of_text(spark: SparkSession, path: str) -> DataFrame:
 
 def needs_ocr(text, least: int = 100):
     """A page whose native text is this short or shorter has to be read optically."""
-    return F.length(F.trim(F.coalesce(text, F.lit("")))) <= least
+    return F.length(strip(F.coalesce(text, F.lit("")))) <= least
 
 
 def accepted_text(text, least: int = 50):
-    return F.length(F.coalesce(text, F.lit(""))) >= least
+    """Whether the text of a file, without white space at its ends, is long enough to go on."""
+    return F.length(strip(F.coalesce(text, F.lit("")))) >= least
 
 
 def join_pages(pages: DataFrame) -> DataFrame:
