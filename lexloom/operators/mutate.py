@@ -65,6 +65,14 @@ def clear_vectors(clauses: DataFrame) -> DataFrame:
     return clauses.withColumn("embedding", F.lit(None).cast("array<float>"))
 
 
+def norm_columns(payloads: DataFrame) -> DataFrame:
+    """All columns that an upsert writes of each payload that is not rejected: those of ``ingest_projection`` with the text and
+    the payload as they came, and the status with which work begins."""
+    rows = ingest_projection(payloads.select("arrival", "value"))[0]
+    x = rows.join(payloads.select("arrival", F.col("value").alias("metadata")), "arrival").drop("arrival")
+    return x.withColumnRenamed("texto_integral", "original_text").withColumn("status", F.lit("pending"))
+
+
 def ingest_projection(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, rejected) of JSON payloads. The kind may be a string or an object with a description; fields that are not there are
     empty; malformed dates give null. A payload without id, or with a well-formed date that does not exist, is rejected and

@@ -283,3 +283,10 @@ count(*) AS n_texts, count(h.text) AS n_cached, count(*) FILTER (h.text IS NULL
     "short_clauses": W_ + CLAUSES + " SELECT id, 'REVOGA' AS acao FROM clauses WHERE l_returnflag = 'R' AND length(trim(substr(texto, 1, CAST(13 + id % 14 AS INT)))) >= 20",
     "padded_pages": f"WITH {PAGES}, p AS (SELECT doc_id, count(*) FILTER (length(regexp_replace(t, {EDGES}, '', 'g')) <= 100) AS n_ocr FROM page GROUP BY 1) SELECT doc_id, n_ocr, length(regexp_replace(left(text, 60), {EDGES}, '', 'g')) >= 50 AS accepted FROM p JOIN documents USING (doc_id)",
 }
+
+# Whole upserts and look-ups.
+ORACLE |= {
+    "upsert_payloads": f"""WITH p AS ({ORACLE['ingest_projection']}) SELECT id, tipo, numero, ano, ementa, CASE WHEN id % 2 = 0 THEN observacao || ' (revista)' ELSE observacao END AS observacao, published, in_force, texto_integral AS original_text, pdf_url, page_url,
+numero AS said_numero, CASE WHEN id % 2 = 0 THEN 'pending' ELSE 'segmented' END AS status, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 'created' WHEN id % 2 = 0 THEN 'updated' ELSE 'kept' END AS change FROM p WHERE id % 3 <> 0 OR id % 2 = 0""",
+    "missing_rows": "SELECT 2 * o_orderkey AS id, 'not found: ' || (2 * o_orderkey) AS error FROM orders WHERE 2 * o_orderkey NOT IN (SELECT o_orderkey FROM orders)",
+}

@@ -693,6 +693,23 @@ def listed_norms(spark, d):
     return n.withColumn("year", F.col("ano")).unionByName(n.filter("id % 50 = 0").withColumn("year", F.col("ano") + 1))
 
 
+@query
+def upsert_payloads(spark, d):
+    """All twelve columns of payloads upserted: those that were there keep their id, every new row begins as pending."""
+    x = mutate.norm_columns(bridge.payloads(spark, d))
+    old = x.filter("id % 3 <> 0").withColumn("status", F.lit("segmented"))
+    new = x.filter("id % 2 = 0").withColumn("observacao", F.concat("observacao", F.lit(" (revista)")))
+    y = mutate.upsert(old, new)
+    return y.select("id", "tipo", "numero", "ano", "ementa", "observacao", "published", "in_force", "original_text", "pdf_url", "page_url", F.get_json_object("metadata", "$.numero").alias("said_numero"), "status", "change")
+
+
+@query
+def missing_rows(spark, d):
+    """Norms asked for by every number doubled: a record for each that is not there."""
+    n = bridge.norms(spark, d).select("id")
+    return tables.look_up(n.select((2 * F.col("id")).alias("id")), n)[1]
+
+
 @query
 def rest_years(spark, d):
     """Norms as JSON pages in a shared folder, read back through the data source."""

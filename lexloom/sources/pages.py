@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
+from lexloom.operators.mutate import first_wins
 from lexloom.sources.rest import get_json, row, store
 
 PAGES = "year int, page int, place int, id long, tipo string, numero string, ano int, ementa string, raw string, error string"
@@ -145,6 +146,15 @@ def page_stream(spark: SparkSession, endpoint: str, first: int, last: int, page_
     return reader.load()
 
 
+def of_years(spark: SparkSession, endpoint: str, first: int, last: int, page_size: int = 50) -> tuple[DataFrame, DataFrame]:
+    """(norms, failures) of a range of years read at once: an id that several years list counts in the first; a year or page
+    that cannot be read is passed over and stands among the failures (year, page, error)."""
+    spark.dataSource.register(NormPages)
+    x = spark.read.format("norm_pages").option("endpoint", endpoint).option("from_year", first).option("to_year", last).option("page_size", page_size).load()
+    rows = first_wins(x.filter("id is not null").withColumn("asked", F.struct("year", "page", "place")).drop("year", "page", "place", "error"), "id", "asked")
+    return rows.withColumn("asked", F.col("asked.year")), x.filter("error is not null").select("year", "page", "error")
+
+
 def fetched(rows: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, report) of listed rows: pages of a year count until ``most`` rows were fetched, repeats included, the last page
     whole. The report has a row a year: pages, rows fetched, rows whose id an earlier one of the year had, failed pages."""

@@ -14,6 +14,13 @@ def by_id(df: DataFrame, ident: int, key: str = "id") -> DataFrame:
     return df.filter(F.col(key) == ident)
 
 
+def look_up(asked: DataFrame, rows: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame]:
+    """(found, missing) of rows asked for by key (once each): the rows, and a record (key, error) for each that is not there."""
+    asked = asked.select(key).distinct()
+    missing = asked.join(rows.select(key), key, "left_anti")
+    return rows.join(asked, key, "left_semi"), missing.withColumn("error", F.concat(F.lit("not found: "), F.coalesce(F.col(key).cast("string"), F.lit("null"))))
+
+
 def pages_of_text(spark: SparkSession, path: str) -> DataFrame:
     """Files of form-feed separated page text as rows (path, page_no, text)."""
     raw = spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("t"))

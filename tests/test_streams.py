@@ -112,6 +112,15 @@ def test_paged_stream_resumes_and_keeps_failures(spark, tmp_path):
     assert sorted(map(tuple, report.collect())) == [(2000, 2, 6, 1, 0), (2001, 2, 1, 0, 1)]
 
 
+def test_years_that_fail_are_passed_over_with_a_record(spark, tmp_path):
+    write_page(tmp_path, 1999, 0, [1, 2])
+    (tmp_path / "2000-0.json").write_text("{broken")
+    write_page(tmp_path, 2001, 0, [2, 3])
+    rows, failed = pages.of_years(spark, str(tmp_path), 1999, 2002)
+    assert sorted((r.id, r.asked) for r in rows.collect()) == [(1, 1999), (2, 1999), (3, 2001)]
+    assert [(r.year, r.page) for r in failed.collect()] == [(2000, 0)] and failed.first().error.startswith("JSONDecodeError")
+
+
 def test_a_stopped_stream_goes_on_page_by_page(spark, tmp_path):
     folder = tmp_path / "pages"
     folder.mkdir()
