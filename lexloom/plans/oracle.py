@@ -290,3 +290,4 @@ ORACLE |= {
 numero AS said_numero, CASE WHEN id % 2 = 0 THEN 'pending' ELSE 'segmented' END AS status, CASE WHEN id % 2 = 0 AND id % 3 = 0 THEN 'created' WHEN id % 2 = 0 THEN 'updated' ELSE 'kept' END AS change FROM p WHERE id % 3 <> 0 OR id % 2 = 0""",
     "missing_rows": "SELECT 2 * o_orderkey AS id, 'not found: ' || (2 * o_orderkey) AS error FROM orders WHERE 2 * o_orderkey NOT IN (SELECT o_orderkey FROM orders)",
 }
+ORACLE |= {"gram_list_search": ORACLE["norm_list_search"], "gram_admin_search": ORACLE["admin_search"]}

@@ -584,6 +584,25 @@ def deep_work_selection(spark, d):
     return catalog.work_selection(n, ["segmented", "entities_extracted"], skip, 70, most=500).select("id", "status")
 
 
+@query
+def gram_list_search(spark, d):
+    """The list search through an index of trigrams."""
+    from lexloom.operators import grams
+
+    n = bridge.norms(spark, d)
+    built = grams.build(n, ["ementa", "numero", "tipo"], next(shared_subfolders(spark, "grams")))
+    return catalog.card(catalog.default_order(grams.search(built, n.filter("status = 'consolidated'"), "urgent")).limit(50))
+
+
+@query
+def gram_admin_search(spark, d):
+    from lexloom.operators import grams
+
+    n = bridge.norms(spark, d)
+    built = grams.build(n, ["numero", "ementa", "pdf_url"], next(shared_subfolders(spark, "grams")))
+    return catalog.facet(grams.search(built, n.filter("status = 'segmented'"), "LOW"), "tipo")
+
+
 @query
 def session_slugs(spark, d):
     """Slugs of four characters for every customer as a session, beside those that the conversations have: many collide."""

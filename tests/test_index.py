@@ -49,3 +49,23 @@ def test_clusters_are_read_in_part_and_exactly(spark, tmp_path, monkeypatch):
     # Few cells, of which each query reads one or two: still exact.
     coarse = index.build(df, f"{tmp_path}/coarse", cells=3)
     assert sorted(map(tuple, index.search(coarse, asks, 10, keep).collect())) == want
+
+
+def test_substrings_by_trigrams(spark, tmp_path):
+    """Every needle finds what a scan finds; the postings of its own grams are all that is read."""
+    import random
+
+    from lexloom.functions.text import contains_ci
+    from lexloom.operators import grams
+    from pyspark.sql import functions as F
+
+    rng = random.Random(4)
+    said = lambda: None if rng.random() < 0.1 else "".join(rng.choice("abcAé %_ß") for _ in range(rng.randrange(12)))
+    df = spark.createDataFrame([(i, said(), said(), rng.randrange(2000)) for i in range(600)], "id long, a string, b string, n int").repartition(3)
+    built = grams.build(df, ["a", "b", "n"], str(tmp_path / "grams"), buckets=16)
+    for needle in ["abc", "ABCA", "a%b", "_ß", "éé", "199", "1999", "", "zzz", "bca bc", "SS", "aß"]:
+        want = sorted(r.id for r in df.filter(contains_ci(needle, F.col("a"), F.col("b"), F.col("n").cast("string"))).collect())
+        assert sorted(r.id for r in grams.search(built, df, needle).collect()) == want, needle
+    plan = grams.candidates(built, df, "abca")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert grams.candidates(built, df, "ab") is None
