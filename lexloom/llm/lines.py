@@ -1,6 +1,6 @@
 """Line deduplication by a suffix array over sequences of line ids.
 
-A line's id is the hash of its text without outer blanks; a second, independent hash
+A line's id is the hash of its text without outer blanks (tabs and carriage returns are part of it); a second, independent hash
 shows ids that different lines share, and replaces them. Lines that occur once cannot lie in a repeated run, so they cut documents into islands of repeated lines;
 islands with fewer words than a run needs go, too. Over the islands a suffix array
 is built by prefix doubling: a suffix's rank is its place among all suffixes in the
@@ -132,13 +132,18 @@ def intervals(x: DataFrame, min_words: int) -> DataFrame:
 
 
 def deletions(docs: DataFrame, min_words: int = 50) -> DataFrame:
-    """(d, t, gone): the line numbers to delete of each document that repeats an earlier run."""
+    """(d, t, gone): the stretches of lines (b, e) to delete of each document that repeats an earlier run, apart and in order."""
     runs = keep(intervals(islands(docs, min_words), min_words))
     interval, here = ["m", "i1", "p1", "i2", "p2"], F.struct("d", "t", "b")
     first = keep(runs.groupBy(*interval).agg(F.min(here).alias("first"), F.count("*").alias("n")).filter("n > 1"))
     later = join_groups(runs, first, interval).filter(F.col("first") < here)
-    lines = later.select(*KEY, F.explode(F.sequence(F.col("b"), F.col("b") + F.col("m") - 1)).alias("ln"))
-    return lines.groupBy(*KEY).agg(F.sort_array(F.collect_set("ln")).alias("gone"))
+    # Runs overlap, so their union is taken by their ends, not line by line.
+    doc = W.partitionBy(*KEY).orderBy("b", "e")
+    ends = later.select(*KEY, "b", (F.col("b") + F.col("m") - 1).alias("e"))
+    reach = F.max("e").over(doc.rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.withColumn("begins", F.coalesce(F.col("b") > reach + 1, F.lit(True))).withColumn("part", F.sum(F.col("begins").cast("int")).over(doc))
+    parts = ends.groupBy(*KEY, "part").agg(F.min("b").alias("b"), F.max("e").alias("e"))
+    return parts.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("b", "e"))).alias("gone"))
 
 
 def deduplicate(docs: DataFrame, min_words: int = 50, keep_empty: bool = True) -> DataFrame:
@@ -148,12 +153,12 @@ def deduplicate(docs: DataFrame, min_words: int = 50, keep_empty: bool = True) -
     x = keyed(docs.select(named(own))).join(gone, KEY, "left")
     rows = F.split("text", "\n", -1)
     # What stays are the slices between deleted lines: (first line, how many).
-    starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g + 1)), F.concat("gone", F.array(F.size(rows)))
+    starts, ends = F.concat(F.array(F.lit(0)), F.transform("gone", lambda g: g["e"] + 1)), F.concat(F.transform("gone", lambda g: g["b"]), F.array(F.size(rows)))
     stays = F.filter(F.zip_with(starts, ends, lambda s, e: F.struct(s.alias("s"), (e - s).alias("n"))), lambda v: v["n"] > 0)
     sliced = F.transform(F.array(rows), lambda own: F.flatten(F.transform(stays, lambda v: F.slice(own, v["s"] + 1, v["n"]))))  # splits the text once
     left = F.array_join(F.get(sliced, 0), "\n")
     x = x.withColumn("n_lines", F.coalesce(F.size(rows), F.lit(0)).cast("long")).withColumn("text", F.when(F.col("gone").isNull(), F.col("text")).otherwise(left))
-    x = x.withColumn("n_removed", F.coalesce(F.size("gone"), F.lit(0)).cast("long"))
+    x = x.withColumn("n_removed", F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda n, g: n + g["e"] - g["b"] + 1), F.lit(0)).cast("long"))
     if not keep_empty:
         x = x.filter(F.col("gone").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return x.select(*[F.col("text") if c == "text" else F.col("doc")[c].alias(c) for c in own], "n_lines", "n_removed")
