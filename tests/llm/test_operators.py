@@ -320,7 +320,7 @@ def test_vectors_in_a_cone(spark):
     _, _, reps = vectors.classes(df)
     name = {r["class"]: r["first"] for r in reps.select("class", "first").collect()}
     for rows in (512, 4096):
-        got = {name[r.id]: r.component for r in components(vectors.passes(reps, len(x), 0.95, rows=rows)).collect()}
+        got = {name[r.id]: r.component for r in components(vectors.passes(reps, 0.95, rows=rows)).collect()}
         found = sum(a in got and got[a] == got.get(b) for a, b in zip(i.tolist(), j.tolist()))
         assert found >= 0.99 * len(i), (rows, found, len(i))
 
@@ -398,3 +398,25 @@ def test_sketch(spark, docs, empty):
     lim = sketch.limit(0.25)
     parts = spark.createDataFrame([(1, [lim + 5]), (1, [lim - 1, lim - 9]), (2, [lim + 7]), (2, [lim + 3])], "k long, s array<long>")
     assert {r.k: r.s for r in sketch.merged(parts, "k", "s").collect()} == {1: [lim - 9, lim - 1], 2: [lim + 3]}
+
+
+def test_vectors_go_through_windows_at_every_size(spark):
+    """A table that has links, found by passes alone: counts of windows, and what they find, against all pairs."""
+    from lexloom.llm import vectors
+    from lexloom.llm.common import forest
+
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((1500, 24))
+    x = np.concatenate([base, base[:900] + 0.12 * rng.standard_normal((900, 24)), base[:300] + 0.12 * rng.standard_normal((300, 24))]).astype(np.float32)
+    y = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    hit = y @ y.T >= 0.95
+    label = forest(len(x), *np.nonzero(hit))
+    assert (hit.sum() - len(x)) // 2 > 1000
+    df = spark.createDataFrame([(k, [float(a) for a in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>").repartition(4)
+    _, _, reps = vectors.classes(df)
+    made = vectors.plan(y, len(x), 0.95, 0.002, 1024, 11)
+    assert len(made) > 3 and all(len(c) == 8 for c in made)
+    assert {len(vectors.plan(y[:n], n, 0.95, 0.002, 1024, 11)) > 0 for n in (1, 10, 700)} == {True}
+    got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
+    right = sum(got[i] == (hit[i].sum() - 1, label[i]) for i in range(len(x)))
+    assert right >= 0.995 * len(x), right
