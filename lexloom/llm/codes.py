@@ -178,7 +178,7 @@ def train(vectors: DataFrame, parts: int = 8, entries: int = 16, rounds: int = 6
 
 
 def encode(vectors: DataFrame, books: dict[int, list[np.ndarray]], columns: list[str | Column], scale: int = 4096) -> DataFrame:
-    """``columns`` of the rows that have a vector, with dim, code (an index a part, as bytes) and error (decimal(38,0))."""
+    """``columns`` of the rows that have a vector, with dim, code (an index a part, as bytes) and error."""
     rows = usable(vectors).select(F.col("embedding").alias("_vector"), *columns)
     rest = rows.drop("_vector")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", dim int, code binary, error long"

@@ -17,7 +17,8 @@ holds most of the important text of the host. What then still bears a name of
 boilerplate (navigation, header, footer, advert, notice, comments ...) goes too: names
 tell where statistics cannot, on hosts with fewer than ``LEAST_PAGES`` distinct pages
 and where boilerplate, say comments, differs on every page. On a page that marks its
-article, the main text is what is left in it.
+article, the main text is what is left in it; in it, the tree takes away only what stands
+on every page alike, and a name counts only whole and only if it is hardly the article's own.
 
 Defined results: null or empty html gives an empty text; pages without a host share
 one tree; repeated rows are repeated pages; an empty table gives no rows; further
@@ -44,6 +45,11 @@ BOILER_NAMES = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumb\w*|sidebar\w*|side|footer|header|masthead|cookie\w*|consent|notice\w*|popup|modal|newsletter|subscribe|"
     r"comment\w*|disqus|replies|reply|respond|related|recommend\w*|share|sharing|social|widget\w*|pagination|pager|toolbar|login|search|alert|gdpr|toc|copyright)(?:$|[\s_-])", re.I,
 )
+# Inside article and main a name counts only whole, and only where it can hardly be the article's own.
+BOILER_INSIDE = re.compile(
+    r"(?:^|\s)(?:ad|ads|advert\w*|sponsor\w*|promo|nav|navbar|navigation|menu|breadcrumbs?|sidebar|footer|cookies?|consent|popup|newsletter|"
+    r"comments?|comments?-list|comment-section|disqus|replies|related|recommended|share|sharing|social|pagination|pager|gdpr)(?:$|\s)", re.I,
+)
 MAIN, FRAME = {"article", "main"}, {"html", "body"}
 TOKENS = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)|[^<]+|<", re.S)
 STOPS = re.compile(r"[>\"']")
@@ -54,6 +60,7 @@ CLOSES_P = BLOCKS - {"br", "body", "html"}
 
 LEAST_PAGES = 8
 LEAST_IMPORTANCE = 0.35
+LEAST_INSIDE = 0.05  # of text in article and main: only what stands on every page alike
 CONTENT = 0.8  # its weight in a branch's importance; the rest is presentation
 DECAY = 0.5  # of presentation for each level down
 REACH = 16  # levels above a node that its statistics reach
@@ -153,7 +160,7 @@ def blocks(page: str, branches=frozenset(), seen: dict | None = None) -> list[tu
             named = page[attrs : at - 1]
             names = " ".join(x or y or z for x, y, z in NAMES.findall(named)) if "=" in named else ""
             up = stack[-1]
-            own = tag in BOILER_TAGS or (tag == "header" and not up.main) or (tag not in FRAME and bool(BOILER_NAMES.search(names)))
+            own = tag in BOILER_TAGS or (tag == "header" and not up.main) or (tag not in FRAME and bool((BOILER_INSIDE if up.main else BOILER_NAMES).search(names)))
             node = signed(xxh(f"{tag}.{names}" if names else tag, up.node % (1 << 64)))
             up.children.append(node)
             x = Node(tag, node, up.bad or own, up.main or tag in MAIN, tag in FRAME, up.gone or node in branches)
@@ -248,16 +255,19 @@ def importance(x: DataFrame) -> DataFrame:
 
 
 def unimportant(x: DataFrame, least_pages: int = LEAST_PAGES, least: float = LEAST_IMPORTANCE) -> DataFrame:
-    """(host, texts, branches): nodes of each host whose own text goes, and whose whole branch does."""
+    """(host, texts, branches, inside): nodes of each host whose own text goes, whose whole branch does, and whose own text goes even
+    in an article."""
     told = F.col("n") >= least_pages
     x = x.withColumn("t", told & (F.col("content") < least)).withColumn("b", told & ~F.col("frame") & (F.col("branch") < least)).filter("t or b")
-    return x.groupBy("host").agg(*[F.sort_array(F.collect_list(F.when(F.col(c), F.col("node")))).alias(name) for c, name in (("t", "texts"), ("b", "branches"))])
+    x = x.withColumn("i", told & (F.col("content") < LEAST_INSIDE))
+    lists = (("t", "texts"), ("b", "branches"), ("i", "inside"))
+    return x.groupBy("host").agg(*[F.sort_array(F.collect_list(F.when(F.col(c), F.col("node")))).alias(name) for c, name in lists])
 
 
 def with_dropped(x: DataFrame, low: DataFrame, most_bytes: int = 8 << 20, salts: int = 64) -> DataFrame:
     """Pages with the dropped nodes of their host. A small list is broadcast, so that no html moves; a larger one
     is joined by host and salt, so that a host with very many pages is spread over ``salts`` groups."""
-    size = low.agg(F.sum(8 * F.size("texts") + 8 * F.size("branches") + F.length("host"))).first()[0] or 0
+    size = low.agg(F.sum(8 * F.size("texts") + 8 * F.size("branches") + 8 * F.size("inside") + F.length("host"))).first()[0] or 0
     if size <= most_bytes:
         return x.join(F.broadcast(low), "host", "left")
     low = low.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
@@ -273,13 +283,13 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         for b in batches:
             out, by_tree = [], []
-            for page, texts, branches in zip(b["html"], b["texts"], b["branches"]):
-                low = set(texts) if texts is not None else ()
+            for page, texts, branches, inside in zip(b["html"], b["texts"], b["branches"], b["inside"]):
+                low, fixed = (set(v) if v is not None else () for v in (texts, inside))
                 found = blocks(page, frozenset(branches) if branches is not None else frozenset())
-                kept = [x for x in found if not x[3] and x[0] not in low]
+                kept = [x for x in found if (x[0] not in fixed if x[2] else not x[3] and x[0] not in low)]
                 by_tree.append(len(found) - len(kept))
                 kept = [x for x in kept if not x[1]]
                 out.append("\n".join(x[4] for x in ([x for x in kept if x[2]] or kept)))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "text": out, "n_by_tree": by_tree})
 
-    return x.select("page_id", "url", "html", "texts", "branches").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_by_tree long")
+    return x.select("page_id", "url", "html", "texts", "branches", "inside").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_by_tree long")
