@@ -459,3 +459,61 @@ def test_pipeline_equals_its_stages_by_brute_force(spark, tmp_path):
 
     for s, want in mixing.targets(list(target.items())).items():
         assert abs(taken[s] - want) <= max(size.values())
+
+
+def test_html_keeps_what_an_article_says_of_few_values(spark):
+    """Lists of yes and no, headings that pages share in part, and names that only sound like boilerplate are the article's."""
+    from lexloom.llm import html
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdehlnorst") for _ in range(rng.randrange(2, 8)))
+    for pages in (7, 12):
+        rows, want = [], {}
+        for i in range(pages):
+            said = " ".join(word() for _ in range(30))
+            answers = rng.choice([("yes", "no"), ("no", "yes"), ("yes", "yes")])
+            rows.append((i, "http://h.example/a", f"<body><nav><a href=x>Home</a></nav><main><h1>{word()}</h1><ul><li>{answers[0]}</li><li>{answers[1]}</li></ul><div class='related-work'><h2>Related work</h2><p>{said}</p></div>"
+                                                f"<div id=side>Side effects of {said}</div><div class='comments'>nice {word()}</div><p>All rights reserved</p></main><footer>end</footer></body>"))
+            want[i] = (list(answers), said)
+        got = {r.page_id: r.text.split("\n") for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        for i, (answers, said) in want.items():
+            assert got[i][1:3] == answers and said in got[i] and f"Side effects of {said}" in got[i] and not any("nice" in t or "Home" in t for t in got[i])
+            assert ("All rights reserved" in got[i]) == (pages < 8)
+
+
+def test_near_copies_that_go_are_like_one_that_stays(spark, monkeypatch):
+    """Chains of ever fewer shared words and groups of any size, settled in rounds and in tasks: first come, first kept."""
+    from lexloom.llm import simhash
+
+    rng = random.Random(6)
+    texts = near_copies(spark)[:30]
+    chain = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    for _ in range(40):
+        texts.append(" ".join(chain))
+        chain[rng.randrange(200)], chain[rng.randrange(200)] = "other", f"x{rng.randrange(99)}"
+    texts += [None, "", "a b", "a b"]
+    rng.shuffle(texts)
+    sets = [frozenset(" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if (w := (t or "").split()) else frozenset() for t in texts]
+    alike = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    for small in (500, 2):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        kept = sorted(r.doc_id for r in simhash.survivors(df).collect())
+        for i in range(len(texts)):
+            if i not in kept:
+                assert any(k < i and alike(sets[k], sets[i]) for k in kept), i
+        both = [(a, b) for a in kept for b in kept if a < b and alike(sets[a], sets[b])]
+        assert len(both) <= 1, both
+
+
+def test_empty_lines_cost_what_they_are(spark):
+    """Many empty lines before a repeated run: its ends are taken, not each of its lines for each of its starts."""
+    import time
+
+    from lexloom.llm import lines
+
+    said = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, "\n" * 30_000 + said) for i in range(2)] + [(5, "unlike\n" + said)]
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_removed, len(r.text)) for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: (30_001, 0, 30_000 + len(said)), 1: (30_001, 30_001, 0), 5: (2, 1, 6)} and time.time() - began < 120
