@@ -221,13 +221,79 @@ def grouped(own: DataFrame, key: str, **search) -> DataFrame:
     return own.join(root.join(least, "root").select("fp", "component"), "fp")
 
 
-def survivors(docs: DataFrame, size: int = 5, words: int = 4, parts: int = 6, reach: int = 3, radius: int = 44, least_held: int = 25_000) -> DataFrame:
+SMALL = 500  # members of a group that one task compares
+
+
+def shingle_sets(docs: DataFrame, size: int, columns: list) -> DataFrame:
+    """``columns`` of documents and sh: the distinct hashes of their shingles in ascending order."""
+    x = docs.select(*columns, text_of("text").alias("_text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in x.schema.fields[:-1]) + ", sh array<long>"
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, len(b), 64):
+                part = b.slice(at, 64)
+                sets = [np.unique(shingle_hashes(t.as_py(), size, 42).view(np.int64)) for t in part.column(part.num_columns - 1)]
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], [*part.schema.names[:-1], "sh"])
+
+    return x.mapInArrow(run, schema)
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    """Jaccard index of two sets given as sorted arrays; two empty sets are equal."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def leaders(members: DataFrame, least: float) -> DataFrame:
+    """The keys that stay of groups of candidates (component, key, sh: kept rows): in order of the key, every member that no
+    earlier one which stays is like.
+
+    A round compares every member with the first of its group: a join by group, whose large sides Spark splits. That takes
+    the copies of one text, however many, in one round. Groups of at most SMALL that are left are settled in one task each,
+    larger ones go on round by round.
+    """
+    stays, left = None, members
+    while True:
+        first = keep(left.groupBy("component").agg(F.min_by(F.struct("key", "sh"), "key").alias("f"), F.count("*").alias("n")))
+        new = first.select(F.col("f.key").alias("key"))
+        stays = new if stays is None else stays.unionByName(new)
+        x = left.join(first.filter("n > 1").select("component", "f"), "component").filter(F.col("key") != F.col("f")["key"])
+        sizes, both = F.size("sh") + F.size(F.col("f")["sh"]), F.size(F.array_intersect("sh", F.col("f")["sh"]))
+        left = keep(x.filter(F.coalesce(both < least * (sizes - both), F.lit(True))).select("component", "key", "sh"))
+        counts = keep(left.groupBy("component").agg(F.count("*").alias("n")))
+        if counts.isEmpty():
+            return stays
+        few = counts.filter(F.col("n") <= SMALL).select("component")
+        kind = members.schema["key"].dataType.simpleString()
+
+        def settle(rows: pa.Table) -> pa.Table:
+            order = sorted(range(len(rows)), key=lambda i: tuple(keys[i].values())) if (keys := rows["key"].to_pylist()) else []
+            sets, out = rows["sh"].combine_chunks(), []
+            for i in order:
+                own = sets[i].values.to_numpy()
+                if not any(alike(sets[j].values.to_numpy(), own, least) for j in out):
+                    out.append(i)
+            return rows.select(["key"]).take(out)
+
+        small = left.join(few, "component", "left_semi")
+        stays = stays.unionByName(small.groupBy("component").applyInArrow(settle, f"key {kind}"))
+        left = keep(left.join(few, "component", "left_anti"))
+        if left.isEmpty():
+            return stays
+
+
+def survivors(docs: DataFrame, size: int = 5, words: int = 4, parts: int = 8, reach: int = 3, radius: int = 50, least_held: int = 25_000, least: float = 0.8) -> DataFrame:
     """The rows of one document of each group of near copies, the smallest by (doc_id, nulls last; hashes of the text and of all columns).
 
-    Two documents are near copies if fingerprints of ``words`` times 64 bits over shingles of ``size`` words differ in
-    at most ``radius`` bits; 44 of 256 is what a Jaccard index somewhat under 0.8 makes likely. Found of distinct texts of the
-    test tables: 0.87 of pairs with an index of 0.80 to 0.85, 0.98 up to 0.90, all above (README). Leaves hold more fingerprints the
-    more there are, because each level of a tree makes more of them visit others.
+    Candidates are groups of documents whose fingerprints of ``words`` times 64 bits over shingles of ``size`` words link at
+    ``radius`` bits or fewer, wider than ``least`` asks for. Of a group, in order, every document goes that has a Jaccard
+    index of ``least`` or more, over all its shingles, with one that stays; so none goes for a likeness that is not there, and
+    no two alike of a group stay. Leaves hold more fingerprints the more there are, because each level of a tree makes more
+    of them visit others.
     """
     plain = [f.name for f in docs.schema.fields if f.dataType.typeName() not in ("map", "variant")]
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
@@ -238,10 +304,14 @@ def survivors(docs: DataFrame, size: int = 5, words: int = 4, parts: int = 6, re
     held = min(200_000, max(least_held, int(54 * n**0.5)))
     sample = max(4000, LEAF * math.ceil(n / held))
     search = {"parts": parts, "reach": reach, "radius": radius, "sample": sample, "leaf": max(LEAF, math.ceil(sample * held / max(n, 1)))}
-    x = keep(grouped(own, "key", **search))
-    least = x.select("component").distinct().select("component.*")
-    rows = docs.select(F.struct(*named(docs.columns)).alias("doc"), *key).join(least, names, "left_semi")
-    if not x.filter(F.col("key") == F.col("component")).groupBy("key").count().filter("count > 1").isEmpty():
+    x = keep(grouped(own, "key", **search).select("key", "component").distinct())  # rows that agree in all columns are one
+    grown = x.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
+    several = keep(x.join(grown, "component", "left_semi"))
+    sets = keep(shingle_sets(docs.select(*key, "text").join(several.select("key.*").distinct(), names, "left_semi").dropDuplicates(names), size, names))
+    members = keep(several.join(sets.select(F.struct(*names).alias("key"), "sh"), "key").select("component", "key", "sh"))
+    gone = several.select("key").join(leaders(members, least), "key", "left_anti").select("key.*")
+    rows = docs.select(F.struct(*named(docs.columns)).alias("doc"), *key).join(gone, names, "left_anti")
+    if x.count() < n:
         rows = rows.dropDuplicates(names)  # rows that repeat in every column
     return rows.select("doc.*")
 
