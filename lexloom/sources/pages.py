@@ -31,9 +31,21 @@ from lexloom.sources.rest import get_json, row, store
 PAGES = "year int, page int, place int, id long, tipo string, numero string, ano int, ementa string, raw string, error string"
 
 
+TASKS = 64  # partitions of a batch
+
+
 class Page(InputPartition):
-    def __init__(self, year: int, page: int):
+    """A run of pages of a year: from its first page up to, not including, ``end``; one page by default."""
+
+    def __init__(self, year: int, page: int, end: int | None = None):
         super().__init__((year, page))
+        self.end = page + 1 if end is None else end
+
+
+def runs(spans: list[tuple[int, int, int]]) -> list[Page]:
+    """Pages of (year, first, end) in runs of a like number, at most ``TASKS`` and one a year; few pages are a partition each."""
+    step = max(1, -(-sum(end - first for _, first, end in spans) // TASKS))
+    return [Page(y, p, min(p + step, end)) for y, first, end in spans for p in range(first, end, step)]
 
 
 class Listing:
@@ -79,6 +91,11 @@ class Listing:
         for i, x in enumerate(got):
             yield (year, page, i, *row(x, year)[:6], None)
 
+    def run(self, part: Page) -> Iterator[tuple]:
+        year, first = part.value
+        for page in range(first, part.end):
+            yield from self.rows(year, page)
+
 
 class PageStream(DataSourceStreamReader):
     def __init__(self, options: dict, get=get_json):
@@ -103,10 +120,10 @@ class PageStream(DataSourceStreamReader):
 
     def partitions(self, start: dict, end: dict) -> list[Page]:
         self.at = {y: max(n, self.at.get(y, 0)) for y, n in {**start, **end}.items()}
-        return [Page(int(y), p) for y in sorted(end, key=int) for p in range(start.get(y, 0), end[y])]
+        return runs([(int(y), start.get(y, 0), end[y]) for y in sorted(end, key=int)])
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        yield from self.listing.rows(*partition.value)
+        yield from self.listing.run(partition)
 
     def commit(self, end: dict) -> None:
         """Nothing to free: the listing keeps its pages."""
@@ -117,10 +134,10 @@ class PageReader(DataSourceReader):
         self.listing = Listing(options, get)
 
     def partitions(self) -> list[Page]:
-        return [Page(int(y), p) for y, n in sorted(self.listing.lengths().items()) for p in range(n)]
+        return runs([(int(y), 0, n) for y, n in sorted(self.listing.lengths().items())])
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        yield from self.listing.rows(*partition.value)
+        yield from self.listing.run(partition)
 
 
 class NormPages(DataSource):

@@ -239,3 +239,14 @@ def test_bucketed_upsert_as_a_stream(spark, tmp_path):
             want[r[0]] = max(want.get(r[0], r), r, key=lambda x: (x[1], x[2], x[3]))
         ingest.run_available(feed.stream(), table.upsert, f"{tmp_path}/check")
         assert {r.event_id: tuple(r) for r in table.read().collect()} == want
+
+
+def test_many_pages_are_few_partitions():
+    n = 90_000
+    listing = lambda o: pages.PageStream({"endpoint": "http://x/", "from_year": "2000", "to_year": "2001", **o}, lambda url, turn: {"results": [{"id": int(url.split("offset=")[1].split("&")[0])}]})
+    reader = listing({"page_size": "1"})
+    parts = reader.partitions({"2000": 10}, {"2000": n, "2001": 7})
+    assert len(parts) <= pages.TASKS + 2
+    covered = [(p.value[0], k) for p in parts for k in range(p.value[1], p.end)]
+    assert covered == [(2000, k) for k in range(10, n)] + [(2001, k) for k in range(7)]
+    assert [r[:4] for r in reader.read(parts[1])] == [(2000, k, 0, k) for k in range(parts[1].value[1], parts[1].end)]
