@@ -37,7 +37,11 @@ STEMS = {
     "REVOGA": ["REVOG"], "ALTERA": ["ALTER", "MODIFIC"], "ADICIONA": ["ADICION", "ACRESCEN", "INCLUI"], "SUBSTITUI": ["SUBSTITU"],
     "REGULAMENTA": ["REGULAMENTA", "DISCIPLINA"],
 }
+# What a text with any action holds, upper-cased with a plain I: each alternative of each pattern above has one.
+SIGNS = [s for stems in STEMS.values() for s in stems] + ["CONFORME", "TERMOS", "ACORDO", "PREVISTO", "DISPOSTO"]
 # What a text must hold, upper-cased, to match at all.
 HINTS = {
     "law": ["LEI", "LC", "DECRETO", "RESOLU"], "self": ["LEI", "DECRETO", "RESOLU"], "artigo": ["ART"], "paragrafo": ["§", "¶", "GRAFO"], "inciso": ["INCISO"], "alinea": ["NEA"],
 }
+# With what letters a match begins, whatever their case.
+INITIALS = {"law": "ldr", "self": "d", "artigo": "a", "paragrafo": "§¶p", "inciso": "i", "alinea": "a"}
