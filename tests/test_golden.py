@@ -396,3 +396,37 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
     with pytest.raises(ValueError):
         session.shared_folder(Session())
     assert session.shared_folder(spark)
+
+
+def test_matches_in_one_pass(spark):
+    """Marks in the text itself, letters that fold to i, and texts without any sign."""
+    pattern = extract.any_of(extract.ACTIONS.values())
+    texts = ["", "nada", "Fica\x01 revoga\x01 altera", "revogar e alterar $1 \\ disposto", "D\u0130SPOSTO na lei", "D\u0131sposto", "inalterado", "a revoga", "revoga", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, texto string")
+    got = {(r.id, r.start, r.hit) for r in extract.action_mentions(rows).collect()}
+    split, found = F.split("texto", pattern, -1), F.regexp_extract_all("texto", F.lit(pattern), F.lit(0))
+    want = set()
+    for r in rows.select("id", split.alias("g"), found.alias("h")).filter("g is not null").collect():
+        at = 0
+        for gap, hit in zip(r.g, r.h):
+            want.add((r.id, at + len(gap), hit))
+            at += len(gap) + len(hit)
+    assert got == want and {i for i, *_ in got} >= {2, 3, 4, 5, 7, 8}
+
+
+def test_references_without_keys_are_dealt_out(spark):
+    from lexloom.operators import resolve
+
+    refs = spark.range(4000).selectExpr("id", "id div 4 as norma_id", "'self_reference' as ref_tipo", "cast(null as string) as law_tipo", "cast(null as string) as law_numero", "cast(null as string) as law_ano")
+    norms = spark.createDataFrame([(1, "Lei", "1", 2000)], "id long, tipo string, numero string, ano int")
+    own = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for k, v in zip(own, ("-1", "false")):
+            spark.conf.set(k, v)
+        out = resolve.resolve(refs, norms)
+        assert out.filter("target_norm_id = norma_id").count() == 4000
+        most = max(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        assert most < 2000
+    finally:
+        for k, v in own.items():
+            spark.conf.set(k, v)
