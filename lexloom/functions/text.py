@@ -100,6 +100,16 @@ def slug(ident: Column, salt: str = "chat") -> Column:
     return F.substring(F.sha2(F.concat(ident.cast("string"), F.lit(salt)), 256), 1, 12)
 
 
+ALPHABET = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+
+
+def wide_slug(ident: Column, salt: str, length: int) -> Column:
+    """As ``slug``, of letters of both cases and digits, 16 of them at most: each from four hex characters of the hash."""
+    h = F.sha2(F.concat(ident.cast("string"), F.lit(salt)), 256)
+    digit = lambda i: (F.conv(F.substring(h, 4 * i + 1, 4), 16, 10).cast("int") % len(ALPHABET) + 1).cast("int")
+    return F.concat(*[F.substring(F.lit(ALPHABET), digit(i), F.lit(1)) for i in range(length)])
+
+
 def clamp01(c: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
 

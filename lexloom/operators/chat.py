@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from lexloom.functions.text import lookup, preview, slug
+from lexloom.functions.text import ALPHABET, lookup, preview, slug, wide_slug
 
 
 def session_cards(sessions: DataFrame, messages: DataFrame, limit: int | None = None) -> DataFrame:
@@ -79,15 +79,19 @@ def unique_slugs(sessions: DataFrame, taken: DataFrame, keep, length: int = 12)
     """(session_id, slug): a slug of its own for every session (distinct ids), none of those ``taken`` (slug).
 
     Every round proposes a slug that the id and the round's number decide. The smallest id of those that propose the same
-    gets it, if nobody has it; the others try again, until none is left. ``keep`` writes a table down. More sessions than
-    there are slugs are an error.
+    gets it, if nobody has it; the others try again, until none is left. Where all would fill more than half of the slugs
+    of hex characters, those who try again draw from letters of both cases and digits. ``keep`` writes a table down. More
+    sessions than there are slugs of these are an error.
     """
     given, left, n = taken.select("slug").distinct(), sessions.select("session_id"), 0
-    if sessions.count() + given.count() > 16**length:
+    wanted = sessions.count() + given.count()
+    wide = 2 * wanted > 16**length and length <= 16
+    if wanted > (len(ALPHABET) if wide else 16) ** length:
         raise ValueError(f"slugs of {length} characters are too short")
     done = None
     while not left.isEmpty():
-        asked = keep(left.withColumn("slug", F.substring(slug(F.col("session_id"), f"chat{n or ''}"), 1, length)))
+        ident, salt = F.col("session_id"), f"chat{n or ''}"
+        asked = keep(left.withColumn("slug", wide_slug(ident, salt, length) if wide and n else F.substring(slug(ident, salt), 1, length)))
         won = keep(asked.groupBy("slug").agg(F.min("session_id").alias("session_id")).join(given, "slug", "left_anti").select("session_id", "slug"))
         done = won if done is None else done.unionByName(won)
         given, left, n = given.unionByName(won.select("slug")), asked.join(won, "session_id", "left_anti").select("session_id"), n + 1
