@@ -5,12 +5,13 @@ and compares neighbours in that order: a window holds about ``rows`` vectors and
 next by half, so every vector meets at least a quarter window on either side. A bit says
 on which side of the local median a projection lies, so windows stay even and keep dividing
 where vectors crowd in a cone. Medians come from a bounded sample, which decides where
-windows end and nothing else; a window that grew beyond its size is compared whole. Verified
-pairs of all passes are united into components.
+windows end; a window that grew beyond its size is compared whole. Verified pairs of all
+passes are united into components.
 
 Passes are added until, in every part of the order, a made pair at the threshold is missed
-with a chance of at most ``miss``, and half as many again for pairs inside a cone. They are
-all there is at every size of table; a table that is smaller than a window is one window.
+with a chance of at most ``miss``, and half as many again for pairs inside a cone. The sample
+proposes how many; then every vector of the table is paired with a made one and sent through
+the passes, and passes are added until that holds of all. They are all there is at every size of table; a table that is smaller than a window is one window.
 A second step makes the links inside each component complete: small components are compared
 whole side by side, large ones in pairs of blocks, so the windows bound the search for
 components but never a vector's links.
@@ -92,8 +93,8 @@ def windows_of(half: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     return np.where((half < last) | (last == 0), half, -1), half - 1
 
 
-def plan(sample: np.ndarray, n: int, threshold: float, miss: float, rows: int, seed: int, pairs: int = 1 << 14) -> list[np.ndarray]:
-    """The cuts of each pass into half-windows."""
+def plan(sample: np.ndarray, n: int, threshold: float, miss: float, rows: int, seed: int, pairs: int = 1 << 14, least: int = 0) -> list[np.ndarray]:
+    """The cuts of each pass into half-windows; ``least`` passes at least, unless there is one window."""
     depth = max(0, min(math.ceil(math.log2(2 * n / rows)), int(math.log2(max(1, len(sample) / 8)))))
     if sample.shape[1] < 2 or not depth:  # two directions, or one window
         return [np.zeros(2) if depth else np.zeros(1)]
@@ -103,7 +104,7 @@ def plan(sample: np.ndarray, n: int, threshold: float, miss: float, rows: int, s
     w -= (w * x).sum(1)[:, None] * x
     y = threshold * x + math.sqrt(1 - threshold * threshold) * w / np.sqrt((w * w).sum(1))[:, None]
     apart, part, enough = np.ones(pairs, bool), None, None
-    while enough is None or len(cuts) < enough:
+    while enough is None or len(cuts) < max(enough, least):
         planes = directions(seed, len(cuts), x.shape[1], depth)
         cuts.append(halves(sample, planes))
         if enough is None:
@@ -116,6 +117,42 @@ def plan(sample: np.ndarray, n: int, threshold: float, miss: float, rows: int, s
     return cuts
 
 
+def partners(v: np.ndarray, names: np.ndarray, threshold: float, seed: int) -> np.ndarray:
+    """A made vector at the threshold for each unit vector, which its number decides."""
+    w = np.stack([np.random.Generator(np.random.Philox(key=[seed, int(c)])).standard_normal(v.shape[1]) for c in names])
+    w -= (w * v).sum(1)[:, None] * v
+    return threshold * v + math.sqrt(1 - threshold * threshold) * w / np.sqrt((w * w).sum(1))[:, None]
+
+
+def needed(reps: DataFrame, dim: int, cuts: list[np.ndarray], threshold: float, miss: float, seed: int) -> int | None:
+    """After how many passes at most ``miss`` of the made pairs of every part are missed, over all vectors of a length; None:
+    not after these. A count by part and pass reaches the driver."""
+    depth = len(cuts[0]).bit_length() - 1
+
+    def met(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            v = unit(b.column("v"))
+            y = partners(v, b.column("class").to_numpy(), threshold, seed)
+            part, first = None, np.full(len(v), len(cuts))
+            for k, c in enumerate(cuts):
+                planes = directions(seed, k, dim, depth)
+                at = ranges(v, planes, c)
+                part = at >> max(0, depth - 5) if part is None else part
+                first = np.where((first == len(cuts)) & (np.abs(at - ranges(y, planes, c)) <= 1), k, first)
+            both, n = np.unique(part * (len(cuts) + 1) + first, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(both // (len(cuts) + 1)), pa.array(both % (len(cuts) + 1)), pa.array(n)], ["part", "first", "n"])
+
+    rows = reps.filter(F.col("dim") == dim).select("class", "v").mapInArrow(met, "part long, first long, n long").groupBy("part", "first").agg(F.sum("n").alias("n")).collect()
+    counts = np.zeros((1 << min(5, depth), len(cuts) + 1), np.int64)
+    for r in rows:
+        counts[r.part, r.first] = r.n
+    left = counts.sum(1)[:, None] - counts.cumsum(1)[:, :-1]  # missed after one pass, two, ...
+    fine = np.nonzero((left <= miss * counts.sum(1)[:, None]).all(0))[0]
+    return int(fine[0]) + 1 if len(fine) else None
+
+
 def linked(v: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
     """Which rows of unit vectors have a cosine of the threshold or more. Products within rounding of it are summed anew, pair by
     pair in one order, so that every step says the same of a pair."""
@@ -129,14 +166,24 @@ def linked(v: np.ndarray, w: np.ndarray, threshold: float) -> np.ndarray:
 def passes(reps: DataFrame, threshold: float, miss: float = 0.002, rows: int = 1024, seed: int = 11, sampled: int = 400_000) -> DataFrame:
     """Edges (a, b) of classes that unite all verified pairs; each window of a pass returns one a member at most.
 
-    About ``sampled`` vectors a length, chosen by hash, decide where windows end: what the driver holds, and eight a half-window
+    All vectors decide how many passes there are. About ``sampled`` a length, chosen by hash, decide where windows end: what the driver holds, and eight a half-window
     at least, so windows grow beyond ``rows`` where a table has more than ``sampled`` / 16 of them.
     """
     plans = {}
     for dim, size in reps.groupBy("dim").count().collect():
         share = min(1.0, sampled / size)
         some = reps.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("class", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)))
-        plans[dim] = plan(unit(some.select("v").toArrow()["v"]), size, threshold, miss, rows, seed)
+        x = unit(some.select("v").toArrow()["v"])
+        cuts = plan(x, size, threshold, miss, rows, seed)
+        while dim > 1 and len(cuts[0]) > 1:
+            base = needed(reps, dim, cuts, threshold, miss, seed)
+            least = math.ceil(1.5 * (base or len(cuts)))
+            if base and least <= len(cuts):
+                break
+            cuts = plan(x, size, threshold, miss, rows, seed, least=least)
+            if base:
+                break
+        plans[dim] = cuts
 
     def codes(batches):
         for whole in batches:

@@ -420,3 +420,28 @@ def test_vectors_go_through_windows_at_every_size(spark):
     got = {r.vec_id: (r.n_links, r.component_id) for r in vectors.near_duplicates(df).collect()}
     right = sum(got[i] == (hit[i].sum() - 1, label[i]) for i in range(len(x)))
     assert right >= 0.995 * len(x), right
+
+
+def test_all_vectors_decide_how_many_passes(spark):
+    """A cone that a small sample hardly sees: the passes that it proposes miss pairs there, the table asks for more."""
+    import pyarrow as pa
+
+    from lexloom.llm import vectors
+
+    rng = np.random.default_rng(5)
+    wide, cone = rng.standard_normal((6000, 16)), rng.standard_normal(16) + 0.02 * rng.standard_normal((1500, 16))
+    x = vectors.unit(pa.array([*wide.tolist(), *cone.tolist()]))
+    reps = spark.createDataFrame([(i, r.tolist(), 16) for i, r in enumerate(x)], "class long, v array<double>, dim int").repartition(4)
+    one = vectors.plan(x[:400], len(x), 0.95, 0.002, 128, 11)[:1]
+    assert vectors.needed(reps, 16, one, 0.95, 0.002, 11) is None  # one pass is not enough
+    cuts = vectors.plan(x[:400], len(x), 0.95, 0.002, 128, 11, least=60)
+    base = vectors.needed(reps, 16, cuts, 0.95, 0.002, 11)
+    assert base is not None and vectors.needed(reps.repartition(7), 16, cuts, 0.95, 0.002, 11) == base
+    y, apart = vectors.partners(x, np.arange(len(x)), 0.95, 11), np.ones(len(x), bool)
+    assert np.abs((x * y).sum(1) - 0.95).max() < 1e-9
+    depth = len(cuts[0]).bit_length() - 1
+    for k in range(base):
+        at, to = (vectors.ranges(v, vectors.directions(11, k, 16, depth), cuts[k]) for v in (x, y))
+        part = at >> max(0, depth - 5) if not k else part
+        apart &= np.abs(at - to) > 1
+        assert (k + 1 == base) == (np.bincount(part, apart) <= 0.002 * np.bincount(part)).all()
