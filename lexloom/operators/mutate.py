@@ -1,6 +1,6 @@
 """Changes of tables as pure functions: the old table and a delta give the new table."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -74,11 +74,20 @@ def norm_columns(payloads: DataFrame) -> DataFrame:
 
 
 def ingest_projection(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows, rejected) of JSON payloads. The kind may be a string or an object with a description; fields that are not there are
-    empty; malformed dates give null. A payload without id, or with a well-formed date that does not exist, is rejected and
-    says why. The full text field is the text and the address of the file."""
+    """(rows, rejected) of JSON payloads, as ``checked_payloads`` tells them apart."""
+    x = checked_payloads(payloads)
+    return x.filter("reason is null").drop("reason"), x.filter("reason is not null")
+
+
+def checked_payloads(payloads: DataFrame, *own: Column) -> DataFrame:
+    """JSON payloads as columns, with ``own`` columns of theirs and reason. The kind may be a string or an object with a
+    description; fields that are not there are empty; malformed dates give null. A payload without id, or with a well-formed
+    date that does not exist, is rejected and its reason says why. The full text field is the text and the address of the file."""
     fields = ["id", "tipo", "numero", "ano", "data", "data_vigencia", "ementa", "observacao", "texto_integral"]
-    x = payloads.select("arrival", F.from_json("value", ", ".join(f"{c} string" for c in fields)).alias("j")).select("arrival", "j.*")  # parsed once
+    parsed = F.from_json("value", ", ".join(f"{c} string" for c in fields))
+    # A generator, because conditions on the fields do not sink below it: as a projection each would parse the payload once more.
+    kept = [c.alias(f"_own{i}") for i, c in enumerate(own)]
+    x = payloads.select("arrival", *kept, F.inline(F.array(parsed)))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
 
     def date(c):
@@ -89,12 +98,12 @@ def ingest_projection(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     ident = F.expr("nullif(try_cast(id as bigint), 0)")
     kind = F.when(F.startswith("tipo", F.lit("{")), F.get_json_object("tipo", "$.descricao")).otherwise(F.col("tipo"))
     why = F.when(ident.isNull(), "missing id").when((p_ok & published.isNull()) | (v_ok & in_force.isNull()), "impossible date")
-    x = x.select(
+    names = payloads.select(*own).columns if own else []
+    return x.select(
         "arrival", ident.alias("id"), F.coalesce(kind, F.lit("")).alias("tipo"), text("numero").alias("numero"), F.expr("try_cast(ano as bigint)").alias("ano"),
         text("ementa").alias("ementa"), text("observacao").alias("observacao"), published.alias("published"), in_force.alias("in_force"), text("texto_integral").alias("texto_integral"),
-        text("texto_integral").alias("pdf_url"), F.concat(F.lit("http://norms/"), F.col("id")).alias("page_url"), why.alias("reason"),
+        text("texto_integral").alias("pdf_url"), F.concat(F.lit("http://norms/"), F.col("id")).alias("page_url"), *[F.col(f"_own{i}").alias(c) for i, c in enumerate(names)], why.alias("reason"),
     )
-    return x.filter("reason is null").drop("reason"), x.filter("reason is not null")
 
 
 def latest_status(log: DataFrame) -> DataFrame:
@@ -139,8 +148,13 @@ def ingestion_statistics(changes: DataFrame) -> DataFrame:
 
 def ingestion_summary(rows: DataFrame, rejected: DataFrame, page_size: int = 50, shown: int = 10) -> DataFrame:
     """One row over all pages: pages, rows, failures, and the first errors by arrival (``shown`` of them, kept task by task)."""
-    n = rows.select("arrival", F.lit(1).alias("ok")).unionByName(rejected.select("arrival", F.lit(0).alias("ok")))
-    total = n.agg(F.ceil(F.count("*") / page_size).cast("long").alias("n_pages"), F.coalesce(F.sum("ok"), F.lit(0)).cast("long").alias("n_rows"), F.count_if(F.col("ok") == 0).alias("n_failed"))
-    head = rejected.orderBy("arrival").limit(shown).agg(F.sort_array(F.collect_list(F.struct("arrival", "reason"))).alias("e"))
+    return checked_summary(rows.select("arrival", F.lit(None).cast("string").alias("reason")).unionByName(rejected.select("arrival", "reason")), page_size, shown)
+
+
+def checked_summary(checked: DataFrame, page_size: int = 50, shown: int = 10) -> DataFrame:
+    """``ingestion_summary`` of payloads with their reason, which are not told apart first."""
+    failed = F.col("reason").isNotNull()
+    total = checked.agg(F.ceil(F.count("*") / page_size).cast("long").alias("n_pages"), F.count_if(~failed).alias("n_rows"), F.count_if(failed).alias("n_failed"))
+    head = checked.filter(failed).select("arrival", "reason").orderBy("arrival").limit(shown).agg(F.sort_array(F.collect_list(F.struct("arrival", "reason"))).alias("e"))
     text = F.array_join(F.transform("e", lambda v: F.concat(v["arrival"].cast("string"), F.lit(": "), v["reason"])), "; ")
     return total.withColumn("_one", F.lit(1)).join(head.select(text.alias("errors"), F.lit(1).alias("_one")), "_one").drop("_one")
