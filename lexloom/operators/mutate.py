@@ -68,8 +68,7 @@ def clear_vectors(clauses: DataFrame) -> DataFrame:
 def norm_columns(payloads: DataFrame) -> DataFrame:
     """All columns that an upsert writes of each payload that is not rejected: those of ``ingest_projection`` with the text and
     the payload as they came, and the status with which work begins."""
-    rows = ingest_projection(payloads.select("arrival", "value"))[0]
-    x = rows.join(payloads.select("arrival", F.col("value").alias("metadata")), "arrival").drop("arrival")
+    x = checked_payloads(payloads.select("arrival", "value"), F.col("value").alias("metadata")).filter("reason is null").drop("reason", "arrival")
     return x.withColumnRenamed("texto_integral", "original_text").withColumn("status", F.lit("pending"))
 
 

@@ -24,3 +24,10 @@ def test_payloads_are_parsed_once(spark):
     got = mutate.checked_summary(mutate.checked_payloads(payloads(spark)), 4, 2)
     assert executed(got).count("from_json(") == 2 and tuple(got.first()) == (2, 2, 4, "1: missing id; 2: impossible date")
     assert mutate.ingestion_summary(rows, bad, 4, 2).first() == got.first()
+
+
+def test_upserted_columns_keep_their_payload_without_a_join(spark):
+    p = payloads(spark)
+    got = mutate.norm_columns(p.unionByName(p.filter("arrival = 3")))  # an arrival that repeats is two rows, not four
+    assert "Join" not in executed(got) and executed(got).count("from_json(") == 1
+    assert sorted((r.id, json.loads(r.metadata)["id"], r.status) for r in got.collect()) == [(5, 5, "pending"), (6, 6, "pending"), (6, 6, "pending")]
