@@ -31,3 +31,15 @@ def test_upserted_columns_keep_their_payload_without_a_join(spark):
     got = mutate.norm_columns(p.unionByName(p.filter("arrival = 3")))  # an arrival that repeats is two rows, not four
     assert "Join" not in executed(got) and executed(got).count("from_json(") == 1
     assert sorted((r.id, json.loads(r.metadata)["id"], r.status) for r in got.collect()) == [(5, 5, "pending"), (6, 6, "pending"), (6, 6, "pending")]
+
+
+def test_postings_are_written_a_gram_and_batch(spark, tmp_path):
+    """Two thousand rows that have all their grams in common are a few postings, and repeats and short and odd texts count right."""
+    from lexloom.operators import grams
+
+    df = spark.createDataFrame([(i, "abcabc ß\U0001f600é" if i % 2 else "ab") for i in range(2000)] + [(-1, None), (-2, "")], "id long, a string").coalesce(1)
+    built = grams.build(df, ["a"], str(tmp_path / "grams"), buckets=4)
+    x = spark.read.parquet(built.path)
+    assert x.count() <= 40 and x.agg(F.sum(F.size("ids"))).first()[0] == 1000 * 8  # the sharp s is two letters in capitals
+    for needle, n in (("bcab", 1000), ("SS\U0001f600É", 1000), ("cba", 0), ("ab", 2000)):
+        assert grams.search(built, df, needle).count() == n, needle
