@@ -34,11 +34,13 @@ def replace_children(old: DataFrame, new: DataFrame, key: str = "norma_id") -> D
 
 def cascade(events: DataFrame, gone: DataFrame) -> DataFrame:
     """Events after the clauses ``gone`` (id): those that came from one go, those that point at one lose their target clause."""
-    g = gone.select("id")
-    x = events.join(g.withColumnRenamed("id", "source_clause_id"), "source_clause_id", "left_anti")
-    hit = g.select(F.col("id").alias("target_clause_id"), F.lit(True).alias("_gone")).distinct()
-    x = x.join(hit, "target_clause_id", "left")
-    return x.withColumn("target_clause_id", F.when(F.col("_gone").isNull(), F.col("target_clause_id"))).drop("_gone")
+    x = events.join(gone.select(F.col("id").alias("source_clause_id")), "source_clause_id", "left_anti")
+    hit = gone.select(F.col("id").alias("_gone")).distinct()
+    # Events without a target clause meet under their own number and match nothing: as nulls they would all be one task.
+    target = F.col("target_clause_id")
+    x = x.join(hit, (F.coalesce(target, F.col("source_clause_id")) == F.col("_gone")) & target.isNotNull(), "left")
+    rest = [c for c in x.columns if c not in ("target_clause_id", "_gone")]
+    return x.select(F.when(F.col("_gone").isNull(), target).alias("target_clause_id"), *rest)
 
 
 def append_events(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -43,3 +43,11 @@ def test_postings_are_written_a_gram_and_batch(spark, tmp_path):
     assert x.count() <= 40 and x.agg(F.sum(F.size("ids"))).first()[0] == 1000 * 8  # the sharp s is two letters in capitals
     for needle, n in (("bcab", 1000), ("SS\U0001f600É", 1000), ("cba", 0), ("ab", 2000)):
         assert grams.search(built, df, needle).count() == n, needle
+
+
+def test_events_without_a_target_clause_are_not_one_task(spark):
+    e = spark.createDataFrame([(i, i, None if i % 2 else i + 1) for i in range(40)], "id long, source_clause_id long, target_clause_id long")
+    got = mutate.cascade(e, spark.createDataFrame([(10,), (11,), (11,)], "id long"))
+    assert "coalesce(target_clause_id" in executed(got)
+    want = {(i, None if i % 2 or i + 1 in (10, 11) else i + 1) for i in range(40) if i not in (10, 11)}
+    assert got.count() == 38 and {(r.id, r.target_clause_id) for r in got.collect()} == want
