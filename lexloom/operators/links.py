@@ -19,14 +19,32 @@ def with_norm(clauses: DataFrame, norms: DataFrame) -> DataFrame:
     return clauses.join(n, "norma_id")
 
 
+def sourced(events: DataFrame, *more: str) -> DataFrame:
+    """Events made of the clauses themselves with source_label (and ``more`` of the clause, as source_...), which saves the join
+    with their source clauses; ``events`` are those rows, with the clause's tipo and numero."""
+    return events.withColumn("source_label", clause_label(F.col("tipo"), F.col("numero"))).withColumnsRenamed({c: f"source_{c}" for c in more}).drop("tipo", "numero")
+
+
+def at_target(events: DataFrame, rows: DataFrame, key: str) -> DataFrame:
+    """Left join on a target's key. Events without one meet under their own number and match nothing: as nulls they would all
+    be one task."""
+    own = F.col(key)
+    x = rows.withColumnRenamed(key, "_at")
+    return events.join(x, (F.coalesce(own, -F.col("id")) == F.col("_at")) & own.isNotNull(), "left").drop("_at")
+
+
 def event_chain(events: DataFrame, clauses: DataFrame, norms: DataFrame) -> DataFrame:
-    """Event with source clause, source norm and, where there are, target clause and target norm."""
+    """Event with source clause, source norm and, where there are, target clause and target norm; ``sourced`` events are
+    not joined with their source clauses."""
     name = clause_label(F.col("tipo"), F.col("numero"))
     src = clauses.select(F.col("id").alias("source_clause_id"), name.alias("source_label"))
     tgt = clauses.select(F.col("id").alias("target_clause_id"), name.alias("target_label"), F.col("norma_id").alias("target_owner"))
     n = norms.select(F.col("id").alias("source_norm_id"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("source_norm"))
     to = n.withColumnsRenamed({"source_norm_id": "target_norm_id", "source_norm": "target_norm"})
-    return events.join(src, "source_clause_id").join(n, "source_norm_id").join(tgt, "target_clause_id", "left").join(to, "target_norm_id", "left")
+    # The source norm first: events that come norm by norm stay where they are.
+    x = events.join(n, "source_norm_id")
+    x = x if "source_label" in events.columns else x.join(src, "source_clause_id")
+    return at_target(at_target(x, tgt, "target_clause_id"), to, "target_norm_id")
 
 
 def touching(chain: DataFrame, norm_id: int) -> DataFrame:

@@ -70,13 +70,14 @@ def with_vectors(spark: SparkSession, d: str, c: DataFrame) -> DataFrame:
     return joined.withColumn("embedding", F.when(F.col("id") % 7 != 0, F.col("embedding"))).drop("vec_id")
 
 
-def alteration_events(c: DataFrame) -> DataFrame:
+def alteration_events(c: DataFrame, *own: str) -> DataFrame:
+    """An event a clause; ``own`` columns of the clause stay with it."""
     return c.select(
         "id", F.col("id").alias("source_clause_id"), F.col("norma_id").alias("source_norm_id"),
         F.when(F.col("l_returnflag") == "R", "REVOGA").when(F.col("l_returnflag") == "A", "ALTERA").otherwise("REFERENCIA").alias("acao"),
         F.when(F.col("l_partkey") % 5 == 0, F.col("norma_id")).when(F.col("l_partkey") % 5 < 4, F.col("l_partkey")).alias("target_norm_id"),
         F.when((F.col("ordem") > 0) & (F.col("l_partkey") % 3 == 0), F.col("id") - 1).alias("target_clause_id"),
-        F.substring("texto", 1, 500).alias("target_text"), "created_at",
+        F.substring("texto", 1, 500).alias("target_text"), "created_at", *own,
     )
 
 

@@ -51,3 +51,25 @@ def test_events_without_a_target_clause_are_not_one_task(spark):
     assert "coalesce(target_clause_id" in executed(got)
     want = {(i, None if i % 2 or i + 1 in (10, 11) else i + 1) for i in range(40) if i not in (10, 11)}
     assert got.count() == 38 and {(r.id, r.target_clause_id) for r in got.collect()} == want
+
+
+def acts(spark):
+    from lexloom.operators import tree
+
+    c = spark.createDataFrame([(n * 100 + o, n, "artigo" if o % 3 == 0 else "paragrafo", str(o), o, None if o % 3 == 0 else o // 3 * 3) for n in range(6) for o in range(5)], "id long, norma_id long, tipo string, numero string, ordem long, parent_ordem long")
+    c = tree.paths(c)
+    i, target = F.col("id"), F.when(F.col("id") % 4 == 0, F.col("id") + 1).when(F.col("id") % 4 == 1, F.col("id") + 101)
+    own = [F.col("norma_id").alias("source_norm_id"), F.when(i % 3 == 0, F.lit("REVOGA")).otherwise("ALTERA").alias("acao"), F.when(i % 5 < 3, i % 7).alias("target_norm_id"), target.alias("target_clause_id"), F.lit("cujo texto").alias("target_text")]
+    e = c.select("id", i.alias("source_clause_id"), *own)
+    return c, e, c.select("id", *own, i.alias("source_clause_id"), "tipo", "numero", "path"), spark.createDataFrame([(n, "Lei", str(n), 2000) for n in range(6)], "id long, tipo string, numero string, ano int")
+
+
+def test_events_that_carry_their_source_are_not_joined_with_it(spark):
+    from lexloom.operators import links
+
+    c, e, rich, n = acts(spark)
+    names = ["id", "acao", "source_label", "source_norm", "target_label", "target_owner", "target_norm"]
+    plain, own = links.event_chain(e, c, n).select(names), links.event_chain(links.sourced(rich.drop("path")), c, n).select(names)
+    assert executed(own).count("Join ") < executed(plain).count("Join ")
+    assert sorted(map(str, own.collect())) == sorted(map(str, plain.collect())) and own.count() == 30
+    assert "isnotnull(target_clause_id" in executed(plain)
