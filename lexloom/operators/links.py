@@ -68,7 +68,7 @@ def embedding_input(clauses: DataFrame) -> DataFrame:
 
 
 def event_labels(events: DataFrame, located: DataFrame, norms: DataFrame) -> DataFrame:
-    """(id, label, description) of events; ``located`` are clauses with their paths.
+    """(id, label, description) of events; ``located`` are clauses with their paths, which ``sourced`` events have themselves.
 
     The target is a clause, else a norm, else the quoted text; one that is not there counts as not identified.
     """
@@ -78,8 +78,14 @@ def event_labels(events: DataFrame, located: DataFrame, norms: DataFrame) -> Dat
         c = located.select(F.col("id").alias(f"{end}_clause_id"), F.col("norma_id").alias("_n"), clause_label(F.col("tipo"), F.col("numero")).alias(f"{end}_label"), F.col("path").alias(f"{end}_path"))
         return c.join(n, "_n").withColumnsRenamed({"_n": f"{end}_owner", "_norm": f"{end}_norm"})
 
+    if "source_path" in events.columns:
+        x = events.join(n.withColumnRenamed("_norm", "source_norm"), F.col("source_norm_id") == F.col("_n")).withColumnRenamed("_n", "source_owner")
+    else:
+        x = events.join(clauses("source"), "source_clause_id")
     named = n.select(F.col("_n").alias("target_norm_id"), F.col("_norm").alias("named"))
-    x = events.join(clauses("source"), "source_clause_id").join(clauses("target"), "target_clause_id", "left").join(named, "target_norm_id", "left")
+    # The quoted text travels on only where it is what the label says.
+    x = at_target(x, named, "target_norm_id").withColumn("target_text", F.when(F.col("named").isNull(), F.col("target_text")))
+    x = at_target(x, clauses("target"), "target_clause_id")
     acao, at_clause, at_norm = action_name(F.col("acao")), F.col("target_label").isNotNull(), F.col("named").isNotNull()
     label = F.concat("source_label", F.lit(" "), acao, F.lit(" "), F.coalesce("target_label", "named", F.lit("(não identificado)")))
     elsewhere = F.when(F.col("target_owner") != F.col("source_owner"), F.concat(F.lit(" da "), F.col("target_norm"))).otherwise("")

@@ -73,3 +73,13 @@ def test_events_that_carry_their_source_are_not_joined_with_it(spark):
     assert executed(own).count("Join ") < executed(plain).count("Join ")
     assert sorted(map(str, own.collect())) == sorted(map(str, plain.collect())) and own.count() == 30
     assert "isnotnull(target_clause_id" in executed(plain)
+
+
+def test_labels_of_events_that_carry_their_source(spark):
+    from lexloom.operators import links
+
+    c, e, rich, n = acts(spark)
+    plain, own = links.event_labels(e, c, n), links.event_labels(links.sourced(rich, "path"), c, n)
+    assert executed(own).count("Join ") < executed(plain).count("Join ")
+    got = sorted(map(str, own.collect()))
+    assert got == sorted(map(str, plain.collect())) and len(got) == 30 and any("cujo texto" in x for x in got) and any(" da Lei" in x for x in got)
