@@ -2,21 +2,22 @@
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from lexloom.functions.text import clause_label, norm_label
 from lexloom.operators.tree import paths
 
 
-def affected(events: DataFrame) -> DataFrame:
-    """Per norm and target clause: revoked, and the source norm of its last alteration by (created_at, id).
+def counting(events: DataFrame) -> DataFrame:
+    """Events that change a clause: only those whose target norm is the norm itself count; those that name no clause change none."""
+    return events.filter(F.col("target_norm_id").isNotNull() & F.col("target_clause_id").isNotNull() & F.col("acao").isin("REVOGA", "ALTERA"))
 
-    Only events whose target norm is the norm itself count; those that name no clause change none.
-    """
-    e = events.filter(F.col("target_norm_id").isNotNull() & F.col("target_clause_id").isNotNull() & F.col("acao").isin("REVOGA", "ALTERA"))
+
+def affected(events: DataFrame, by: str = "source_norm_id") -> DataFrame:
+    """Per norm and target clause: revoked, and the source norm (or what ``by`` names) of its last alteration by (created_at, id)."""
     change = F.when(F.col("acao") == "ALTERA", F.struct("created_at", "id"))
-    return e.groupBy(F.col("target_norm_id").alias("norma_id"), "target_clause_id").agg(
-        F.bool_or(F.col("acao") == "REVOGA").alias("revoked"),
-        F.max_by(F.when(F.col("acao") == "ALTERA", F.col("source_norm_id")), change).alias("altered_by"),
+    return counting(events).groupBy(F.col("target_norm_id").alias("norma_id"), "target_clause_id").agg(
+        F.bool_or(F.col("acao") == "REVOGA").alias("revoked"), F.max_by(F.when(F.col("acao") == "ALTERA", F.col(by)), change).alias("altered_by"),
     )
 
 
@@ -24,11 +25,19 @@ def lines(clauses: DataFrame, events: DataFrame, norms: DataFrame, paths=paths)
     """Rows (norma_id, ordem, part, line): what the text shows of each clause that no revoked ancestor hides, in order.
 
     ``paths`` finds the ancestors: that of segmented trees, or ``tree.walk`` (with its ``keep``) for trees of any depth.
+    Clauses that lie together by norm stay there: events get the label of their source where they lie and move once, to the
+    norm they change, so that neither the join nor the paths move a text again.
     """
-    hit = affected(events).withColumnRenamed("target_clause_id", "id")
-    by = norms.select(F.col("id").alias("altered_by"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("by"))
-    hit = hit.join(by, "altered_by", "left").drop("altered_by")
-    x = paths(clauses.join(hit, ["norma_id", "id"], "left").withColumn("revoked", F.coalesce("revoked", F.lit(False))), "revoked").filter(~F.col("under"))
+    source = norms.select(F.col("id").alias("source_norm_id"), norm_label(F.col("tipo"), F.col("numero"), F.col("ano")).alias("by"))
+    e = counting(events).join(source, "source_norm_id", "left").select(
+        F.col("target_norm_id").alias("norma_id"), F.col("target_clause_id").alias("id"), (F.col("acao") == "REVOGA").alias("revoked"),
+        F.when(F.col("acao") == "ALTERA", F.struct("created_at", F.col("id").alias("event"))).alias("change"), "by",
+    )
+    c = clauses.select([c for c in ("norma_id", "id", "ordem", "tipo", "numero", "texto", "parent_ordem", "parent_id") if c in clauses.columns])
+    both = c.withColumn("own", F.lit(True)).unionByName(e.repartition("norma_id"), allowMissingColumns=True)
+    clause = W.partitionBy("norma_id", "id")
+    hit = both.withColumns({"revoked": F.coalesce(F.bool_or("revoked").over(clause), F.lit(False)), "by": F.max_by("by", "change").over(clause)})
+    x = paths(hit.filter("own").drop("own", "change"), "revoked").filter(~F.col("under"))
     pad = F.repeat(F.lit("  "), F.col("depth").cast("int"))
     label = clause_label(F.col("tipo"), F.col("numero"))
     first = F.when(F.col("revoked"), F.concat(pad, label, F.lit(" (REVOGADO)"))).otherwise(F.concat(pad, label, F.lit(" "), F.col("texto")))

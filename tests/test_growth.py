@@ -98,3 +98,57 @@ def test_a_walk_writes_down_only_rows_that_go_on(spark, tmp_path):
     got = tree.walk(c, keep, own=["norma_id"])
     assert [x.count() for x in written] == [40, 5, 4, 2] and "Join" not in executed(got)
     assert {(r.id, r.depth) for r in got.collect()} == {(i, i if i < 6 else 0) for i in range(40)} and got.columns[:2] == ["id", "norma_id"]
+
+
+def test_a_walk_inside_norms_takes_rounds_only_for_parents_elsewhere(spark, tmp_path):
+    """Equal to the plain walk on trees that cross norms, have cycles in and across norms, parents that are not there and rows without labels."""
+    import random
+
+    from lexloom.operators import index, tree
+
+    rng, rows = random.Random(8), []
+    for norm in range(40):
+        for i in range(rng.choice([1, 3, 60])):
+            up = None if i == 0 or rng.random() < 0.1 else 100 * norm + rng.randrange(i)
+            rows.append([100 * norm + i, norm, rng.choice(["artigo", None]), str(i), i, up, rng.random() < 0.1])
+    inner = spark.createDataFrame(list(map(tuple, rows)), "id long, norma_id long, tipo string, numero string, ordem long, parent_id long, revoked boolean")
+    by = {r[0]: r for r in rows}
+    for child, up in ((100, 0), (200, 100), (300, 400), (400, 300), (500, 500), (600, 99_999), (700, 600), (800, 801), (801, 800)):
+        if child in by:
+            by[child][5] = up
+    odd = spark.createDataFrame(list(map(tuple, rows)), inner.schema).repartition(7)
+    written, kept = [], index.kept_in(spark, str(tmp_path))
+
+    def keep(df):
+        written.append(kept(df))
+        return written[-1]
+
+    shown = lambda df: sorted(map(str, df.select("id", "norma_id", "tipo", "revoked", "ancestors", "path", "depth", "under", "cyclic").collect()))
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("10000", "7"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            written.clear()
+            got = tree.walk(inner, keep, "revoked", within="norma_id")
+            assert shown(got) == shown(tree.walk(inner, kept, "revoked")) and len(written) == 1 and "Exchange" not in executed(got)
+            assert shown(tree.walk(odd, keep, "revoked", within="norma_id")) == shown(tree.walk(odd, kept, "revoked")) and len(written) > 2
+            assert tree.walk(inner.limit(0), keep, within="norma_id").count() == 0
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_lines_leave_clauses_where_they_lie(spark):
+    """Clauses and events that lie together by norm: the events move once, to the norm they change, and no text moves."""
+    from lexloom.operators import consolidate
+
+    c = spark.range(400).selectExpr("id", "id div 5 as norma_id", "'artigo' as tipo", "cast(id % 5 as string) as numero", "id % 5 as ordem", "'t' as texto", "cast(null as long) as parent_ordem").repartition("norma_id")
+    e = c.selectExpr("id", "norma_id as source_norm_id", "if(id % 2 = 0, 'REVOGA', 'ALTERA') as acao", "(id * 7 % 400) div 5 as target_norm_id", "id * 7 % 400 as target_clause_id", "timestamp'2020-01-01' as created_at")
+    n = spark.createDataFrame([(i, "Lei", str(i), 2000) for i in range(80)], "id long, tipo string, numero string, ano int")
+    got = consolidate.lines(c, e, n)
+    assert executed(got).count("Exchange hashpartitioning(norma_id") <= 3 and executed(got).count("Exchange hashpartitioning(norma_id#") == executed(got).count("REPARTITION_BY_COL")
+    lines = {(r.norma_id, r.ordem, r.part): r.line for r in got.collect()}
+    for i in range(400):
+        by = (i * 343 % 400)  # 7 and 343 are inverses modulo 400
+        at = (i // 5, i % 5)
+        assert lines[(*at, 0)] == (f"Art. {i % 5} (REVOGADO)" if by % 2 == 0 else f"Art. {i % 5} t")
+        assert lines.get((*at, 1)) == (None if by % 2 == 0 else f"  [ALTERADO pela Lei {by // 5}/2000]")
