@@ -143,10 +143,16 @@ def date_drill_down(norms: DataFrame) -> DataFrame:
 
 
 def detail(norms: DataFrame, clauses: DataFrame) -> DataFrame:
-    """Norm with its clause list in order and its counts."""
-    item = F.struct("ordem", clause_label(F.col("tipo"), F.col("numero")).alias("label"), F.col("embedding").isNotNull().alias("has_embedding"))
-    c = clauses.groupBy(F.col("norma_id").alias("id")).agg(
-        F.sort_array(F.collect_list(item)).alias("clauses"), F.count("*").alias("n_clauses"), F.sum(F.length("texto")).cast("long").alias("n_chars"), F.count("embedding").alias("n_embedded"),
+    """Norm with its clause list in order and its counts.
+
+    What is sorted by norm is what is shown: a label, a length and whether there is a vector, not the text and the vector. (``has``
+    is used twice, so that Spark does not take its source into the aggregation.)
+    """
+    has = F.col("embedding").isNotNull().alias("has")
+    x = clauses.select(F.col("norma_id").alias("id"), "ordem", clause_label(F.col("tipo"), F.col("numero")).alias("label"), F.length("texto").alias("chars"), has)
+    c = x.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("ordem", "label", F.col("has").alias("has_embedding")))).alias("clauses"),
+        F.count("*").alias("n_clauses"), F.sum("chars").cast("long").alias("n_chars"), F.count_if("has").alias("n_embedded"),
     )
     return norms.withColumn("label", norm_label(F.col("tipo"), F.col("numero"), F.col("ano"))).join(c, "id", "left")
 

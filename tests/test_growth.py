@@ -152,3 +152,17 @@ def test_lines_leave_clauses_where_they_lie(spark):
         at = (i // 5, i % 5)
         assert lines[(*at, 0)] == (f"Art. {i % 5} (REVOGADO)" if by % 2 == 0 else f"Art. {i % 5} t")
         assert lines.get((*at, 1)) == (None if by % 2 == 0 else f"  [ALTERADO pela Lei {by // 5}/2000]")
+
+
+def test_details_are_sorted_without_texts_and_vectors(spark):
+    from lexloom.operators import catalog
+
+    c = spark.createDataFrame([(1, 1, "artigo", "2º", "abc", None), (1, 0, "artigo", "1º", None, [1.0]), (1, 2, None, "3", "é", []), (2, 0, "artigo", "1º", None, None)], "norma_id long, ordem long, tipo string, numero string, texto string, embedding array<float>")
+    n = spark.createDataFrame([(i, "Lei", str(i), 2000) for i in (1, 2, 3)], "id long, tipo string, numero string, ano int")
+    got = catalog.detail(n, c)
+    plan = got._jdf.queryExecution().optimizedPlan()
+    rows = [plan.apply(i) for i in range(40) if plan.apply(i) is not None and plan.apply(i).nodeName() == "Aggregate"]
+    assert len(rows) == 1 and not {"texto", "embedding"} & {x.name() for x in map(rows[0].inputSet().toSeq().apply, range(rows[0].inputSet().size()))}
+    shown = {r.id: ([(x.ordem, x.label, x.has_embedding) for x in r.clauses or []], r.n_clauses, r.n_chars, r.n_embedded) for r in got.collect()}
+    assert shown[1][0][:2] == [(0, "Art. 1º", True), (1, "Art. 2º", False)] and shown[1][0][2][2] and shown[1][1:] == (3, 4, 2)
+    assert shown[2] == ([(0, "Art. 1º", False)], 1, None, 0) and shown[3] == ([], None, None, None)
