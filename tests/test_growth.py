@@ -166,3 +166,40 @@ def test_details_are_sorted_without_texts_and_vectors(spark):
     shown = {r.id: ([(x.ordem, x.label, x.has_embedding) for x in r.clauses or []], r.n_clauses, r.n_chars, r.n_embedded) for r in got.collect()}
     assert shown[1][0][:2] == [(0, "Art. 1º", True), (1, "Art. 2º", False)] and shown[1][0][2][2] and shown[1][1:] == (3, 4, 2)
     assert shown[2] == ([(0, "Art. 1º", False)], 1, None, 0) and shown[3] == ([], None, None, None)
+
+
+def test_ancestors_come_in_batches_of_bounded_size():
+    import pyarrow as pa
+
+    from lexloom.operators import tree
+
+    n = 50
+    rows = pa.RecordBatch.from_pydict({
+        "id": pa.array(range(n), pa.int64()), "up": pa.array([None, *range(n - 2), n - 1], pa.int64()), "ordem": pa.array([*range(n - 1), None], pa.int64()),
+        "path": pa.array([str(i) for i in range(n)]), "flag": pa.array([i == 3 for i in range(n)]), "own": pa.array(["x"] * n),
+    })
+    got = list(tree.climb(rows, most=200))
+    assert len(got) > 6 and all(b["ids"].flatten().__len__() <= 200 for b in got)
+    rows = [r for b in got for r in b.to_pylist()]
+    for i, r in enumerate(rows[:-1]):
+        assert r["ancestors"] == r["ids"] == list(range(i + 1)) and r["path"] == " > ".join(map(str, range(i + 1))) and r["under"] == (i > 3) and r["up"] is None
+    assert rows[-1] == {"id": 49, "up": None, "ids": None, "ancestors": None, "path": None, "flag": False, "under": None, "cyclic": True, "own": "x"}
+
+
+def test_consolidated_texts_move_no_clauses(spark):
+    """Clauses that lie together by norm: what moves are events, norms and counts."""
+    from lexloom.operators import consolidate
+
+    c = spark.createDataFrame([(i, i // 5, "artigo", str(i), i % 5, f"t{i}", None) for i in range(40)], "id long, norma_id long, tipo string, numero string, ordem long, texto string, parent_ordem long").repartition("norma_id")
+    e = spark.createDataFrame([(1, 1, "ALTERA", 2, 10, None)], "id long, source_norm_id long, acao string, target_norm_id long, target_clause_id long, created_at timestamp")
+    n = spark.createDataFrame([(i, "Lei", str(i), 2000, None, None, None) for i in range(9)], "id long, tipo string, numero string, ano int, ementa string, data_publicacao date, data_vigencia date")
+    got = consolidate.texts(n, c, e)
+
+    def moved(plan):
+        own = [[a.name() for a in map(plan.output().toSeq().apply, range(plan.output().size()))]] if plan.nodeName() == "Exchange" else []
+        return own + [x for i in range(plan.children().size()) for x in moved(plan.children().apply(i))]
+
+    names = moved(got._jdf.queryExecution().executedPlan().initialPlan())
+    assert sum("texto" in x for x in names) == 1 and len(names) > 3  # the repartition above
+    texts = {r.norma_id: r.consolidated_text for r in got.collect()}
+    assert len(texts) == 8 and "Art. 10 t10\n  [ALTERADO pela Lei 1/2000]\nArt. 11 t11" in texts[2]
