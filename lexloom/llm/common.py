@@ -21,12 +21,19 @@ def shared_folder(spark: SparkSession) -> str:
     return (named or tempfile.mkdtemp(prefix="lexloom-")).rstrip("/")
 
 
-def keep(df: DataFrame) -> DataFrame:
-    """Checkpoint in the shared folder."""
+def keep(df: DataFrame, sweep: bool = False) -> DataFrame:
+    """Checkpoint in the shared folder.
+
+    ``sweep``, for rounds of many queries: the driver collects its garbage afterwards. Plans, tasks and events of queries that are
+    over else fill its heap up to the limit, though little of that is live, and Spark drops their shuffle files only then.
+    """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    kept = df.checkpoint()
+    if sweep:
+        sc._jvm.System.gc()
+    return kept
 
 
 def numbered(df: DataFrame, name: str) -> DataFrame:
@@ -103,7 +110,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     longest path. Minima combine before the shuffle; joins are plain equi-joins
     that AQE splits when a hub is skewed. Each round is checkpointed.
     """
-    e = keep(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = keep(edges.select("a", "b").filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), sweep=True)
     before = None
     for _ in range(most_rounds):
         # Large star: neighbours above a vertex move to the vertex's smallest neighbour.
@@ -114,7 +121,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         large = large.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         moved = large.join(least, "a").select(F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        e = keep(moved.filter("a <> b").distinct())
+        e = keep(moved.filter("a <> b").distinct(), sweep=True)
         sign = e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if sign == before:
             roots = e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -263,7 +263,7 @@ def leaders(members: DataFrame, least: float) -> DataFrame:
         stays = new if stays is None else stays.unionByName(new)
         x = left.join(first.filter("n > 1").select("component", "f"), "component").filter(F.col("key") != F.col("f")["key"])
         sizes, both = F.size("sh") + F.size(F.col("f")["sh"]), F.size(F.array_intersect("sh", F.col("f")["sh"]))
-        left = keep(x.filter(F.coalesce(both < least * (sizes - both), F.lit(True))).select("component", "key", "sh"))
+        left = keep(x.filter(F.coalesce(both < least * (sizes - both), F.lit(True))).select("component", "key", "sh"), sweep=True)
         counts = keep(left.groupBy("component").agg(F.count("*").alias("n")))
         if counts.isEmpty():
             return stays
@@ -281,7 +281,7 @@ def leaders(members: DataFrame, least: float) -> DataFrame:
 
         small = left.join(few, "component", "left_semi")
         stays = stays.unionByName(small.groupBy("component").applyInArrow(settle, f"key {kind}"))
-        left = keep(left.join(few, "component", "left_anti"))
+        left = keep(left.join(few, "component", "left_anti"), sweep=True)
         if left.isEmpty():
             return stays
 
@@ -299,16 +299,16 @@ def survivors(docs: DataFrame, size: int = 5, words: int = 4, parts: int = 8, re
     ident = F.coalesce(F.col("doc_id").cast("long"), F.lit(2**63 - 1))
     key = [ident.alias("_d"), F.xxhash64(text_of("text")).alias("_t"), F.xxhash64(*named(plain)).alias("_o")]
     names = ["_d", "_t", "_o"]
-    own = keep(fingerprints(docs, size, words, key).select(F.struct(*names).alias("key"), "fp"))
+    own = keep(fingerprints(docs, size, words, key).select(F.struct(*names).alias("key"), "fp"), sweep=True)
     n = own.count()
     held = min(200_000, max(least_held, int(54 * n**0.5)))
     sample = max(4000, LEAF * math.ceil(n / held))
     search = {"parts": parts, "reach": reach, "radius": radius, "sample": sample, "leaf": max(LEAF, math.ceil(sample * held / max(n, 1)))}
-    x = keep(grouped(own, "key", **search).select("key", "component").distinct())  # rows that agree in all columns are one
+    x = keep(grouped(own, "key", **search).select("key", "component").distinct(), sweep=True)  # rows that agree in all columns are one
     grown = x.groupBy("component").agg(F.count("*").alias("n")).filter("n > 1").select("component")
     several = keep(x.join(grown, "component", "left_semi"))
-    sets = keep(shingle_sets(docs.select(*key, "text").join(several.select("key.*").distinct(), names, "left_semi").dropDuplicates(names), size, names))
-    members = keep(several.join(sets.select(F.struct(*names).alias("key"), "sh"), "key").select("component", "key", "sh"))
+    sets = shingle_sets(docs.select(*key, "text").join(several.select("key.*").distinct(), names, "left_semi").dropDuplicates(names), size, names)
+    members = keep(several.join(sets.select(F.struct(*names).alias("key"), "sh"), "key").select("component", "key", "sh"), sweep=True)
     gone = several.select("key").join(leaders(members, least), "key", "left_anti").select("key.*")
     rows = docs.select(F.struct(*named(docs.columns)).alias("doc"), *key).join(gone, names, "left_anti")
     if x.count() < n:

@@ -517,3 +517,15 @@ def test_empty_lines_cost_what_they_are(spark):
     began = time.time()
     got = {r.doc_id: (r.n_lines, r.n_removed, len(r.text)) for r in lines.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: (30_001, 0, 30_000 + len(said)), 1: (30_001, 30_001, 0), 5: (2, 1, 6)} and time.time() - began < 120
+
+
+def test_rounds_leave_no_garbage_on_the_driver(spark):
+    """Each round of the near-copy stage collects the garbage of the queries before it, which else fills the driver's heap."""
+    from lexloom.llm import simhash
+
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    swept = lambda: sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+    docs = spark.createDataFrame([(i, " ".join(f"w{i % 3}x{j}" for j in range(30)), "en", "s", 0) for i in range(9)], "doc_id long, text string, lang string, source string, n_chars long")
+    before = swept()
+    assert {r.doc_id for r in simhash.survivors(docs).collect()} == {0, 1, 2}
+    assert swept() >= before + 6
