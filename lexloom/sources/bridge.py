@@ -81,6 +81,12 @@ def alteration_events(c: DataFrame, *own: str) -> DataFrame:
     )
 
 
+def shared_events(c: DataFrame) -> DataFrame:
+    """``alteration_events``, those of clauses without a norm apart: where only clauses with a norm are asked for beside them, both
+    read the same rows of the table, so that Spark shuffles these once."""
+    return alteration_events(c.filter("norma_id is not null")).unionByName(alteration_events(c.filter("norma_id is null")))
+
+
 def raw_texts(c: DataFrame) -> DataFrame:
     marker = (
         F.when(F.col("tipo") == "artigo", F.concat(F.lit("Art. "), F.col("numero"), F.lit(" ")))

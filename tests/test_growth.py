@@ -203,3 +203,31 @@ def test_consolidated_texts_move_no_clauses(spark):
     assert sum("texto" in x for x in names) == 1 and len(names) > 3  # the repartition above
     texts = {r.norma_id: r.consolidated_text for r in got.collect()}
     assert len(texts) == 8 and "Art. 10 t10\n  [ALTERADO pela Lei 1/2000]\nArt. 11 t11" in texts[2]
+
+
+def test_consolidated_text_shuffles_the_lines_once(spark, tmp_path):
+    """Clauses and events of clauses with a norm come from one shuffle of the table; events of lines without an order count as before."""
+    import os
+
+    from pyspark.sql import functions as F
+
+    from lexloom.operators import consolidate
+    from lexloom.plans import queries
+    from lexloom.sources import bridge
+
+    d = "/root/testdata/sf0.001"
+    for name in os.listdir(d):
+        os.symlink(f"{d}/{name}", tmp_path / name)
+    os.unlink(tmp_path / "lineitem.parquet")
+    spark.read.parquet(f"{d}/lineitem.parquet").withColumn("l_orderkey", F.expr("if(l_partkey % 50 < 2, null, l_orderkey)")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    at = str(tmp_path)
+    c = queries.linked(spark, at)
+    own, shared = bridge.alteration_events(c), bridge.shared_events(c)
+    assert own.filter("source_norm_id is null and target_norm_id is not null").count() and sorted(map(str, own.collect())) == sorted(map(str, shared.collect()))
+    plain = consolidate.texts(bridge.norms(spark, at), c, own, queries.STAMP)
+    assert sorted(map(str, plain.collect())) == sorted(map(str, queries.consolidated_text(spark, at).select(plain.columns).collect()))
+
+    got = queries.consolidated_text(spark, d)
+    got.collect()
+    final = got._jdf.queryExecution().executedPlan().finalPhysicalPlan().toString()
+    assert len([x for x in final.splitlines() if " Exchange hashpartitioning(l_orderkey" in x.replace("+- Exchange", " Exchange") and "Reused" not in x]) == 1
