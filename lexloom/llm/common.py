@@ -26,12 +26,16 @@ def keep(df: DataFrame, sweep: bool = False) -> DataFrame:
 
     ``sweep``, for rounds of many queries: the driver collects its garbage afterwards. Plans, tasks and events of queries that are
     over else fill its heap up to the limit, though little of that is live, and Spark drops their shuffle files only then.
+    The size that Spark assumed goes, too: a checkpoint keeps it, a join multiplies its sides', so rounds that join square it, and
+    the digits of that one number double with every round until they fill the heap. Sizes of shuffled rows are measured anyway.
     """
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(shared_folder(df.sparkSession))
     kept = df.checkpoint()
     if sweep:
+        plain = df.sparkSession._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().logical().rdd(), kept._jdf.schema(), False)
+        kept = DataFrame(plain, df.sparkSession)
         sc._jvm.System.gc()
     return kept
 

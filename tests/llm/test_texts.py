@@ -529,3 +529,20 @@ def test_rounds_leave_no_garbage_on_the_driver(spark):
     before = swept()
     assert {r.doc_id for r in simhash.survivors(docs).collect()} == {0, 1, 2}
     assert swept() >= before + 6
+
+
+def test_rounds_of_joins_do_not_square_the_assumed_size(spark):
+    """Checkpoints keep the size that Spark assumes of a join, the product of its sides': kept in rounds, its digits doubled with each."""
+    from pyspark.sql import functions as F
+
+    from lexloom.llm.common import keep
+
+    x, bits = spark.createDataFrame([(i, [i, None]) for i in range(4)], "a long, b array<int>"), []
+    for _ in range(6):
+        n = keep(x.groupBy("a").agg(F.count("*").alias("n")))
+        x = keep(x.join(n, "a").filter("n = 1").select("a", "b"), sweep=True)
+        size = x._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        bits.append((size if isinstance(size, int) else int(size.toString())).bit_length())
+    assert max(bits) <= 64, bits
+    assert sorted((r.a, r.b) for r in x.collect()) == [(i, [i, None]) for i in range(4)]
+    assert [(f.name, f.dataType.simpleString()) for f in x.schema.fields] == [("a", "bigint"), ("b", "array<int>")]
