@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexloom.llm.common import components, forest, keep, named, numbered, text_of
+from lexloom.llm.lines import before
 
 SAMPLE = 20_000
 LEAF = 40  # of the sample
@@ -221,7 +222,7 @@ def grouped(own: DataFrame, key: str, **search) -> DataFrame:
     return own.join(root.join(least, "root").select("fp", "component"), "fp")
 
 
-SMALL = 500  # members of a group that one task compares
+SMALL, SHINGLES = 4000, 1 << 21  # members of a group that one task compares, and what they weigh together
 
 
 def shingle_sets(docs: DataFrame, size: int, columns: list) -> DataFrame:
@@ -240,50 +241,85 @@ def shingle_sets(docs: DataFrame, size: int, columns: list) -> DataFrame:
     return x.mapInArrow(run, schema)
 
 
-def alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Jaccard index of two sets given as sorted arrays; two empty sets are equal."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)):
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both)
+def weight() -> Column:
+    """Of a member of a group: its shingles, and as many as let a task have at most SMALL members."""
+    return F.size("sh") + F.lit(SHINGLES // SMALL)
+
+
+class Postings:
+    """The sets of a list by their hashes."""
+
+    def __init__(self, sets: pa.ListArray):
+        self.sizes, flat = np.asarray(sets.value_lengths()), np.asarray(sets.flatten())
+        order = np.argsort(flat, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.values, self.count = np.unique(flat, return_counts=True)
+        self.begin = np.cumsum(self.count) - self.count
+
+    def like(self, own: np.ndarray, least: float) -> np.ndarray:
+        """Which sets have a Jaccard index of ``least`` or more with one given as a sorted array; two empty sets are equal."""
+        at = np.searchsorted(self.values, own)
+        at = at[self.values.take(at, mode="clip") == own] if len(self.values) else at[:0]
+        n = self.count[at]
+        i = np.repeat(self.begin[at] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(self.owner[i], minlength=len(self.sizes))
+        return both >= least * (self.sizes + len(own) - both)
+
+
+def first_kept(rows: pa.Table, least: float) -> pa.Table:
+    """The rows that stay of a group (key, sh): in order of the key, those that no earlier one which stays is like."""
+    keys, sets = rows["key"].to_pylist(), rows["sh"].combine_chunks()
+    found, gone, out = Postings(sets), np.zeros(len(rows), bool), []
+    for i in sorted(range(len(rows)), key=lambda i: tuple(keys[i].values())):
+        if not gone[i]:
+            out.append(i)
+            gone |= found.like(np.asarray(sets[i].values), least)
+    return rows.take(out)
 
 
 def leaders(members: DataFrame, least: float) -> DataFrame:
     """The keys that stay of groups of candidates (component, key, sh: kept rows): in order of the key, every member that no
     earlier one which stays is like.
 
-    A round compares every member with the first of its group: a join by group, whose large sides Spark splits. That takes
-    the copies of one text, however many, in one round. Groups of at most SMALL that are left are settled in one task each,
-    larger ones go on round by round.
+    At first every member is compared with the first of its group: a join by group, whose large sides Spark splits. That takes
+    the copies of one text, however many. Groups of which little is left are settled in one task each. Larger ones are dealt in
+    order of the key into parts that a task can hold: the first part is settled, the others are compared with what stays of
+    it, each in a task, and the rest goes on; so a group takes a round a part, not a round a member that stays.
     """
-    stays, left = None, members
+    first = keep(members.groupBy("component").agg(F.min_by(F.struct("key", "sh"), "key").alias("f"), F.count("*").alias("n")))
+    stays = first.select(F.col("f.key").alias("key"))
+    x = members.join(first.filter("n > 1").select("component", "f"), "component").filter(F.col("key") != F.col("f")["key"])
+    sizes, both = F.size("sh") + F.size(F.col("f")["sh"]), F.size(F.array_intersect("sh", F.col("f")["sh"]))
+    left = keep(x.filter(F.coalesce(both < least * (sizes - both), F.lit(True))).select("component", "key", "sh"), sweep=True)
+    row = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in left.schema.fields)
+
+    def settle(*names: str):
+        return lambda rows: first_kept(rows, least).select(list(names))
+
+    def compare(rows: pa.Table, firsts: pa.Table) -> pa.Table:
+        found, gone = Postings(rows["sh"].combine_chunks()), np.zeros(len(rows), bool)
+        for own in firsts["sh"].combine_chunks():
+            gone |= found.like(np.asarray(own.values), least)
+        return rows.filter(pa.array(~gone)).select(["component", "key", "sh"])
+
     while True:
-        first = keep(left.groupBy("component").agg(F.min_by(F.struct("key", "sh"), "key").alias("f"), F.count("*").alias("n")))
-        new = first.select(F.col("f.key").alias("key"))
-        stays = new if stays is None else stays.unionByName(new)
-        x = left.join(first.filter("n > 1").select("component", "f"), "component").filter(F.col("key") != F.col("f")["key"])
-        sizes, both = F.size("sh") + F.size(F.col("f")["sh"]), F.size(F.array_intersect("sh", F.col("f")["sh"]))
-        left = keep(x.filter(F.coalesce(both < least * (sizes - both), F.lit(True))).select("component", "key", "sh"), sweep=True)
-        counts = keep(left.groupBy("component").agg(F.count("*").alias("n")))
+        counts = keep(left.groupBy("component").agg(F.sum(weight()).alias("n")))
         if counts.isEmpty():
             return stays
-        few = counts.filter(F.col("n") <= SMALL).select("component")
-        kind = members.schema["key"].dataType.simpleString()
-
-        def settle(rows: pa.Table) -> pa.Table:
-            order = sorted(range(len(rows)), key=lambda i: tuple(keys[i].values())) if (keys := rows["key"].to_pylist()) else []
-            sets, out = rows["sh"].combine_chunks(), []
-            for i in order:
-                own = sets[i].values.to_numpy()
-                if not any(alike(sets[j].values.to_numpy(), own, least) for j in out):
-                    out.append(i)
-            return rows.select(["key"]).take(out)
-
+        few = counts.filter(F.col("n") <= SHINGLES).select("component")
         small = left.join(few, "component", "left_semi")
-        stays = stays.unionByName(small.groupBy("component").applyInArrow(settle, f"key {kind}"))
+        stays = stays.unionByName(small.groupBy("component").applyInArrow(settle("key"), f"key {left.schema['key'].dataType.simpleString()}"))
         left = keep(left.join(few, "component", "left_anti"), sweep=True)
         if left.isEmpty():
             return stays
+        placed = before(left, ["component", "key"], weight())
+        start = F.broadcast(placed.groupBy("component").agg(F.min("_r").alias("_s")))  # groups of more than SHINGLES each
+        parts = keep(placed.join(start, "component").select("component", "key", "sh", F.floor((F.col("_r") - F.col("_s")) / SHINGLES).alias("part")))
+        new = keep(parts.filter("part = 0").groupBy("component").applyInArrow(settle("component", "key", "sh"), row))
+        stays = stays.unionByName(new.select("key"))
+        rest = parts.filter("part > 0")
+        firsts = new.join(rest.select("component", F.col("part").alias("of")).distinct(), "component")
+        left = keep(rest.groupBy("component", "part").cogroup(firsts.groupBy("component", "of")).applyInArrow(compare, row), sweep=True)
 
 
 def survivors(docs: DataFrame, size: int = 5, words: int = 4, parts: int = 8, reach: int = 3, radius: int = 50, least_held: int = 25_000, least: float = 0.8) -> DataFrame:

@@ -546,3 +546,33 @@ def test_rounds_of_joins_do_not_square_the_assumed_size(spark):
     assert max(bits) <= 64, bits
     assert sorted((r.a, r.b) for r in x.collect()) == [(i, [i, None]) for i in range(4)]
     assert [(f.name, f.dataType.simpleString()) for f in x.schema.fields] == [("a", "bigint"), ("b", "array<int>")]
+
+
+def test_a_large_group_takes_rounds_by_its_parts(spark, monkeypatch):
+    """A chain whose members mostly stay, and copies in it, take a round a part and leave what comparing all of them in order leaves."""
+    from pyspark.sql import functions as F
+
+    from lexloom.llm import simhash
+
+    rng = random.Random(8)
+    said = [rng.randrange(1 << 62) for _ in range(4000)]
+    sets = [sorted(said[8 * i : 8 * i + 100]) for i in range(300)]
+    sets += [sorted(rng.sample(sets[i], 95)) for i in range(0, 300, 3) for _ in range(2)] + [[], [], [7], [7], [7, 8]]
+    rng.shuffle(sets)
+    rows = [(i % 2, (0, i), s) for i, s in enumerate(sets)] + [(9, (5, i), s) for i, s in enumerate(sets[:7])]
+    df = spark.createDataFrame(rows, "component long, key struct<a:long,b:long>, sh array<long>").repartition(5)
+    want = []
+    for c in (0, 1, 9):
+        kept = []
+        for _, key, s in (r for r in rows if r[0] == c):
+            if not any(len(set(s) & set(t)) >= 0.8 * len(set(s) | set(t)) for t in kept):
+                kept.append(s)
+                want.append(key)
+    rounds, keep = [], simhash.keep
+    monkeypatch.setattr(simhash, "keep", lambda x, sweep=False: (rounds.append(sweep), keep(x, sweep))[1])
+    for small in (4000, 60):
+        monkeypatch.setattr(simhash, "SMALL", small)
+        rounds.clear()
+        got = sorted(tuple(r) for r in simhash.leaders(df.withColumn("sh", F.sort_array("sh")), 0.8).select("key.*").collect())
+        assert got == sorted(want), small
+        assert len(want) > 120 and sum(rounds) <= (2 if small == 4000 else 14), (small, len(want), sum(rounds))
